@@ -41,6 +41,8 @@ def run_state(spark: SparkSession, work: Work, path: str, schema) -> DataFrame:
     for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
         session.conf.set(key, spark.conf.get(key))
     session.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    # each partition's store would set aside megabytes for its logs
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     # a batch of one trigger writes each key once: the next trigger of a later run only adds to the state
     best = F.max(F.struct("points", F.bitwise_not("doc_id").alias("order"), "locator"))
     state = session.readStream.schema(schema).parquet(path).groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), best.alias("best"))
