@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, mixing, quality
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
+    "op7_quality_rules": quality.query,
+    "op8_mixing": mixing.query,
 }
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
+    "op7_quality_rules": quality.ORACLE,
+    "op8_mixing": mixing.ORACLE,
 }
