@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality
+from . import bpe, exact_dedup, mixing, quality
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
     "op7_quality_rules": quality.query,
     "op8_mixing": mixing.query,
+    "op10_bpe": bpe.query,
 }
 
 ORACLES = {
