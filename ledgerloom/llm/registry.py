@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, lm_score, mixing, near_dedup, quality
+from . import bpe, exact_dedup, license_scan, lm_score, mixing, near_dedup, quality
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
     "op2_lm_score": lm_score.query,
+    "op3_license_scan": license_scan.query,
     "op6_near_dedup": near_dedup.query,
     "op7_quality_rules": quality.query,
     "op8_mixing": mixing.query,
