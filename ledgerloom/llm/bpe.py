@@ -34,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, ship
+from .shared import Work, documents, most_frequent, ship
 
 LEXICON_WORDS = 1 << 16
 SUMMARY = 150_000
 #: Pieces remembered by a worker beside the lexicon.
-MEMORY = 300_000
+MEMORY = 400_000
 
 # Letters, numbers and white space below U+0250, written out: there every table of Unicode agrees.
 _L = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
@@ -71,7 +71,7 @@ class Vocabulary:
 
     def __init__(self, spelled: dict[str, int], merges: list, special: dict[str, int]):
         letters = byte_letters()
-        self.special = special
+        self.special, self._table = special, None
         self.by_id = {i: bytes(letters[c] for c in t) for t, i in spelled.items()} | {i: t.encode() for t, i in special.items()}
         self.first = [0] * 256
         for c, b in letters.items():
@@ -104,6 +104,37 @@ class Vocabulary:
             ids[at : at + 2] = [best[1]]
         return ids
 
+    def merge_many(self, words: list[bytes]) -> list[list[int]]:
+        """merge() of many short pieces at once: each round merges one pair in every piece that has one."""
+        if self._table is None:
+            pairs = sorted((a << 20 | b, r, m) for (a, b), (r, m) in self.merges.items())
+            self._table = [np.array([p[i] for p in pairs] or [0], np.int64) for i in range(3)]
+        keys, ranks, made = self._table
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        ids = np.array(self.first, np.int64)[np.frombuffer(b"".join(words), np.uint8)]
+        word = np.repeat(np.arange(len(words)), n)
+        done_ids, done_word, none = [], [], np.int64(1 << 40)
+        while len(ids):
+            key = np.append(ids[:-1] << 20 | ids[1:], -1)
+            at = np.searchsorted(keys, key)
+            at[at == len(keys)] = 0
+            rank = np.where((keys[at] == key) & np.append(word[:-1] == word[1:], False), ranks[at], none)
+            first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            least = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(ids))))
+            open_ = least < none
+            done_ids.append(ids[~open_])
+            done_word.append(word[~open_])
+            hit = np.flatnonzero(open_ & (rank == least))
+            hit = hit[np.append(True, word[hit][1:] != word[hit][:-1])] if len(hit) else hit
+            ids[hit] = made[at[hit]]
+            open_[hit + 1] = False
+            ids, word = ids[open_], word[open_]
+        word = np.concatenate(done_word) if done_word else np.empty(0, np.int64)
+        order = np.argsort(word, kind="stable")
+        ids = np.concatenate(done_ids)[order].tolist() if done_ids else []
+        ends = np.searchsorted(word[order], np.arange(len(words) + 1)).tolist()
+        return [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
     def _merge_long(self, ids: list[int]) -> list[int]:
         n = len(ids)
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
@@ -226,12 +257,11 @@ class Lexicon:
         v = self.vocabulary = Vocabulary.__new__(Vocabulary)
         spelled, at = self.bytes.tobytes(), self.bytes_at.tolist()
         v.by_id = {i: spelled[at[i] : at[i + 1]] for i in range(len(at) - 1)}
-        v.first, v.special = self.first.tolist(), self.special
+        v.first, v.special, v._table = self.first.tolist(), self.special, None
         v.merges = {(a, b): (r, m) for a, b, r, m in self.pairs.reshape(-1, 4).tolist()}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        # by piece: its ids as text, as numbers, and what they decode to
+        # by piece: its ids as text, and what they decode to
         self.spelled: dict[str, str] = {}
-        self.numbers: dict[str, tuple[int, ...]] = {}
         self.decoded: dict[str, str] = {}
 
     def find(self, words: list[bytes]) -> np.ndarray:
@@ -258,39 +288,42 @@ class Lexicon:
         return np.where(found, index, -1)
 
     def learn(self, words: set[str]) -> None:
-        if len(self.spelled) + len(words) > MEMORY:
-            for known in (self.spelled, self.numbers, self.decoded):
-                known.clear()
+        """Enters pieces in the tables: from the lexicon, or merged."""
         todo = list(words)
         raw = [w.encode() for w in todo]
-        for w, b, i in zip(todo, raw, self.find(raw).tolist(), strict=True):
-            ids = self.ids[self.at[i] : self.at[i + 1]].tolist() if i >= 0 else self.vocabulary.merge(b)
-            self.numbers[w] = tuple(ids)
-            self.spelled[w] = ",".join(map(str, ids))
-            self.decoded[w] = self.decode(ids)
+        found = self.find(raw).tolist()
+        unseen = [i for i, at in enumerate(found) if at < 0]
+        short = [i for i in unseen if len(raw[i]) <= 48]
+        ids: list = [None] * len(todo)
+        for i, x in zip(short, self.vocabulary.merge_many([raw[i] for i in short]), strict=True):
+            ids[i] = x
+        for i, (w, at) in enumerate(zip(todo, found, strict=True)):
+            x = ids[i]
+            if x is None:
+                x = self.ids[self.at[at] : self.at[at + 1]].tolist() if at >= 0 else self.vocabulary.merge(raw[i])
+            self.spelled[w] = ",".join(map(str, x))
+            self.decoded[w] = self.decode(x)
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.vocabulary.by_id.__getitem__, ids)).decode("utf-8", "replace")
 
-    def cut_up(self, text: str) -> list[str]:
-        """Pieces and special tokens in order; both are keys of the three tables once learned."""
-        if self.cut is None or not any(s in text for s in self.special):
-            words = pieces(text)
-        else:
-            words = []
-            for part in self.cut.split(text):
-                if part in self.special:
-                    words.append(part)
-                else:
-                    words.extend(pieces(part))
-        new = set(words).difference(self.spelled)
-        if new:
-            if len(self.spelled) + len(new) > MEMORY:
-                new = set(words)
-            self.learn(new)
-            for s in new & self.special.keys():
-                self.numbers[s], self.spelled[s], self.decoded[s] = (self.special[s],), str(self.special[s]), s
-        return words
+    def cut_up(self, texts: list[str]) -> list[list[str]]:
+        """Pieces and special tokens of each text in order; all of them are keys of the tables afterwards."""
+        cut = []
+        for text in texts:
+            if self.cut is None or not any(s in text for s in self.special):
+                cut.append(pieces(text))
+            else:
+                parts = self.cut.split(text)
+                cut.append([w for p in parts for w in ([p] if p in self.special else pieces(p))])
+        if len(self.spelled) > MEMORY:
+            self.spelled.clear()
+            self.decoded.clear()
+        new = set().union(*cut).difference(self.spelled)
+        self.learn(new)
+        for s in new & self.special.keys():
+            self.spelled[s], self.decoded[s] = str(self.special[s]), s
+        return cut
 
 
 _open: dict[str, Lexicon] = {}
@@ -329,9 +362,10 @@ def frequent_words(docs: DataFrame, words: int = LEXICON_WORDS) -> list[bytes]:
         top = summed(counts, SUMMARY)
         yield pa.RecordBatch.from_pydict({"piece": pa.array(list(top), pa.string()), "n": pa.array(list(top.values()), pa.int64())})
 
+    work = Work(docs.sparkSession, "bpe")
     counts = docs.select(F.col("text").cast("string")).mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    rows = counts.filter("n > 1").orderBy(F.desc("n"), "piece").limit(words).select("piece").collect()
-    return [r.piece.encode() for r in rows]
+    counts = work.table(counts.filter("n > 1"), "pieces")
+    return [r.piece.encode() for r in most_frequent(counts, words).select("piece").collect()]
 
 
 def compile_lexicon(docs: DataFrame, tokenizer: str, words: int = LEXICON_WORDS) -> str:
@@ -360,8 +394,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None, words: int = LEXICON_W
             for start in range(0, whole.num_rows, 1000):
                 batch = whole.slice(start, 1000)
                 n, ids, sums, back = [], [], [], []
-                for text in batch.column(1).to_pylist():
-                    cut = lex.cut_up(text or "")
+                for cut in lex.cut_up([t or "" for t in batch.column(1).to_pylist()]):
                     said = ",".join(map(lex.spelled.__getitem__, cut))
                     n.append(said.count(",") + 1 if said else 0)
                     sums.append(sha(said.encode()).hexdigest())

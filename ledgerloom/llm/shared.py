@@ -72,6 +72,23 @@ def word_count(text: Column) -> Column:
     return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, SPACE_CLASS))).cast("long")
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The rows of counts (with column n) from the least count on for which they are `most` at the most.
+
+    The count is found in a histogram by logarithm, of a few thousand steps at any size, so nothing
+    is sorted and no task sends its own best rows to the driver.
+    """
+    step = F.floor(F.log(F.col("n").cast("double")) * 100).cast("int")
+    left = most
+    least = None
+    for s, k in counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("s")).collect():
+        left -= k
+        if left < 0:
+            break
+        least = s
+    return counts.filter(step >= least) if least is not None else counts.limit(0)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
