@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, extract, license_scan, lm_score, mixing, near_dedup, quality
+from . import bpe, exact_dedup, extract, license_scan, lm_score, mixing, near_dedup, pii, quality
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
     "op2_lm_score": lm_score.query,
     "op3_license_scan": license_scan.query,
+    "op4_pii": pii.query,
     "op5_extract": extract.query,
     "op6_near_dedup": near_dedup.query,
     "op7_quality_rules": quality.query,
