@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, extract, license_scan, lm_score, mixing, near_dedup, pii, quality
+from . import bpe, exact_dedup, extract, language_id, license_scan, lm_score, mixing, near_dedup, pii, quality
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_near_dedup": near_dedup.query,
     "op7_quality_rules": quality.query,
     "op8_mixing": mixing.query,
+    "op9_language_id": language_id.query,
     "op10_bpe": bpe.query,
 }
 
