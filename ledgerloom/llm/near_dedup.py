@@ -5,10 +5,12 @@
 2. Texts with equal sets form one class; only its smallest doc_id goes on.
 3. Classes that share a band meet in a bucket. Each is compared with the smallest of its bucket
    over the full sets, recomputed from the whole texts. The links found join into components.
-4. Buckets that still hold more than one component give the pairs across components that can be
-   linked: sizes allow it, and so do the distances to the bucket's smallest, by the triangle
-   inequality of the Jaccard distance. These are compared too, and components formed again. So
-   every pair of a bucket is either compared, ruled out or connected already.
+4. Where a smallest text still has members of several components around it, each member is
+   written as its difference from that text (what it lacks and what it adds). The difference
+   gives the exact overlap of any two members: |C| - |lacks x| - |lacks y| + |both lack| +
+   |both add|. Members of different components meet in a join whose condition is the link itself,
+   after bounds by sizes alone, so it yields links and no pairs. Components are formed again. So
+   every pair of a bucket is compared, ruled out by its sizes, or connected already.
 
 A link at the threshold itself shares no band with a probability under `MISS`; above it, less.
 Equality of sets and of shingles is that of 128-bit digests and 64-bit hashes.
@@ -125,6 +127,38 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, shared long, total long")
 
 
+def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b, part_a) with the difference of a's set from b's: size of b's set, what a lacks of it and what it adds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, lacks, adds = [], [], []
+            for x, y in zip(batch.column(3), batch.column(4), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                size.append(len(y))
+                lacks.append(np.setdiff1d(y, x, assume_unique=True).view(np.int64))
+                adds.append(np.setdiff1d(x, y, assume_unique=True).view(np.int64))
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(size, pa.int64()), pa.array(lacks, longs), pa.array(adds, longs)], ["a", "b", "part", "size", "lacks", "adds"])
+
+    one = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b")
+    both = one.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a")
+    return both.select("a", "b", "part_a", "x", "y").mapInArrow(run, "a long, b long, part long, size long, lacks array<long>, adds array<long>")
+
+
+def linked_apart(apart: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of different components around the same text."""
+    side = lambda s: apart.select("b", *[F.col(c).alias(f"{c}{s}") for c in ("a", "part", "lacks", "adds")], "size").withColumnRenamed("size", f"size{s}").withColumn(f"lack{s}", F.size(f"lacks{s}")).withColumn(f"add{s}", F.size(f"adds{s}"))
+    size = F.col("size1")
+    both = 2 * size - F.col("lack1") - F.col("lack2") + F.col("add1") + F.col("add2")
+    near = lambda lack, add: (100 + percent) * (size - F.col("lack1") - F.col("lack2") + lack + add) >= percent * both
+    bound = near(F.least("lack1", "lack2"), F.least("add1", "add2"))
+    exact = near(F.size(F.array_intersect("lacks1", "lacks2")), F.size(F.array_intersect("adds1", "adds2")))
+    cheap = (F.col("part1") != F.col("part2")) & (F.col("a1") < F.col("a2")) & bound
+    pairs = side(1).join(side(2), "b").filter(F.when(cheap, exact).otherwise(F.lit(False)))
+    return pairs.select(F.col("a1").alias("a"), F.col("a2").alias("b")).distinct()
+
+
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs (doc_id, text) to doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
@@ -148,27 +182,18 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     found = components(seen.filter(linked).select("a", "b"), work, "first")
 
     # what the first comparison left open
-    far = seen.groupBy("a", "b").agg(F.min(1 - F.col("shared") / F.col("total")).alias("far"))
-    placed = members.join(far.select(F.col("a").alias("doc_id"), F.col("b").alias("first"), "far"), ["doc_id", "first"], "left")
-    placed = placed.join(found.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
-    placed = work.table(placed.select("band", "doc_id", "n", F.coalesce("far", F.lit(0.0)).alias("far"), F.coalesce("component", "doc_id").alias("component")), "placed")
-    still = placed.groupBy("band").agg((F.min("component") < F.max("component")).alias("open")).filter("open").select("band")
-    still = placed.join(still, "band")
-    x = still.select("band", *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "far", "component")])
-    y = still.filter("far > 0").select("band", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "far", "component")])
-    apart = (
-        (F.col("component_a") != F.col("component_b")) & (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("far_a") > 0)
-        & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.abs(F.col("far_a") - F.col("far_b")) <= 1 - percent / 100 + 1e-9)
-    )
-    pairs = x.join(y, "band").filter(apart).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
-    pairs = work.table(pairs, "pairs")
+    part = found.withColumnRenamed("id", "a").withColumnRenamed("component", "part_a")
+    root = found.withColumnRenamed("id", "b").withColumnRenamed("component", "part_b")
+    placed = seen.select("a", "b").distinct().join(part, "a", "left").join(root, "b", "left")
+    placed = work.table(placed.select("a", "b", F.coalesce("part_a", "a").alias("part_a"), F.coalesce("part_b", "b").alias("part_b")), "placed")
+    still = placed.groupBy("b").agg((F.least(F.min("part_a"), F.min("part_b")) < F.greatest(F.max("part_a"), F.max("part_b"))).alias("open")).filter("open").select("b")
     with settings(spark, **BATCH):
-        more = work.table(compared(pairs, sets), "more").filter(linked)
-    links = seen.filter(linked).select("a", "b").unionByName(more.select("a", "b"))
+        apart = work.table(differences(placed.join(still, "b"), sets), "apart")
+    more = work.table(linked_apart(apart, percent), "more")
     if not more.isEmpty():
-        found = components(links, work, "second")
+        found = components(seen.filter(linked).select("a", "b").unionByName(more), work, "second")
     found = work.table(found, "found")
-    work.drop("sets", "members", "placed", "star", "pairs")
+    work.drop("sets", "members", "placed", "star", "apart")
 
     out = rows.select("doc_id", "n", "set").join(classes, "set", "left").join(found.withColumnRenamed("id", "class"), "class", "left")
     component = F.coalesce("component", "class", "doc_id")
