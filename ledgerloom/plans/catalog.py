@@ -1,6 +1,275 @@
-"""Registered queries of the ledger operators and their SQL twins."""
+"""Registered queries of the ledger operators over the driver tables, and their SQL twins.
+
+The driver tables hold no bank ledger. A deterministic one is made of `orders`: an order is an
+operation, a month is a statement; the same expressions stand in SQL. Money leaves as double.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions.dates import resolve_date
+from ..functions.text import format_amount, normalize_key, parse_amount
+from ..operators import balance, categories, layout, reconcile, search, stats
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+MONEY = "decimal(18,2)"
+METHODS = {"1-URGENT": "comision", "2-HIGH": "pago_movil", "3-MEDIUM": "impuesto", "4-NOT SPECIFIED": "mantenimiento", "5-LOW": "transferencia_enviada"}
+RULES = [(1, "Urgent 1", "Urgentes", 10), (2, "cliénte 7", "Siete", 5), (3, "orden 99", "Noventa", 5), (4, " ", "Nada", 1), (5, "low", "Bajas", 100)]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as operations."""
+    o = table(spark, sf_dir, "orders")
+    price, day = F.col("o_totalprice").cast(MONEY), F.col("o_orderdate").cast("date")
+    zero, debit = F.lit(0).cast(MONEY), F.col("o_orderstatus") == "F"
+    method = F.create_map(*[F.lit(x) for kv in METHODS.items() for x in kv])
+    text = F.concat_ws(" ", "o_orderpriority", F.lit("Órden"), F.col("o_orderkey").cast("string"), F.lit("Cliente"), F.col("o_custkey").cast("string"))
+    rows = o.select(
+        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("account"), (F.year(day) * 100 + F.month(day)).cast("long").alias("statement_id"), F.col("o_orderkey").alias("seq"), day.alias("date_iso"),
+        F.when(debit, price).otherwise(zero).alias("cargo"), F.when(debit, zero).otherwise(price).alias("abono"), F.when(F.col("o_orderkey") % 10 == 0, (F.col("o_orderkey") % 7).cast(MONEY)).otherwise(zero).alias("igtf"),
+        price.alias("amount"), F.when(debit, "cargo").otherwise("abono").alias("direction"), F.coalesce(F.try_element_at(method, F.col("o_orderpriority")), F.lit("otro")).alias("method"), text.alias("description"),
+        F.when(F.col("o_custkey") % 11 != 0, F.concat(F.lit("C"), (F.col("o_custkey") % 50).cast("string"))).alias("counterpart"),
+        F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("Concepto "), (F.col("o_custkey") % 9).cast("string"))).alias("concept"),
+    )
+    return rows.withColumn("search_key", normalize_key(F.col("description"))).withColumn("category", categories.default_category(F.col("method")))
+
+
+_map = lambda pairs, x, other: f"CASE {x} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in pairs.items()) + f" ELSE '{other}' END"
+LED = f"""
+led0 AS (
+  SELECT o_orderkey AS id, o_custkey AS account, CAST(year(CAST(o_orderdate AS DATE)) * 100 + month(CAST(o_orderdate AS DATE)) AS BIGINT) AS statement_id, o_orderkey AS seq, CAST(o_orderdate AS DATE) AS date_iso,
+         CASE WHEN o_orderstatus = 'F' THEN CAST(o_totalprice AS DECIMAL(18,2)) ELSE 0 END AS cargo, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE CAST(o_totalprice AS DECIMAL(18,2)) END AS abono,
+         CASE WHEN o_orderkey % 10 = 0 THEN CAST(o_orderkey % 7 AS DECIMAL(18,2)) ELSE 0 END AS igtf, CAST(o_totalprice AS DECIMAL(18,2)) AS amount,
+         CASE WHEN o_orderstatus = 'F' THEN 'cargo' ELSE 'abono' END AS direction, {_map(METHODS, "o_orderpriority", "otro")} AS method,
+         concat_ws(' ', o_orderpriority, 'Órden', CAST(o_orderkey AS VARCHAR), 'Cliente', CAST(o_custkey AS VARCHAR)) AS description,
+         CASE WHEN o_custkey % 11 <> 0 THEN 'C' || CAST(o_custkey % 50 AS VARCHAR) END AS counterpart, CASE WHEN o_orderkey % 3 = 0 THEN 'Concepto ' || CAST(o_custkey % 9 AS VARCHAR) END AS concept
+  FROM orders),
+led AS (SELECT *, regexp_replace(lower(strip_accents(description)), '[^a-z0-9]', '', 'g') AS search_key, {_map(categories.DEFAULT_CATEGORIES, "method", "Otros")} AS category FROM led0)
+"""
+
+
+def register(name: str, sql: str | None = None):
+    def add(function):
+        QUERIES[name] = function
+        if sql:
+            ORACLES[name] = sql
+        return function
+
+    return add
+
+
+def over_ledger(name: str, function: Callable[[DataFrame], DataFrame], sql: str) -> None:
+    register(name, f"WITH {LED} {sql}")(lambda spark, sf_dir: function(ledger(spark, sf_dir)))
+
+
+def doubles(*names: str) -> str:
+    return ", ".join(f"CAST({x} AS DOUBLE) AS {x}" for x in names)
+
+
+def balanced(ops: DataFrame) -> DataFrame:
+    starts = ops.select("statement_id").distinct().withColumn("start", F.lit(1000).cast(MONEY))
+    return balance.running_balance(ops, starts)
+
+
+BAL = "bal AS (SELECT *, 1000 + sum(abono - cargo - igtf) OVER (PARTITION BY statement_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS balance_computed FROM led)"
+
+over_ledger("ledger_totals", stats.ledger_totals, "SELECT CAST(sum(cargo) AS DOUBLE) AS cargo, CAST(sum(abono) AS DOUBLE) AS abono, CAST(sum(igtf) AS DOUBLE) AS igtf, CAST(sum(abono) - sum(cargo) - sum(igtf) AS DOUBLE) AS net, count(*) AS n FROM led")
+for _column in ("method", "category"):
+    over_ledger(f"by_{_column}", lambda o, c=_column: stats.grouped(o, c), f"SELECT coalesce(nullif({_column}, ''), 'Sin dato') AS label, count(*) AS n, CAST(sum(cargo) AS DOUBLE) AS cargo, CAST(sum(abono) AS DOUBLE) AS abono FROM led GROUP BY 1 ORDER BY n DESC, label LIMIT 50")
+for _column in ("counterpart", "concept"):
+    for _side in ("cargo", "abono"):
+        over_ledger(f"top_{_column}s_{_side}", lambda o, c=_column, s=_side: stats.top_labels(o, c, s), f"SELECT {_column} AS label, CAST(sum({_side}) AS DOUBLE) AS amount, count(*) AS n FROM led WHERE {_column} IS NOT NULL AND {_side} > 0 GROUP BY 1 ORDER BY sum({_side}) DESC, label LIMIT 8")
+over_ledger("daily_flow", lambda o: stats.daily_flow(balanced(o)), f", {BAL} SELECT date_iso, CAST(sum(cargo) AS DOUBLE) AS cargo, CAST(sum(abono) AS DOUBLE) AS abono, CAST(arg_max(balance_computed, (statement_id, seq)) AS DOUBLE) AS balance, count(*) AS n FROM bal GROUP BY 1".lstrip())
+_costs = ", ".join(f"'{m}'" for m in stats.COST_METHODS)
+over_ledger("bank_costs", stats.bank_costs, f"SELECT method, CAST(sum(cargo) AS DOUBLE) AS amount, count(*) AS n FROM led WHERE method IN ({_costs}) GROUP BY 1 UNION ALL SELECT 'igtf', CAST(sum(igtf) AS DOUBLE), count(*) FILTER (igtf > 0) FROM led")
+over_ledger("averages", stats.averages, "SELECT round(CAST(sum(amount) AS DOUBLE) / count(amount), 2) AS mean_amount, CAST(max(cargo) AS DOUBLE) AS max_cargo, CAST(max(abono) AS DOUBLE) AS max_abono, count(DISTINCT date_iso) AS active_days, round(CAST(sum(cargo) AS DOUBLE) / count(DISTINCT date_iso), 2) AS daily_cargo, round(CAST(sum(abono) AS DOUBLE) / count(DISTINCT date_iso), 2) AS daily_abono FROM led")
+over_ledger("by_weekday", stats.by_weekday, "SELECT CAST(dayofweek(date_iso) AS INTEGER) AS weekday, ['Domingo', 'Lunes', 'Martes', 'Miércoles', 'Jueves', 'Viernes', 'Sábado'][dayofweek(date_iso) + 1] AS name, count(*) AS n, CAST(sum(cargo) AS DOUBLE) AS cargo, CAST(sum(abono) AS DOUBLE) AS abono FROM led GROUP BY 1, 2")
+over_ledger("top_days", stats.top_days, "SELECT date_iso, CAST(sum(cargo) AS DOUBLE) AS cargo, count(*) AS n FROM led GROUP BY 1 ORDER BY sum(cargo) DESC, date_iso LIMIT 5")
+_change = lambda x: f"CASE WHEN lag({x}) OVER o <> 0 THEN round((CAST({x} AS DOUBLE) - CAST(lag({x}) OVER o AS DOUBLE)) / abs(CAST(lag({x}) OVER o AS DOUBLE)) * 100, 4) END AS {x}_change"
+over_ledger("monthly_delta", stats.monthly, f", s AS (SELECT statement_id, sum(cargo) AS cargo, sum(abono) AS abono, sum(igtf) AS igtf, sum(abono) - sum(cargo) - sum(igtf) AS net, count(*) AS n, min(date_iso) AS d FROM led GROUP BY 1) SELECT statement_id, CAST(row_number() OVER o AS INTEGER) AS position, {doubles('cargo', 'abono', 'igtf', 'net')}, n, {_change('cargo')}, {_change('abono')}, {_change('net')} FROM s WINDOW o AS (ORDER BY d, statement_id)")
+over_ledger("category_top6_rest", lambda o: stats.top_and_rest(o, "counterpart"), ", g AS (SELECT coalesce(nullif(counterpart, ''), 'Sin dato') AS label, sum(cargo) AS cargo FROM led GROUP BY 1), r AS (SELECT CASE WHEN row_number() OVER (ORDER BY cargo DESC, label) <= 6 THEN label ELSE 'Otras' END AS label, cargo FROM g), t AS (SELECT label, sum(cargo) AS cargo FROM r GROUP BY 1) SELECT label, CAST(cargo AS DOUBLE) AS cargo, round(CAST(cargo AS DOUBLE) / CAST(sum(cargo) OVER () AS DOUBLE) * 100, 4) AS share FROM t WHERE cargo > 0 OR label <> 'Otras'")
+over_ledger("savings_rate", stats.savings_rate, ", t AS (SELECT CAST(sum(abono) - sum(cargo) - sum(igtf) AS DOUBLE) AS net, CAST(sum(abono) AS DOUBLE) AS abono FROM led) SELECT net, abono, CASE WHEN abono > 0 THEN round(net / abono * 100, 4) ELSE 0 END AS savings_rate FROM t")
+over_ledger("biggest_ops", stats.biggest, f"SELECT id, statement_id, date_iso, method, {doubles('amount')}, direction FROM led ORDER BY led.amount DESC, id LIMIT 10")
+_listed = lambda df: df.select("id", "statement_id", "date_iso", "description", "method", "category", F.col("amount").cast("double").alias("amount"), "direction")
+_fields = f"id, statement_id, date_iso, description, method, category, {doubles('amount')}, direction"
+over_ledger("search_filter", lambda o: _listed(search.search(o, search.Filters(statement_id=199703, direction="cargo", method="comision", amount_min=0, amount_max=150_000))), f"SELECT {_fields} FROM led WHERE statement_id = 199703 AND direction = 'cargo' AND method = 'comision' AND led.amount BETWEEN 0 AND 150000")
+over_ledger("search_text", lambda o: _listed(search.search(o, search.Filters(text="Clíente 12"))), f"SELECT {_fields} FROM led WHERE contains(search_key, 'cliente12') OR contains(lower(description), 'clíente 12')")
+over_ledger("page_sorted", lambda o: _listed(search.page(o, 3, 20, "amount", True)), f"SELECT {_fields} FROM led ORDER BY led.amount DESC NULLS LAST, id DESC LIMIT 20 OFFSET 40")
+
+
+def _export(ops: DataFrame) -> DataFrame:
+    rows = ops.withColumns({c: F.lit(None).cast("string") for c in ("date", "counterpart_account", "counterpart_bank", "reference")}).withColumn("balance_computed", F.lit(None).cast(MONEY))
+    names = ops.select(F.col("statement_id").alias("id")).distinct().withColumn("file_name", F.concat(F.col("id").cast("string"), F.lit(".pdf")))
+    return search.export_rows(rows, names)
+
+
+over_ledger("export_rows", _export, """SELECT strftime(date_iso, '%Y-%m-%d') AS "Fecha", description AS "Descripción", method AS "Método", category AS "Categoría", coalesce(counterpart, '') AS "Contraparte", '' AS "Cuenta", '' AS "Banco", '' AS "Referencia", coalesce(concept, '') AS "Concepto", replace(CAST(CAST(cargo AS DECIMAL(18,2)) AS VARCHAR), '.', ',') AS "Cargo", replace(CAST(CAST(abono AS DECIMAL(18,2)) AS VARCHAR), '.', ',') AS "Abono", replace(CAST(CAST(igtf AS DECIMAL(18,2)) AS VARCHAR), '.', ',') AS "IGTF", '' AS "Saldo", CAST(statement_id AS VARCHAR) || '.pdf' AS "Archivo" FROM led""")
+
+
+def _doubled(ops: DataFrame) -> DataFrame:
+    """Some rows printed again by the next statement."""
+    again = ops.filter("id % 97 = 0").withColumn("statement_id", F.col("statement_id") + 1)
+    return ops.unionByName(again).withColumn("reference", F.lit(None).cast("string")).withColumn("counterpart_account", F.col("account").cast("string"))
+
+
+DUP = "dup AS (SELECT * FROM led UNION ALL BY NAME SELECT * REPLACE (statement_id + 1 AS statement_id) FROM led WHERE id % 97 = 0), g AS (SELECT amount, date_iso, direction, account, count(*) AS n, count(DISTINCT statement_id) AS statements FROM dup GROUP BY ALL HAVING count(DISTINCT statement_id) > 1)"
+_group = lambda df: df.select(F.col("amount").cast("double").alias("amount"), "date_iso", "direction", F.col("counterpart_account").alias("account"), "n", "statements")
+over_ledger("duplicates", lambda o: _group(stats.duplicate_groups(_doubled(o), None)), f", {DUP} SELECT CAST(amount AS DOUBLE) AS amount, date_iso, direction, CAST(account AS VARCHAR) AS account, n, statements FROM g")
+over_ledger("duplicate_members", lambda o: stats.duplicate_groups(_doubled(o), None).select(F.col("counterpart_account").alias("account"), F.posexplode("members").alias("position", "m")).select("account", "position", "m.statement_id", "m.seq", "m.id"), f", {DUP} SELECT CAST(account AS VARCHAR) AS account, CAST(row_number() OVER (PARTITION BY amount, date_iso, direction, account ORDER BY statement_id, seq, id) - 1 AS INTEGER) AS position, statement_id, seq, id FROM dup SEMI JOIN g USING (amount, date_iso, direction, account)")
+
+
+def _periods(ops: DataFrame) -> DataFrame:
+    """A customer's orders of a year as a statement's period."""
+    day = lambda x: F.date_format(x, "dd-MM-yy")
+    year = F.year("date_iso")
+    rows = ops.filter("date_iso >= date'2000-01-01' or id % 2 = 0").withColumn("date_iso", F.add_months("date_iso", 120))
+    return rows.groupBy("account", F.year("date_iso").alias("y")).agg(F.min("date_iso").alias("a"), F.max("date_iso").alias("b"), F.min("id").alias("id")).select("id", (F.col("account") % 300).cast("string").alias("account_number"), day(F.col("a")).alias("period_start"), day(F.col("b")).alias("period_end"))
+
+
+over_ledger("period_overlap", lambda o: reconcile.overlaps(_periods(o)), ", p AS (SELECT min(id) AS statement_id, account % 300 AS acc, min(date_iso + INTERVAL 120 MONTH) AS a, max(date_iso + INTERVAL 120 MONTH) AS b FROM led WHERE date_iso >= DATE '2000-01-01' OR id % 2 = 0 GROUP BY account, year(date_iso + INTERVAL 120 MONTH)) SELECT x.statement_id, y.statement_id AS other_id FROM p x JOIN p y ON x.acc = y.acc AND x.a <= y.b AND y.a <= x.b AND x.statement_id <> y.statement_id")
+
+
+@register("annex_unmatched", "WITH v AS (SELECT user_id, event_type, CAST(round(value) AS DECIMAL(18,2)) AS amount, count(*) AS n FROM events WHERE event_type IN ('view', 'purchase') AND value IS NOT NULL AND CAST(round(value) AS DECIMAL(18,2)) <> 0 GROUP BY ALL) SELECT a.user_id AS statement_id, CAST(sum(greatest(a.n - coalesce(b.n, 0), 0)) AS BIGINT) AS unmatched FROM v a LEFT JOIN v b ON a.user_id = b.user_id AND a.amount = b.amount AND b.event_type = 'purchase' WHERE a.event_type = 'view' GROUP BY 1")
+def annex_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("statement_id"), "event_type", F.round("value").cast(MONEY).alias("amount"))
+    return reconcile.unmatched(rows.filter("event_type = 'view'"), rows.filter("event_type = 'purchase'"))
+
+
+_rules = ", ".join(f"({i}, '{p}', '{c}', {k})" for i, p, c, k in RULES)
+RULED = f", rules(rid, pattern, cat, priority) AS (VALUES {_rules}), k AS (SELECT *, regexp_replace(lower(strip_accents(pattern)), '[^a-z0-9]', '', 'g') AS key FROM rules) SELECT id, coalesce((SELECT arg_min(cat, (priority, rid)) FROM k WHERE key <> '' AND contains(search_key, key)), category) AS category FROM led"
+over_ledger("rule_category", lambda o: categories.categorize(o.drop("category"), o.sparkSession.createDataFrame(RULES, "id long, pattern string, category string, priority int")).select("id", "category"), RULED)
+over_ledger("category_list", lambda o: categories.category_list(o), f"SELECT DISTINCT category FROM led UNION SELECT unnest([{', '.join(repr(c) for c in sorted(set(categories.DEFAULT_CATEGORIES.values())))}])")
+over_ledger("running_balance", lambda o: balanced(o).select("id", "statement_id", F.col("balance_computed").cast("double").alias("balance")), f", {BAL} SELECT id, statement_id, CAST(balance_computed AS DOUBLE) AS balance FROM bal")
+
+
+def _covers(ops: DataFrame) -> DataFrame:
+    """Official totals, some of them off by what id % 500 = 0 rows hold."""
+    s = lambda x: F.sum(F.when(F.col("id") % 500 != 0, F.col(x)).otherwise(F.lit(0).cast(MONEY))).cast(MONEY)
+    rows = ops.groupBy("statement_id").agg(s("cargo").alias("otros_debitos"), F.sum("abono").cast(MONEY).alias("otros_creditos"), F.sum(F.col("abono") - F.col("cargo") - F.col("igtf")).cast(MONEY).alias("net"))
+    zero = F.lit(0).cast(MONEY)
+    return rows.select("statement_id", zero.alias("depositos"), "otros_creditos", zero.alias("cheques"), "otros_debitos", zero.alias("igtf"), F.when(F.col("statement_id") % 12 != 0, F.lit(1000).cast(MONEY)).alias("saldo_inicio"), (F.col("net") + 1000).cast(MONEY).alias("saldo_final"))
+
+
+def _points(ops: DataFrame) -> DataFrame:
+    """Every tenth row prints a balance, from some rows on short by one hidden debit."""
+    rows = balanced(ops).filter("id % 10 = 3")
+    off = F.when((F.col("statement_id") % 5 == 0) & (F.dayofmonth("date_iso") > 20), F.lit("12.50").cast(MONEY)).otherwise(F.lit(0).cast(MONEY))
+    rows = rows.withColumn("ord", F.row_number().over(W.partitionBy("statement_id").orderBy("seq")))
+    return rows.select("statement_id", "ord", F.dayofmonth("date_iso").alias("page"), F.lit("intermedio").alias("kind"), (F.col("balance_computed") - off).cast(MONEY).alias("printed_balance"), "balance_computed").withColumnRenamed("balance_computed", "computed_balance")
+
+
+COV = "cov AS (SELECT statement_id, sum(CASE WHEN id % 500 <> 0 THEN cargo ELSE 0 END) AS deb, sum(abono) AS cre, sum(abono - cargo - igtf) AS net, sum(cargo) AS cargo, sum(abono) AS abono FROM led GROUP BY 1)"
+PTS = f"{BAL}, pts AS (SELECT statement_id, seq, row_number() OVER (PARTITION BY statement_id ORDER BY seq) AS ord, CAST(day(date_iso) AS INTEGER) AS page, CASE WHEN statement_id % 5 = 0 AND day(date_iso) > 20 THEN 12.50 ELSE 0 END AS diff FROM bal WHERE id % 10 = 3)"
+STEPS = f"{PTS}, st AS (SELECT statement_id, ord, lag(page) OVER w AS page_before, page, diff - coalesce(lag(diff) OVER w, 0) AS step FROM pts WINDOW w AS (PARTITION BY statement_id ORDER BY ord))"
+over_ledger("recon_totals", lambda o: reconcile.total_checks(_covers(o), o).select("statement_id", *stats.money("total_cargo", "expected_cargo", "total_abono", "expected_abono", "net", "expected_net")), f", {COV} SELECT statement_id, CAST(cargo AS DOUBLE) AS total_cargo, CAST(deb AS DOUBLE) AS expected_cargo, CAST(abono AS DOUBLE) AS total_abono, CAST(cre AS DOUBLE) AS expected_abono, CAST(net AS DOUBLE) AS net, CASE WHEN statement_id % 12 <> 0 THEN CAST(net AS DOUBLE) END AS expected_net FROM cov")
+
+
+def _status(ops: DataFrame) -> DataFrame:
+    covers = _covers(ops)
+    return reconcile.statuses(covers, reconcile.issues(covers, ops, _points(ops)))
+
+
+over_ledger("recon_status", _status, f", {COV}, {PTS}, d AS (SELECT statement_id, bool_or(diff <> 0) AS off FROM pts GROUP BY 1) SELECT statement_id, CASE WHEN abs(cargo - deb) > 0.005 OR coalesce(off, false) THEN 'DIFERENCIAS' WHEN statement_id % 12 = 0 THEN 'REVISAR' ELSE 'CUADRA' END AS status FROM cov LEFT JOIN d USING (statement_id)")
+over_ledger("validation_matrix", lambda o: reconcile.validation_matrix(_status(o)), f", {COV}, {PTS}, d AS (SELECT statement_id, bool_or(diff <> 0) AS off FROM pts GROUP BY 1), s AS (SELECT CASE WHEN abs(cargo - deb) > 0.005 OR coalesce(off, false) THEN 'DIFERENCIAS' WHEN statement_id % 12 = 0 THEN 'REVISAR' ELSE 'CUADRA' END AS status FROM cov LEFT JOIN d USING (statement_id)) SELECT status, count(*) AS files FROM s GROUP BY 1")
+over_ledger("missing_rows", lambda o: balance.missing_rows(balance.compared(_points(o))).select("statement_id", "ord", "page_before", "page", F.col("step").cast("double").alias("step"), "side"), f", {STEPS} SELECT statement_id, CAST(ord AS INTEGER) AS ord, page_before, page, CAST(step AS DOUBLE) AS step, CASE WHEN step > 0 THEN 'debit' ELSE 'credit' END AS side FROM st WHERE abs(step) > 0.005")
+
+
+@register("queue_position", "SELECT o_orderkey AS id, CAST(row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS INTEGER) AS position FROM orders WHERE o_orderstatus = 'P'")
+def queue_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming.ingest import queue_positions
+
+    jobs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "P", "procesando").otherwise("CUADRA").alias("status"), F.col("o_orderdate").alias("uploaded_at"), F.lit(None).cast("timestamp_ntz").alias("started_at"))
+    return queue_positions(jobs).filter("position is not null").select("id", "position")
+
+
+@register("normalize_key", "SELECT doc_id, regexp_replace(lower(strip_accents(coalesce(text, ''))), '[^a-z0-9]', '', 'g') AS key FROM documents")
+def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", normalize_key(F.coalesce("text", F.lit(""))).alias("key"))
+
+
+@register("classify_method")
+def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.enrich import METHOD_RULES, classify_method
+
+    phrases = F.array(*[F.lit(x) for x in ("Comision pago movil", "Pago movil a", "Transferencia por internet", "Transferencia recibida", "Emision edo de cta", "Igtf", "Cheque", "Compra")])
+    text = F.concat_ws(" ", F.get(phrases, (F.col("o_orderkey") % 8).cast("int")), "o_orderpriority")
+    way = F.when(F.col("o_orderstatus") == "F", "cargo").when(F.col("o_orderstatus") == "O", "abono")
+    assert METHOD_RULES
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), classify_method(text, way).alias("method"))
+
+
+ORACLES["classify_method"] = "SELECT o_orderkey AS id, CASE o_orderkey % 8 WHEN 0 THEN 'comision_pago_movil' WHEN 1 THEN 'pago_movil' WHEN 2 THEN CASE WHEN o_orderstatus = 'O' THEN 'transferencia_recibida' ELSE 'transferencia_enviada' END WHEN 3 THEN 'transferencia_recibida' WHEN 4 THEN 'emision_estado' WHEN 5 THEN 'impuesto' WHEN 6 THEN 'cheque' ELSE 'otro' END AS method FROM orders"
+
+
+@register("extract_fields", "SELECT o_orderkey AS id, 'C' || CAST(o_custkey AS VARCHAR) || ' Perez' AS name, CAST(1000000000 + o_custkey AS VARCHAR) AS counterpart_account, CAST(100000 + o_orderkey AS VARCHAR) AS reference, 'alquiler ' || CAST(o_custkey % 12 AS VARCHAR) AS concept, strftime(o_orderdate, '%d-%m-%y') || ' 10:00:00' AS occurred_at, '414-' || lpad(CAST(o_custkey AS VARCHAR), 7, '0') AS phone, 'Banco Del Sur' AS counterpart_bank FROM orders")
+def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.enrich import enrich
+
+    day, key = F.date_format(F.col("o_orderdate").cast("date"), "dd-MM-yy"), F.col("o_custkey").cast("string")
+    text = F.concat(F.lit("TRANSFERENCIA A LA CUENTA DE c"), key, F.lit(" Perez ***"), (F.col("o_custkey") + 1_000_000_000).cast("string"), F.lit(" EN BANCO DEL SUR, C.A. CON REFERENCIA "), (F.col("o_orderkey") + 100_000).cast("string"), F.lit(" TELF 0414-"), F.lpad(key, 7, "0"), F.lit(" POR CONCEPTO DE: alquiler "), (F.col("o_custkey") % 12).cast("string"), F.lit(" EL "), day, F.lit(" A LAS 10:00:00 HORAS"))
+    rows = enrich(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), text.alias("description"), F.lit("cargo").alias("direction")))
+    return rows.select("id", F.concat(F.upper(F.substring("counterpart", 1, 1)), F.substring("counterpart", 2, 100)).alias("name"), "counterpart_account", "reference", "concept", "occurred_at", "phone", "counterpart_bank")
+
+
+@register("amount_parse", "SELECT l_orderkey, l_linenumber, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) AS amount, replace(format('{:,}', CAST(floor(CAST(l_extendedprice AS DECIMAL(18,2))) AS BIGINT)), ',', '.') || ',' || right(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR), 2) AS text FROM lineitem")
+def amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = format_amount(F.col("l_extendedprice").cast(MONEY))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", parse_amount(text).cast("double").alias("amount"), text.alias("text"))
+
+
+@register("date_rollover", "SELECT o_orderkey AS id, CAST(strftime(try_strptime(CAST(1990 + o_orderkey % 9 + CASE WHEN o_custkey % 12 + 1 = 1 AND o_orderkey % 12 + 1 = 12 THEN -1 WHEN o_custkey % 12 + 1 = 12 AND o_orderkey % 12 + 1 = 1 THEN 1 ELSE 0 END AS VARCHAR) || '-' || lpad(CAST(o_orderkey % 12 + 1 AS VARCHAR), 2, '0') || '-' || lpad(CAST(o_orderkey % 31 + 1 AS VARCHAR), 2, '0'), '%Y-%m-%d'), '%Y-%m-%d') AS DATE) AS day FROM orders")
+def rollover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    key = F.col("o_orderkey")
+    text = F.concat_ws("/", two(key % 31 + 1), two(key % 12 + 1))
+    return table(spark, sf_dir, "orders").select(key.alias("id"), resolve_date(text, (1990 + key % 9).cast("int"), (F.col("o_custkey") % 12 + 1).cast("int")).alias("day"))
+
+
+def page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of documents, set on pages: nine in a row, with heights that jitter."""
+    words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("statement_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), " ")).alias("pos", "text"))
+    slot = F.col("pos") % 200
+    return words.select("statement_id", F.floor(F.col("pos") / 200).cast("int").alias("page"), F.lit(600.0).alias("page_width"), (slot % 9 * 30).cast("double").alias("x0"), (F.floor(slot / 9) * 7 + (slot * 37 % 50) / 10).cast("double").alias("y0"), (slot % 9 * 30 + 20).cast("double").alias("x1"), F.lit(0.0).alias("y1"), "text")
+
+
+_words = "w AS (SELECT doc_id, CAST(pos // 200 AS INTEGER) AS page, pos % 200 AS slot FROM (SELECT doc_id, unnest(range(0, len(string_split(coalesce(text, ''), ' ')))) AS pos FROM documents)), y AS (SELECT DISTINCT doc_id, page, CAST(slot // 9 * 7 AS DOUBLE) + CAST(slot * 37 % 50 AS DOUBLE) / 10 AS y FROM w), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY y) AS i FROM y)"
+
+
+@register("line_cluster", f"WITH RECURSIVE {_words}, f AS (SELECT doc_id, page, i, y, y AS base, 1 AS line FROM n WHERE i = 1 UNION ALL SELECT n.doc_id, n.page, n.i, n.y, CASE WHEN n.y - f.base <= 3.5 THEN f.base ELSE n.y END, CASE WHEN n.y - f.base <= 3.5 THEN f.line ELSE f.line + 1 END FROM f JOIN n ON n.doc_id = f.doc_id AND n.page = f.page AND n.i = f.i + 1), v AS (SELECT doc_id, page, CAST(slot // 9 * 7 AS DOUBLE) + CAST(slot * 37 % 50 AS DOUBLE) / 10 AS y FROM w) SELECT doc_id AS statement_id, page, CAST(line AS INTEGER) AS line_no, min(base) AS y, count(*) AS n FROM f JOIN v USING (doc_id, page, y) GROUP BY ALL")
+def line_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = layout.cluster_lines(layout.sided(page_words(spark, sf_dir), None))
+    return lines.select("statement_id", "page", "line_no", "y", F.size("tokens").cast("long").alias("n"))
+
+
+def spread_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_words(spark, sf_dir).withColumn("page_width", F.when(F.col("statement_id") % 2 == 0, 792.0).otherwise(600.0)).withColumn("x0", (F.length("text") * 61 % 700).cast("double"))
+
+
+@register("column_split", "WITH w AS (SELECT doc_id, pos // 200 AS page, CAST(length(t) * 61 % 700 AS DOUBLE) AS x, CASE WHEN doc_id % 2 = 0 THEN 792.0 ELSE 600.0 END AS width FROM (SELECT doc_id, unnest(range(0, len(p))) AS pos, unnest(p) AS t FROM (SELECT doc_id, string_split(coalesce(text, ''), ' ') AS p FROM documents))), g AS (SELECT *, lead(x) OVER (PARTITION BY doc_id, page ORDER BY x) AS b FROM w), s AS (SELECT doc_id, page, max(b - x) FILTER (x >= width * 0.25 AND b <= width * 0.75) AS gap FROM g GROUP BY ALL), a AS (SELECT doc_id, page, min((x + b) / 2) AS mid FROM g JOIN s USING (doc_id, page) WHERE b - x = gap AND x >= width * 0.25 AND b <= width * 0.75 GROUP BY ALL), c AS (SELECT doc_id, page, count(*) AS n, max(width) AS width FROM w GROUP BY ALL) SELECT doc_id AS statement_id, CAST(page AS INTEGER) AS page, CAST(CASE WHEN n >= 2 AND gap >= 22 THEN mid WHEN n >= 2 AND width > 640 THEN width / 2 ELSE width + 1 END AS DOUBLE) AS split FROM c LEFT JOIN s USING (doc_id, page) LEFT JOIN a USING (doc_id, page)")
+def column_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.column_split(spread_words(spark, sf_dir)).select("statement_id", "page", "split")
+
+
+@register("row_islands", "WITH e AS (SELECT *, sum(CASE WHEN event_type IN ('purchase', 'signup') THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM events) SELECT user_id, CAST(island AS BIGINT) AS island, count(*) AS lines, min(event_id) AS first_id FROM e WHERE island > 0 GROUP BY 1, 2 HAVING arg_min(event_type, (ts, event_id)) = 'purchase'")
+def row_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
+    rows = table(spark, sf_dir, "events").withColumn("island", F.sum(F.col("event_type").isin("purchase", "signup").cast("int")).over(order)).filter("island > 0")
+    rows = rows.groupBy("user_id", "island").agg(F.count(F.lit(1)).alias("lines"), F.min("event_id").alias("first_id"), F.min_by("event_type", F.struct("ts", "event_id")).alias("kind"))
+    return rows.filter("kind = 'purchase'").select("user_id", "island", "lines", "first_id")
+
+
+@register("section_carry", "SELECT event_id, coalesce(last_value(CASE WHEN event_type = 'purchase' THEN 'ANNEX' WHEN event_type = 'signup' THEN 'POS' END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 'LEDGER') AS section FROM events")
+def section_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
+    marker = F.when(F.col("event_type") == "purchase", "ANNEX").when(F.col("event_type") == "signup", "POS")
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.last(marker, True).over(order), F.lit("LEDGER")).alias("section"))
