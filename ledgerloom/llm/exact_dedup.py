@@ -77,8 +77,8 @@ def exact_dedup(docs: DataFrame, digest=None, locator: Column | None = None) ->
     groups = run_state(spark, work, work.path("rows"), rows.schema)
     out = rows.join(groups, "digest")
     # the hits: members of groups of several rows, with their whole texts
-    hits = out.filter("group_size > 1").select("doc_id", "digest").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised("text").alias("norm")).join(hits, "doc_id")
+    hits = out.filter("group_size > 1").select(F.col("doc_id").alias("_id"), "digest").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised("text").alias("norm")).join(hits, F.col("doc_id").eqNullSafe(F.col("_id")))
     texts = texts.filter(digest(F.col("norm")) == F.col("digest"))
     differ = texts.groupBy("digest").agg((F.min("norm") != F.max("norm")).alias("differs")).filter("differs").select("digest")
     differ = work.table(differ, "collisions")
@@ -95,8 +95,9 @@ def exact_dedup(docs: DataFrame, digest=None, locator: Column | None = None) ->
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")
     if own:
         return out.select("doc_id", "keep_id", "group_size", kept, F.lower(F.hex("digest")).alias("text_sha256"), "keep_at")
-    sums = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(normalised("text"), 256).alias("text_sha256"), digest(normalised("text")).alias("digest")).distinct()
-    return out.join(sums, ["doc_id", "digest"]).select("doc_id", "keep_id", "group_size", kept, "text_sha256", "keep_at")
+    sums = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(normalised("text"), 256).alias("text_sha256"), digest(normalised("text")).alias("_digest")).distinct()
+    sums = sums.withColumnRenamed("doc_id", "_id")
+    return out.join(sums, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))).select("doc_id", "keep_id", "group_size", kept, "text_sha256", "keep_at")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
