@@ -83,3 +83,9 @@ def statuses(covers: DataFrame, found: DataFrame) -> DataFrame:
 
 def validation_matrix(found_statuses: DataFrame) -> DataFrame:
     return found_statuses.groupBy("status").agg(F.count(F.lit(1)).alias("files"))
+
+
+def issue_counts(found: DataFrame) -> DataFrame:
+    """By statement: missing rows, warnings, and differences."""
+    kind = F.col("kind")
+    return found.groupBy("statement_id").agg(F.count_if(kind == "fila_omitida").alias("missing"), F.count_if(kind == "advertencia").alias("warnings"), F.count_if(~kind.isin("fila_omitida", "advertencia")).alias("differences"))

@@ -272,3 +272,81 @@ def section_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
     marker = F.when(F.col("event_type") == "purchase", "ANNEX").when(F.col("event_type") == "signup", "POS")
     return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.last(marker, True).over(order), F.lit("LEDGER")).alias("section"))
+
+
+over_ledger("issue_split", lambda o: reconcile.issue_counts(reconcile.issues(_covers(o), o, _points(o))), f", {COV}, {STEPS}, m AS (SELECT statement_id, count(*) FILTER (abs(step) > 0.005) AS missing FROM st GROUP BY 1), d AS (SELECT statement_id, count(*) FILTER (diff <> 0) AS n FROM pts GROUP BY 1), a AS (SELECT statement_id, coalesce(missing, 0) AS missing, CASE WHEN statement_id % 12 = 0 THEN 1 ELSE 0 END AS warnings, coalesce(n, 0) + CASE WHEN abs(cargo - deb) > 0.005 THEN 1 ELSE 0 END AS differences FROM cov LEFT JOIN m USING (statement_id) LEFT JOIN d USING (statement_id)) SELECT statement_id, CAST(missing AS BIGINT) AS missing, CAST(warnings AS BIGINT) AS warnings, CAST(differences AS BIGINT) AS differences FROM a WHERE missing + warnings + differences > 0")
+
+
+def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as statements: file, hash (some alike), status, times, period (some unreadable)."""
+    c = table(spark, sf_dir, "customer")
+    key = F.col("c_custkey")
+    status = F.get(F.array(*[F.lit(x) for x in ("CUADRA", "procesando", "error", "REVISAR")]), (key % 4).cast("int"))
+    at = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, cast(c_custkey % 90 as int), 0)")
+    period = F.when(key % 13 == 0, "31-02-24").otherwise(F.concat_ws("-", F.lpad((key % 28 + 1).cast("string"), 2, "0"), F.lpad((key % 12 + 1).cast("string"), 2, "0"), F.lpad((key % 30).cast("string"), 2, "0")))
+    return c.select(key.alias("id"), "c_acctbal", F.sha2((F.floor(key / 3)).cast("string"), 256).alias("file_hash"), F.col("c_name").alias("path"), status.alias("status"), at.alias("uploaded_at"), F.when(key % 8 == 1, at).alias("started_at"), period.alias("period_start"))
+
+
+_stm = "stm AS (SELECT c_custkey AS id, c_acctbal, sha256(CAST(c_custkey // 3 AS VARCHAR)) AS file_hash, c_name AS path, ['CUADRA', 'procesando', 'error', 'REVISAR'][c_custkey % 4 + 1] AS status, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(c_custkey % 90) AS uploaded_at, CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE make_date(2000 + c_custkey % 30, c_custkey % 12 + 1, c_custkey % 28 + 1) END AS start FROM customer)"
+
+
+@register("fresh_files", f"WITH {_stm}, n AS (SELECT * FROM stm WHERE id % 5 <> 0), k AS (SELECT DISTINCT file_hash FROM stm WHERE id % 5 = 0) SELECT min(path) AS path, file_hash FROM n ANTI JOIN k USING (file_hash) GROUP BY file_hash")
+def fresh_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming.ingest import fresh
+
+    rows = _statements(spark, sf_dir)
+    return fresh(rows.filter("id % 5 <> 0"), rows.filter("id % 5 = 0")).select("path", "file_hash")
+
+
+@register("retryable", f"WITH {_stm} SELECT id FROM stm WHERE status = 'error' OR (status = 'procesando' AND uploaded_at < TIMESTAMP '2024-01-01 00:30:00')")
+def retryable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming.ingest import retryable as pick
+
+    return pick(_statements(spark, sf_dir), F.expr("timestamp_ntz'2024-01-01 01:00:00'")).select("id")
+
+
+@register("batch_counts", f"WITH {_stm} SELECT count(*) FILTER (status = 'procesando') AS processing, count(*) FILTER (status = 'duplicado') AS duplicates, count(*) FILTER (status = 'error') AS errors, count(*) FILTER (status NOT IN ('procesando', 'duplicado', 'error')) AS done FROM stm")
+def batch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming.progress import batch_counts as counts
+
+    return counts(_statements(spark, sf_dir))
+
+
+@register("statement_order", f"WITH {_stm} SELECT id, start, CAST(row_number() OVER (ORDER BY start DESC NULLS LAST, id DESC) AS INTEGER) AS position FROM stm")
+def statement_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.dates import period_date
+
+    rows = _statements(spark, sf_dir).select("id", period_date(F.col("period_start")).alias("start"))
+    return rows.withColumn("position", F.row_number().over(W.orderBy(F.col("start").desc_nulls_last(), F.desc("id"))))
+
+
+@register("adjustment_totals", "SELECT CAST(sum(CASE WHEN c_custkey % 2 = 0 THEN CAST(abs(c_acctbal) AS DECIMAL(18,2)) ELSE 0 END) AS DOUBLE) AS cargo, CAST(sum(CASE WHEN c_custkey % 2 = 1 THEN CAST(abs(c_acctbal) AS DECIMAL(18,2)) ELSE 0 END) AS DOUBLE) AS abono, count(*) AS n FROM customer")
+def adjustment_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select(F.abs("c_acctbal").cast(MONEY).alias("amount"), F.when(F.col("c_custkey") % 2 == 0, "cargo").otherwise("abono").alias("direction"))
+    return stats.adjustment_totals(rows)
+
+
+over_ledger("detail_lookup", lambda o: search.detail(o, o.select(F.col("statement_id").alias("id")).distinct().filter("id % 2 = 0").withColumn("file_name", F.concat(F.col("id").cast("string"), F.lit(".pdf"))), 7).select("id", "statement_id", "description", "file_name"), "SELECT id, statement_id, description, CASE WHEN statement_id % 2 = 0 THEN CAST(statement_id AS VARCHAR) || '.pdf' END AS file_name FROM led WHERE id = 7")
+
+
+@register("nearest_anchor", "WITH a(i, name, x) AS (VALUES (0, 'CARGOS', 190.0), (1, 'ABONOS', 230.0), (2, 'IMPUESTO', 240.0), (3, 'SALDO', 300.0)) SELECT p_partkey AS id, (SELECT arg_min(name, (abs(p_partkey * 7 % 400 - x), i)) FROM a WHERE abs(p_partkey * 7 % 400 - x) < 16) AS name FROM part")
+def nearest_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(x).alias("x")) for n, x in (("CARGOS", 190.0), ("ABONOS", 230.0), ("IMPUESTO", 240.0), ("SALDO", 300.0))])
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), layout.nearest(marks, (F.col("p_partkey") * 7 % 400).cast("double")).alias("name"))
+
+
+@register("hard_break_join", "WITH p AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i, 'w' || CAST(l_partkey AS VARCHAR) AS t, lag(l_partkey % 3 = 0) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS hard FROM lineitem) SELECT id, string_agg(CASE WHEN i = 1 OR hard THEN t ELSE ' ' || t END, '' ORDER BY i) AS text FROM p GROUP BY id")
+def hard_break_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.segment import joined
+
+    part = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.concat(F.lit("w"), F.col("l_partkey").cast("string")).alias("text"), (F.col("l_partkey") % 3 == 0).alias("hard"))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    return rows.select("id", joined(F.col("parts")).alias("text"))
+
+
+@register("job_eta", "SELECT p_partkey AS id, CASE WHEN p_size BETWEEN 5 AND 99 THEN CAST(p_partkey % 500 AS DOUBLE) * (100 - p_size) / p_size END AS eta FROM part")
+def job_eta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming.progress import with_eta
+
+    jobs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 500).cast("double").alias("elapsed"), F.col("p_size").alias("progress_percent"))
+    return with_eta(jobs).select("id", "eta")
