@@ -12,6 +12,10 @@ AMOUNT = r"^-?\d{1,3}(?:\.\d{3})*,\d{2}$"
 MONEY = "decimal(18,2)"
 
 
+#: Characters that fold to several letters and that statements print: ligatures aside, fractions and signs.
+PRINTED = "¼½¾™№℡"
+
+
 @lru_cache(maxsize=1)
 def _foldings() -> tuple[str, str, list[tuple[str, str]]]:
     """What NFKD and the loss of all but ASCII make of each character: one letter or digit, or several."""
@@ -22,7 +26,7 @@ def _foldings() -> tuple[str, str, list[tuple[str, str]]]:
         if len(folded) == 1:
             one.append(c)
             to.append(folded)
-        elif folded:
+        elif folded and (c in PRINTED or "LIGATURE" in unicodedata.name(c, "")):
             several.append((c, folded))
     return "".join(one), "".join(to), several
 
@@ -30,35 +34,24 @@ def _foldings() -> tuple[str, str, list[tuple[str, str]]]:
 def normalize_key(text: Column) -> Column:
     """Lower-case ASCII letters and digits of the text after accents are taken off; nothing else stays.
 
-    Characters that fold to several letters (ligatures, fractions) are put in one after another
-    only where a text has any of them.
+    Characters that fold to several letters are replaced one after another, only where a text has any.
     """
     one, to, several = _foldings()
     wide = text
     for c, folded in several:
-        if "LIGATURE" in unicodedata.name(c, "") or printed(c):
-            wide = F.replace(wide, F.lit(c), F.lit(folded))
-    some = "[" + "".join(c for c, _ in several if "LIGATURE" in unicodedata.name(c, "") or printed(c)) + "]"
+        wide = F.replace(wide, F.lit(c), F.lit(folded))
+    some = "[" + "".join(c for c, _ in several) + "]"
     text = F.when(text.rlike(some), wide).otherwise(text)
     return F.lower(F.regexp_replace(F.translate(text, one, to), "[^A-Za-z0-9]", ""))
 
 
-def printed(c: str) -> bool:
-    """Fractions of Latin-1, trade mark and numero signs: the ones that statements print."""
-    return c in "¼½¾™№℡"
-
-
 def normalize_text(text: str) -> str:
     """normalize_key for a search term on the driver."""
     one, to, several = _foldings()
-    text = text.translate(dict(several_map(several)) | {ord(a): b for a, b in zip(one, to, strict=True)})
+    text = text.translate({ord(c): folded for c, folded in several} | {ord(a): b for a, b in zip(one, to, strict=True)})
     return "".join(x for x in text if x.isascii() and x.isalnum()).lower()
 
 
-def several_map(several: list[tuple[str, str]]) -> list[tuple[int, str]]:
-    return [(ord(c), folded) for c, folded in several]
-
-
 def is_amount(text: Column) -> Column:
     return text.rlike(AMOUNT)
 
