@@ -4,7 +4,7 @@ For each page the posterior over languages is proportional to
 P(text | language) x P(declared | language) x P(suffix | language) x P(language | host).
 
 * Text: byte trigrams, naive Bayes. Counts come from labelled texts, at most TRAIN_ROWS of them,
-  the first in the order of a hash of their identifiers (a documented bound on labelled rows).
+  chosen by a hash of their identifiers (a documented bound on labelled rows).
   Trigrams of a text depend on one another, so its evidence is raised to a power below one.
 * Declared markup language and address suffix (a language code in the path, or the domain's last
   label): tables of soft counts over all pages, by grouped aggregation of text posteriors.
@@ -61,8 +61,14 @@ class Letters:
 
 
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Letters:
-    """labelled (doc_id, text, lang): fits on the first `rows` labelled texts by hash of doc_id."""
-    some = labelled.filter("lang is not null and text is not null").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(rows)
+    """labelled (doc_id, text, lang): fits on about `rows` labelled texts, and no more, chosen by a hash of doc_id.
+
+    The share is set by a count, so each task sends its part of the sample and nothing else.
+    """
+    some = labelled.filter("lang is not null and text is not null")
+    n = some.count()
+    if n > rows:
+        some = some.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(900_000 * rows / n)).limit(rows)
     return Letters([(r.lang, r.text) for r in some.select(F.lower("lang").alias("lang"), "text").collect()])
 
 
