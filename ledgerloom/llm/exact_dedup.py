@@ -78,8 +78,8 @@ def exact_dedup(docs: DataFrame, digest=None, locator: Column | None = None) ->
     out = rows.join(groups, "digest")
     # the hits: members of groups of several rows, with their whole texts
     hits = out.filter("group_size > 1").select(F.col("doc_id").alias("_id"), "digest").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised("text").alias("norm")).join(hits, F.col("doc_id").eqNullSafe(F.col("_id")))
-    texts = texts.filter(digest(F.col("norm")) == F.col("digest"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised("text").alias("norm"), digest(normalised("text")).alias("_digest"))
+    texts = texts.join(hits, (F.col("_digest") == F.col("digest")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     differ = texts.groupBy("digest").agg((F.min("norm") != F.max("norm")).alias("differs")).filter("differs").select("digest")
     differ = work.table(differ, "collisions")
     if differ.isEmpty():
@@ -102,14 +102,16 @@ def exact_dedup(docs: DataFrame, digest=None, locator: Column | None = None) ->
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of equal texts the row that stays, with the columns of docs."""
-    kept = exact_dedup(docs).filter("kept").select("doc_id", "text_sha256").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("times"))
+    kept = exact_dedup(docs).filter("kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sum")).agg(F.count(F.lit(1)).alias("_times"))
     kept = Work(spark, "exact-dedup-kept").table(kept, "kept")
-    out = docs.join(kept.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sum"), F.col("times").alias("_times")), F.col("doc_id").eqNullSafe(F.col("_id")))
-    repeats = out.filter("_times > 1")
+    # a row stays by its identifier and its text: an identifier may be null or stand for several texts
+    summed = docs.withColumn("_own", F.sha2(normalised("text"), 256))
+    out = summed.join(kept, (F.col("_own") == F.col("_sum")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
     single = out.filter("_times = 1").select(*docs.columns)
-    if kept.filter("times > 1").isEmpty():
+    if kept.filter("_times > 1").isEmpty():
         return single
-    repeats = repeats.filter(F.sha2(normalised("text"), 256) == F.col("_sum")).dropDuplicates(["_id", "_sum"]).select(*docs.columns)
+    longest = F.max_by(F.struct(*[F.col(c) for c in docs.columns]), F.struct(F.char_length(text_or_empty("text")), text_or_empty("text")))
+    repeats = out.filter("_times > 1").groupBy("_id", "_sum").agg(longest.alias("_row")).select("_row.*")
     return single.unionByName(repeats)
 
 

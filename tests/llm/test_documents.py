@@ -61,6 +61,14 @@ def test_exact_dedup_stage(spark, docs):
     assert len(collect(out)) == len({SPACE.sub("", r.text or "") for r in df.collect()})
 
 
+def test_exact_dedup_stage_ids(spark, docs):
+    """An identifier that is null or stands for several texts: each text stays once, as its kept row."""
+    rows = [(None, "one text", "en", "a"), (None, "another text", "en", "a"), (None, "a third", "en", "a"), (3, "same words", "en", "a"), (7, "own words", "en", "a"), (7, "same words", "en", "a"), (8, "p q", "en", "a"), (8, "r s", "en", "a"), (9, "x y", "en", "a"), (9, "x  y", "en", "b")]
+    got = exact_dedup.stage(spark, docs(rows), "").select("doc_id", "text").collect()
+    want = [(None, "one text"), (None, "another text"), (None, "a third"), (3, "same words"), (7, "own words"), (8, "p q"), (8, "r s"), (9, "x  y")]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 # near dedup
 
 
