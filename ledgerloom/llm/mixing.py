@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import Work, documents, word_count
+from .shared import Work, documents, keyed, word_count
 
 STEP = 1 << 24
 #: Hex digits of the hash that part the documents of one size.
@@ -62,7 +62,7 @@ def joined(a: DataFrame, b: DataFrame, *names: str) -> DataFrame:
 
 
 def ranked(rows: DataFrame) -> DataFrame:
-    """rows (doc_id, source, size, h) with each one's rank in its source by size, h, doc_id, from 1."""
+    """rows (doc_id, source, size, h, key) with each one's rank in its source by size, h, doc_id, key, from 1."""
     source, size = F.col("source"), F.col("size")
     part = F.substring("h", 1, RANGE_DIGITS)
     cells = rows.groupBy("source", "size", part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
@@ -72,29 +72,31 @@ def ranked(rows: DataFrame) -> DataFrame:
     cells = cells.select("source", "size", "part", F.coalesce(F.sum("n").over(upto(W.partitionBy("source", "size").orderBy("part"))), F.lit(0)).alias("within"))
     starts = joined(cells, sizes, "source", "size").select("source", "size", "part", (F.col("below") + F.col("within")).alias("start"))
     rows = rows.withColumn("part", part)
-    inner = F.row_number().over(W.partitionBy(source, size, F.col("part")).orderBy("h", F.col("doc_id").asc_nulls_last()))
+    inner = F.row_number().over(W.partitionBy(source, size, F.col("part")).orderBy("h", F.col("doc_id").asc_nulls_last(), "key"))
     rows = rows.withColumn("inner", inner)
-    return joined(rows, starts, "source", "size", "part").select("doc_id", "source", "size", (F.col("start") + F.col("inner")).alias("rank"))
+    return joined(rows, starts, "source", "size", "part").select("doc_id", "source", "size", "key", (F.col("start") + F.col("inner")).alias("rank"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, limit: int = 2, seed: str = "mix") -> DataFrame:
-    """docs (doc_id, text, source) to one row each: doc_id, source, size, source_size, target, copies."""
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, limit: int = 2, seed: str = "mix", key: str | None = None) -> DataFrame:
+    """docs (doc_id, text, source) to one row each: doc_id, source, size, source_size, target, copies, and the column key if one is named."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
+    own = F.lit(None).cast("long") if key is None else F.col(key)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), own.alias("key"))
     rows = rows.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = Work(spark, "mixing").table(rows, "sizes")
     per_source = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, limit)
     per_source = per_source.withColumn("each", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * STEP)).otherwise(F.lit(0)).cast("long"))
     per_source = per_source.withColumn("offset", offset(F.col("source"), seed))
     crossed = lambda rank: F.expr(f"div(offset + ({rank}) * each, {STEP})")
-    return joined(ranked(rows), per_source, "source").select("doc_id", "source", "size", "source_size", "target", (crossed("rank") - crossed("rank - 1")).cast("long").alias("copies"))
+    named = [] if key is None else [F.col("key").alias(key)]
+    return joined(ranked(rows), per_source, "source").select("doc_id", "source", "size", "source_size", "target", *named, (crossed("rank") - crossed("rank - 1")).cast("long").alias("copies"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document as often as the mix takes it, with the columns of docs."""
-    copies = mix(docs).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    copies = copies.withColumnRenamed("doc_id", "_id")
-    out = docs.join(copies, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
+    rows = keyed(docs, Work(spark, "mixing-keyed"))
+    copies = mix(rows, key="_key").filter("copies > 0").select(F.col("_key").alias("_id"), F.col("copies").alias("_copies"))
+    out = rows.join(copies, F.col("_key") == F.col("_id"))
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
 
 

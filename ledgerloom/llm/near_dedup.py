@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Work, documents, settings, ship
+from .shared import Work, documents, keyed, settings, ship
 from .shingles import mixed, portions, shingle_sets
 
 MISS = 1e-7
@@ -202,8 +202,9 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group of near duplicates, with the columns of docs."""
-    kept = near_dedup(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    rows = keyed(docs, Work(spark, "near-dedup-keyed"))
+    kept = near_dedup(rows.select(F.col("_key").alias("doc_id"), "text")).filter("kept").select(F.col("doc_id").alias("_id"))
+    return rows.join(kept, F.col("_key") == F.col("_id"), "left_semi").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,6 +93,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def keyed(docs: DataFrame, work: Work) -> DataFrame:
+    """docs with a key for each row, `_key`, in the order of doc_id (null last).
+
+    The key is doc_id where that names single rows. Otherwise the rows are put in order of doc_id and
+    text, numbered, and written once, so that the key is the same whenever it is read.
+    """
+    doc_id = F.col("doc_id").cast("long")
+    several = docs.groupBy(doc_id.alias("doc_id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null")
+    if several.isEmpty():
+        return docs.withColumn("_key", doc_id)
+    rows = docs.orderBy(doc_id.asc_nulls_last(), F.sha2(text_or_empty("text"), 256))
+    return work.table(rows.withColumn("_key", F.monotonically_increasing_id()), "keyed")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z alone."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

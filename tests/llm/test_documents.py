@@ -117,6 +117,15 @@ def test_near_dedup_edges(docs):
     assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in rows) == [("5", "5", True), ("None", "5", False), ("None", "None", True)]
 
 
+def test_near_dedup_stage_ids(spark, docs):
+    """Rows without an identifier, or sharing one, are decided each by its own text."""
+    text = lambda s, n=60: " ".join(f"{s}{i}" for i in range(n))
+    rows = [(None, text("a"), "en", "a"), (None, text("a") + " end", "en", "a"), (None, text("b"), "en", "a"), (5, text("c"), "en", "a"), (None, text("c") + " end", "en", "a"), (6, text("d"), "en", "a"), (6, text("c") + " tail", "en", "a")]
+    got = near_dedup.stage(spark, docs(rows), "").select("doc_id", "text").collect()
+    assert len(got) == 4 and sorted(x.text[:2] for x in got) == ["a0", "b0", "c0", "d0"]
+    assert {(x.doc_id, x.text) for x in got if x.doc_id is not None} == {(5, text("c")), (6, text("d"))}
+
+
 def test_banding_and_signature():
     for percent in (80, 85, 90):
         rows, bands = near_dedup.banding(percent)
@@ -196,6 +205,19 @@ def test_mixing_edges(spark, docs):
     assert set(mixing.stage(spark, docs(), "").columns) == set(docs().columns)
 
 
+def test_mixing_stage_ids(spark, docs):
+    """The stage takes from each source what mix() says, whether identifiers are null or shared or not."""
+    r = random.Random(8)
+    rows = [(i if i % 3 else None if i % 2 else 9, f"t{i} " + " ".join("w" * r.randrange(1, 40)), None, r.choice(["a", "a", "b"])) for i in range(200)]
+    want, got = Counter(), Counter()
+    for x in mixing.mix(docs(rows)).collect():
+        want[x.source] += x.copies * x.size
+    out = mixing.stage(spark, docs(rows), "").collect()
+    for x in out:
+        got[x.source] += len(words(x.text))
+    assert got == want and max(Counter(x.text for x in out).values()) <= 2
+
+
 # BPE
 
 
