@@ -5,8 +5,10 @@ A notice's set is its distinct words. A block is any run of words 1.25 times as
 threshold's share of the notice's set. Words of notices are put in order of their frequency over
 all texts, rarest first; of a set of n words of which m must be met, a block without any of the
 first n - m + 1 cannot qualify (prefix filter), nor one of fewer than m words (length filter), nor
-one that has missed more than n - m words of the order so far (positional filter). Only blocks
-around prefix words are looked at, and what passes is verified on full sets.
+one in a stretch of text that, along the order, has missed more than n - m words (positional
+filter). Only blocks around prefix words are looked at, stretch by stretch, and what passes is
+verified on full sets. Qualifying blocks that start at neighbouring words are one match, from the
+first word of the first to the last word of the last; every qualifying block lies in a match.
 
 Beside the join, fixed phrases are counted word for word (base places).
 
@@ -18,6 +20,7 @@ are ignored.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -67,13 +70,22 @@ class Notice:
         self.prefix = self.order[: len(self.order) - self.need + 1]
         self.length = math.ceil(1.25 * len(words))
 
-    def best(self, places: dict[bytes, list[int]], n: int) -> tuple[int, int, int] | None:
-        """The block with most words of the notice among those that qualify: (words met, first, last); the leftmost of equals."""
-        if n < self.need:
-            return None
-        misses = sum(w not in places for w in self.order)
-        if len(self.order) - misses < self.need or not any(w in places for w in self.prefix):
-            return None
+    def _may_hold(self, places: dict[bytes, list[int]], first: int, last: int) -> bool:
+        """Whether words first to last hold enough of the set; gives up at the first miss too many, rarest words first."""
+        left = len(self.order) - self.need
+        for w in self.order:
+            at = places.get(w, ())
+            i = bisect_left(at, first)
+            if i == len(at) or at[i] > last:
+                left -= 1
+                if left < 0:
+                    return False
+        return True
+
+    def matches(self, places: dict[bytes, list[int]], n: int) -> list[tuple[int, int, int]]:
+        """All qualifying blocks, those with neighbouring starts as one: (most words met by one of them, first, last)."""
+        if n < self.need or not any(w in places for w in self.prefix):
+            return []
         # blocks that hold a prefix word, as stretches of starts
         length = min(self.length, n)
         at = sorted({p for w in self.prefix for p in places.get(w, ())})
@@ -84,8 +96,12 @@ class Notice:
                 starts[-1][1] = b
             else:
                 starts.append([a, b])
+        starts = [[a, b] for a, b in starts if self._may_hold(places, a, b + length - 1)]
+        if not starts:
+            return []
         here = sorted((p, w) for w in self.order for p in places.get(w, ()))
-        found, left, right, inside = None, 0, 0, Counter()
+        found: list[tuple[int, int, int]] = []
+        left, right, inside = 0, 0, Counter()
         for a, b in starts:
             for s in range(a, b + 1):
                 while right < len(here) and here[right][0] < s + length:
@@ -96,8 +112,11 @@ class Notice:
                     if not inside[here[left][1]]:
                         del inside[here[left][1]]
                     left += 1
-                if len(inside) >= self.need and (found is None or len(inside) > found[0]):
-                    found = (len(inside), s, s + length - 1)
+                if len(inside) >= self.need:
+                    if found and found[-1][2] == s + length - 2:
+                        found[-1] = (max(found[-1][0], len(inside)), found[-1][1], s + length - 1)
+                    else:
+                        found.append((len(inside), s, s + length - 1))
         return found
 
 
@@ -146,8 +165,8 @@ def license_scan(docs: DataFrame, notices: list[tuple[str, str]] = NOTICES, thre
                 if w in vocabulary:
                     places.setdefault(w, []).append(i)
             for t in templates:
-                if hit := t.best(places, len(words)):
-                    found.append({"label": t.label, "first": hit[1], "last": hit[2], "share": hit[0] / len(t.order)})
+                for met, first, last in t.matches(places, len(words)):
+                    found.append({"label": t.label, "first": first, "last": last, "share": met / len(t.order)})
         at = [p for _, p in base]
         labels = {x for x, _ in base}
         score = max([1.0 if base else 0.0, *(m["share"] for m in found)])

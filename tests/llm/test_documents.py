@@ -338,6 +338,25 @@ def test_license_scan(spark, docs):
     assert license_scan.license_scan(docs([])).count() == 0
 
 
+def test_license_matches_are_all_found():
+    """Each copy of a notice in a text, and exactly the blocks that qualify by brute force."""
+    r = random.Random(6)
+    for label, text in license_scan.NOTICES[:6]:
+        notice = license_scan.Notice(label, text, {}, license_scan.THRESHOLD)
+        own = license_scan.words_of(text)
+        w = [b"aa"] * 60 + own + [b"bb"] * 70 + own + [r.choice([*own, b"cc"]) for _ in range(90)] + [b"dd"] * 50 + own[1:]
+        places = {}
+        for i, x in enumerate(w):
+            if x in notice.order:
+                places.setdefault(x, []).append(i)
+        size = [len(set(notice.order).intersection(w[i : i + notice.length])) for i in range(len(w) - notice.length + 1)]
+        good = [i for i, k in enumerate(size) if k >= notice.need]
+        found = notice.matches(places, len(w))
+        assert len(found) >= 2
+        assert [i for _, a, b in found for i in range(a, b - notice.length + 2)] == good
+        assert all(k == max(size[a : b - notice.length + 2]) for k, a, b in found)
+
+
 # PII
 
 
