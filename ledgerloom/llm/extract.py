@@ -14,7 +14,9 @@ deep or long: messages pass along arrays, not by recursion.
 Defined cases: null and empty html give the empty text; repeated rows give repeated rows; a null
 page_id or url stays null; an empty table gives an empty result; further columns are ignored.
 Broken markup is read as browsers do in the main: unknown end tags are skipped, open elements end
-with their parents, a tag cut off by the end of the page is dropped.
+with their parents, a tag cut off by the end of the page is dropped. Options, buttons, embedded
+objects and the like are never main text; one without an end tag ends with its parent, too. Only
+scripts, styles, text areas and titles run to the end of the page where they are not closed.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ from .shared import ship
 # Element names of the HTML standard: fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template svg math iframe object head title textarea select option button".split())
+#: Elements of RAW whose content is text alone in any place.
+TEXT_ALONE = frozenset("script style textarea title".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup "
     "html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
@@ -44,7 +48,7 @@ CLOSES_P = BLOCK - frozenset("body html td th tr tbody thead tfoot caption".spli
 #: An element of the first kind ends open ones of the second, up to the nearest of the third.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}),
-    "tr": ({"tr", "td", "th"}, {"table"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"}),
+    "option": ({"option"}, {"select", "datalist", "optgroup"}), "tr": ({"tr", "td", "th"}, {"table"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"}),
 }
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|</?[a-zA-Z][^>]*(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|data-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -61,7 +65,7 @@ class Page:
         self.label: list[bool | None] = [None]
         self._open: list[tuple[str, int, bool | None]] = [("#page", 0, None)]
         self._run: list[str] = []
-        self._linked = self._in_link = 0
+        self._linked = self._in_link = self._muted = 0
         self._read(source)
 
     def _flush(self) -> None:
@@ -81,7 +85,7 @@ class Page:
         self._linked = 0
 
     def _say(self, text: str) -> None:
-        if text:
+        if text and not self._muted:
             self._run.append(text)
             if self._in_link:
                 self._linked += len(text.strip())
@@ -95,7 +99,7 @@ class Page:
                     label = value == "content"
                 else:
                     names.update(NAME_WORD.findall(value.lower()))
-        if tag in BLOCK:
+        if tag in BLOCK and not self._muted:
             self._flush()
             parent = next(n for _, n, _ in reversed(self._open) if n >= 0)
             self.parent.append(parent)
@@ -105,6 +109,7 @@ class Page:
             self._open.append((tag, len(self.parent) - 1, label))
         else:
             self._in_link += tag == "a"
+            self._muted += tag in RAW
             self._open.append((tag, -1, label))
 
     def _pop_to(self, depth: int) -> None:
@@ -112,6 +117,7 @@ class Page:
             if node >= 0:
                 self._flush()
             self._in_link -= tag == "a"
+            self._muted -= tag in RAW
         del self._open[depth:]
 
     def _end_open(self, kinds: set[str], fence: set[str]) -> None:
@@ -121,6 +127,8 @@ class Page:
                 return
             if tag in kinds:
                 self._pop_to(i)
+            elif tag in RAW and tag != "option":
+                return
 
     def _read(self, source: str) -> None:
         at, n = 0, len(source)
@@ -141,18 +149,26 @@ class Page:
                     self._pop_to(depth)
                 continue
             if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-                if tag == "head" and end is None:
-                    end = re.compile(r"<body\b", re.I).search(source, at)
-                    at = end.start() if end else at
-                elif not m[3].endswith("/"):
-                    at = end.end() if end else n
                 if tag not in ("option", "button", "select"):
                     self._say(" ")
+                if m[3].endswith("/"):
+                    continue
+                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at) if tag in TEXT_ALONE or tag in ("head", "iframe", "noscript") else None
+                if end:
+                    at = end.end()
+                elif tag in TEXT_ALONE:
+                    at = n
+                elif tag == "head":
+                    end = re.compile(r"<body\b", re.I).search(source, at)
+                    at = end.start() if end else at
+                else:
+                    if tag in ENDS:
+                        self._end_open(*ENDS[tag])
+                    self._start(tag, m[3])
                 continue
             if tag in VOID:
                 self._say(" ")
-                if tag == "hr":
+                if tag == "hr" and not self._muted:
                     self._flush()
                 continue
             if tag in CLOSES_P:

@@ -18,6 +18,16 @@ def test_extract_by_hand(spark):
     assert extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("broken", ["<datalist id=x><option value=a>A<option value=b>B</datalist>", "<div><button>Share</div>", "<div><object data=x></div>", "<div><iframe src=x></div>", "<div><select><option>A<option>B</div>", "<div><svg><path d=x></div>"])
+def test_unclosed_elements_end_with_their_parents(broken):
+    """What follows such an element stays, also where its end tag comes much later; what it holds is no text."""
+    model = extract.default_model()
+    for last in ("", "<p><select><option>C</option></select> <button>D</button> <object></object>"):
+        page = "<body><article><p>" + "First words of it. " * 9 + "</p>{}<p>" + "More of the same. " * 9 + "</p></article>" + last + "</body>"
+        want = model.extract(page.format(""))
+        assert len(want) == 2 and model.extract(page.format(broken)) == want
+
+
 def test_held_out_pages():
     model, wrong, total = extract.default_model(), 0, 0
     for source in labelled_pages(80, 31):
