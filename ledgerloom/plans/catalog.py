@@ -132,7 +132,7 @@ def _periods(ops: DataFrame) -> DataFrame:
     """A customer's orders of a year as a statement's period."""
     day = lambda x: F.date_format(x, "dd-MM-yy")
     year = F.year("date_iso")
-    rows = ops.filter("date_iso >= date'2000-01-01' or id % 2 = 0").withColumn("date_iso", F.add_months("date_iso", 120))
+    rows = ops.withColumn("date_iso", F.add_months("date_iso", 120))
     return rows.groupBy("account", F.year("date_iso").alias("y")).agg(F.min("date_iso").alias("a"), F.max("date_iso").alias("b"), F.min("id").alias("id")).select("id", (F.col("account") % 300).cast("string").alias("account_number"), day(F.col("a")).alias("period_start"), day(F.col("b")).alias("period_end"))
 
 

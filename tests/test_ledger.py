@@ -186,3 +186,17 @@ def test_tables(spark, tmp_path):
     assert tables.remove_adjustment(adjustments, 2, 1).count() == 1 and tables.remove_adjustment(adjustments, 1, 1).count() == 0
     with pytest.raises(ValueError):
         tables.add_adjustment(adjustments, 1, "2024", "d", 5, "cargo")
+
+
+def test_periods_hold_all_operations(spark):
+    """Periods and their overlaps against brute force; every operation counts, whatever its id and year."""
+    from ledgerloom.plans import catalog
+
+    rows = [(i, 1 + 300 * (i % 3), date(1993 + i % 4, 1 + i * 5 % 12, 1 + i * 7 % 28)) for i in range(1, 60)]
+    got = reconcile.overlaps(catalog._periods(spark.createDataFrame(rows, "id long, account long, date_iso date"))).collect()
+    periods = {}
+    for i, account, day in rows:
+        periods.setdefault((account, day.year), []).append((day, i))
+    found = [(min(i for _, i in x), min(x)[0], max(x)[0]) for x in periods.values()]
+    want = [(x[0], y[0]) for x in found for y in found if x[0] != y[0] and x[1] <= y[2] and y[1] <= x[2]]
+    assert want and sorted(tuple(r) for r in got) == sorted(want)
