@@ -192,7 +192,7 @@ def test_periods_hold_all_operations(spark):
     """Periods and their overlaps against brute force; every operation counts, whatever its id and year."""
     from ledgerloom.plans import catalog
 
-    rows = [(i, 1 + 300 * (i % 3), date(1993 + i % 4, 1 + i * 5 % 12, 1 + i * 7 % 28)) for i in range(1, 60)]
+    rows = [(i, 1 + 300 * (i % 3), date(1993 + i % 4, 1 + i // 5 % 12, 1 + i * 7 % 28)) for i in range(1, 60)]
     got = reconcile.overlaps(catalog._periods(spark.createDataFrame(rows, "id long, account long, date_iso date"))).collect()
     periods = {}
     for i, account, day in rows:
