@@ -8,24 +8,31 @@ probability plus half the product of its children's. What a text costs is the mi
 estimates of all depths along its path, with the weights that training left; below the deepest
 node that training has seen, that node's estimate stands for the rest of the weight.
 
-Counts come from every byte of every training text: tasks count runs of DEPTH + 1 bytes and the
-words, and one shuffle sums both. Runs rarer than the least count for which at most `RUNS` of them
-are left give their mass to their shorter contexts, so no byte is lost and the tree has a proven
-size bound. The driver turns runs into node probabilities (arrays, in one file for the
-executors). Words count without a bound: the most frequent ones, a bounded list, go with the file; the
-others reach their documents through a join.
+The tree holds every context of every training text; nothing is cut, and it grows with the corpus.
+It never lies in one place:
+
+1. Texts are dealt into parts of about `PART` characters. A part asks for the distinct runs of
+   DEPTH + 1 bytes that stand in it, with their counts in training; texts travel beside them as
+   compressed Arrow batches. Counts are summed by run.
+2. Runs are dealt by the last `SHARD` bytes of their context, so a task holds whole subtrees. It sends the
+   sums of their nodes' weighted probabilities one level up; those of contexts of SHARD - 1 bytes,
+   at most 256^(SHARD - 1) of them, make the top of the tree on the driver.
+3. With the top at hand each subtree gives the cost of each of its runs.
+4. Runs and costs meet in a join, come back to the parts that asked, and each part's texts add up.
+
+The largest subtree holds the distinct runs that follow one string of SHARD bytes (under one in a
+hundred of all runs in the test data). Words count without a bound: the most frequent ones, a bounded list, are
+broadcast; the others reach their documents through a join.
 
 Defined cases: null text is the empty text (one end token); a null doc_id counts as the text ""
-in crc32; repeated rows count and score each; an empty table gives an empty result; without
-training texts every byte costs eight bits. Further columns are ignored.
+in crc32; repeated rows count and score each; a text of any length is scored whole, in a part of
+its own if it is longer than one; an empty table gives an empty result; without training texts
+every byte costs eight bits. Further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import math
-import os
-import tempfile
-import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -39,13 +46,14 @@ from .shared import Work, documents, most_frequent, settings, ship
 from .shingles import portions
 
 DEPTH = 6
-#: Runs of DEPTH + 1 bytes that the tree may hold, and words sent with it.
-RUNS, TOP_WORDS = 1_000_000, 1 << 17
-#: Entries a task holds before it passes partial counts on.
-HELD = 400_000
-#: Characters handled at once.
-PORTION = 2 << 20
-BATCH = {"spark__sql__execution__arrow__maxRecordsPerBatch": "2000"}
+#: Bytes of context by which subtrees are dealt; words that are broadcast.
+SHARD, TOP_WORDS = 3, 1 << 17
+#: Characters in a part, and handled at once.
+PART, PORTION = 48 << 20, 2 << 20
+#: Words a task holds before it passes partial counts on; runs that a task turns into nodes at once.
+HELD, CHUNK = 400_000, 200_000
+TEXT_BATCH = {"spark__sql__execution__arrow__maxRecordsPerBatch": "1000"}
+NUMBER_BATCH = {"spark__sql__execution__arrow__maxRecordsPerBatch": "50000"}
 END = b""
 
 
@@ -73,68 +81,107 @@ def runs_of(texts: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarra
     return codes[inside], n
 
 
+def first_of(x: np.ndarray) -> np.ndarray:
+    """Where each stretch of equal values of a sorted array begins."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.empty(0, np.int64)
+
+
 def merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     c, n = np.concatenate(codes), np.concatenate(counts)
     order = np.argsort(c, kind="stable")
     c, n = c[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-    return c[first], np.add.reduceat(n, first)
+    first = first_of(c)
+    return c[first], np.add.reduceat(n, first) if len(first) else n
+
+
+# parts: what stands in the texts
+
+PARTS = pa.schema([("part", pa.int64()), ("texts", pa.binary()), ("word", pa.binary()), ("run", pa.int64()), ("n", pa.int64())])
+PARTS_SQL = "part long, texts binary, word binary, run long, n long"
+
+
+def rows_of(**columns) -> pa.RecordBatch:
+    """A batch of PARTS; columns left out are null."""
+    size = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in PARTS], schema=PARTS)
+
+
+def packed(ids: pa.Array, texts: pa.Array) -> bytes:
+    """Identifiers and texts as one compressed Arrow batch."""
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_arrays([ids, texts], ["doc_id", "text"])
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
 
-def counted(docs: DataFrame, depth: int) -> DataFrame:
-    """Counts over all training texts: one row for each word (run null) and each run of bytes (word null)."""
+def unpacked(raw: bytes) -> tuple[list, list]:
+    table = pa.ipc.open_stream(raw).read_all()
+    return table.column(0).to_pylist(), table.column(1).to_pylist()
 
-    def rows(words: dict[bytes, int], codes: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        made = [pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.nulls(len(words), pa.int64()), pa.array(list(words.values()), pa.int64())], ["word", "run", "n"])] if words else []
-        if len(codes):
-            made.append(pa.RecordBatch.from_arrays([pa.nulls(len(codes), pa.binary()), pa.array(codes), pa.array(counts.astype(np.int64))], ["word", "run", "n"]))
-        for batch in made:
-            for at in range(0, batch.num_rows, 50_000):
-                yield batch.slice(at, 50_000)
+
+def parted(docs: DataFrame, depth: int, part_size: int = PART) -> DataFrame:
+    """Rows of three kinds: a part's texts; its distinct runs with their counts in training; training words with counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, size = TaskContext.get().partitionId() << 32, 0
         words: Counter = Counter()
-        codes, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        none = np.empty(0, np.int64)
+        codes, counts = [none], [none]
+
+        def asked() -> Iterator[pa.RecordBatch]:
+            c, n = merged(codes, counts)
+            for at in range(0, len(c), 50_000):
+                x = c[at : at + 50_000]
+                yield rows_of(part=np.full(len(x), part), run=x, n=n[at : at + 50_000])
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            some = list(words.items())
+            for at in range(0, len(some), 50_000):
+                w, n = zip(*some[at : at + 50_000], strict=True)
+                yield rows_of(word=list(w), n=list(n))
+
         for batch in batches:
-            texts = [t for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if not held_out(i)]
-            for part in portions(texts, PORTION):
-                split = [tokens(t) for t in texts[part]]
-                for w in split:
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for p in portions(texts, PORTION):
+                here, split = ids[p], [tokens(t) for t in texts[p]]
+                yield rows_of(part=[part], texts=[packed(batch.column(0).slice(p.start, len(here)), batch.column(1).slice(p.start, len(here)))])
+                out = [held_out(i) for i in here]
+                learned = [w for w, o in zip(split, out, strict=True) if not o]
+                for w in learned:
                     words.update(w)
-                words[END] += len(split)
-                c, n = np.unique(runs_of(split, depth)[0], return_counts=True)
-                codes.append(c)
-                counts.append(n)
-                if len(codes) > 8:
+                words[END] += len(learned)
+                if learned:
+                    c, n = np.unique(runs_of(learned, depth)[0], return_counts=True)
+                    codes.append(c)
+                    counts.append(n)
+                others = [w for w, o in zip(split, out, strict=True) if o]
+                if others:
+                    codes.append(np.unique(runs_of(others, depth)[0]))
+                    counts.append(np.zeros(len(codes[-1]), np.int64))
+                if len(codes) > 12:
                     c, n = merged(codes, counts)
                     codes, counts = [c], [n]
-                if len(words) > HELD or len(codes[0]) > 4 * HELD:
-                    yield from rows(words, *merged(codes, counts))
-                    words, codes, counts = Counter(), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        yield from rows(words, *(merged(codes, counts) if sum(map(len, codes)) else (codes[0], counts[0])))
-
-    rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows_in.mapInArrow(run, "word binary, run long, n long").groupBy("word", "run").agg(F.sum("n").alias("n"))
-
-
-def bounded(runs: DataFrame, most: int, depth: int) -> tuple[DataFrame, int]:
-    """runs (run, n) with their depth, those below the least admitted count shortened; the count."""
-    levels = runs.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).collect()
-    least, left = 1 << 16, 0
-    for n, k in levels:
-        left += k
-        if left > most:
-            break
-        least = n
-    if left <= most:
-        return runs.select(F.lit(depth).alias("depth"), "run", "n"), 1
-    out, rest = runs.filter(F.col("n") >= least).select(F.lit(depth).alias("depth"), "run", "n"), runs.filter(F.col("n") < least)
-    for d in range(depth - 1, 0, -1):
-        rest = rest.groupBy(F.col("run").bitwiseAND((1 << 8 * (d + 1)) - 1).alias("run")).agg(F.sum("n").alias("n"))
-        stay = F.col("n") >= least if d > 1 else F.lit(True)
-        out = out.unionByName(rest.filter(stay).select(F.lit(d).alias("depth"), "run", "n"))
-        rest = rest.filter(~stay)
-    return out, least
+                size += sum(len(t or "") for t in texts[p])
+                if size >= part_size:
+                    yield from asked()
+                    part, size, codes, counts = part + 1, 0, [none], [none]
+                if len(words) > HELD:
+                    yield from counted()
+                    words = Counter()
+        yield from asked()
+        if words[END]:
+            yield from counted()
+
+    rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows_in.mapInArrow(run, PARTS_SQL)
+
+
+# the tree
+
+_SMALL = 1 << 14
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -147,202 +194,251 @@ def lgamma(x: np.ndarray) -> np.ndarray:
     return s - p
 
 
-def block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """ln of the KT probability of a zeros and b ones."""
-    if len(a) > 1 << 17:
-        return np.concatenate([block(a[i : i + (1 << 17)], b[i : i + (1 << 17)]) for i in range(0, len(a), 1 << 17)])
-    return lgamma(a + 0.5) + lgamma(b + 0.5) - lgamma(a + b + 1.0) - math.log(math.pi)
-
-
-class Tree:
-    """Node probabilities as arrays. A node is (depth, bits so far): its key has the bits lowest, then the context, last byte first."""
+_HALVES, _WHOLES = lgamma(np.arange(_SMALL) + 0.5), lgamma(np.arange(_SMALL) + 1.0)
 
-    def __init__(self, arrays: dict[str, np.ndarray], depth: int):
-        self.arrays, self.depth = arrays, depth
 
-    @classmethod
-    def trained(cls, depths: np.ndarray, runs: np.ndarray, counts: np.ndarray, depth: int) -> Tree:
-        codes, ns = [], []
+def block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """ln of the KT probability of a zeros and b ones."""
+    n = a + b
+    low = np.minimum(n, _SMALL - 1)
+    out = _HALVES[np.minimum(a, low)] + _HALVES[np.minimum(b, low)] - _WHOLES[low] - math.log(math.pi)
+    many = np.flatnonzero(n >= _SMALL)
+    if len(many):
+        out[many] = lgamma(a[many] + 0.5) + lgamma(b[many] + 0.5) - lgamma(n[many] + 1.0) - math.log(math.pi)
+    return out
+
+
+def mask(depth: int, bit: int) -> int:
+    """The bits of a node's key: its context, then the bits so far."""
+    return (1 << (8 * depth + bit)) - 1
+
+
+class Subtree:
+    """The nodes of one bit below whole contexts of `low` bytes, down to `depth`: keys, zeros, ones, weights; all levels sorted by key."""
+
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], low: int, depth: int, bit: int):
+        self.keys, self.zeros, self.ones, self.parents = [], [], [], [None]
+        for codes, n in levels:
+            whole = codes >> (8 - bit)
+            first = first_of(whole)
+            total, ones = np.add.reduceat(n, first), np.add.reduceat(n * ((codes >> (7 - bit)) & 1), first)
+            self.keys.append(whole[first])
+            self.zeros.append(total - ones)
+            self.ones.append(ones)
+        for d in range(low + 1, depth + 1):
+            self.parents.append(np.searchsorted(self.keys[d - low - 1], self.keys[d - low] & mask(d - 1, bit)))
+        self.weighted, self.stay = [None] * len(levels), [None] * len(levels)
+        for i in range(len(levels) - 1, -1, -1):
+            own = block(self.zeros[i], self.ones[i])
+            if i == len(levels) - 1:
+                self.weighted[i], self.stay[i] = own, np.ones(len(own))
+            else:
+                below = np.bincount(self.parents[i + 1], weights=self.weighted[i + 1], minlength=len(own))
+                self.weighted[i], self.stay[i] = weigh(own, below)
+
+    def descend(self, i: int, given: np.ndarray, rest: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What level i adds to the parts given so far, the weight left, and the deepest estimate; each at its nodes."""
+        return mixed(self.zeros[i], self.ones[i], self.stay[i], given, rest, last)
+
+
+def weigh(own: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A node's weighted probability (ln) from its own block's and its children's, and the own block's share of it."""
+    weighted = np.logaddexp(own, below) - math.log(2)
+    return weighted, np.exp(own - math.log(2) - weighted)
+
+
+def mixed(zeros: np.ndarray, ones: np.ndarray, stay: np.ndarray, given: np.ndarray, rest: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    seen = zeros + ones > 0
+    estimate = np.where(seen, (ones + 0.5) / (zeros + ones + 1), last)
+    here = np.where(seen, stay, 0.0)
+    return given + rest * here * estimate, rest * (1 - here), estimate
+
+
+def levels_of(runs: np.ndarray, counts: np.ndarray, low: int, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct runs of low + 1 to depth + 1 bytes with their counts."""
+    out = [merged([runs], [counts])]
+    for d in range(depth - 1, low - 1, -1):
+        out.append(merged([out[-1][0] & ((1 << 8 * (d + 1)) - 1)], [out[-1][1]]))
+    return out[::-1]
+
+
+def upward(runs: np.ndarray, counts: np.ndarray, low: int, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each bit: keys of the nodes above depth `low`, with the zeros, ones and weighted probabilities that these runs send them."""
+    levels = levels_of(runs, counts, low, depth)
+    for bit in range(8):
+        t = Subtree(levels, low, depth, bit)
+        keys, back = np.unique(t.keys[0] & mask(low - 1, bit), return_inverse=True)
+        add = lambda x: np.bincount(back, weights=x, minlength=len(keys))  # noqa: E731, B023
+        yield bit, keys, add(t.zeros[0]).astype(np.int64), add(t.ones[0]).astype(np.int64), add(t.weighted[0])
+
+
+Top = dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+
+def top_of(sums: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], depth: int) -> Top:
+    """sums by bit (keys, zeros, ones, weighted children) at a depth to what the root and the levels down to it give there: keys, given, rest, estimate."""
+    top: Top = {}
+    for bit, (keys, zeros, ones, below) in sums.items():
+        order = np.argsort(keys)
+        level = [(keys[order], zeros[order], ones[order], below[order])]
+        parents, weighed = [], []
+        for d in range(depth, -1, -1):
+            k, a, b, w = level[0]
+            weighed.insert(0, weigh(block(a, b), w))
+            if d:
+                up, back = np.unique(k & mask(d - 1, bit), return_inverse=True)
+                add = lambda x: np.bincount(back, weights=x, minlength=len(up))  # noqa: E731, B023
+                level.insert(0, (up, add(a).astype(np.int64), add(b).astype(np.int64), add(weighed[0][0])))
+                parents.insert(0, back)
+        given, rest, last = np.zeros(len(level[0][0])), np.ones(len(level[0][0])), np.full(len(level[0][0]), 0.5)
         for d in range(depth + 1):
-            keep = depths >= d
-            c, n = runs[keep] & ((1 << 8 * (d + 1)) - 1), counts[keep].astype(np.float64)
-            c, n = merged([c], [n]) if len(c) else (c, n)
-            codes.append(c)
-            ns.append(n)
-        arrays: dict[str, np.ndarray] = {"runs": codes[depth], "upto": np.concatenate([[0], np.cumsum(ns[depth])])}
-        cost = np.zeros(len(codes[depth]))
-        for bit in range(8):
-            nodes = []
-            for d in range(depth + 1):
-                whole = codes[d] >> (8 - bit)
-                first = np.flatnonzero(np.concatenate([[True], whole[1:] != whole[:-1]])) if len(whole) else np.empty(0, np.int64)
-                one = ((codes[d] >> (7 - bit)) & 1).astype(bool)
-                total, ones = (np.add.reduceat(ns[d], first), np.add.reduceat(ns[d] * one, first)) if len(first) else (np.empty(0), np.empty(0))
-                nodes.append([whole[first], total - ones, ones])
-            parents = [None] + [np.searchsorted(nodes[d - 1][0], nodes[d][0] & ((1 << (8 * (d - 1) + bit)) - 1)) for d in range(1, depth + 1)]
-            weighted, stay = [None] * (depth + 1), [None] * (depth + 1)
-            for d in range(depth, -1, -1):
-                _, a, b = nodes[d]
-                own = block(a, b)
-                if d == depth:
-                    weighted[d], stay[d] = own, np.ones(len(own))
-                    continue
-                up, below = parents[d + 1], nodes[d + 1]
-                size = len(own)
-                children = np.bincount(up, weights=weighted[d + 1], minlength=size)
-                left_a, left_b = a - np.bincount(up, weights=below[1], minlength=size), b - np.bincount(up, weights=below[2], minlength=size)
-                children = children + np.where(left_a + left_b > 0, block(np.maximum(left_a, 0), np.maximum(left_b, 0)), 0.0)
-                weighted[d] = np.logaddexp(own, children) - math.log(2)
-                stay[d] = np.exp(own - math.log(2) - weighted[d])
-            given = rest = None
-            for d in range(depth + 1):
-                _, a, b = nodes[d]
-                estimate = (b + 0.5) / (a + b + 1)
-                before, weight = (np.zeros(len(a)), np.ones(len(a))) if d == 0 else (given[parents[d]], rest[parents[d]])
-                given, rest = before + weight * stay[d] * estimate, weight * (1 - stay[d])
-                if d < depth:
-                    # what holds if no deeper node is there; and, above the deepest, the parts that its estimate joins
-                    arrays |= {f"k{d}.{bit}": nodes[d][0], f"p{d}.{bit}": (given + rest * estimate).astype(np.float32)}
-                if d == depth - 1:
-                    arrays |= {f"g.{bit}": given.astype(np.float32), f"r.{bit}": rest.astype(np.float32)}
-            if len(codes[depth]):
-                at = np.searchsorted(nodes[depth][0], codes[depth] >> (8 - bit))
-                p = given[at]
-                cost += np.log(np.where((codes[depth] >> (7 - bit)) & 1, p, 1 - p))
-        arrays["cost"] = cost.astype(np.float32)
-        return cls(arrays, depth)
-
-    def walk(self, runs: np.ndarray) -> np.ndarray:
-        """ln of the probability of each run's last byte: bit by bit, from the deepest node there is."""
-        out, a = np.zeros(len(runs)), self.arrays
-        deep, upto, depth = a["runs"], a["upto"], self.depth
-        for bit in range(8):
-            p = np.full(len(runs), 0.5)
-            key = runs >> (8 - bit)
-            lo, hi = np.searchsorted(deep, key << (8 - bit)), np.searchsorted(deep, (key + 1) << (8 - bit))
-            seen = np.flatnonzero(hi > lo)
-            if len(seen):
-                mid = np.searchsorted(deep, (2 * key[seen] + 1) << (7 - bit))
-                zeros, ones = upto[mid] - upto[lo[seen]], upto[hi[seen]] - upto[mid]
-                up = np.searchsorted(a[f"k{depth - 1}.{bit}"], key[seen] & ((1 << (8 * (depth - 1) + bit)) - 1))
-                p[seen] = a[f"g.{bit}"][up] + a[f"r.{bit}"][up] * ((ones + 0.5) / (zeros + ones + 1))
-            todo = np.flatnonzero(hi <= lo)
-            for d in range(depth - 1, -1, -1):
-                keys = a[f"k{d}.{bit}"]
-                if not len(todo) or not len(keys):
-                    break
-                k = key[todo] & ((1 << (8 * d + bit)) - 1)
-                at = np.searchsorted(keys, k)
-                at[at == len(keys)] = 0
-                ok = keys[at] == k
-                hit, at = todo[ok], at[ok]
-                p[hit] = a[f"p{d}.{bit}"][at]
-                todo = todo[~ok]
-            one = (runs >> (7 - bit)) & 1
-            out += np.log(np.where(one, p, 1 - p))
-        return out
-
-    def costs(self, runs: np.ndarray) -> np.ndarray:
-        """ln of the probability of each run's last byte."""
-        found, back = np.unique(runs, return_inverse=True)
-        deep = self.arrays["runs"]
-        at = np.searchsorted(deep, found)
-        at[at == len(deep)] = 0
-        ok = deep[at] == found if len(deep) else np.zeros(len(found), bool)
-        cost = np.empty(len(found))
-        cost[ok] = self.arrays["cost"][at[ok]]
-        cost[~ok] = self.walk(found[~ok])
-        return cost[back]
-
-
-_open: dict[str, tuple[Tree, dict[bytes, float]]] = {}
-
-
-def is_sorted_key(name: str) -> bool:
-    return name[0] == "k" or name in ("runs", "upto")
-
-
-def save(tree: Tree, words: dict[bytes, int]) -> str:
-    """The tree and the frequent words in one compressed file for the executors; its path. Sorted numbers go as steps."""
-    path = os.path.join(tempfile.mkdtemp(prefix="tree-"), f"tree-{uuid.uuid4().hex}")
-    arrays = {k: np.diff(x.astype(np.int64), prepend=0) if is_sorted_key(k) else x for k, x in tree.arrays.items()}
-    arrays |= {"depth": np.array([tree.depth]), "words": np.frombuffer(b"\n".join(words), np.uint8), "word_counts": np.fromiter(words.values(), np.int64, len(words))}
-    with open(path, "wb") as f:
-        np.savez_compressed(f, **arrays)
-    return path
-
-
-def load(name: str) -> tuple[Tree, dict[bytes, float]]:
-    """Reads the file once a worker."""
-    if name not in _open:
-        from pyspark import SparkFiles
-
-        with np.load(SparkFiles.get(name) if not os.path.isabs(name) else name) as z:
-            arrays = {k: np.cumsum(z[k]) if is_sorted_key(k) else z[k] for k in z.files}
-        counts = arrays.pop("word_counts").tolist()
-        words = arrays.pop("words").tobytes().split(b"\n") if counts else []
-        _open.clear()
-        _open[name] = Tree(arrays, int(arrays.pop("depth")[0])), {w: math.log10(c + 1) for w, c in zip(words, counts, strict=True)}
-    return _open[name]
-
-
-def scored(docs: DataFrame, name: str) -> DataFrame:
+            if d:
+                given, rest, last = (x[parents[d - 1]] for x in (given, rest, last))
+            given, rest, last = mixed(level[d][1], level[d][2], weighed[d][1], given, rest, last)
+        top[bit] = level[depth][0], given, rest, last
+    return top
+
+
+def downward(runs: np.ndarray, counts: np.ndarray, low: int, depth: int, top: Top) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct runs and ln of the probability of each one's last byte."""
+    levels = levels_of(runs, counts, low, depth)
+    deepest = levels[-1][0]
+    cost = np.zeros(len(deepest))
+    for bit in range(8):
+        t = Subtree(levels, low, depth, bit)
+        keys, given, rest, last = top[bit]
+        at = np.searchsorted(keys, t.keys[0] & mask(low - 1, bit))
+        given, rest, last = given[at], rest[at], last[at]
+        for i in range(len(levels)):
+            if i:
+                given, rest, last = (x[t.parents[i]] for x in (given, rest, last))
+            given, rest, last = t.descend(i, given, rest, last)
+        p = (given + rest * last)[np.searchsorted(t.keys[-1], deepest >> (8 - bit))]
+        cost += np.log(np.where((deepest >> (7 - bit)) & 1, p, 1 - p))
+    return deepest, cost
+
+
+def dealt(runs: DataFrame, low: int) -> DataFrame:
+    """runs (run, n) so that those with the same last `low` bytes of context follow one another in one task."""
+    context = F.shiftright("run", 8).bitwiseAND((1 << 8 * low) - 1)
+    return runs.select(context.alias("context"), "run", "n").repartition("context").sortWithinPartitions("context")
+
+
+def whole_contexts(batches: Iterator[pa.RecordBatch], most: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Runs and counts of dealt(), some whole contexts at a time."""
+    held: list[list[np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        held.append([c.to_numpy() for c in batch.columns])
+        size += batch.num_rows
+        if size >= most:
+            context, runs, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+            end = int(np.searchsorted(context, context[-1])) if (np.diff(context) >= 0).all() else int(first_of(context)[-1])
+            if end:
+                yield runs[:end], counts[:end]
+            held, size = [[context[end:], runs[end:], counts[end:]]], len(context) - end
+    if size:
+        _, runs, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+        yield runs, counts
+
+
+def run_costs(runs: DataFrame, depth: int, work: Work) -> DataFrame:
+    """runs (run, n), each once, to run, cost: ln of the probability of its last byte."""
+    low, spark = min(SHARD, depth), runs.sparkSession
+
+    def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r, n in whole_contexts(batches):
+            for bit, keys, zeros, ones, below in upward(r, n, low, depth):
+                yield pa.RecordBatch.from_pydict({"bit": np.full(len(keys), bit, np.int32), "node": keys, "zeros": zeros, "ones": ones, "below": below})
+
+    with settings(spark, **NUMBER_BATCH):
+        sums = dealt(runs, low).mapInArrow(up, "bit int, node long, zeros long, ones long, below double").groupBy("bit", "node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")])
+        got = sums.toArrow()  # at most 8 bits of 256^(low - 1) contexts
+    columns = [got.column(c).to_numpy() for c in ("bit", "node", "zeros", "ones", "below")]
+    top = spark.sparkContext.broadcast(top_of({bit: tuple(c[columns[0] == bit] for c in columns[1:]) for bit in range(8)}, low - 1))
+
+    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r, n in whole_contexts(batches):
+            codes, cost = downward(r, n, low, depth, top.value)
+            for at in range(0, len(codes), 50_000):
+                yield pa.RecordBatch.from_pydict({"run": codes[at : at + 50_000], "cost": cost[at : at + 50_000].astype(np.float32)})
+
+    with settings(spark, **NUMBER_BATCH):
+        return work.table(dealt(runs, low).mapInArrow(down, "run long, cost float"), "costs")
+
+
+# texts and their costs
+
+SCORED = "key long, doc_id long, held_out boolean, n_tokens long, n_bytes long, score double, known long, base double, others array<struct<word: binary, k: int>>"
+
+
+def scored(parts: DataFrame, costs: DataFrame, top: dict[bytes, float], depth: int) -> DataFrame:
     """One row for each text: key, doc_id, held_out, n_tokens, n_bytes, score, frequent words' part of the base, and the other words."""
+    spark = parts.sparkSession
+    texts = parts.filter("texts is not null").select("part", "texts", F.lit(None).cast("long").alias("run"), F.lit(None).cast("float").alias("cost"))
+    asked = parts.filter("run is not null").select("part", "run").join(costs, "run").select("part", F.lit(None).cast("binary").alias("texts"), "run", "cost")
+    together = texts.unionByName(asked).repartition("part").sortWithinPartitions("part", F.col("run").asc_nulls_last())
+    frequent = spark.sparkContext.broadcast(top)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, top = load(name)
-        random = np.random.default_rng()
+        common, random = frequent.value, np.random.default_rng()
+        part, runs, values = None, [], []
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for part in portions(texts, PORTION):
-                split = [tokens(t) for t in texts[part]]
-                runs, n = runs_of(split, tree.depth)
-                costs = tree.costs(runs)
-                score = np.add.reduceat(costs, np.cumsum(n) - n) / math.log(10)
-                known, base, others = [], [], []
-                for w in split:
-                    counts = Counter(w)
-                    rare = [(x, k) for x, k in counts.items() if x not in top]
-                    common = [(x, k) for x, k in counts.items() if x in top]
-                    k_end = int(END in top)
-                    known.append(sum(k for _, k in common) + k_end)
-                    base.append(math.fsum(k * top[x] for x, k in common) + (top[END] if k_end else 0.0))
-                    others.append([{"word": x, "k": k} for x, k in rare])
-                here = ids[part]
-                columns = [
-                    pa.array(random.integers(0, 2**63 - 1, len(here))), pa.array(here, pa.int64()), pa.array([held_out(i) for i in here], pa.bool_()), pa.array([len(w) + 1 for w in split], pa.int64()),
-                    pa.array(n), pa.array(score, pa.float64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(others, pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int32())]))),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "held_out", "n_tokens", "n_bytes", "score", "known", "base", "others"])
-
-    rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows_in.mapInArrow(run, "key long, doc_id long, held_out boolean, n_tokens long, n_bytes long, score double, known long, base double, others array<struct<word: binary, k: int>>")
-
-
-def train(docs: DataFrame, work: Work, depth: int = DEPTH, runs: int = RUNS, top: int = TOP_WORDS) -> tuple[str, DataFrame, int, int]:
-    """Counts, builds the tree and hands it to the executors: its name, the words' counts, all tokens, distinct tokens."""
-    spark = docs.sparkSession
-    with settings(spark, **BATCH):
-        counts = work.table(counted(docs, depth), "counts")
-    words = counts.filter("word is not null").select("word", "n")
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    kept, _ = bounded(counts.filter("run is not null").select("run", "n"), runs, depth)
-    got = kept.toArrow()
-    tree = Tree.trained(*(got.column(c).to_numpy() for c in ("depth", "run", "n")), depth)
-    frequent = most_frequent(words, top).toArrow().to_pydict()
-    path = save(tree, dict(zip(frequent["word"], frequent["n"], strict=True)))
-    spark.sparkContext.addFile(path)
-    return os.path.basename(path), words, total, distinct
-
-
-def lm_score(docs: DataFrame, depth: int = DEPTH, runs: int = RUNS, top: int = TOP_WORDS) -> DataFrame:
+            parts_, blobs = batch.column(0).to_numpy(), batch.column(1)
+            edges = np.concatenate([first_of(parts_), [len(parts_)]])
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if parts_[a] != part:
+                    part, runs, values = parts_[a], [], []
+                plain = b - a - (blobs.slice(a, b - a).null_count)  # the texts stand last
+                if b - plain > a:
+                    runs.append(batch.column(2).slice(a, b - a - plain).to_numpy())
+                    values.append(batch.column(3).slice(a, b - a - plain).to_numpy())
+                for i in range(b - plain, b):
+                    if len(runs) > 1:
+                        runs, values = [np.concatenate(runs)], [np.concatenate(values)]
+                    yield scores(*unpacked(blobs[i].as_buffer()), runs[0], values[0], common, random)
+
+    def scores(ids: list, texts_: list, known_runs: np.ndarray, values: np.ndarray, common: dict[bytes, float], random: np.random.Generator) -> pa.RecordBatch:
+        split = [tokens(t) for t in texts_]
+        codes, n = runs_of(split, depth)
+        found, back = np.unique(codes, return_inverse=True)
+        each = values[np.searchsorted(known_runs, found)].astype(np.float64)[back]
+        score = np.add.reduceat(each, np.cumsum(n) - n) / math.log(10)
+        known, base, others = [], [], []
+        for w in split:
+            counts = Counter(w)
+            often = [(x, k) for x, k in counts.items() if x in common]
+            end = int(END in common)
+            known.append(sum(k for _, k in often) + end)
+            base.append(math.fsum(k * common[x] for x, k in often) + (common[END] if end else 0.0))
+            others.append([{"word": x, "k": k} for x, k in counts.items() if x not in common])
+        columns = [
+            pa.array(random.integers(0, 2**63 - 1, len(ids))), pa.array(ids, pa.int64()), pa.array([held_out(i) for i in ids], pa.bool_()), pa.array([len(w) + 1 for w in split], pa.int64()),
+            pa.array(n), pa.array(score, pa.float64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(others, pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int32())]))),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "held_out", "n_tokens", "n_bytes", "score", "known", "base", "others"])
+
+    return together.mapInArrow(run, SCORED)
+
+
+def lm_score(docs: DataFrame, depth: int = DEPTH, top: int = TOP_WORDS, part_size: int = PART) -> DataFrame:
     """docs (doc_id, text) to doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     spark = docs.sparkSession
     ship(spark)
     work = Work(spark, "lm-score")
-    name, words, total, distinct = train(docs, work, depth, runs, top)
-    with settings(spark, **BATCH):
-        rows = work.table(scored(docs, name), "scored")
+    with settings(spark, **TEXT_BATCH):
+        parts = work.table(parted(docs, depth, part_size), "parts")
+    words = parts.filter("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
+    words = work.table(words, "words")
+    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    frequent = most_frequent(words, top).toArrow().to_pydict()
+    frequent = {w: math.log10(c + 1) for w, c in zip(frequent["word"], frequent["n"], strict=True)}
+    runs = work.table(parts.filter("run is not null").groupBy("run").agg(F.sum("n").alias("n")), "runs")
+    costs = run_costs(runs, depth, work)
+    work.drop("runs")
+    with settings(spark, **NUMBER_BATCH):
+        rows = work.table(scored(parts, costs, frequent, depth), "scored")
+    work.drop("parts", "costs")
     others = rows.select("key", F.explode("others").alias("o")).select("key", "o.word", "o.k")
     found = others.join(words, "word").groupBy("key").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("more_base"))
     out = rows.drop("others").join(found, "key", "left")

@@ -270,13 +270,42 @@ def test_lm_score(docs):
     assert lm_score.lm_score(docs([])).count() == 0
 
 
-def test_tree_is_a_distribution():
+def tree_costs(runs, counts, depth, low, pieces=1):
+    """The cost of each run with the tree dealt into pieces of whole contexts, as the tasks do it."""
+    order = np.argsort((runs >> 8) & ((1 << 8 * low) - 1), kind="stable")
+    context = ((runs >> 8) & ((1 << 8 * low) - 1))[order]
+    cuts = [0, *np.flatnonzero(np.diff(context)) + 1, len(order)][:: max(1, len(set(context.tolist())) // pieces)]
+    cuts = [*cuts, len(order)] if cuts[-1] < len(order) else cuts
+    parts = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+    sums = {bit: [] for bit in range(8)}
+    for p in parts:
+        for bit, *columns in lm_score.upward(runs[p], counts[p], low, depth):
+            sums[bit].append(columns)
+    whole = {}
+    for bit, found in sums.items():
+        keys, back = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+        add = lambda i: np.bincount(back, weights=np.concatenate([f[i] for f in found]), minlength=len(keys))
+        whole[bit] = keys, add(1).astype(np.int64), add(2).astype(np.int64), add(3)
+    top = lm_score.top_of(whole, low - 1)
+    got = [lm_score.downward(runs[p], counts[p], low, depth, top) for p in parts]
+    return dict(zip(np.concatenate([g[0] for g in got]).tolist(), np.concatenate([g[1] for g in got]).tolist(), strict=True))
+
+
+@pytest.mark.parametrize("low", [1, 2])
+def test_tree_is_a_distribution(low):
     """Against a context tree computed node by node, and sums to one in seen and unseen contexts."""
     runs, _ = lm_score.runs_of([lm_score.tokens(t) for t in ["ab abc", "abd ab", "abx aab"] * 3], 2)
     codes, n = np.unique(runs, return_counts=True)
-    tree = lm_score.Tree.trained(np.full(len(codes), 2), codes, n, 2)
+    asked = np.array([(context << 8) + b for context in (0, 0x6162, 0x2061, 0x7878) for b in range(256)])
+    both = np.unique(np.concatenate([codes, asked]))
+    counts_of = np.zeros(len(both), np.int64)
+    counts_of[np.searchsorted(both, codes)] = n
+    costs = tree_costs(both, counts_of, 2, low, pieces=3)
     for context in (0, 0x6162, 0x2061, 0x7878):
-        assert abs(np.exp(tree.costs((np.int64(context) << 8) + np.arange(256))).sum() - 1) < 1e-6
+        assert abs(sum(math.exp(costs[(context << 8) + b]) for b in range(256)) - 1) < 1e-6
+    # runs that no training text holds change nothing for the others
+    alone = tree_costs(codes, n, 2, low)
+    assert all(abs(alone[c] - costs[c]) < 1e-9 for c in codes.tolist())
     counts = {}
     for code, k in zip(codes.tolist(), n.tolist(), strict=True):
         y, ctx = code & 255, [code >> 8 & 255, code >> 16 & 255]
@@ -302,13 +331,18 @@ def test_tree_is_a_distribution():
                 stay = 1.0 if d == 2 else math.exp(math.log(0.5) + kt(a, b) - weighted(ctx[:d], bit, q))
                 p, rest = p + rest * stay * (b + 0.5) / (a + b + 1), rest * (1 - stay)
             cost += math.log(p if y >> (7 - bit) & 1 else 1 - p)
-        assert abs(tree.costs(np.array([code]))[0] - cost) < 1e-4
+        assert abs(costs[code] - cost) < 1e-4
 
 
-def test_rare_runs_keep_their_mass(spark):
-    runs = spark.createDataFrame([(0x010203 + i, 1 + 9 * (i % 2)) for i in range(40)], "run long, n long")
-    kept, least = lm_score.bounded(runs, 20, 2)
-    assert least == 10 and kept.agg(F.sum("n")).first()[0] == 20 + 200 and kept.filter("depth = 2").count() == 20
+def test_parts_do_not_change_scores(docs):
+    """Scores are the same however texts are dealt into parts, and however few labelled texts there are."""
+    df = docs()
+    key = lambda r: (str(r.doc_id), r.held_out, r.n_tokens, round(r.score, 3))
+    one = sorted(map(key, lm_score.lm_score(df, depth=4, top=5).collect()))
+    assert one == sorted(map(key, lm_score.lm_score(df.repartition(5), depth=4, top=10**6, part_size=40).collect()))
+    only = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
+    held = lm_score.lm_score(docs([(i, "ab c", "en", "a") for i in only])).collect()
+    assert all(abs(r.score + 6 * math.log10(256)) < 1e-4 and r.n_known == 0 for r in held)
 
 
 # licenses
