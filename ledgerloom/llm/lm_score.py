@@ -19,6 +19,7 @@ It never lies in one place:
    at most 256^(SHARD - 1) of them, make the top of the tree on the driver.
 3. With the top at hand each subtree gives the cost of each of its runs.
 4. Runs and costs meet in a join, come back to the parts that asked, and each part's texts add up.
+   The runs that most parts ask for, a bounded list, are broadcast with their costs instead.
 
 The largest subtree holds the distinct runs that follow one string of SHARD bytes (under one in a
 hundred of all runs in the test data). Words count without a bound: the most frequent ones, a bounded list, are
@@ -46,8 +47,8 @@ from .shared import Work, documents, most_frequent, settings, ship
 from .shingles import portions
 
 DEPTH = 6
-#: Bytes of context by which subtrees are dealt; words that are broadcast.
-SHARD, TOP_WORDS = 3, 1 << 17
+#: Bytes of context by which subtrees are dealt; words and runs that are broadcast.
+SHARD, TOP_WORDS, TOP_RUNS = 3, 1 << 17, 1 << 21
 #: Characters in a part, and handled at once.
 PART, PORTION = 48 << 20, 2 << 20
 #: Words a task holds before it passes partial counts on; runs that a task turns into nodes at once.
@@ -372,11 +373,28 @@ def run_costs(runs: DataFrame, depth: int, work: Work) -> DataFrame:
 SCORED = "key long, doc_id long, held_out boolean, n_tokens long, n_bytes long, score double, known long, base double, others array<struct<word: binary, k: int>>"
 
 
-def scored(parts: DataFrame, costs: DataFrame, top: dict[bytes, float], depth: int) -> DataFrame:
-    """One row for each text: key, doc_id, held_out, n_tokens, n_bytes, score, frequent words' part of the base, and the other words."""
+def looked_up(keys: np.ndarray, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of numbers in a sorted array, and whether they stand there."""
+    at = np.searchsorted(keys, sought)
+    at[at == len(keys)] = 0
+    return at, keys[at] == sought if len(keys) else np.zeros(len(sought), bool)
+
+
+def scored(parts: DataFrame, costs: DataFrame, top: dict[bytes, float], often: tuple[np.ndarray, np.ndarray], depth: int) -> DataFrame:
+    """One row for each text: key, doc_id, held_out, n_tokens, n_bytes, score, frequent words' part of the base, and the other words.
+
+    often: the runs that are broadcast, in order, and their costs.
+    """
     spark = parts.sparkSession
+    known = spark.sparkContext.broadcast(often)
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(~looked_up(known.value[0], batch.column(1).to_numpy())[1]))
+
     texts = parts.filter("texts is not null").select("part", "texts", F.lit(None).cast("long").alias("run"), F.lit(None).cast("float").alias("cost"))
-    asked = parts.filter("run is not null").select("part", "run").join(costs, "run").select("part", F.lit(None).cast("binary").alias("texts"), "run", "cost")
+    asked = parts.filter("run is not null").select("part", "run").mapInArrow(others, "part long, run long")
+    asked = asked.join(costs, "run").select("part", F.lit(None).cast("binary").alias("texts"), "run", "cost")
     together = texts.unionByName(asked).repartition("part").sortWithinPartitions("part", F.col("run").asc_nulls_last())
     frequent = spark.sparkContext.broadcast(top)
 
@@ -394,34 +412,38 @@ def scored(parts: DataFrame, costs: DataFrame, top: dict[bytes, float], depth: i
                     runs.append(batch.column(2).slice(a, b - a - plain).to_numpy())
                     values.append(batch.column(3).slice(a, b - a - plain).to_numpy())
                 for i in range(b - plain, b):
-                    if len(runs) > 1:
-                        runs, values = [np.concatenate(runs)], [np.concatenate(values)]
+                    if len(runs) != 1:
+                        runs, values = [np.concatenate([np.empty(0, np.int64), *runs])], [np.concatenate([np.empty(0, np.float32), *values])]
                     yield scores(*unpacked(blobs[i].as_buffer()), runs[0], values[0], common, random)
 
     def scores(ids: list, texts_: list, known_runs: np.ndarray, values: np.ndarray, common: dict[bytes, float], random: np.random.Generator) -> pa.RecordBatch:
         split = [tokens(t) for t in texts_]
         codes, n = runs_of(split, depth)
         found, back = np.unique(codes, return_inverse=True)
-        each = values[np.searchsorted(known_runs, found)].astype(np.float64)[back]
+        at, ok = looked_up(known.value[0], found)
+        each = np.empty(len(found))
+        each[ok] = known.value[1][at[ok]]
+        each[~ok] = values[np.searchsorted(known_runs, found[~ok])]
+        each = each[back]
         score = np.add.reduceat(each, np.cumsum(n) - n) / math.log(10)
-        known, base, others = [], [], []
+        n_known, base, rare = [], [], []
         for w in split:
             counts = Counter(w)
-            often = [(x, k) for x, k in counts.items() if x in common]
+            frequent_ = [(x, k) for x, k in counts.items() if x in common]
             end = int(END in common)
-            known.append(sum(k for _, k in often) + end)
-            base.append(math.fsum(k * common[x] for x, k in often) + (common[END] if end else 0.0))
-            others.append([{"word": x, "k": k} for x, k in counts.items() if x not in common])
+            n_known.append(sum(k for _, k in frequent_) + end)
+            base.append(math.fsum(k * common[x] for x, k in frequent_) + (common[END] if end else 0.0))
+            rare.append([{"word": x, "k": k} for x, k in counts.items() if x not in common])
         columns = [
             pa.array(random.integers(0, 2**63 - 1, len(ids))), pa.array(ids, pa.int64()), pa.array([held_out(i) for i in ids], pa.bool_()), pa.array([len(w) + 1 for w in split], pa.int64()),
-            pa.array(n), pa.array(score, pa.float64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(others, pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int32())]))),
+            pa.array(n), pa.array(score, pa.float64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int32())]))),
         ]
         return pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "held_out", "n_tokens", "n_bytes", "score", "known", "base", "others"])
 
     return together.mapInArrow(run, SCORED)
 
 
-def lm_score(docs: DataFrame, depth: int = DEPTH, top: int = TOP_WORDS, part_size: int = PART) -> DataFrame:
+def lm_score(docs: DataFrame, depth: int = DEPTH, top: int = TOP_WORDS, part_size: int = PART, top_runs: int = TOP_RUNS) -> DataFrame:
     """docs (doc_id, text) to doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     spark = docs.sparkSession
     ship(spark)
@@ -433,11 +455,14 @@ def lm_score(docs: DataFrame, depth: int = DEPTH, top: int = TOP_WORDS, part_siz
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     frequent = most_frequent(words, top).toArrow().to_pydict()
     frequent = {w: math.log10(c + 1) for w, c in zip(frequent["word"], frequent["n"], strict=True)}
-    runs = work.table(parts.filter("run is not null").groupBy("run").agg(F.sum("n").alias("n")), "runs")
+    runs = work.table(parts.filter("run is not null").groupBy("run").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("asked")), "runs")
     costs = run_costs(runs, depth, work)
-    work.drop("runs")
+    often = most_frequent(runs.select("run", F.col("asked").alias("n")).filter("n > 1"), top_runs).select("run")
+    got = costs.join(often, "run").toArrow()
+    order = np.argsort(got.column("run").to_numpy())
     with settings(spark, **NUMBER_BATCH):
-        rows = work.table(scored(parts, costs, frequent, depth), "scored")
+        rows = work.table(scored(parts, costs, frequent, (got.column("run").to_numpy()[order], got.column("cost").to_numpy()[order]), depth), "scored")
+    work.drop("runs")
     work.drop("parts", "costs")
     others = rows.select("key", F.explode("others").alias("o")).select("key", "o.word", "o.k")
     found = others.join(words, "word").groupBy("key").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("more_base"))
