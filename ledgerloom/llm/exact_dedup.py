@@ -6,17 +6,24 @@ how many rows it has seen and the identifier and locator of the best one. The st
 joined to the rows. Where a digest was hit more than once, the whole normalised texts behind it
 are compared; should they differ (a digest collision), that digest is regrouped by full text.
 
+With a folder for the state, a later call adds its documents to what earlier ones left there and
+finds their copies too; `known` are the earlier documents, for the comparison of whole texts.
+
 Defined cases: null text is the empty text; all empty texts form one group; a null doc_id loses
-every tie; rows that repeat a doc_id count as rows of their own and share its verdict; an empty
-table gives an empty result; further columns are ignored.
+every tie; rows that repeat a doc_id count as rows of their own and share its verdict; texts of any
+length are compared whole; an empty table gives an empty result; further columns, whatever their
+names, are ignored by the operator and kept by the stage.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .shared import SPACES, Work, documents, text_or_empty
+from .shared import SPACES, Work, documents, packed, text_or_empty
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -35,84 +42,96 @@ def keyed_rows(docs: DataFrame, digest, locator: Column | None = None) -> DataFr
     )
 
 
-def run_state(spark: SparkSession, work: Work, path: str, schema) -> DataFrame:
-    """Streams the rows at path into keyed state; the state as a table: digest, group_size, keep_id, keep_at."""
+def run_state(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """Streams new rows below the folder into the keyed state there; the state as a table: digest, group_size, keep_id, keep_at."""
     session = spark.newSession()
     for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
         session.conf.set(key, spark.conf.get(key))
     session.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     # each partition's store would set aside megabytes for its logs
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
-    # a batch of one trigger writes each key once: the next trigger of a later run only adds to the state
     best = F.max(F.struct("points", F.bitwise_not("doc_id").alias("order"), "locator"))
-    state = session.readStream.schema(schema).parquet(path).groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), best.alias("best"))
-    out = work.path("groups")
+    state = session.readStream.schema(schema).parquet(f"{folder}/rows").groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), best.alias("best"))
+    out = f"{folder}/groups"
     query = (
         state.writeStream.outputMode("update")
-        .option("checkpointLocation", work.path("state"))
+        .option("checkpointLocation", f"{folder}/state")
         .trigger(availableNow=True)
         .foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"))
         .start()
     )
     query.awaitTermination()
-    if query.lastProgress is None:  # an empty table starts no batch
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):  # an empty table starts no batch
         return spark.createDataFrame([], "digest binary, group_size long, keep_id long, keep_at string")
-    # counts and maxima only grow, so the last row of a key is its largest
     groups = spark.read.schema("digest binary, group_size long, best struct<points: long, order: long, locator: string>, batch long").parquet(out)
-    if query.lastProgress["batchId"] > 0:
+    if query.lastProgress is None or query.lastProgress["batchId"] > 0:
+        # counts and maxima only grow, so the last row of a key is its largest
         groups = groups.groupBy("digest").agg(F.max("group_size").alias("group_size"), F.max("best").alias("best"))
     return groups.select("digest", "group_size", F.bitwise_not("best.order").alias("keep_id"), F.col("best.locator").alias("keep_at"))
 
 
-def exact_dedup(docs: DataFrame, digest=None, locator: Column | None = None) -> DataFrame:
+def exact_dedup(docs: DataFrame, digest=None, locator: Column | None = None, state: str | None = None, known: DataFrame | None = None) -> DataFrame:
     """docs (doc_id, text) to one row each: doc_id, keep_id, group_size, kept, text_sha256, keep_at.
 
     digest maps a normalised text to the key of the state (SHA-256, as bytes). locator says where
-    a row's content lies (its doc_id).
+    a row's content lies (its doc_id). state is a folder that outlives the call; known (doc_id, text)
+    are the documents of earlier calls with that folder.
     """
     spark, own = docs.sparkSession, digest is None
     digest = digest or (lambda text: F.unhex(F.sha2(text, 256)))
     work = Work(spark, "exact-dedup")
-    rows = work.table(keyed_rows(docs, digest, locator), "rows")
-    groups = run_state(spark, work, work.path("rows"), rows.schema)
+    folder = state.rstrip("/") if state else work.root
+    run = uuid.uuid4().hex
+    rows = keyed_rows(docs, digest, locator)
+    rows.write.option("compression", "zstd").parquet(f"{folder}/rows/run={run}")
+    groups = run_state(spark, folder, StructType([*rows.schema.fields, StructField("run", StringType())]))
+    rows = spark.read.schema(rows.schema).parquet(f"{folder}/rows/run={run}")
     out = rows.join(groups, "digest")
     # the hits: members of groups of several rows, with their whole texts
-    hits = out.filter("group_size > 1").select(F.col("doc_id").alias("_id"), "digest").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised("text").alias("norm"), digest(normalised("text")).alias("_digest"))
-    texts = texts.join(hits, (F.col("_digest") == F.col("digest")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    whole = docs.select("doc_id", "text") if known is None else docs.select("doc_id", "text").unionByName(known.select("doc_id", "text"))
+    every = out
+    if known is not None:
+        every = spark.read.schema(rows.schema).parquet(f"{folder}/rows").join(groups.select("digest", "group_size"), "digest")
+        every = every.join(rows.select("digest").distinct(), "digest", "left_semi")
+    hits = every.filter("group_size > 1").select(F.col("doc_id").alias("hit_id"), F.col("digest").alias("hit")).distinct()
+    norm = normalised("text")
+    texts = whole.select(F.col("doc_id").cast("long").alias("doc_id"), norm.alias("norm"), digest(norm).alias("digest"))
+    texts = texts.join(hits, (F.col("digest") == F.col("hit")) & F.col("doc_id").eqNullSafe(F.col("hit_id")))
     differ = texts.groupBy("digest").agg((F.min("norm") != F.max("norm")).alias("differs")).filter("differs").select("digest")
     differ = work.table(differ, "collisions")
     if differ.isEmpty():
         out = out.select("doc_id", "keep_id", "group_size", "digest", "keep_at")
     else:
-        whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised("text").alias("norm"), F.char_length(text_or_empty("text")).cast("long").alias("points"))
-        whole = whole.withColumn("digest", digest(F.col("norm"))).join(differ, "digest")
+        of = lambda df: df.select(F.col("doc_id").cast("long").alias("doc_id"), norm.alias("norm"), F.char_length(text_or_empty("text")).cast("long").alias("points")).withColumn("digest", digest(F.col("norm"))).join(differ, "digest")
         best = F.max(F.struct("points", F.bitwise_not("doc_id").alias("order")))
-        apart = whole.groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("group_size"), best.alias("best"))
-        apart = whole.select("doc_id", "digest", "norm").join(apart, ["digest", "norm"])
+        apart = of(whole).groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("group_size"), best.alias("best"))
+        apart = of(docs).select("doc_id", "digest", "norm").join(apart, ["digest", "norm"])
         apart = apart.select("doc_id", F.bitwise_not("best.order").alias("keep_id"), "group_size", "digest", F.bitwise_not("best.order").cast("string").alias("keep_at"))
         out = out.join(differ, "digest", "left_anti").select("doc_id", "keep_id", "group_size", "digest", "keep_at").unionByName(apart)
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")
     if own:
         return out.select("doc_id", "keep_id", "group_size", kept, F.lower(F.hex("digest")).alias("text_sha256"), "keep_at")
-    sums = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(normalised("text"), 256).alias("text_sha256"), digest(normalised("text")).alias("_digest")).distinct()
-    sums = sums.withColumnRenamed("doc_id", "_id")
-    return out.join(sums, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))).select("doc_id", "keep_id", "group_size", kept, "text_sha256", "keep_at")
+    sums = docs.select(F.col("doc_id").cast("long").alias("sum_id"), F.sha2(norm, 256).alias("text_sha256"), digest(norm).alias("sum_digest")).distinct()
+    return out.join(sums, F.col("doc_id").eqNullSafe(F.col("sum_id")) & (F.col("digest") == F.col("sum_digest"))).select("doc_id", "keep_id", "group_size", kept, "text_sha256", "keep_at")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of equal texts the row that stays, with the columns of docs."""
-    kept = exact_dedup(docs).filter("kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sum")).agg(F.count(F.lit(1)).alias("_times"))
+    """Pipeline stage: of equal texts the row that stays, with the columns of docs, whatever their names.
+
+    A row stays by its identifier and its text, since an identifier may be null or stand for several
+    texts; of several rows with the same identifier and text the longest stays, once.
+    """
+    rows = packed(docs)
+    kept = exact_dedup(rows.select("doc_id", "text")).filter("kept").groupBy(F.col("doc_id").alias("kept_id"), "text_sha256").agg(F.count(F.lit(1)).alias("times"))
     kept = Work(spark, "exact-dedup-kept").table(kept, "kept")
-    # a row stays by its identifier and its text: an identifier may be null or stand for several texts
-    summed = docs.withColumn("_own", F.sha2(normalised("text"), 256))
-    out = summed.join(kept, (F.col("_own") == F.col("_sum")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    single = out.filter("_times = 1").select(*docs.columns)
-    if kept.filter("_times > 1").isEmpty():
-        return single
-    longest = F.max_by(F.struct(*[F.col(c) for c in docs.columns]), F.struct(F.char_length(text_or_empty("text")), text_or_empty("text")))
-    repeats = out.filter("_times > 1").groupBy("_id", "_sum").agg(longest.alias("_row")).select("_row.*")
-    return single.unionByName(repeats)
+    out = rows.withColumn("sum", F.sha2(normalised("text"), 256)).join(kept, (F.col("sum") == F.col("text_sha256")) & F.col("doc_id").eqNullSafe(F.col("kept_id")))
+    single = out.filter("times = 1").select("row")
+    if kept.filter("times > 1").isEmpty():
+        return single.select("row.*")
+    longest = F.max_by("row", F.struct(F.char_length(text_or_empty("text")), text_or_empty("text")))
+    repeats = out.filter("times > 1").groupBy("kept_id", "sum").agg(longest.alias("row")).select("row")
+    return single.unionByName(repeats).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,11 @@ one hash range. Sums are kept in whole steps of 2^-24 copies, so reruns agree to
 
 Defined cases: null text has size 0; a null source is a source of its own, last in order; a
 source without words has target 0; repeated rows count each; a null doc_id hashes as the empty
-text and comes last in its range; an empty table gives an empty result.
+text and comes last in its range; a text of any length counts its words whole; an empty table
+gives an empty result; further columns are ignored by mix() and kept by stage().
+
+Assumption: sources are a list that one task can order (thousands, not one for each document),
+since targets depend on one another. Documents have no such bound.
 """
 
 from __future__ import annotations
@@ -93,11 +97,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each document as often as the mix takes it, with the columns of docs."""
+    """Pipeline stage: each row as often as the mix takes it, with the columns of docs, whatever their names."""
     rows = keyed(docs, Work(spark, "mixing-keyed"))
-    copies = mix(rows, key="_key").filter("copies > 0").select(F.col("_key").alias("_id"), F.col("copies").alias("_copies"))
-    out = rows.join(copies, F.col("_key") == F.col("_id"))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    copies = mix(rows, key="key").filter("copies > 0").select("key", "copies")
+    out = rows.select("row", "key").join(copies, "key")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -201,10 +201,13 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group of near duplicates, with the columns of docs."""
+    """Pipeline stage: one document of each group of near duplicates, with the columns of docs, whatever their names.
+
+    Rows are decided each for itself, also where they have no doc_id or share one.
+    """
     rows = keyed(docs, Work(spark, "near-dedup-keyed"))
-    kept = near_dedup(rows.select(F.col("_key").alias("doc_id"), "text")).filter("kept").select(F.col("doc_id").alias("_id"))
-    return rows.join(kept, F.col("_key") == F.col("_id"), "left_semi").select(*docs.columns)
+    kept = near_dedup(rows.select(F.col("key").alias("doc_id"), "text")).filter("kept").select(F.col("doc_id").alias("key"))
+    return rows.join(kept, "key", "left_semi").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,19 +1,22 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions alone.
 
-Base rules are fixed. The method adds one cutoff for each measure, stratum and side: labelled
-documents of good quality are the holdout, and a cutoff is admitted only if an exact binomial test
-shows that it rejects at most `risk` of the good documents of its stratum. The tests of all
-strata, measures and sides share the error `delta` (Bonferroni); within one of them the cutoffs of
-a fixed list are tested from the most lenient to the strictest and the first failure ends the list
-(fixed sequence), so no further correction is needed there. The total risk is split evenly over
-the rules. A stratum without enough labels gets no cutoff: it keeps what passes the base rules.
-
-Measures of a text are computed once, written, and read back; cutoffs depend on counts for
-(stratum, measure, cutoff), a table whose size is the number of strata times the fixed list.
+Base rules are fixed. The method adds cutoffs on further measures, chosen for each stratum from
+labelled documents of good quality, the holdout. All cutoffs stand on one path fixed beforehand,
+from lenient to strict; a document falls at the first step that rejects it, so what a longer path
+rejects holds what a shorter one does. Step by step an exact binomial test asks whether the path so far,
+all its rules together, rejects at most `risk` of the good documents of the stratum; the first
+failure ends the path (fixed sequence: no further correction is needed within a stratum), and the
+strata share the error `delta` (Bonferroni). A stratum gets its first step from
+ln(delta / strata) / ln(1 - risk) good labels on; with fewer it keeps what passes the base rules.
+
+Measures of a text are computed once, written, and read back; the tests depend on counts for
+(stratum, step), a table whose size is the number of strata times the fixed list.
 
 Defined cases: a null text has no words and fails the base rules; a null language is a stratum
 of its own; documents without a label or with a null label do not count in the holdout; a
-document labelled more than once counts once for each label; empty tables give empty results.
+document labelled more than once counts once for each label; repeated rows count and are judged
+each; a text of any length is measured whole; empty tables give empty results; further columns,
+whatever their names, are ignored by the operator and kept by the stage.
 """
 
 from __future__ import annotations
@@ -27,15 +30,25 @@ from .shared import SPACE_CLASS, SPACES, Work, documents, text_or_empty
 SYMBOLS = "#*$%&|<>"
 #: Words in a window, and base limits.
 WINDOW, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
-#: Rules: name, measure, side (1: reject above, -1: reject below), cutoffs from lenient to strict.
-RULES = [
-    ("symbols", "symbols_per_word", 1, [2.0, 1.5, 1.0, 0.75, 0.5, 0.4, 0.3, 0.2, 0.1]),
-    ("long_words", "mean_word", 1, [12.0, 11.0, 10.0, 9.5, 9.0, 8.5, 8.0, 7.75, 7.5, 7.25, 7.0, 6.75, 6.5]),
-    ("short_words", "mean_word", -1, [1.5, 2.0, 2.5, 3.0, 3.25, 3.5, 3.75, 4.0, 4.25, 4.5]),
-    ("dup_lines", "dup_lines_share", 1, [0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2]),
-    ("repeats", "repeat_share", 1, [0.19, 0.18, 0.17, 0.16, 0.15, 0.14, 0.13, 0.12, 0.11, 0.1]),
-]
-RISK, DELTA = 0.01, 0.05
+#: Rules: name, measure, side (1: reject above the cutoff, -1: reject below it).
+RULES = {
+    "symbols": ("symbols_per_word", 1),
+    "long_words": ("mean_word", 1),
+    "short_words": ("mean_word", -1),
+    "dup_lines": ("dup_lines_share", 1),
+    "repeats": ("repeat_share", 1),
+}
+#: The path: rule and cutoff of each step.
+PATH = [
+    ("symbols", 2.0), ("long_words", 12.0), ("short_words", 1.5), ("dup_lines", 0.95),
+    ("symbols", 1.0), ("long_words", 11.0), ("short_words", 2.0), ("dup_lines", 0.9),
+    ("symbols", 0.5), ("long_words", 10.0), ("short_words", 2.5), ("dup_lines", 0.8),
+    ("symbols", 0.3), ("long_words", 9.5), ("short_words", 3.0), ("dup_lines", 0.7),
+    ("symbols", 0.2), ("long_words", 9.0), ("short_words", 3.25), ("dup_lines", 0.6),
+    ("symbols", 0.1), ("long_words", 8.5), ("short_words", 3.5), ("dup_lines", 0.5), ("repeats", 0.19),
+    ("long_words", 8.0), ("dup_lines", 0.4), ("repeats", 0.18), ("long_words", 7.5), ("repeats", 0.17), ("long_words", 7.0), ("repeats", 0.16),
+]
+RISK, DELTA = 0.02, 0.05
 
 
 def bound(value: Column, body) -> Column:
@@ -116,32 +129,39 @@ def binomial_tail(k: Column, n: Column, risk: float) -> Column:
     return F.when(k >= n * risk, F.lit(1.0)).otherwise(F.aggregate(steps, start, add)["s"])
 
 
-def cutoffs(measures: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """measures (doc_id, stratum, _m) and labels (doc_id, quality) to the strictest admitted cutoff: stratum, rule, cutoff."""
+def first_step(m: Column) -> Column:
+    """The first step of the path that rejects a document with measures m; null if none does."""
+    out = None
+    for i, (rule, cutoff) in enumerate(PATH):
+        measure, side = RULES[rule]
+        hit = F.lit(side) * (m[measure] - F.lit(cutoff)) > 0
+        out = F.when(hit, F.lit(i)) if out is None else out.when(hit, F.lit(i))
+    return out
+
+
+def admitted(measures: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """measures (doc_id, stratum, _m) and labels (doc_id, quality) to the last admitted step of each stratum that has one: stratum, step, n, k.
+
+    n good documents of the holdout pass the base rules; the path up to step rejects k of them.
+    """
     good = labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id"))
-    good = measures.join(good, "doc_id").filter(~F.col("_m.base_failed"))
-    tests = F.array(*[
-        F.struct(F.lit(name).alias("rule"), F.lit(i).alias("step"), F.lit(float(c)).alias("cutoff"), (F.lit(side) * (F.col(f"_m.{m}") - c) > 0).alias("out"))
-        for name, m, side, steps in RULES for i, c in enumerate(steps)
-    ])
-    counts = good.select("stratum", F.explode(tests).alias("t")).groupBy("stratum", "t.rule", "t.step", "t.cutoff").agg(F.count(F.lit(1)).alias("n"), F.count_if("t.out").alias("k"))
-    strata = F.size(F.collect_set(F.coalesce("stratum", F.lit("\0"))).over(W.partitionBy()))
-    each = risk / len(RULES)
-    counts = counts.withColumn("level", delta / (strata * len(RULES))).withColumn("p", binomial_tail(F.col("k"), F.col("n"), each))
-    upto = W.partitionBy("stratum", "rule").orderBy("step")
-    counts = counts.withColumn("admitted", F.min(F.col("p") <= F.col("level")).over(upto))
-    return counts.filter("admitted").groupBy("stratum", "rule").agg(F.max(F.struct("step", "cutoff"))["cutoff"].alias("cutoff"))
+    good = measures.join(good, "doc_id").filter(~F.col("_m.base_failed")).select("stratum", first_step(F.col("_m")).alias("first"))
+    counts = good.groupBy("stratum", "first").agg(F.count(F.lit(1)).alias("c"))
+    own = counts.groupBy("stratum").agg(F.sum("c").alias("n"), F.collect_list(F.struct("first", "c")).alias("falls"))
+    own = own.withColumn("strata", F.count(F.lit(1)).over(W.partitionBy()))  # one row for each stratum
+    steps = own.select("stratum", "n", "strata", "falls", F.explode(F.sequence(F.lit(0), F.lit(len(PATH) - 1))).alias("step"))
+    k = F.aggregate(F.filter("falls", lambda x: x["first"] <= F.col("step")), F.lit(0).cast("long"), lambda s, x: s + x["c"])
+    steps = steps.withColumn("k", k).withColumn("p", binomial_tail(F.col("k"), F.col("n"), risk))
+    passing = steps.withColumn("passing", F.min(F.col("p") <= delta / F.col("strata")).over(W.partitionBy("stratum").orderBy("step")))
+    return passing.filter("passing").groupBy("stratum").agg(F.max(F.struct("step", "n", "k")).alias("last")).select("stratum", "last.*")
 
 
 def judged(measures: DataFrame, found: DataFrame) -> DataFrame:
-    """measures with column kept. found has at most one row for each stratum after the pivot: it is joined by stratum."""
-    sides = {name: (m, side) for name, m, side, _ in RULES}
-    wide = found.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == name, F.col("cutoff"))).alias(f"_{name}") for name in sides])
-    out = measures.join(wide.withColumnRenamed("stratum", "_s"), F.col("stratum").eqNullSafe(F.col("_s")), "left")
-    failed = F.col("_m.base_failed")
-    for name, (m, side) in sides.items():
-        failed = failed | F.coalesce(F.lit(side) * (F.col(f"_m.{m}") - F.col(f"_{name}")) > 0, F.lit(False))
-    return out.withColumn("kept", ~failed).drop("_s", *[f"_{name}" for name in sides])
+    """measures with column kept. found has at most one row for each stratum."""
+    last = found.select(F.col("stratum").alias("_s"), F.col("step").alias("_step"))
+    out = measures.join(last, F.col("stratum").eqNullSafe(F.col("_s")), "left")
+    failed = F.col("_m.base_failed") | F.coalesce(first_step(F.col("_m")) <= F.col("_step"), F.lit(False))
+    return out.withColumn("kept", ~failed).drop("_s", "_step")
 
 
 def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,12 +169,13 @@ def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that pass, with the columns of docs."""
+    """Pipeline stage: documents that pass, with the columns of docs, whatever their names."""
     work = Work(spark, "quality-stage")
-    lang = F.col("lang").cast("string").alias("stratum") if "lang" in docs.columns else F.lit(None).cast("string").alias("stratum")
-    rows = work.table(measured(docs.select(F.struct("*").alias("_d"), "text", F.col("doc_id").cast("long").alias("doc_id"), lang)).drop("text"), "measured")
-    found = work.table(cutoffs(rows.select("doc_id", "stratum", "_m"), label_rows(spark, sf_dir)), "cutoffs")
-    return judged(rows, found).filter("kept").select("_d.*")
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = work.table(measured(docs.select(row, "text", F.col("doc_id").cast("long").alias("doc_id"), lang.alias("stratum"))).drop("text"), "measured")
+    found = work.table(admitted(rows.select("doc_id", "stratum", "_m"), label_rows(spark, sf_dir)), "admitted")
+    return judged(rows, found).filter("kept").select("row.*")
 
 
 def rate(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
@@ -162,7 +183,7 @@ def rate(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float =
     work = Work(docs.sparkSession, "quality")
     rows = measured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("stratum"), "text")).drop("text")
     rows = work.table(rows, "measures")
-    found = work.table(cutoffs(rows, labels, risk, delta), "cutoffs")
+    found = work.table(admitted(rows, labels, risk, delta), "admitted")
     return judged(rows, found)
 
 
@@ -171,13 +192,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "_m.n_words", "_m.word_chars", "_m.n_symbols", "_m.n_dup_lines", "_m.n_repeat_words", "_m.base_failed", "kept")
 
 
-def _rules_sql() -> str:
-    return ", ".join(f"('{name}', '{m}', {side}, {i}, CAST({c} AS DOUBLE))" for name, m, side, steps in RULES for i, c in enumerate(steps))
+def _first_sql() -> str:
+    return "CASE " + " ".join(f"WHEN {RULES[rule][1]} * ({RULES[rule][0]} - CAST({cutoff} AS DOUBLE)) > 0 THEN {i}" for i, (rule, cutoff) in enumerate(PATH)) + " END"
 
 
 def kept_sql(docs: str, labels: str = "labels") -> str:
     """DuckDB SQL for rate() over a relation (doc_id, text, lang)."""
-    each = RISK / len(RULES)
     share = lambda a, b: f"CASE WHEN {b} > 0 THEN CAST({a} AS DOUBLE) / {b} ELSE 0 END"
     return rf"""
 WITH d AS (
@@ -197,22 +217,19 @@ m AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {share("n_symbols", "n_words")} AS symbols_per_word,
          {share("word_chars", "n_words")} AS mean_word, {share("n_dup_lines", "lines")} AS dup_lines_share, {share("n_repeat_words", "n_words")} AS repeat_share
   FROM m0),
-rules(rule, measure, side, step, cutoff) AS (VALUES {_rules_sql()}),
-v AS (
-  SELECT m.stratum, rule, step, cutoff,
-         side * (CASE measure WHEN 'symbols_per_word' THEN symbols_per_word WHEN 'mean_word' THEN mean_word WHEN 'dup_lines_share' THEN dup_lines_share ELSE repeat_share END - cutoff) > 0 AS rejected
-  FROM m JOIN {labels} USING (doc_id) CROSS JOIN rules WHERE quality = 1 AND NOT base_failed),
-c AS (SELECT stratum, rule, step, cutoff, count(*) AS n, count(*) FILTER (rejected) AS k FROM v GROUP BY ALL),
-lev AS (SELECT {DELTA} / (count(DISTINCT coalesce(stratum, chr(1))) * {len(RULES)}) AS level FROM c),
+f AS (SELECT *, {_first_sql()} AS first_step FROM m),
+g AS (SELECT stratum, first_step FROM f JOIN {labels} USING (doc_id) WHERE quality = 1 AND NOT base_failed),
+n AS (SELECT stratum, count(*) AS n, count(*) OVER () AS strata FROM g GROUP BY stratum),
+c AS (
+  SELECT n.stratum, n.n, n.strata, step, (SELECT count(*) FROM g WHERE g.stratum IS NOT DISTINCT FROM n.stratum AND first_step <= step) AS k
+  FROM n, range({len(PATH)}) AS s(step)),
 p AS (
-  SELECT stratum, rule, step, cutoff,
-         CASE WHEN k >= n * {each} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1),
-           lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({each}) + (n - i) * ln(1 - {each})))) END AS p FROM c),
-a AS (SELECT *, bool_and(p <= level) OVER (PARTITION BY stratum, rule ORDER BY step) AS admitted FROM p, lev),
-best AS (SELECT stratum, rule, arg_max(cutoff, step) AS cutoff FROM a WHERE admitted GROUP BY ALL),
-wide AS (SELECT stratum, {", ".join(f"max(cutoff) FILTER (rule = '{name}') AS c_{name}" for name, *_ in RULES)} FROM best GROUP BY stratum)
-SELECT m.*, NOT (base_failed OR {" OR ".join(f"coalesce({side} * ({x} - c_{name}) > 0, false)" for name, x, side, _ in RULES)}) AS kept
-FROM m LEFT JOIN wide ON m.stratum IS NOT DISTINCT FROM wide.stratum
+  SELECT *, CASE WHEN k >= n * {RISK} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1),
+           lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK}) + (n - i) * ln(1 - {RISK})))) END AS p FROM c),
+a AS (SELECT *, bool_and(p <= {DELTA} / strata) OVER (PARTITION BY stratum ORDER BY step) AS admitted FROM p),
+best AS (SELECT stratum, max(step) AS step FROM a WHERE admitted GROUP BY stratum)
+SELECT f.*, NOT (base_failed OR coalesce(first_step <= best.step, false)) AS kept
+FROM f LEFT JOIN best ON f.stratum IS NOT DISTINCT FROM best.stratum
 """
 
 

@@ -8,6 +8,7 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,19 +19,27 @@ SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, it is a temporary one in local mode; a cluster must name it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
 class Work:
-    """Tables written to the shared folder, so that a lost executor costs no more than a reread."""
+    """Tables written to the shared folder, so that a lost executor costs no more than a reread.
+
+    A result may read them until it is written itself; then `sweep` removes them.
+    """
+
+    made: ClassVar[list[str]] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+        Work.made.append(self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -42,10 +51,20 @@ class Work:
 
     def drop(self, *names: str) -> None:
         """Deletes tables that no later plan reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(conf).delete(path, True)
+            delete(self.spark, self.path(name))
+
+
+def delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sweep(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the work folders made after the first `since` ones: what read them must have been written."""
+    for root in Work.made[since:]:
+        delete(spark, root)
+    del Work.made[since:]
 
 
 @contextlib.contextmanager
@@ -93,18 +112,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """docs as one column, row, so that no name of theirs meets one of ours; beside it doc_id, text and source."""
+    source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), source.alias("source"))
+
+
 def keyed(docs: DataFrame, work: Work) -> DataFrame:
-    """docs with a key for each row, `_key`, in the order of doc_id (null last).
+    """packed(docs) with a key for each row, in the order of doc_id (null last).
 
     The key is doc_id where that names single rows. Otherwise the rows are put in order of doc_id and
     text, numbered, and written once, so that the key is the same whenever it is read.
     """
-    doc_id = F.col("doc_id").cast("long")
-    several = docs.groupBy(doc_id.alias("doc_id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null")
+    rows = packed(docs)
+    several = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null")
     if several.isEmpty():
-        return docs.withColumn("_key", doc_id)
-    rows = docs.orderBy(doc_id.asc_nulls_last(), F.sha2(text_or_empty("text"), 256))
-    return work.table(rows.withColumn("_key", F.monotonically_increasing_id()), "keyed")
+        return rows.withColumn("key", F.col("doc_id"))
+    rows = rows.orderBy(F.col("doc_id").asc_nulls_last(), F.sha2(text_or_empty("text"), 256))
+    return work.table(rows.withColumn("key", F.monotonically_increasing_id()), "keyed")
 
 
 def ascii_lower(text: Column) -> Column:

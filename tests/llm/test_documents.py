@@ -61,6 +61,34 @@ def test_exact_dedup_stage(spark, docs):
     assert len(collect(out)) == len({SPACE.sub("", r.text or "") for r in df.collect()})
 
 
+def test_exact_dedup_state(spark, docs, tmp_path):
+    """A state that outlives the call: later documents meet earlier ones, and a text that only shares their digest does not."""
+    weak = lambda t: F.unhex(F.substring(F.sha2(t, 256), 1, 1).cast("string").substr(1, 0))  # noqa: E731  (one digest for all)
+    first = docs([(1, "a b", "en", "a"), (2, "c", "en", "a"), (3, "c", "en", "a")])
+    second = docs([(4, "a  b", "en", "a"), (5, "c", "en", "a"), (6, "d", "en", "a")])
+    for name, digest in (("strong", None), ("weak", weak)):
+        state = f"{tmp_path}/{name}"
+        one = exact_dedup.exact_dedup(first, digest=digest, state=state).collect()
+        assert sorted((r.doc_id, r.keep_id, r.group_size) for r in one) == [(1, 1, 1), (2, 2, 2), (3, 2, 2)]
+        two = exact_dedup.exact_dedup(second, digest=digest, state=state, known=first).collect()
+        assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in two) == [(4, 4, 2, True), (5, 2, 3, False), (6, 6, 1, True)]
+
+
+CLASHES = ("_id", "_sum", "_own", "_times", "_row", "_key", "_copies", "_copy", "_p", "_kinds", "_m", "_d", "_s", "_step", "row", "key", "copies", "sum", "times", "doc id.x")
+
+
+@pytest.mark.parametrize("stage", [exact_dedup.stage, near_dedup.stage, mixing.stage])
+def test_stages_keep_columns_of_any_name(spark, docs, stage):
+    df = docs()
+    for name in CLASHES:
+        df = df.withColumn(name, F.lit("clash"))
+    out = stage(spark, df, "")
+    assert out.columns == df.columns
+    rows = out.collect()
+    assert rows and all(r[name] == "clash" for r in rows for name in CLASHES)
+    assert stage(spark, df.limit(0), "").count() == 0
+
+
 def test_exact_dedup_stage_ids(spark, docs):
     """An identifier that is null or stands for several texts: each text stays once, as its kept row."""
     rows = [(None, "one text", "en", "a"), (None, "another text", "en", "a"), (None, "a third", "en", "a"), (3, "same words", "en", "a"), (7, "own words", "en", "a"), (7, "same words", "en", "a"), (8, "p q", "en", "a"), (8, "r s", "en", "a"), (9, "x y", "en", "a"), (9, "x  y", "en", "b")]
@@ -162,22 +190,38 @@ def test_quality(spark, docs):
     assert quality.rate(docs([]), labels).count() == 0
 
 
+def tail(k, n, risk):
+    return sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(risk) + (n - i) * math.log(1 - risk)) for i in range(k + 1))
+
+
 def test_cutoffs_are_controlled(spark):
-    """Admitted cutoffs pass the exact test by hand; strata without enough labels have none."""
+    """The admitted steps pass the exact test by hand and the next one doesn't; strata without enough labels have none."""
     r = random.Random(1)
-    rows = [(i, " ".join(f"{r.randrange(10**6)}" + ("#" if i % 400 == 0 else "") for _ in range(20)), "en" if i < 6000 else "xx", "s") for i in range(6200)]
+    rows = [(i, " ".join(f"{r.randrange(10**6)}" + ("#" if i % 40 == 0 else "") for _ in range(20)), "en" if i < 2000 else "xx", "s") for i in range(2090)]
     df = quality.measured(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumnRenamed("lang", "stratum"))
-    labels = spark.createDataFrame([(i, 1) for i in range(6200)], "doc_id long, quality int")
-    found = quality.cutoffs(df, labels, risk=0.05, delta=0.05).collect()
-    assert {f.stratum for f in found} == {"en"} and "symbols" in {f.rule for f in found}
-    measures = {f.doc_id: f._m for f in df.filter("stratum = 'en'").collect()}
-    good = [m for m in measures.values() if not m.base_failed]
-    sides = {name: (m, side) for name, m, side, _ in quality.RULES}
-    for f in found:
-        m, side = sides[f.rule]
-        k, n = sum(side * (x[m] - f.cutoff) > 0 for x in good), len(good)
-        tail = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(0.01) + (n - i) * math.log(0.99)) for i in range(k + 1))
-        assert tail <= 0.05 / (2 * len(quality.RULES))
+    labels = spark.createDataFrame([(i, 1) for i in range(2090)], "doc_id long, quality int")
+    found = quality.admitted(df, labels, risk=0.02, delta=0.05).collect()
+    assert [f.stratum for f in found] == ["en"]
+    good = [f._m for f in df.filter("stratum = 'en'").collect() if not f._m.base_failed]
+    out = lambda m, step: any(quality.RULES[x][1] * (m[quality.RULES[x][0]] - c) > 0 for x, c in quality.PATH[: step + 1])
+    k = [sum(out(m, s) for m in good) for s in range(len(quality.PATH))]
+    passing = [tail(x, len(good), 0.02) <= 0.05 / 2 for x in k]
+    assert found[0].step == passing.index(False) - 1 and found[0].k == k[found[0].step] and found[0].n == len(good)
+
+
+def test_quality_rejects_by_cutoff_alone(spark, tmp_path):
+    """query() and stage(): with a stratum's labels at hand, junk that passes the base rules goes and the good stay."""
+    r = random.Random(2)
+    text = lambda tail="": " ".join(f"word{r.randrange(10**5)}{tail}" for _ in range(30))
+    rows = [(i, text(), lang, "s", "clash") for i in range(500) for lang in ["en" if i < 400 else "de"]]
+    rows += [(1000 + i, text(" | #"), lang, "s", "clash") for i in range(6) for lang in ["en", "de"]]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, stratum string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1) for i in range(500)] + [(1000, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = quality.query(spark, str(tmp_path)).collect()
+    assert len(got) == 512 and not any(g.base_failed for g in got)
+    assert sum(not g.kept for g in got) == 6 and all(g.doc_id >= 1000 for g in got if not g.kept)  # German has 100 labels, too few
+    kept = quality.stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()
+    assert len(kept) == 506 and sum(x.doc_id >= 1000 for x in kept) == 6 and {x.lang for x in kept if x.doc_id >= 1000} == {"de"}
 
 
 # mixing
