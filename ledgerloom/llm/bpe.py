@@ -35,11 +35,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import Work, documents, most_frequent, ship
+from .shingles import portions
 
 LEXICON_WORDS = 1 << 16
 SUMMARY = 150_000
-#: Pieces remembered by a worker beside the lexicon.
-MEMORY = 400_000
+#: Characters of pieces, ids and decoded texts remembered by a worker beside the lexicon; characters of texts handled at once.
+MEMORY, PORTION = 32 << 20, 4 << 20
 
 # Letters, numbers and white space below U+0250, written out: there every table of Unicode agrees.
 _L = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
@@ -263,6 +264,7 @@ class Lexicon:
         # by piece: its ids as text, and what they decode to
         self.spelled: dict[str, str] = {}
         self.decoded: dict[str, str] = {}
+        self.held = 0
 
     def find(self, words: list[bytes]) -> np.ndarray:
         """Index of each word in the lexicon, or -1: all walk the automaton together, a byte at a time."""
@@ -303,6 +305,7 @@ class Lexicon:
                 x = self.ids[self.at[at] : self.at[at + 1]].tolist() if at >= 0 else self.vocabulary.merge(raw[i])
             self.spelled[w] = ",".join(map(str, x))
             self.decoded[w] = self.decode(x)
+            self.held += 2 * len(w) + len(self.spelled[w]) + 100
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.vocabulary.by_id.__getitem__, ids)).decode("utf-8", "replace")
@@ -316,9 +319,10 @@ class Lexicon:
             else:
                 parts = self.cut.split(text)
                 cut.append([w for p in parts for w in ([p] if p in self.special else pieces(p))])
-        if len(self.spelled) > MEMORY:
+        if self.held > MEMORY:
             self.spelled.clear()
             self.decoded.clear()
+            self.held = 0
         new = set().union(*cut).difference(self.spelled)
         self.learn(new)
         for s in new & self.special.keys():
@@ -391,10 +395,11 @@ def encode(docs: DataFrame, tokenizer: str | None = None, words: int = LEXICON_W
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, sha = lexicon(name), hashlib.sha256
         for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                batch = whole.slice(start, 1000)
+            texts = [t or "" for t in whole.column(1).to_pylist()]
+            for part in portions(texts, PORTION):
+                batch = whole.slice(part.start, part.stop - part.start)
                 n, ids, sums, back = [], [], [], []
-                for cut in lex.cut_up([t or "" for t in batch.column(1).to_pylist()]):
+                for cut in lex.cut_up(texts[part]):
                     said = ",".join(map(lex.spelled.__getitem__, cut))
                     n.append(said.count(",") + 1 if said else 0)
                     sums.append(sha(said.encode()).hexdigest())

@@ -24,7 +24,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -55,8 +55,15 @@ ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|data-label)\s*=\s*(?:"([^"]*)"
 NAME_WORD = re.compile(r"[a-z]+")
 
 
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+
+
 class Page:
-    """Nodes in page order, parents first: parent, features, text (elements: None), label."""
+    """Nodes in page order, parents first: parent, features, text (elements: None), label.
+
+    Beside the open elements stand the places of each tag and of the blocks among them, so that
+    neither text nor end tags look through all that is open.
+    """
 
     def __init__(self, source: str):
         self.parent: list[int] = [-1]
@@ -64,8 +71,12 @@ class Page:
         self.text: list[str | None] = [None]
         self.label: list[bool | None] = [None]
         self._open: list[tuple[str, int, bool | None]] = [("#page", 0, None)]
+        self._places: dict[str, list[int]] = defaultdict(list)
+        self._blocks: list[int] = [0]
+        self._fences: list[int] = []  # elements of RAW, options apart
         self._run: list[str] = []
         self._linked = self._in_link = self._muted = 0
+        self._unclosed: set[str] = set()
         self._read(source)
 
     def _flush(self) -> None:
@@ -74,8 +85,7 @@ class Page:
         text = " ".join("".join(self._run).split())
         self._run = []
         if text:
-            node, label = next((n, x) for _, n, x in reversed(self._open) if n >= 0)
-            tag = next(t for t, n, _ in reversed(self._open) if n >= 0)
+            tag, node, label = self._open[self._blocks[-1]]
             links = min(1.0, self._linked / len(text))
             self.parent.append(node)
             linked = 0 if links == 0 else 1 if links < 0.3 else 2 if links < 0.8 else 3
@@ -99,13 +109,16 @@ class Page:
                     label = value == "content"
                 else:
                     names.update(NAME_WORD.findall(value.lower()))
+        self._places[tag].append(len(self._open))
+        if tag in RAW and tag != "option":
+            self._fences.append(len(self._open))
         if tag in BLOCK and not self._muted:
             self._flush()
-            parent = next(n for _, n, _ in reversed(self._open) if n >= 0)
-            self.parent.append(parent)
+            self.parent.append(self._open[self._blocks[-1]][1])
             self.features.append((f"tag={tag}{'' if names else ' alone'}", *(f"name={x}" for x in names)))
             self.text.append(None)
             self.label.append(label)
+            self._blocks.append(len(self._open))
             self._open.append((tag, len(self.parent) - 1, label))
         else:
             self._in_link += tag == "a"
@@ -113,22 +126,39 @@ class Page:
             self._open.append((tag, -1, label))
 
     def _pop_to(self, depth: int) -> None:
+        """Ends all open elements from a place on, outer ones first."""
         for tag, node, _ in self._open[depth:]:
             if node >= 0:
                 self._flush()
             self._in_link -= tag == "a"
             self._muted -= tag in RAW
+        for tag, _, _ in reversed(self._open[depth:]):
+            self._places[tag].pop()
+        while self._blocks[-1] >= depth:
+            self._blocks.pop()
+        while self._fences and self._fences[-1] >= depth:
+            self._fences.pop()
         del self._open[depth:]
 
-    def _end_open(self, kinds: set[str], fence: set[str]) -> None:
-        for i in range(len(self._open) - 1, 0, -1):
-            tag = self._open[i][0]
-            if tag in fence:
-                return
-            if tag in kinds:
-                self._pop_to(i)
-            elif tag in RAW and tag != "option":
+    def _last(self, tags: Iterable[str]) -> int:
+        """The place of the innermost open element with one of the tags; 0 if there is none."""
+        return max((p[-1] for t in tags if (p := self._places.get(t))), default=0)
+
+    def _end_open(self, kinds: Iterable[str], fence: Iterable[str]) -> None:
+        """Ends open elements of some kinds up to the nearest of fence; embedded objects and the like are fences, too."""
+        while at := self._last(kinds):
+            if at < max(self._last(fence), self._fences[-1] if self._fences and self._open[self._fences[-1]][0] not in kinds else 0):
                 return
+            self._pop_to(at)
+
+    def _end_of(self, tag: str, source: str, at: int) -> re.Match | None:
+        """The next end tag; none is looked for again where there was none."""
+        if tag in self._unclosed:
+            return None
+        end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
+        if end is None:
+            self._unclosed.add(tag)
+        return end
 
     def _read(self, source: str) -> None:
         at, n = 0, len(source)
@@ -144,7 +174,7 @@ class Page:
                 continue
             tag = m[2].lower()
             if m[1]:
-                depth = next((i for i in range(len(self._open) - 1, 0, -1) if self._open[i][0] == tag or tag[0] == "h" and len(tag) == 2 and tag[1:].isdigit() and self._open[i][0][0] == "h" and self._open[i][0][1:].isdigit()), 0)
+                depth = self._last(HEADINGS if tag in HEADINGS else (tag,))
                 if depth:
                     self._pop_to(depth)
                 continue
@@ -153,7 +183,7 @@ class Page:
                     self._say(" ")
                 if m[3].endswith("/"):
                     continue
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at) if tag in TEXT_ALONE or tag in ("head", "iframe", "noscript") else None
+                end = self._end_of(tag, source, at) if tag in TEXT_ALONE or tag in ("head", "iframe", "noscript") else None
                 if end:
                     at = end.end()
                 elif tag in TEXT_ALONE:
@@ -176,7 +206,7 @@ class Page:
             if tag in ENDS:
                 self._end_open(*ENDS[tag])
             if tag == "a" and self._in_link:
-                self._end_open({"a"}, set(BLOCK))
+                self._end_open({"a"}, BLOCK)
             self._start(tag, m[3])
         self._flush()
 

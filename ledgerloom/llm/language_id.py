@@ -17,7 +17,9 @@ and its join may be split.
 Defined cases: null or empty html, unknown or missing declarations and addresses give no evidence
 of their kind; a page without any evidence gets the commonest language; repeated rows give
 repeated rows; a null page_id stays null; without labelled texts the result is empty of languages
-(null) with probability 0; empty tables give empty results; further columns are ignored.
+(null) with probability 0; texts of any length are read whole; of languages with the same
+posterior the first by name counts; empty tables give empty results; further columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -60,16 +62,25 @@ class Letters:
         return self.table[trigrams(text)].sum(axis=0, dtype=np.float64)
 
 
+def sample(labelled: DataFrame, rows: int, total: int) -> DataFrame:
+    """About nine tenths of `rows` of `total` labelled texts, chosen by a hash of identifier and text, and never more than `rows`."""
+    place = F.xxhash64("doc_id", "text").cast("double") / 2.0**64 + 0.5  # evenly from 0 to 1
+    return labelled.filter(place < 0.9 * rows / total).limit(rows)
+
+
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Letters:
-    """labelled (doc_id, text, lang): fits on about `rows` labelled texts, and no more, chosen by a hash of doc_id.
+    """labelled (doc_id, text, lang): fits on about `rows` labelled texts, and no more, chosen by hash.
 
-    The share is set by a count, so each task sends its part of the sample and nothing else.
+    The share is set by a count of labels (which reads no text), so each task sends its part of the sample and nothing else.
     """
-    some = labelled.filter("lang is not null and text is not null")
+    some = labelled.filter("lang is not null")
     n = some.count()
     if n > rows:
-        some = some.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(900_000 * rows / n)).limit(rows)
-    return Letters([(r.lang, r.text) for r in some.select(F.lower("lang").alias("lang"), "text").collect()])
+        some = sample(some, rows, n)
+    found = some.filter("text is not null").select(F.lower("lang").alias("lang"), "text").collect()
+    if n > rows and not found:
+        raise ValueError(f"none of {n} labelled rows was drawn with a text: train on rows that have one")
+    return Letters([(r.lang, r.text) for r in found])
 
 
 def suffix_of(url: Column) -> Column:

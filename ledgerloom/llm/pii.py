@@ -10,11 +10,13 @@ images in every document. Card numbers get a new valid check digit, IPv4 address
 numbers keep country code and punctuation, mail addresses their domain, hexadecimal secrets their
 alphabet and case.
 
-Everything happens row by row: no shuffle, and nothing is gathered.
+Everything happens row by row: no shuffle, and nothing is gathered. Who has the key can undo every
+pseudonym, so it comes from the session (`spark.ledgerloom.pii.key`) or the caller, and there is none by default.
 
-Defined cases: null text stays null with no finds; empty text stays empty; repeated rows give
-repeated rows; a null doc_id stays null; empty tables give empty results; further columns are
-ignored by the operator and kept by pseudonymise().
+Defined cases: null text stays null with no finds; empty text stays empty; texts of any length are
+read whole; of kinds that match at the same place the first of KINDS counts; repeated rows give
+repeated rows; a null doc_id stays null; empty tables give empty results; further columns, whatever
+their names, are ignored by the query and kept by pseudonymise().
 """
 
 from __future__ import annotations
@@ -39,6 +41,7 @@ KINDS = [
 ]
 PATTERN = "|".join(f"(?:{p})" for _, p in KINDS)
 FIRST_DAY, DAYS = "1900-01-01", 73_049
+KEY_SETTING, TEST_KEY = "spark.ledgerloom.pii.key", "not a secret: for tests and the registered query"
 
 
 def bound(value: Column, body) -> Column:
@@ -163,8 +166,20 @@ def found(value: Column, key: Column, back: bool = False) -> Column:
     return out.otherwise(F.struct(F.lit(None).cast("string").alias("kind"), value.alias("image")))
 
 
-def pseudonymise(docs: DataFrame, key: str = "ledgerloom", back: bool = False) -> DataFrame:
-    """docs with column text pseudonymised (back: restored) and column _kinds, the kinds found in order."""
+def session_key(spark: SparkSession) -> str:
+    """The key that the session names; without one nothing is pseudonymised."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        raise ValueError(f"set {KEY_SETTING} to a secret key")
+    return key
+
+
+def pseudonymise(docs: DataFrame, key: str | None = None, back: bool = False, kinds: str = "_kinds") -> DataFrame:
+    """docs with column text pseudonymised (back: restored) and, last, the kinds found in order, in a column of the given name.
+
+    Without a key the session's is taken. A column of docs that has the name for the kinds gives way to it.
+    """
+    key = key or session_key(docs.sparkSession)
     text, secret = F.col("text"), F.lit(key)
     hits = F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), lambda m: found(m, secret, back))
 
@@ -173,10 +188,14 @@ def pseudonymise(docs: DataFrame, key: str = "ledgerloom", back: bool = False) -
         return F.struct(F.array_join(parts, "").alias("text"), F.filter(F.transform(h, lambda x: x["kind"]), lambda k: k.isNotNull()).alias("kinds"))
 
     none = F.struct(text.alias("text"), F.array().cast("array<string>").alias("kinds"))
-    out = docs.withColumn("_p", F.when(text.rlike("[0-9@]"), bound(hits, rebuilt)).otherwise(none))
-    return out.withColumn("text", F.col("_p.text")).withColumn("_kinds", F.col("_p.kinds")).drop("_p")
+    columns = [c for c in docs.columns if c != kinds]
+    # only `row` and `made` are named here, so that no column of docs is met by one of ours
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.when(text.rlike("[0-9@]"), bound(hits, rebuilt)).otherwise(none).alias("made"))
+    return out.select(*[(F.col("made.text") if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in columns], F.col("made.kinds").alias(kinds))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pseudonymise(documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    """The session's key, or, for the registered query alone, a test key that protects nothing."""
+    key = spark.conf.get(KEY_SETTING, None) or TEST_KEY
+    out = pseudonymise(documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text"), key)
     return out.select("doc_id", "text", F.size("_kinds").cast("long").alias("n_found"), F.array_join(F.array_sort(F.array_distinct("_kinds")), ",").alias("kinds"))

@@ -249,6 +249,31 @@ def test_mixing_edges(spark, docs):
     assert set(mixing.stage(spark, docs(), "").columns) == set(docs().columns)
 
 
+def mix_brute(rows):
+    """rows (doc_id, text, source) to the sorted identifiers that the mix emits, repeats included: systematic sampling, document by document."""
+    weights, size = (3, 1, 2), {i: len(words(t)) for i, t, _ in rows}
+    names = sorted({s for *_, s in rows})
+    whole = {s: sum(size[i] for i, _, x in rows if x == s) for s in names}
+    weight = {s: weights[k % 3] for k, s in enumerate(names)}
+    target, open_ = {}, set(names)
+    while open_:
+        level = (1.5 * sum(whole.values()) - sum(target.values())) / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] >= 2 * whole[s]}
+        if not full:
+            target |= {s: level * weight[s] for s in open_}
+            break
+        target |= {s: 2 * whole[s] for s in full}
+        open_ -= full
+    out = []
+    for s in names:
+        each = math.floor(target[s] / whole[s] * mixing.STEP) if whole[s] else 0
+        at = int(hashlib.md5(f"mix|{s}".encode()).hexdigest()[:6], 16)
+        for i in sorted((i for i, _, x in rows if x == s), key=lambda i: (size[i], hashlib.md5(str(i).encode()).hexdigest())):
+            out += [i] * ((at + each) // mixing.STEP - at // mixing.STEP)
+            at += each
+    return sorted(out)
+
+
 def test_mixing_stage_ids(spark, docs):
     """The stage takes from each source what mix() says, whether identifiers are null or shared or not."""
     r = random.Random(8)
@@ -435,13 +460,28 @@ def test_license_matches_are_all_found():
         assert all(k == max(size[a : b - notice.length + 2]) for k, a, b in found)
 
 
+def test_license_long_notices_and_places():
+    """A whole license among other words is one match of each of its notices; base places are counted along the text."""
+    label, text = max(license_scan.NOTICES, key=lambda x: len(x[1]))
+    w = license_scan.words_of("some words before it " * 40 + text + " and some words after it" * 40)
+    notice = license_scan.Notice(label, text, {}, license_scan.THRESHOLD)
+    places = {}
+    for i, x in enumerate(w):
+        places.setdefault(x, []).append(i)
+    met, first, last = notice.matches(places, len(w))[0]
+    assert met == len(notice.order) and first <= 160 and last >= 160 + len(license_scan.words_of(text)) - 1
+    many = license_scan.words_of("cc by nc and cc by nc by nc " * 20_000)
+    got = license_scan.base_places(many)
+    assert len(got) == 40_000 and [p for _, p in got] == [i for i in range(len(many) - 2) if many[i : i + 3] == [b"cc", b"by", b"nc"]]
+
+
 # PII
 
 
 def test_pii(docs):
     text = "Call +1 (443) 555-5793 or a.b-c9@mail2.example.com on 2024-02-29, 31/12/1999, 30.02.2020; 4111 1111 1111 1111, 4929348385146306, 4111111111111112; 10.0.0.255 999.1.1.1; 2abc3ff2ca8fb1e4c565a0eb63815530a948bdde 078-05-1120"
     rows = [(1, text, "", ""), (2, "4111111111111111 +1 (443) 555-5793", "", ""), (3, None, "", ""), (4, "", "", ""), (5, "plain", "", "")]
-    hidden = pii.pseudonymise(docs(rows))
+    hidden = pii.pseudonymise(docs(rows), "k")
     got = {r.doc_id: r for r in hidden.collect()}
     assert got[1]._kinds == ["phone", "email", "date", "date", "card", "card", "ip", "secret", "ssn"]
     for kept in ("30.02.2020", "4111111111111112", "999.1.1.1", "@mail2.example.com"):
@@ -452,6 +492,105 @@ def test_pii(docs):
     assert len(shape(got[1].text)) <= len(text) + 12 and got[3].text is None and got[4].text == "" and got[5].text == "plain"
     one = re.search(r"\d{4} \d{4} \d{4} \d{4}", got[1].text).group().replace(" ", "")
     assert one == got[2].text[:16] and sum(int(c) if i % 2 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(one)) % 10 == 0
-    back = {r.doc_id: r.text for r in pii.pseudonymise(hidden.drop("_kinds"), back=True).collect()}
+    back = {r.doc_id: r.text for r in pii.pseudonymise(hidden.drop("_kinds"), "k", back=True).collect()}
     assert back == {i: t for i, t, *_ in rows}
-    assert pii.pseudonymise(docs([])).count() == 0
+    assert pii.pseudonymise(docs([]), "k").count() == 0
+
+
+def feistel(value, key, kind, alphabets):
+    """The permutation in plain Python."""
+    half = len(value) // 2
+    a, b = value[:half], value[half:]
+    for r in range(pii.ROUNDS):
+        seed = f"{key}|{kind}|{r}|{len(value)}|{b}"
+        stream = "".join(hashlib.sha256(f"{seed}|{i}".encode()).hexdigest() for i in range(max(len(a) - 1, 0) // 16 + 1))
+        out = ""
+        for i, c in enumerate(a):
+            alphabet = next((x for x in alphabets if c in x), None)
+            out += alphabet[(alphabet.index(c) + int(stream[4 * i : 4 * i + 4], 16)) % len(alphabet)] if alphabet else c
+        a, b = b, out
+    return a + b
+
+
+def luhn_sum(digits):
+    return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(digits)))
+
+
+def pseudonym_brute(value, key):
+    from datetime import date, timedelta
+
+    kind = next(k for k, p in pii.KINDS if re.fullmatch(p, value))
+    digits = re.sub("[^0-9]", "", value)
+    refill = lambda d: re.sub("[0-9]", lambda m, it=iter(d): next(it), value)
+    if kind == "email":
+        name, _, rest = value.partition("@")
+        return feistel(name, key, kind, pii.PLAIN) + "@" + rest
+    if kind == "secret":
+        out = feistel(value.lower(), key, kind, pii.HEX)
+        return out if re.search("[a-f]", value) else out.upper()
+    if kind == "phone":
+        keep = max(len(digits) - 10, 0)
+        return refill(digits[:keep] + feistel(digits[keep:], key, kind, pii.PLAIN))
+    if kind == "ssn":
+        return refill(feistel(digits, key, kind, pii.PLAIN))
+    if kind == "card":
+        if luhn_sum(digits) % 10:
+            return value
+        image = feistel(digits[:-1], key, kind, pii.PLAIN)
+        return refill(image + str(-luhn_sum(image + "0") % 10))
+    if kind == "ip":
+        parts = [int(x) for x in value.split(".")]
+        if max(parts) > 255:
+            return value
+        packed = feistel("".join(f"{x:02x}" for x in parts), key, kind, pii.HEX)
+        return ".".join(str(int(packed[i : i + 2], 16)) for i in range(0, 8, 2))
+    form = "%Y-%m-%d" if "-" in value else "%d/%m/%Y" if "/" in value else "%d.%m.%Y"
+    try:
+        y, m, d = (int(x) for x in (re.split("-", value) if "-" in value else re.split("[/.]", value)[::-1]))
+        day = (date(y, m, d) - date(1900, 1, 1)).days
+    except ValueError:
+        return value
+    if not 0 <= day < pii.DAYS:
+        return value
+    day = int(feistel(f"{day:05d}", key, kind, pii.PLAIN))
+    while day >= pii.DAYS:
+        day = int(feistel(f"{day:05d}", key, kind, pii.PLAIN))
+    return (date(1900, 1, 1) + timedelta(day)).strftime(form)
+
+
+def test_pii_by_brute_force(docs):
+    """Whole texts of random values of every kind, among junk, against plain Python."""
+    r = random.Random(12)
+    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+
+    def card():
+        body = r.choice(["4", "5", "37"]) + d(r.choice([11, 13, 14]))
+        whole = body + str(-luhn_sum(body + "0") % 10)
+        return " ".join(whole[i : i + 4] for i in range(0, 16, 4)) if len(whole) == 16 and r.random() < 0.5 else whole
+
+    makers = [
+        lambda: f"{r.choice(['ann', 'B.Lee-9', 'x'])}{d(r.randrange(3))}@{r.choice(['a.org', 'mail.example.co.uk'])}", lambda: ".".join(str(r.randrange(300)) for _ in range(4)), card, lambda: d(16),
+        lambda: "".join(r.choice("0123456789abcdef") for _ in range(r.randrange(32, 65))), lambda: "".join(r.choice("0123456789ABCDEF") for _ in range(40)), lambda: f"{d(3)}-{d(2)}-{d(4)}",
+        lambda: f"{r.randrange(1890, 2110)}-{r.randrange(1, 14):02d}-{r.randrange(1, 32):02d}", lambda: f"{r.randrange(1, 32):02d}/{r.randrange(1, 13):02d}/{r.randrange(1900, 2100)}", lambda: f"{r.randrange(1, 32):02d}.{r.randrange(1, 13):02d}.1999",
+        lambda: f"+1 ({d(3)}) {d(3)}-{d(4)}", lambda: f"{d(3)} {d(3)} {d(4)}", lambda: f"+{d(11)}", lambda: "plain words", lambda: d(5), lambda: "@",
+    ]
+    rows = [(i, r.choice([" ", "; ", "\n"]).join(r.choice(makers)() for _ in range(12)), "", "") for i in range(120)]
+    got = {x.doc_id: x.text for x in pii.pseudonymise(docs(rows), "some key").collect()}
+    for i, text, *_ in rows:
+        assert got[i] == re.sub(pii.PATTERN, lambda m: pseudonym_brute(m.group(), "some key"), text)
+
+
+def test_pii_key_and_names(spark, docs):
+    """No key, no pseudonyms; other keys, other pseudonyms; columns of any name stay."""
+    with pytest.raises(ValueError):
+        pii.pseudonymise(docs())
+    spark.conf.set(pii.KEY_SETTING, "one")
+    try:
+        rows = docs([(1, "4111111111111111", "en", "a")])
+        for name in CLASHES:
+            rows = rows.withColumn(name, F.lit("clash"))
+        one, other = pii.pseudonymise(rows).first(), pii.pseudonymise(rows, "two").first()
+        assert one.text == pseudonym_brute("4111111111111111", "one") != other.text
+        assert one["_p"] == one["row"] == "clash" and one["_kinds"] == ["card"]
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
