@@ -49,8 +49,8 @@ from .shingles import portions
 DEPTH = 6
 #: Bytes of context by which subtrees are dealt; words and runs that are broadcast.
 SHARD, TOP_WORDS, TOP_RUNS = 3, 1 << 17, 1 << 21
-#: Characters in a part, and handled at once.
-PART, PORTION = 48 << 20, 2 << 20
+#: Characters in a part, and handled at once; runs sorted at once.
+PART, PORTION, SORTED = 48 << 20, 2 << 20, 6 << 20
 #: Words a task holds before it passes partial counts on; runs that a task turns into nodes at once.
 HELD, CHUNK = 400_000, 200_000
 TEXT_BATCH = {"spark__sql__execution__arrow__maxRecordsPerBatch": "1000"}
@@ -131,8 +131,18 @@ def parted(docs: DataFrame, depth: int, part_size: int = PART) -> DataFrame:
         words: Counter = Counter()
         none = np.empty(0, np.int64)
         codes, counts = [none], [none]
+        raw: dict[bool, list[np.ndarray]] = {False: [], True: []}  # runs not yet counted, of training texts and of the others
+
+        def count_raw() -> None:
+            for out, held in raw.items():
+                if held:
+                    c, n = np.unique(np.concatenate(held), return_counts=True)
+                    codes.append(c)
+                    counts.append(np.zeros(len(c), np.int64) if out else n)
+                    held.clear()
 
         def asked() -> Iterator[pa.RecordBatch]:
+            count_raw()
             c, n = merged(codes, counts)
             for at in range(0, len(c), 50_000):
                 x = c[at : at + 50_000]
@@ -154,21 +164,19 @@ def parted(docs: DataFrame, depth: int, part_size: int = PART) -> DataFrame:
                 for w in learned:
                     words.update(w)
                 words[END] += len(learned)
-                if learned:
-                    c, n = np.unique(runs_of(learned, depth)[0], return_counts=True)
-                    codes.append(c)
-                    counts.append(n)
-                others = [w for w, o in zip(split, out, strict=True) if o]
-                if others:
-                    codes.append(np.unique(runs_of(others, depth)[0]))
-                    counts.append(np.zeros(len(codes[-1]), np.int64))
+                for held, some in ((False, learned), (True, [w for w, o in zip(split, out, strict=True) if o])):
+                    if some:
+                        raw[held].append(runs_of(some, depth)[0])
+                if sum(map(len, raw[False])) + sum(map(len, raw[True])) > SORTED:
+                    count_raw()
                 if len(codes) > 12:
                     c, n = merged(codes, counts)
-                    codes, counts = [c], [n]
+                    codes[:], counts[:] = [c], [n]
                 size += sum(len(t or "") for t in texts[p])
                 if size >= part_size:
                     yield from asked()
-                    part, size, codes, counts = part + 1, 0, [none], [none]
+                    part, size = part + 1, 0
+                    codes[:], counts[:] = [none], [none]
                 if len(words) > HELD:
                     yield from counted()
                     words = Counter()
@@ -418,14 +426,22 @@ def scored(parts: DataFrame, costs: DataFrame, top: dict[bytes, float], often: t
 
     def scores(ids: list, texts_: list, known_runs: np.ndarray, values: np.ndarray, common: dict[bytes, float], random: np.random.Generator) -> pa.RecordBatch:
         split = [tokens(t) for t in texts_]
-        codes, n = runs_of(split, depth)
-        found, back = np.unique(codes, return_inverse=True)
-        at, ok = looked_up(known.value[0], found)
-        each = np.empty(len(found))
-        each[ok] = known.value[1][at[ok]]
-        each[~ok] = values[np.searchsorted(known_runs, found[~ok])]
-        each = each[back]
-        score = np.add.reduceat(each, np.cumsum(n) - n) / math.log(10)
+        score, n_bytes = np.empty(len(split)), np.empty(len(split), np.int64)
+        for at_text in range(0, len(split), 256):
+            part = slice(at_text, at_text + 256)
+            codes, n = runs_of(split[part], depth)
+            # a run has 56 bits: the text's number within these few goes below it, and one sort brings equal runs together
+            order = np.sort(codes.view(np.uint64) << np.uint64(8) | np.repeat(np.arange(len(n), dtype=np.uint64), n))
+            runs = (order >> np.uint64(8)).view(np.int64)
+            first = first_of(runs)
+            found = runs[first]
+            at, ok = looked_up(known.value[0], found)
+            each = np.empty(len(found))
+            each[ok] = known.value[1][at[ok]]
+            each[~ok] = values[np.searchsorted(known_runs, found[~ok])]
+            times = np.diff(np.append(first, len(runs)))
+            score[part] = np.bincount((order & np.uint64(255)).astype(np.int64), weights=np.repeat(each, times), minlength=len(n)) / math.log(10)
+            n_bytes[part] = n
         n_known, base, rare = [], [], []
         for w in split:
             counts = Counter(w)
@@ -436,7 +452,7 @@ def scored(parts: DataFrame, costs: DataFrame, top: dict[bytes, float], often: t
             rare.append([{"word": x, "k": k} for x, k in counts.items() if x not in common])
         columns = [
             pa.array(random.integers(0, 2**63 - 1, len(ids))), pa.array(ids, pa.int64()), pa.array([held_out(i) for i in ids], pa.bool_()), pa.array([len(w) + 1 for w in split], pa.int64()),
-            pa.array(n), pa.array(score, pa.float64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int32())]))),
+            pa.array(n_bytes), pa.array(score, pa.float64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int32())]))),
         ]
         return pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "held_out", "n_tokens", "n_bytes", "score", "known", "base", "others"])
 
@@ -445,6 +461,8 @@ def scored(parts: DataFrame, costs: DataFrame, top: dict[bytes, float], often: t
 
 def lm_score(docs: DataFrame, depth: int = DEPTH, top: int = TOP_WORDS, part_size: int = PART, top_runs: int = TOP_RUNS) -> DataFrame:
     """docs (doc_id, text) to doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
+    if not 1 <= depth <= 6:
+        raise ValueError("a run of depth + 1 bytes must leave a byte of 64 bits free")
     spark = docs.sparkSession
     ship(spark)
     work = Work(spark, "lm-score")
