@@ -72,7 +72,7 @@ def title_case(text: Column) -> Column:
 
 
 def found(text: Column, pattern: str, group: int = 1) -> Column:
-    """regexp_extract, with null for no match."""
-    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
+    """regexp_extract, with null for no match or an empty group."""
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
