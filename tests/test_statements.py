@@ -20,23 +20,23 @@ def test_operations(parsed):
     rows = {(r.statement_id, r.seq): r for r in parsed[1].operations.collect()}
     assert len(rows) == 12
     first = rows[1, 1]
-    assert "A LA CUENTA DE JUAN PEREZ" in first.description and first.number == "00000001"
-    assert (first.method, first.counterpart, first.counterpart_account) == ("transferencia_enviada", "Juan Perez", "1234")
-    assert first.occurred_at == "02-01-24 10:00:00"
-    assert [rows[1, i].balance_computed for i in (1, 2, 3, 4)] == [D(0), D(2000), D(1500), D(1700)]
-    assert rows[3, 3].igtf == D(5) and rows[1, 4].number == "00000004"
-    assert rows[1, 3].balance_printed == D(1500)
+    assert "A LA CUENTA DE ELENA VARGAS" in first.description and first.number == "00041170"
+    assert (first.method, first.counterpart, first.counterpart_account) == ("transferencia_enviada", "Elena Vargas", "4471")
+    assert first.occurred_at == "03-01-24 09:15:30"
+    assert [rows[1, i].balance_computed for i in (1, 2, 3, 4)] == [D("179.50"), D("1429.50"), D(1340), D(1750)]
+    assert rows[3, 3].igtf == D(5) and rows[1, 4].number == "00041173"
+    assert rows[1, 3].balance_printed == D(1340)
 
 
 def test_cover_annex_pos(parsed):
     p = parsed[1]
     cover = {r.statement_id: r for r in p.covers.collect()}[1]
-    assert (cover.holder, cover.account_number, cover.period_start) == ("PEREZ JUAN", "1601234567", "01-01-24")
-    assert (cover.saldo_inicio, cover.otros_creditos, cover.otros_debitos, cover.saldo_final) == (D(1000), D(2200), D(1500), D(1700))
+    assert (cover.holder, cover.account_number, cover.period_start) == ("ROMERO CARLA", "1702345678", "01-01-24")
+    assert (cover.saldo_inicio, cover.otros_creditos, cover.otros_debitos, cover.saldo_final) == (D(500), D(1660), D(410), D(1750))
     annex = [r for r in p.annex.orderBy("ord").collect() if r.statement_id == 1]
-    assert [r.amount for r in annex] == [D(1000), D(2000)] and annex[0].timestamp == "02-01-24 10:00:00"
+    assert [r.amount for r in annex] == [D("320.50"), D(1250)] and annex[0].timestamp == "03-01-24 11:40:00"
     pos = [r for r in p.pos.collect() if r.statement_id == 1]
-    assert len(pos) == 1 and pos[0].amount == D(500) and pos[0].date == "04/01"
+    assert len(pos) == 1 and pos[0].amount == D("89.50") and pos[0].date == "15/01"
 
 
 def test_statuses(parsed):
