@@ -16,7 +16,7 @@ class Adapter:
     name: str
     display_name: str
     detect: Callable[[DataFrame], DataFrame]  # words to (statement_id, supported)
-    parse: Callable[[DataFrame], segment.Parsed]
+    parse: Callable[..., segment.Parsed]  # words, and how to keep frames that are read several times (see segment.parse)
 
 
 REGISTRY: list[Adapter] = [Adapter("mercantil-corriente", "Mercantil - Cuenta Corriente", segment.detect, segment.parse)]
@@ -35,6 +35,6 @@ def assigned(words: DataFrame, registry: list[Adapter] | None = None) -> DataFra
 def parse_all(words: DataFrame, registry: list[Adapter] | None = None) -> tuple[dict[str, segment.Parsed], DataFrame]:
     """Each adapter's statements parsed, and the ids of those that none supports (status error, not an exception)."""
     adapters = REGISTRY if registry is None else registry
-    found = assigned(words, adapters).persist()
+    found = assigned(words, adapters)
     parsed = {a.name: a.parse(words.join(found.filter(F.col("adapter") == a.name).select("statement_id"), "statement_id", "left_semi")) for a in adapters}
     return parsed, found.filter("adapter is null").select("statement_id", F.lit("error").alias("status"), F.lit("unsupported format").alias("error"))

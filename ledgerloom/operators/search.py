@@ -56,6 +56,22 @@ def search(ops: DataFrame, filters: Filters) -> DataFrame:
     return reduce(lambda df, cond: df.filter(cond), filters.conditions(), ops)
 
 
+def total(ops: DataFrame, filters: Filters) -> int:
+    """How many operations pass the filters: the number behind a list's page count."""
+    return search(ops, filters).count()
+
+
+LISTED = [
+    "id", "statement_id", "seq", "date", "date_iso", "number", "description", "cargo", "abono", "igtf", "amount", "direction", "method", "category", "counterpart", "counterpart_account", "counterpart_bank",
+    "reference", "concept", "occurred_at", "phone", "balance_computed",
+]
+
+
+def listed(ops: DataFrame) -> DataFrame:
+    """The 22 columns of a list of operations, the day as ISO text."""
+    return ops.withColumn("date_iso", F.date_format("date_iso", "yyyy-MM-dd")).select(*LISTED)
+
+
 def ordered(ops: DataFrame, sort: str = "date", descending: bool = True) -> DataFrame:
     """By a listed column, nulls last either way, then by id in the same direction."""
     c = F.col(SORTS.get(sort, "date_iso"))

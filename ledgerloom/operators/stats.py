@@ -84,18 +84,33 @@ def top_days(ops: DataFrame, limit: int = 5) -> DataFrame:
     return rows.orderBy(F.desc("cargo"), "date_iso").limit(limit).select("date_iso", *money("cargo"), "n")
 
 
+def positions(rows: DataFrame, day: str, key: str = "id", newest: bool = False) -> DataFrame:
+    """rows with position from 1 in order of a day (null last), then key: oldest first, or newest with the largest key first.
+
+    Counts by day and ranks within a day, so that no task orders all rows.
+    """
+    by_day = F.col(day).desc_nulls_last() if newest else F.col(day).asc_nulls_last()
+    by_key = F.desc(key) if newest else F.asc(key)
+    days = rows.groupBy(F.col(day).alias("day_")).agg(F.count(F.lit(1)).alias("n_"))
+    order = W.orderBy(F.col("day_").desc_nulls_last() if newest else F.col("day_").asc_nulls_last())
+    before = days.select("day_", F.coalesce(F.sum("n_").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before_"))
+    ranked = rows.withColumn("rank_", F.row_number().over(W.partitionBy(day).orderBy(by_day, by_key)))
+    return ranked.join(before, F.col(day).eqNullSafe(F.col("day_"))).withColumn("position", (F.col("before_") + F.col("rank_")).cast("int")).drop("day_", "before_", "rank_")
+
+
 def monthly(ops: DataFrame, statements: DataFrame | None = None) -> DataFrame:
     """Sums by statement, numbered in order of its period (or its first day), with change against the statement before.
 
-    One row a statement: the ordered window runs over statements, not over operations.
+    The statement before is found by its number, in a join: no task sees all statements.
     """
     rows = ops.groupBy("statement_id").agg(F.sum("cargo").alias("cargo"), F.sum("abono").alias("abono"), F.sum("igtf").alias("igtf"), F.count(F.lit(1)).alias("n"), F.min("date_iso").alias("first_day"))
     if statements is not None:
         rows = rows.join(statements.select(F.col("id").alias("statement_id"), period_date(F.col("period_start")).alias("start")), "statement_id", "left")
         rows = rows.withColumn("first_day", F.coalesce("start", "first_day"))
-    order = W.orderBy(F.col("first_day").asc_nulls_last(), "statement_id")
-    rows = rows.withColumn("position", F.row_number().over(order)).withColumn("net", F.col("abono") - F.col("cargo") - F.col("igtf"))
-    change = lambda x: percent_change(F.col(x).cast("double"), F.lag(x).over(order).cast("double")).alias(f"{x}_change")
+    rows = positions(rows, "first_day", "statement_id").withColumn("net", F.col("abono") - F.col("cargo") - F.col("igtf"))
+    last = rows.select((F.col("position") + 1).alias("position"), *[F.col(x).alias(f"{x}_before") for x in ("cargo", "abono", "net")])
+    rows = rows.join(last, "position", "left")
+    change = lambda x: percent_change(F.col(x).cast("double"), F.col(f"{x}_before").cast("double")).alias(f"{x}_change")
     return rows.select("statement_id", "position", *money("cargo", "abono", "igtf", "net"), "n", change("cargo"), change("abono"), change("net"))
 
 
@@ -106,9 +121,11 @@ def percent_change(now: Column, before: Column) -> Column:
 def top_and_rest(ops: DataFrame, column: str = "category", keep: int = 6, rest: str = "Otras") -> DataFrame:
     """The labels with the largest debits, the others as one where they hold anything, and shares of the whole."""
     rows = ops.groupBy(F.coalesce(F.nullif(F.col(column), F.lit("")), F.lit(NO_DATA)).alias("label")).agg(F.sum("cargo").alias("cargo"))
-    rank = F.row_number().over(W.orderBy(F.desc("cargo"), "label"))
-    rows = rows.withColumn("label", F.when(rank <= keep, F.col("label")).otherwise(F.lit(rest)))
-    rows = rows.groupBy("label").agg(F.sum("cargo").alias("cargo")).filter(f"cargo > 0 or label <> '{rest}'")
+    top = rows.orderBy(F.desc("cargo"), "label").limit(keep)
+    # the rest is the whole less the top; a label may have the rest's own name
+    others = rows.agg(F.sum("cargo").alias("cargo")).unionByName(top.select((-F.col("cargo")).alias("cargo"))).agg(F.sum("cargo").alias("cargo"))
+    rows = top.unionByName(others.select(F.lit(rest).alias("label"), "cargo")).groupBy("label").agg(F.sum("cargo").alias("cargo")).filter(f"cargo > 0 or label <> '{rest}'")
+    # at most keep + 1 rows are left
     whole = F.sum(F.col("cargo")).over(W.partitionBy())
     return rows.select("label", F.col("cargo").cast("double").alias("cargo"), F.when(whole > 0, F.round(F.col("cargo").cast("double") / whole.cast("double") * 100, 4)).otherwise(F.lit(0.0)).alias("share"))
 
@@ -125,14 +142,24 @@ def biggest(ops: DataFrame, limit: int = 10) -> DataFrame:
 
 
 def duplicate_groups(ops: DataFrame, limit: int | None = 50) -> DataFrame:
-    """Operations that several statements print: one pass, members as an array ordered by statement and row."""
-    key = ["amount", "date_iso", "direction"]
-    extra = [F.coalesce(c, F.lit("")).alias(c) for c in ("reference", "counterpart_account")]
-    out = ops.groupBy(*key, *extra).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("statement_id").alias("statements"), F.sort_array(F.collect_list(F.struct("statement_id", "seq", "id"))).alias("members"))
-    out = out.filter("statements > 1")
-    if limit is None:
-        return out
-    return out.orderBy(F.desc("statements"), F.desc("n"), *key, "reference", "counterpart_account").limit(limit)
+    """Operations that several statements print, with their members as an array ordered by statement and row.
+
+    Groups of several statements are found first, by sums alone; only their members are gathered.
+    """
+    texts = ["reference", "counterpart_account"]
+    ops = ops.withColumns({c: F.coalesce(c, F.lit("")) for c in texts})
+    key = ["amount", "date_iso", "direction", *texts]
+    groups = ops.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("statement_id").alias("least"), F.max("statement_id").alias("most")).filter("least < most").select(*key)
+    named = groups.withColumnsRenamed({c: f"_{c}" for c in key})
+    members = ops.join(named, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key], "left_semi")
+    out = members.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("statement_id").alias("statements"), F.sort_array(F.collect_list(F.struct("statement_id", "seq", "id"))).alias("members"))
+    return out if limit is None else out.orderBy(F.desc("statements"), F.desc("n"), *key).limit(limit)
+
+
+def series_scale(daily: DataFrame) -> DataFrame:
+    """Least and largest value of a daily series' debits and credits, and the step of a scale of five lines that holds them."""
+    out = daily.agg(F.least(F.min("cargo"), F.min("abono")).alias("low"), F.greatest(F.max("cargo"), F.max("abono")).alias("high"))
+    return out.select(*[F.coalesce(F.col(x), F.lit(0.0)).alias(x) for x in ("low", "high")]).withColumn("step", F.greatest(F.col("high"), F.lit(1.0)) / 4)
 
 
 def summary(ops: DataFrame, adjustments: DataFrame | None = None, statement_id: int | None = None) -> dict[str, DataFrame]:

@@ -136,7 +136,7 @@ def _periods(ops: DataFrame) -> DataFrame:
     return rows.groupBy("account", F.year("date_iso").alias("y")).agg(F.min("date_iso").alias("a"), F.max("date_iso").alias("b"), F.min("id").alias("id")).select("id", (F.col("account") % 300).cast("string").alias("account_number"), day(F.col("a")).alias("period_start"), day(F.col("b")).alias("period_end"))
 
 
-over_ledger("period_overlap", lambda o: reconcile.overlaps(_periods(o)), ", p AS (SELECT min(id) AS statement_id, account % 300 AS acc, min(date_iso + INTERVAL 120 MONTH) AS a, max(date_iso + INTERVAL 120 MONTH) AS b FROM led WHERE date_iso >= DATE '2000-01-01' OR id % 2 = 0 GROUP BY account, year(date_iso + INTERVAL 120 MONTH)) SELECT x.statement_id, y.statement_id AS other_id FROM p x JOIN p y ON x.acc = y.acc AND x.a <= y.b AND y.a <= x.b AND x.statement_id <> y.statement_id")
+over_ledger("period_overlap", lambda o: reconcile.overlaps(_periods(o)), ", p AS (SELECT min(id) AS statement_id, account % 300 AS acc, min(date_iso + INTERVAL 120 MONTH) AS a, max(date_iso + INTERVAL 120 MONTH) AS b FROM led GROUP BY account, year(date_iso + INTERVAL 120 MONTH)) SELECT x.statement_id, y.statement_id AS other_id FROM p x JOIN p y ON x.acc = y.acc AND x.a <= y.b AND y.a <= x.b AND x.statement_id <> y.statement_id")
 
 
 @register("annex_unmatched", "WITH v AS (SELECT user_id, event_type, CAST(round(value) AS DECIMAL(18,2)) AS amount, count(*) AS n FROM events WHERE event_type IN ('view', 'purchase') AND value IS NOT NULL AND CAST(round(value) AS DECIMAL(18,2)) <> 0 GROUP BY ALL) SELECT a.user_id AS statement_id, CAST(sum(greatest(a.n - coalesce(b.n, 0), 0)) AS BIGINT) AS unmatched FROM v a LEFT JOIN v b ON a.user_id = b.user_id AND a.amount = b.amount AND b.event_type = 'purchase' WHERE a.event_type = 'view' GROUP BY 1")
@@ -317,7 +317,7 @@ def statement_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.dates import period_date
 
     rows = _statements(spark, sf_dir).select("id", period_date(F.col("period_start")).alias("start"))
-    return rows.withColumn("position", F.row_number().over(W.orderBy(F.col("start").desc_nulls_last(), F.desc("id"))))
+    return stats.positions(rows, "start", newest=True)
 
 
 @register("adjustment_totals", "SELECT CAST(sum(CASE WHEN c_custkey % 2 = 0 THEN CAST(abs(c_acctbal) AS DECIMAL(18,2)) ELSE 0 END) AS DOUBLE) AS cargo, CAST(sum(CASE WHEN c_custkey % 2 = 1 THEN CAST(abs(c_acctbal) AS DECIMAL(18,2)) ELSE 0 END) AS DOUBLE) AS abono, count(*) AS n FROM customer")

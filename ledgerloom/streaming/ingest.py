@@ -1,22 +1,31 @@
-"""Ingest of statements as a file stream: hash, dedupe, parse, reconcile, overwrite; queue views beside it.
+"""Ingest of statements as a file stream: hash, dedupe, adapter, parse, reconcile, store; queue views beside it.
 
-One streaming query with one checkpoint is the only writer. A batch rewrites whole statements, so
-a repeated batch, a retry or a reprocess leaves each statement's rows once, annex and issues too.
+One streaming query with one checkpoint is the only writer. A batch appends its rows to the child tables under
+a load of its own and then, last, a row for each statement to the log: that row makes the load's rows
+visible and hides those of earlier loads. So a repeated batch, a retry or a reprocess leaves each
+statement's rows once, annex and issues too, and a batch that dies halfway shows nothing. Nothing is deleted
+in the write path; `compact` rewrites what is current.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import reconcile, segment
+from .. import schemas
+from ..functions.dates import period_month, resolve_date
+from ..functions.text import normalize_key
+from ..operators import adapters, categories, reconcile, segment
 
-PENDING, FAILED = "procesando", "error"
+PENDING, FAILED, REPEATED, DELETED = "procesando", "error", "duplicado", "borrado"
+UNSUPPORTED = "no adapter supports this format"
+#: Statement ids are below 2^43; a row's id is its statement's and its number.
+ROW_BITS = 20
 STALE_MINUTES = 30
-CHILDREN = ("covers", "operations", "checkpoints", "annex", "pos", "issues", "statuses")
+CHILDREN = ("covers", "operations", "checkpoints", "annex", "pos", "issues", "sections")
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
@@ -43,46 +52,178 @@ def retryable(statements: DataFrame, now: Column) -> DataFrame:
 def queue_positions(statements: DataFrame) -> DataFrame:
     """statements with position: the rank of those that wait by time of upload and id, null for the others.
 
-    Only what waits is ordered; the queue is short beside the table.
+    Ranks come from counts by hour and ranks within an hour, so no task orders the whole queue.
     """
-    waiting = statements.filter((F.col("status") == PENDING) & F.col("started_at").isNull())
-    ranked = waiting.select("id", F.row_number().over(W.orderBy("uploaded_at", "id")).alias("position"))
-    return statements.join(ranked, "id", "left")
+    waiting = statements.filter((F.col("status") == PENDING) & F.col("started_at").isNull()).select("id", "uploaded_at", F.date_trunc("hour", "uploaded_at").alias("hour"))
+    hours = waiting.groupBy("hour").agg(F.count(F.lit(1)).alias("n"))
+    before = hours.select("hour", F.coalesce(F.sum("n").over(W.orderBy("hour").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    ranked = waiting.withColumn("rank", F.row_number().over(W.partitionBy("hour").orderBy("uploaded_at", "id"))).join(before, "hour")
+    return statements.join(ranked.select("id", (F.col("before") + F.col("rank")).cast("int").alias("position")), "id", "left")
 
 
-def write_parsed(parsed: segment.Parsed, root: str) -> None:
-    """Overwrites every child table's partitions of the statements at hand."""
-    found = reconcile.issues(parsed.covers, parsed.operations, parsed.checkpoints, parsed.annex, parsed.pos, parsed.fidelity).persist()
-    tables = {
-        "covers": parsed.covers, "operations": parsed.operations, "checkpoints": parsed.checkpoints, "annex": parsed.annex, "pos": parsed.pos,
-        "issues": found, "statuses": reconcile.statuses(parsed.covers, found),
-    }
-    ids = [r.statement_id for r in parsed.covers.select("statement_id").collect()]
-    for name, df in tables.items():
-        # partitions that get no rows this time are emptied first: a statement reprocessed may have lost all its issues
-        _drop_partitions(df.sparkSession, f"{root}/{name}", ids)
-        df.write.mode("append").partitionBy("statement_id").parquet(f"{root}/{name}")
-    found.unpersist()
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def log(spark: SparkSession, root: str) -> DataFrame:
+    """Every row of the statements' log."""
+    return spark.read.schema(schemas.LOG).parquet(f"{root}/log") if exists(spark, f"{root}/log") else spark.createDataFrame([], schemas.LOG)
+
+
+def statements(spark: SparkSession, root: str) -> DataFrame:
+    """The current row of each statement that is not deleted."""
+    rows = log(spark, root)
+    last = rows.groupBy("statement_id").agg(F.max_by(F.struct(*rows.columns), "load").alias("r")).select("r.*")
+    return last.filter(F.col("status") != DELETED)
+
+
+def table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """The current rows of a child table; an empty frame without columns of its own where nothing was stored yet."""
+    if not exists(spark, f"{root}/{name}"):
+        return spark.createDataFrame([], "statement_id long, load long").drop("load")
+    return spark.read.parquet(f"{root}/{name}").join(statements(spark, root).select("statement_id", "load"), ["statement_id", "load"]).drop("load")
+
+
+def content_hashes(words: DataFrame) -> DataFrame:
+    """statement_id, file_hash, pages: SHA-256 over a statement's words in a fixed order. A group is one printed document."""
+    word = F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("page", "x0", "y0", "x1", "y1", "text")])
+    return words.groupBy("statement_id").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(word)), "\n"), 256).alias("file_hash"), F.countDistinct("page").alias("pages"))
+
+
+def stored_operations(operations: DataFrame, covers: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """Operations with all that search and statistics need: id, date_iso, search_key, category."""
+    year, month = period_month(F.col("period_start"), F.col("period_end"))
+    periods = covers.select("statement_id", year.alias("year"), month.alias("month"))
+    rows = operations.join(periods, "statement_id", "left").withColumn("date_iso", resolve_date(F.col("date"), F.col("year"), F.col("month"))).drop("year", "month")
+    rows = rows.withColumns({"id": F.shiftleft("statement_id", ROW_BITS) + F.col("seq"), "search_key": normalize_key(F.col("description"))})
+    rules = rows.sparkSession.createDataFrame([], schemas.RULES) if rules is None else rules
+    return categories.categorize(rows, rules)
+
+
+def overlap_issues(covers: DataFrame, known: DataFrame) -> DataFrame:
+    """A warning for each statement at hand whose period shares days with another one's of its account."""
+    columns = ["statement_id", "account_number", "period_start", "period_end"]
+    both = covers.select(*columns).unionByName(known.select(*columns).join(covers.select("statement_id"), "statement_id", "left_anti"))
+    found = reconcile.overlaps(both.withColumnRenamed("statement_id", "id")).join(covers.select("statement_id"), "statement_id", "left_semi")
+    detail = F.concat(F.lit("Period shares days with statement "), F.col("other_id"))
+    return found.select("statement_id", F.lit("advertencia").alias("kind"), detail.alias("detail"), F.lit(None).cast("decimal(18,2)").alias("expected"), F.lit(None).cast("decimal(18,2)").alias("parsed"))
+
+
+def no_such_day(operations: DataFrame) -> DataFrame:
+    detail = F.concat(F.lit("Row "), F.col("seq"), F.lit(": no such day: "), F.col("date"))
+    return operations.filter("date_iso is null").select("statement_id", F.lit("fecha_invalida").alias("kind"), detail.alias("detail"), F.lit(None).cast("decimal(18,2)").alias("expected"), F.lit(None).cast("decimal(18,2)").alias("parsed"))
+
+
+def write_parsed(spark: SparkSession, adapter: adapters.Adapter, words: DataFrame, facts: DataFrame, root: str, rules: DataFrame | None) -> None:
+    """Parses statements and appends their rows under a new load; the log comes last."""
+    load = time.time_ns()
+    stage = f"{root}/stage-{load}"
+
+    def keep(name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{stage}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{stage}/{name}")
+
+    def put(name: str, df: DataFrame) -> DataFrame:
+        """Writes a table's rows of this load and reads them back: what follows starts from there."""
+        df.write.parquet(f"{root}/{name}/load={load}")
+        return spark.read.schema(df.schema).parquet(f"{root}/{name}/load={load}")
+
+    try:
+        parsed = adapter.parse(keep("words", words), keep)
+        covers = put("covers", parsed.covers)
+        operations = put("operations", stored_operations(parsed.operations, covers, rules))
+        checkpoints, annex, pos = put("checkpoints", parsed.checkpoints), put("annex", parsed.annex), put("pos", parsed.pos)
+        put("sections", parsed.sections)
+        found = put("findings", reconcile.issues(covers, operations, checkpoints, annex, pos, parsed.fidelity))
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(stage)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    status = reconcile.statuses(covers, found)
+    put("issues", found.unionByName(no_such_day(operations)).unionByName(overlap_issues(covers, statements(spark, root))))
+    count = lambda df, name: df.groupBy("statement_id").agg(F.count(F.lit(1)).alias(name))
+    rows = covers.join(facts, "statement_id").join(status, "statement_id", "left").join(reconcile.totals(operations).withColumnRenamed("n", "transaction_count"), "statement_id", "left")
+    rows = rows.join(count(annex, "annex_count"), "statement_id", "left").join(count(pos, "pos_count"), "statement_id", "left").fillna(0, ["transaction_count", "annex_count", "pos_count"])
+    append_log(rows.withColumns({"load": F.lit(load), "bank": F.lit(adapter.display_name), "progress_stage": F.lit("listo"), "progress_percent": F.lit(100)}), root)
+
+
+def append_log(rows: DataFrame, root: str) -> None:
+    from ..sources.tables import with_defaults
+
+    rows = rows.withColumn("finished_at", F.current_timestamp().cast("timestamp_ntz"))
+    with_defaults(rows, schemas.LOG).write.mode("append").parquet(f"{root}/log")
+
+
+def attempt(spark: SparkSession, adapter: adapters.Adapter, words: DataFrame, facts: DataFrame, root: str, rules: DataFrame | None, depth: int = 0) -> None:
+    """write_parsed; if it fails, the statements are halved until those that fail stand alone: they get status error, the others are stored."""
+    try:
+        write_parsed(spark, adapter, words, facts, root, rules)
+    except Exception as problem:
+        some = words.select("statement_id").distinct().limit(2).collect()
+        if len(some) < 2:
+            said = str(problem).splitlines()[0][:500]
+            append_log(facts.filter(F.col("statement_id") == some[0].statement_id).withColumns({"load": F.lit(time.time_ns()), "bank": F.lit(adapter.display_name), "status": F.lit(FAILED), "error": F.lit(said)}), root)
+            return
+        for half in (0, 1):
+            mine = F.pmod(F.shiftright(F.xxhash64("statement_id"), depth), F.lit(2)) == half
+            part = words.filter(mine)
+            if not part.isEmpty():
+                attempt(spark, adapter, part, facts, root, rules, depth + 1)
+
+
+def ingest_batch(words: DataFrame, root: str, registry: list[adapters.Adapter] | None = None, rules: DataFrame | None = None) -> None:
+    """A batch of whole statements: content that another statement has is refused, formats that nothing reads too, the rest is parsed and stored."""
+    spark = words.sparkSession
+    registry = adapters.REGISTRY if registry is None else registry
+    words = words.persist()
+    facts = content_hashes(words).join(adapters.assigned(words, registry), "statement_id").persist()
+    try:
+        known = statements(spark, root).filter(~F.col("status").isin(FAILED, REPEATED))
+        taken = known.select("file_hash", F.col("statement_id").alias("holder_id"))
+        first = facts.groupBy("file_hash").agg(F.min("statement_id").alias("first_id"))
+        judged = facts.join(first, "file_hash").join(taken.groupBy("file_hash").agg(F.min("holder_id").alias("holder_id")), "file_hash", "left")
+        repeated = F.coalesce(F.col("holder_id") != F.col("statement_id"), F.lit(False)) | (F.col("first_id") != F.col("statement_id"))
+        reason = F.when(repeated, REPEATED).when(F.col("adapter").isNull(), FAILED)
+        judged = judged.select("statement_id", "file_hash", "pages", "adapter", reason.alias("status"), F.coalesce("holder_id", "first_id").alias("same_as")).persist()
+        refused = judged.filter("status is not null")
+        error = F.when(F.col("status") == REPEATED, F.concat(F.lit("same content as statement "), F.col("same_as"))).otherwise(F.lit(UNSUPPORTED))
+        if not refused.isEmpty():
+            append_log(refused.withColumns({"load": F.lit(time.time_ns()), "error": error}), root)
+        for adapter in registry:
+            mine = judged.filter(F.col("status").isNull() & (F.col("adapter") == adapter.name)).select("statement_id", "file_hash", "pages")
+            if not mine.isEmpty():
+                attempt(spark, adapter, words.join(mine.select("statement_id"), "statement_id", "left_semi"), mine, root, rules)
+        judged.unpersist()
+    finally:
+        facts.unpersist()
+        words.unpersist()
+
+
+def stream_words(spark: SparkSession, source: str, schema: str, root: str, checkpoint: str, registry: list[adapters.Adapter] | None = None, rules: DataFrame | None = None):
+    """Runs all word files that have arrived since the last run; returns the ended query.
 
+    A batch holds whole files; a statement's words must lie in one file. With a new checkpoint all files are read again.
+    """
+    words = spark.readStream.schema(schema).parquet(source)
+    query = words.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda batch, _: ingest_batch(batch, root, registry, rules)).start()
+    query.awaitTermination()
+    return query
 
-def _drop_partitions(spark: SparkSession, path: str, ids: list[int]) -> None:
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for i in ids:
-        p = jvm.org.apache.hadoop.fs.Path(f"{path}/statement_id={i}")
-        p.getFileSystem(conf).delete(p, True)
 
+def reprocess(words: DataFrame, root: str, statement_id: int | None = None, registry: list[adapters.Adapter] | None = None, rules: DataFrame | None = None) -> None:
+    """Reads one statement again, or all; each one's rows are there once afterwards."""
+    ingest_batch(words if statement_id is None else words.filter(F.col("statement_id") == statement_id), root, registry, rules)
 
-def delete_statement(spark: SparkSession, root: str, statement_id: int) -> None:
-    for name in CHILDREN:
-        _drop_partitions(spark, f"{root}/{name}", [statement_id])
 
+def delete_statement(spark: SparkSession, root: str, statement_id: int) -> None:
+    """Hides a statement and all its rows; compact() removes them."""
+    append_log(spark.createDataFrame([(statement_id, time.time_ns(), DELETED)], "statement_id long, load long, status string"), root)
 
-def stream_words(spark: SparkSession, source: str, schema: str, root: str, checkpoint: str, parse: Callable[[DataFrame], segment.Parsed] = segment.parse):
-    """Runs all word files that have arrived since the last run; returns the ended query.
 
-    A batch holds whole files; a statement's words must lie in one file.
-    """
-    words = spark.readStream.schema(schema).parquet(source)
-    query = words.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda batch, _: write_parsed(parse(batch), root)).start()
-    query.awaitTermination()
-    return query
+def compact(spark: SparkSession, root: str, target: str) -> None:
+    """Writes what is current to another folder, which then replaces this one."""
+    load = statements(spark, root).select("statement_id", "load")
+    for name in CHILDREN:
+        if exists(spark, f"{root}/{name}"):
+            table(spark, root, name).join(load, "statement_id").write.partitionBy("load").parquet(f"{target}/{name}")
+    statements(spark, root).write.parquet(f"{target}/log")
