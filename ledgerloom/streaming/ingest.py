@@ -154,6 +154,16 @@ def append_log(rows: DataFrame, root: str) -> None:
     with_defaults(rows, schemas.LOG).write.mode("append").parquet(f"{root}/log")
 
 
+def reason_of(problem: Exception) -> str:
+    """An error's first line and its innermost cause, short enough for a column."""
+    lines = str(problem).splitlines() or [type(problem).__name__]
+    causes, cause = [], getattr(problem, "_origin", None)
+    while cause is not None:
+        causes.append(str(cause.getMessage()))
+        cause = cause.getCause()
+    return "; ".join(dict.fromkeys(x.splitlines()[0][:250] for x in [lines[0], *causes[-1:]] if x))
+
+
 def attempt(spark: SparkSession, adapter: adapters.Adapter, words: DataFrame, facts: DataFrame, root: str, rules: DataFrame | None, depth: int = 0) -> None:
     """write_parsed; if it fails, the statements are halved until those that fail stand alone: they get status error, the others are stored."""
     try:
@@ -161,7 +171,7 @@ def attempt(spark: SparkSession, adapter: adapters.Adapter, words: DataFrame, fa
     except Exception as problem:
         some = words.select("statement_id").distinct().limit(2).collect()
         if len(some) < 2:
-            said = str(problem).splitlines()[0][:500]
+            said = reason_of(problem)
             append_log(facts.filter(F.col("statement_id") == some[0].statement_id).withColumns({"load": F.lit(time.time_ns()), "bank": F.lit(adapter.display_name), "status": F.lit(FAILED), "error": F.lit(said)}), root)
             return
         for half in (0, 1):
