@@ -8,9 +8,10 @@
 4. Where a smallest text still has members of several components around it, each member is
    written as its difference from that text (what it lacks and what it adds). The difference
    gives the exact overlap of any two members: |C| - |lacks x| - |lacks y| + |both lack| +
-   |both add|. Members of different components meet in a join whose condition is the link itself,
-   after bounds by sizes alone, so it yields links and no pairs. Components are formed again. So
-   every pair of a bucket is compared, ruled out by its sizes, or connected already.
+   |both add|. A link between members of different components needs a known number of shingles
+   common to their differences. So members meet by the rarest shingles of their differences, in a
+   join with prefix, position and size bounds, and candidates are confirmed. Components are formed
+   again. So every pair of a bucket is compared, ruled out by a bound, or connected already.
 
 A link at the threshold itself shares no band with a probability under `MISS`; above it, less.
 Equality of sets and of shingles is that of 128-bit digests and 64-bit hashes.
@@ -38,6 +39,8 @@ from .shingles import mixed, portions, shingle_sets
 
 MISS = 1e-7
 MOST_BANDS = 32
+#: Members that share a shingle and meet in one group at the most; more are dealt over blocks.
+BLOCK = 1000
 #: Rows in a batch sent to Python where a row carries sets.
 BATCH = {"spark__sql__execution__arrow__maxRecordsPerBatch": "200"}
 TEXT_BATCH = {"spark__sql__execution__arrow__maxRecordsPerBatch": "2000"}
@@ -146,17 +149,45 @@ def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "part_a", "x", "y").mapInArrow(run, "a long, b long, part long, size long, lacks array<long>, adds array<long>")
 
 
-def linked_apart(apart: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between members of different components around the same text."""
-    side = lambda s: apart.select("b", *[F.col(c).alias(f"{c}{s}") for c in ("a", "part", "lacks", "adds")], "size").withColumnRenamed("size", f"size{s}").withColumn(f"lack{s}", F.size(f"lacks{s}")).withColumn(f"add{s}", F.size(f"adds{s}"))
-    size = F.col("size1")
-    both = 2 * size - F.col("lack1") - F.col("lack2") + F.col("add1") + F.col("add2")
-    near = lambda lack, add: (100 + percent) * (size - F.col("lack1") - F.col("lack2") + lack + add) >= percent * both
-    bound = near(F.least("lack1", "lack2"), F.least("add1", "add2"))
-    exact = near(F.size(F.array_intersect("lacks1", "lacks2")), F.size(F.array_intersect("adds1", "adds2")))
-    cheap = (F.col("part1") != F.col("part2")) & (F.col("a1") < F.col("a2")) & bound
-    pairs = side(1).join(side(2), "b").filter(F.when(cheap, exact).otherwise(F.lit(False)))
-    return pairs.select(F.col("a1").alias("a"), F.col("a2").alias("b")).distinct()
+def linked_apart(apart: DataFrame, percent: int, work: Work) -> DataFrame:
+    """Links (a, b) between members of different components around the same text.
+
+    With w = 100 |lacks| + percent |adds|, two members are linked if their differences have at least
+    (w1 + w2 - (100 - percent) size) / (100 + percent) shingles in common. That is above zero unless
+    both are linked with the text itself, and then they are in one component. So members meet in the
+    first places alone of what their differences share with any other, rarest first.
+    """
+    limit, one = (100 - percent) * F.col("size"), 100 + percent
+    needed = lambda sum_: F.greatest(F.ceil((sum_ - F.col("limit")) / one), F.lit(1)).cast("int")
+    members = apart.select("b", "a", "part", limit.alias("limit"), (100 * F.size("lacks") + percent * F.size("adds")).alias("w"), F.concat("lacks", "adds").alias("unlike"))
+    bounds = members.groupBy("b").agg(F.min("w").alias("least"), F.min(F.when(F.col("w") > F.col("limit"), F.col("w"))).alias("far")).filter("far is not null")
+    shingles = members.select("b", "a", F.explode("unlike").alias("shingle"))
+    shared = shingles.groupBy("b", "shingle").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    ranked = shingles.join(shared, ["b", "shingle"]).groupBy("b", "a").agg(F.array_sort(F.collect_list(F.struct("times", "shingle"))).alias("ranked"))
+    rows = members.drop("unlike").join(bounds, "b").join(ranked, ["b", "a"])
+    rows = rows.withColumns({"n": F.size("ranked"), "as_less": needed(F.col("w") + F.greatest("w", "far")), "as_more": needed(F.col("w") + F.col("least"))})
+    rows = work.table(rows, "ranked")
+
+    def side(rows: DataFrame, need: str, s: str) -> DataFrame:
+        """One row for each of a member's first places; left counts the places from there on."""
+        first = F.slice("ranked", F.lit(1), F.greatest(F.col("n") - F.col(need) + 1, F.lit(0)))
+        places = rows.select("b", "limit", "n", *[F.col(c).alias(f"{c}{s}") for c in ("a", "part", "w")], F.posexplode(first).alias("at", "place"))
+        blocks = F.ceil(F.col("place.times") / BLOCK).cast("int")
+        return places.select("b", F.col("place.shingle").alias("shingle"), blocks.alias("blocks"), "limit", f"a{s}", f"part{s}", f"w{s}", (F.col("n") - F.col("at")).alias(f"left{s}"))
+
+    # a shingle of many members is dealt over blocks on one side and copied to each on the other
+    less = side(rows, "as_less", "1").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    more = side(rows.filter("w > limit"), "as_more", "2").withColumn("block", F.pmod(F.xxhash64("a2"), F.col("blocks")).cast("int")).drop("blocks", "limit")
+    order = F.struct("w1", "a1") < F.struct("w2", "a2")
+    enough = one * F.least("left1", "left2") >= F.col("w1") + F.col("w2") - F.col("limit")
+    pairs = less.join(more, ["b", "shingle", "block"]).filter((F.col("part1") != F.col("part2")) & order & enough)
+    pairs = pairs.select("b", "a1", "a2", (F.col("w1") + F.col("w2") - F.col("limit")).alias("need")).distinct()
+    pairs = work.table(pairs, "pairs")
+
+    unlike = lambda s: members.select("b", F.col("a").alias(f"a{s}"), F.col("unlike").alias(f"unlike{s}"))
+    both = pairs.join(unlike("1"), ["b", "a1"]).join(unlike("2"), ["b", "a2"])
+    found = both.filter(one * F.size(F.array_intersect("unlike1", "unlike2")) >= F.col("need"))
+    return found.select(F.col("a1").alias("a"), F.col("a2").alias("b")).distinct()
 
 
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -189,11 +220,11 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     still = placed.groupBy("b").agg((F.least(F.min("part_a"), F.min("part_b")) < F.greatest(F.max("part_a"), F.max("part_b"))).alias("open")).filter("open").select("b")
     with settings(spark, **BATCH):
         apart = work.table(differences(placed.join(still, "b"), sets), "apart")
-    more = work.table(linked_apart(apart, percent), "more")
+    more = work.table(linked_apart(apart, percent, work), "more")
     if not more.isEmpty():
         found = components(seen.filter(linked).select("a", "b").unionByName(more), work, "second")
     found = work.table(found, "found")
-    work.drop("sets", "members", "placed", "star", "apart")
+    work.drop("sets", "members", "placed", "star", "apart", "ranked", "pairs")
 
     out = rows.select("doc_id", "n", "set").join(classes, "set", "left").join(found.withColumnRenamed("id", "class"), "class", "left")
     component = F.coalesce("component", "class", "doc_id")

@@ -139,6 +139,30 @@ def test_near_dedup(spark, docs):
     assert all(x.kept == (x.doc_id == x.component_id) for x in got) and len(got) == len(rows)
 
 
+@pytest.mark.parametrize("block", [3, 1000])
+def test_near_dedup_linked_apart(spark, monkeypatch, block):
+    """Links between members around one text: exactly those of brute force, many sharing few shingles or many."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    r, rows, want = random.Random(block), [], set()
+    for b, size in ((1, 40), (2, 100), (3, 7)):
+        centre, members = set(range(size)), {}
+        passages = [set(range(1000 + 50 * k, 1000 + 50 * k + size // 4)) for k in range(4)]
+        for i in range(60):
+            x = centre - set(r.sample(sorted(centre), r.randrange(size // 3 + 1)))
+            x |= set(r.sample(range(size, 2 * size), r.randrange(size // 3 + 1))) if i % 3 else r.choice(passages)
+            if i and i % 4 == 0:  # close to an earlier one
+                x = set(r.choice(list(members.values()))[0]) ^ {r.randrange(2 * size)}
+            if x != centre:
+                near = 100 * len(x & centre) >= 85 * len(x | centre)
+                members[100 * b + i] = (x, 0 if near else r.choice([100 * b + i, 7, 8]))
+        rows += [(i, b, part, size, sorted(centre - x), sorted(x - centre)) for i, (x, part) in members.items()]
+        for i, (x, p) in members.items():
+            want |= {frozenset([i, j]) for j, (y, q) in members.items() if i != j and p != q and 100 * len(x & y) >= 85 * len(x | y)}
+    apart = spark.createDataFrame(rows, "a long, b long, part long, size long, lacks array<long>, adds array<long>")
+    got = near_dedup.linked_apart(apart, 85, near_dedup.Work(spark, "apart-test")).collect()
+    assert len(want) > 50 and sorted(map(sorted, ({x.a, x.b} for x in got))) == sorted(map(sorted, want))
+
+
 def test_near_dedup_edges(docs):
     assert near_dedup.near_dedup(docs([])).count() == 0
     rows = near_dedup.near_dedup(docs([(None, "a b c d e f", "", ""), (5, "a b c d e f", "", ""), (None, None, "", "")])).collect()
