@@ -33,9 +33,11 @@ def period_date(text: Column) -> Column:
 
 
 def period_month(start: Column, end: Column) -> tuple[Column, Column]:
-    """Year and month that a statement's day texts belong to; 2000 and 1 if its period can't be read."""
-    day = period_date(F.coalesce(F.nullif(end, F.lit("")), start))
-    return F.coalesce(F.year(day), F.lit(2000)), F.coalesce(F.month(day), F.lit(1))
+    """Year and month that a statement's day texts (dd-mm-yy or dd-mm-yyyy) name, also where there is no such day; 2000 and 1 if they can't be read."""
+    text = F.coalesce(F.nullif(end, F.lit("")), start)
+    number = lambda i: F.regexp_extract(text, r"^\s*\d{1,4}\s*-\s*(\d{1,4})\s*-\s*(\d{1,4})\s*$", i).try_cast("int")
+    year = F.when(number(2) < 100, number(2) + 2000).otherwise(F.nullif(number(2), F.lit(0)))
+    return F.coalesce(year, F.lit(2000)), F.coalesce(F.nullif(number(1), F.lit(0)), F.lit(1))
 
 
 def resolve_date(day_month: Column, year: Column, month: Column) -> Column:
@@ -51,7 +53,7 @@ def eta_seconds(elapsed: Column, percent: Column) -> Column:
 
 
 def money_short(value: Column) -> Column:
-    """Millions as MM, thousands as M, with one decimal."""
-    size = F.abs(value)
-    short = lambda by, unit: F.concat(F.translate(F.format_number(value / by, 1), ",.", ".,"), F.lit(unit))
-    return F.when(size >= 1_000_000, short(1_000_000, " MM")).when(size >= 1_000, short(1_000, " M")).otherwise(F.translate(F.format_number(value, 2), ",.", ".,"))
+    """Millions with two decimals as MM, thousands with one as M, with a point; less in full with a comma; a dash for null."""
+    size, value = F.abs(value), value.cast("double")
+    short = F.when(size >= 1_000_000, F.format_string("%.2f MM", value / 1_000_000)).when(size >= 1_000, F.format_string("%.1f M", value / 1_000))
+    return F.when(value.isNull(), "—").otherwise(F.coalesce(short, F.translate(F.format_number(value, 2), ",.", ".,")))

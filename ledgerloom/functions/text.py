@@ -12,35 +12,32 @@ AMOUNT = r"^-?\d{1,3}(?:\.\d{3})*,\d{2}$"
 MONEY = "decimal(18,2)"
 
 
-#: Characters that fold to several letters and that statements print: ligatures aside, fractions and signs.
-PRINTED = "¼½¾™№℡"
-
-
 @lru_cache(maxsize=1)
-def _foldings() -> tuple[str, str, list[tuple[str, str]]]:
+def _foldings() -> tuple[str, str, dict[str, str]]:
     """What NFKD and the loss of all but ASCII make of each character: one letter or digit, or several."""
-    one, to, several = [], [], []
-    for cp in range(0x80, 0x10000):
-        c = chr(cp)
+    one, to, several = [], [], {}
+    for c in map(chr, range(0x80, 0x110000)):
+        if not unicodedata.decomposition(c):
+            continue
         folded = "".join(x for x in unicodedata.normalize("NFKD", c) if x.isascii() and x.isalnum())
         if len(folded) == 1:
             one.append(c)
             to.append(folded)
-        elif folded and (c in PRINTED or "LIGATURE" in unicodedata.name(c, "")):
-            several.append((c, folded))
+        elif folded:
+            several[c] = folded
     return "".join(one), "".join(to), several
 
 
 def normalize_key(text: Column) -> Column:
     """Lower-case ASCII letters and digits of the text after accents are taken off; nothing else stays.
 
-    Characters that fold to several letters are replaced one after another, only where a text has any.
+    Characters that fold to several letters are looked up one by one, only where a text may have any:
+    those that Latin text prints are named in the test, the others lie beyond U+2000.
     """
     one, to, several = _foldings()
-    wide = text
-    for c, folded in several:
-        wide = F.replace(wide, F.lit(c), F.lit(folded))
-    some = "[" + "".join(c for c, _ in several) + "]"
+    folded = F.create_map(*[F.lit(x) for kv in several.items() for x in kv])
+    wide = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(folded, c), c)), "")
+    some = "[" + "".join(c for c in several if c < "\u2000") + r"\x{2000}-\x{10FFFF}]"
     text = F.when(text.rlike(some), wide).otherwise(text)
     return F.lower(F.regexp_replace(F.translate(text, one, to), "[^A-Za-z0-9]", ""))
 
@@ -48,7 +45,7 @@ def normalize_key(text: Column) -> Column:
 def normalize_text(text: str) -> str:
     """normalize_key for a search term on the driver."""
     one, to, several = _foldings()
-    text = text.translate({ord(c): folded for c, folded in several} | {ord(a): b for a, b in zip(one, to, strict=True)})
+    text = text.translate({ord(c): folded for c, folded in several.items()} | {ord(a): b for a, b in zip(one, to, strict=True)})
     return "".join(x for x in text if x.isascii() and x.isalnum()).lower()
 
 

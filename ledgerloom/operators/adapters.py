@@ -22,6 +22,11 @@ class Adapter:
 REGISTRY: list[Adapter] = [Adapter("mercantil-corriente", "Mercantil - Cuenta Corriente", segment.detect, segment.parse)]
 
 
+def banks(registry: list[Adapter] | None = None) -> list[dict[str, str]]:
+    """Name and title of each layout that can be read."""
+    return [{"name": a.name, "title": a.display_name} for a in (REGISTRY if registry is None else registry)]
+
+
 def assigned(words: DataFrame, registry: list[Adapter] | None = None) -> DataFrame:
     """statement_id, adapter: the first that supports the statement; null for unsupported ones."""
     adapters = REGISTRY if registry is None else registry

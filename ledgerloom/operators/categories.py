@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_key
+from ..schemas import RULES
 
 # Default category of each payment method: fixed values.
 DEFAULT_CATEGORIES = {
@@ -58,6 +59,26 @@ def categorize(ops: DataFrame, rules: DataFrame, id_col: str = "id") -> DataFram
     return ops.join(hits, id_col, "left").withColumn("category", F.coalesce("_rule.category", default_category(F.col("method")))).drop("_rule")
 
 
+def listed_rules(rules: DataFrame) -> DataFrame:
+    """Rules in the order in which they are tried."""
+    return rules.orderBy("priority", "id")
+
+
+def add_rule(rules: DataFrame, pattern: str, category: str, priority: int = 100) -> DataFrame:
+    """rules with one more, after validation of its fields. Categories follow when they are next derived."""
+    if not 1 <= len(pattern) <= 200 or not 1 <= len(category) <= 60 or not 0 <= priority <= 999:
+        raise ValueError("pattern of 1-200, category of 1-60 letters, priority of 0-999")
+    last = rules.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    return rules.select("id", "pattern", "category", "priority").unionByName(rules.sparkSession.createDataFrame([(last + 1, pattern, category, priority)], RULES))
+
+
+def remove_rule(rules: DataFrame, rule_id: int) -> DataFrame:
+    """rules without the one of an id; an unknown id is an error."""
+    if rules.filter(F.col("id") == rule_id).isEmpty():
+        raise KeyError(f"no rule {rule_id}")
+    return rules.filter(F.col("id") != rule_id)
+
+
 def category_list(ops: DataFrame) -> DataFrame:
     """Categories in use and default ones, sorted."""
     spark = ops.sparkSession

@@ -81,6 +81,19 @@ def statuses(covers: DataFrame, found: DataFrame) -> DataFrame:
     return covers.select("statement_id").join(n, "statement_id", "left").select("statement_id", F.when(F.col("d") > 0, "DIFERENCIAS").when(F.col("w") > 0, "REVISAR").otherwise("CUADRA").alias("status"))
 
 
+def validation_rows(covers: DataFrame, ops: DataFrame, found: DataFrame) -> DataFrame:
+    """One row a statement: rows, debits, credits, status, and what explains it: the differences as kind:delta in order, or the number of warnings."""
+    delta = F.col("parsed") - F.col("expected")
+    apart = F.when(~F.col("kind").isin("fila_omitida", "advertencia", "fecha_invalida") & delta.isNotNull(), F.struct("kind", "detail", F.concat("kind", F.lit(":"), format_amount(delta)).alias("text")))
+    notes = found.groupBy("statement_id").agg(F.transform(F.array_sort(F.collect_list(apart)), lambda x: x["text"]).alias("deltas"), F.count_if(F.col("kind") == "advertencia").alias("warnings"))
+    rows = statuses(covers, found).join(totals(ops).withColumnRenamed("n", "rows"), "statement_id", "left").join(notes, "statement_id", "left")
+    zero = lambda x: F.coalesce(F.col(x), F.lit(0))
+    return rows.select(
+        "statement_id", zero("rows").cast("long").alias("rows"), zero("total_cargo").cast(MONEY).alias("total_cargo"), zero("total_abono").cast(MONEY).alias("total_abono"), "status",
+        F.coalesce(F.array_join("deltas", ", "), F.lit("")).alias("deltas"), zero("warnings").cast("long").alias("warnings"),
+    )
+
+
 def validation_matrix(found_statuses: DataFrame) -> DataFrame:
     return found_statuses.groupBy("status").agg(F.count(F.lit(1)).alias("files"))
 

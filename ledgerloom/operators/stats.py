@@ -98,6 +98,12 @@ def positions(rows: DataFrame, day: str, key: str = "id", newest: bool = False)
     return ranked.join(before, F.col(day).eqNullSafe(F.col("day_"))).withColumn("position", (F.col("before_") + F.col("rank_")).cast("int")).drop("day_", "before_", "rank_")
 
 
+def latest(statements: DataFrame, limit: int | None = 8) -> DataFrame:
+    """Statements (id, period_start), the newest period first, then the largest id, those without a readable period last."""
+    rows = statements.orderBy(period_date(F.col("period_start")).desc_nulls_last(), F.desc("id"))
+    return rows if limit is None else rows.limit(limit)
+
+
 def monthly(ops: DataFrame, statements: DataFrame | None = None) -> DataFrame:
     """Sums by statement, numbered in order of its period (or its first day), with change against the statement before.
 

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.dates import resolve_date
+from ..functions import labels
+from ..functions.dates import MONTHS, resolve_date
 from ..functions.text import format_amount, normalize_key, parse_amount
 from ..operators import balance, categories, layout, reconcile, search, stats
 
@@ -181,6 +182,7 @@ def _status(ops: DataFrame) -> DataFrame:
 
 over_ledger("recon_status", _status, f", {COV}, {PTS}, d AS (SELECT statement_id, bool_or(diff <> 0) AS off FROM pts GROUP BY 1) SELECT statement_id, CASE WHEN abs(cargo - deb) > 0.005 OR coalesce(off, false) THEN 'DIFERENCIAS' WHEN statement_id % 12 = 0 THEN 'REVISAR' ELSE 'CUADRA' END AS status FROM cov LEFT JOIN d USING (statement_id)")
 over_ledger("validation_matrix", lambda o: reconcile.validation_matrix(_status(o)), f", {COV}, {PTS}, d AS (SELECT statement_id, bool_or(diff <> 0) AS off FROM pts GROUP BY 1), s AS (SELECT CASE WHEN abs(cargo - deb) > 0.005 OR coalesce(off, false) THEN 'DIFERENCIAS' WHEN statement_id % 12 = 0 THEN 'REVISAR' ELSE 'CUADRA' END AS status FROM cov LEFT JOIN d USING (statement_id)) SELECT status, count(*) AS files FROM s GROUP BY 1")
+over_ledger("validation_rows", lambda o: reconcile.validation_rows(_covers(o), o, reconcile.issues(_covers(o), o, _points(o))).select("statement_id", "rows", *stats.money("total_cargo", "total_abono"), "status", "warnings"), f", {COV}, {PTS}, d AS (SELECT statement_id, bool_or(diff <> 0) AS off FROM pts GROUP BY 1), n AS (SELECT statement_id, count(*) AS rows FROM led GROUP BY 1) SELECT statement_id, rows, CAST(cargo AS DOUBLE) AS total_cargo, CAST(abono AS DOUBLE) AS total_abono, CASE WHEN abs(cargo - deb) > 0.005 OR coalesce(off, false) THEN 'DIFERENCIAS' WHEN statement_id % 12 = 0 THEN 'REVISAR' ELSE 'CUADRA' END AS status, CAST(CASE WHEN statement_id % 12 = 0 THEN 1 ELSE 0 END AS BIGINT) AS warnings FROM cov JOIN n USING (statement_id) LEFT JOIN d USING (statement_id)")
 over_ledger("missing_rows", lambda o: balance.missing_rows(balance.compared(_points(o))).select("statement_id", "ord", "page_before", "page", F.col("step").cast("double").alias("step"), "side"), f", {STEPS} SELECT statement_id, CAST(ord AS INTEGER) AS ord, page_before, page, CAST(step AS DOUBLE) AS step, CASE WHEN step > 0 THEN 'debit' ELSE 'credit' END AS side FROM st WHERE abs(step) > 0.005")
 
 
@@ -320,6 +322,16 @@ def statement_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.positions(rows, "start", newest=True)
 
 
+@register("latest_statements", f"WITH {_stm} SELECT id, start FROM stm ORDER BY start DESC NULLS LAST, id DESC LIMIT 8")
+def latest_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.dates import period_date
+
+    return stats.latest(_statements(spark, sf_dir)).select("id", period_date(F.col("period_start")).alias("start"))
+
+
+over_ledger("row_labels", lambda o: o.select("id", labels.method_label(F.col("method")).alias("method_label"), labels.date_label(F.col("date_iso")).alias("date_label"), labels.day_month_label(F.col("date_iso")).alias("day_month"), labels.period_label(F.date_format("date_iso", "dd-MM-yy")).alias("period_label")), f"SELECT id, {_map({m: labels.METHODS[m] for m in METHODS.values()} | {'otro': 'otro'}, 'method', '')} AS method_label, strftime(date_iso, '%d/%m/%y') AS date_label, strftime(date_iso, '%d/%m') AS day_month, list_extract({MONTHS}, CAST(month(date_iso) AS INTEGER)) || ' 20' || strftime(date_iso, '%y') AS period_label FROM led")
+
+
 @register("adjustment_totals", "SELECT CAST(sum(CASE WHEN c_custkey % 2 = 0 THEN CAST(abs(c_acctbal) AS DECIMAL(18,2)) ELSE 0 END) AS DOUBLE) AS cargo, CAST(sum(CASE WHEN c_custkey % 2 = 1 THEN CAST(abs(c_acctbal) AS DECIMAL(18,2)) ELSE 0 END) AS DOUBLE) AS abono, count(*) AS n FROM customer")
 def adjustment_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select(F.abs("c_acctbal").cast(MONEY).alias("amount"), F.when(F.col("c_custkey") % 2 == 0, "cargo").otherwise("abono").alias("direction"))

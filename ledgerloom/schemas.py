@@ -17,6 +17,7 @@ POS = "statement_id long, page int, ord int, date string, description string, am
 ISSUES = "statement_id long, kind string, detail string, expected decimal(18,2), parsed decimal(18,2)"
 ADJUSTMENTS = "id long, statement_id long, date string, description string, amount decimal(18,2), direction string, note string, created_at timestamp_ntz"
 RULES = "id long, pattern string, category string, priority int"
+PROGRESS = "statement_id long, load long, stage string, percent int, noted_at timestamp_ntz"
 #: The log of statements: one row for each time one was read, the last by load counts.
 LOG = (
     "statement_id long, load long, file_hash string, bank string, pages long, status string, error string, progress_stage string, progress_percent int, finished_at timestamp_ntz, holder string, account_number string, "

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions.dates import MONTHS, period_month
+from ..operators.balance import TOLERANCE
+from ..operators.reconcile import total_checks
 
 
 def read(spark: SparkSession, path: str, schema: str, form: str = "parquet") -> DataFrame:
@@ -47,13 +50,61 @@ def documents(parsed, found: DataFrame, statuses: DataFrame) -> DataFrame:
     return out.select("statement_id", F.to_json(F.struct("cover", "status", "issues", "operations", "annex", "pos", "checkpoints")).alias("document"))
 
 
-def report(statement: DataFrame, found: DataFrame, statement_id: int) -> str:
-    """A short text report on one statement; its rows are few and come to the driver."""
-    status = statement.filter(F.col("statement_id") == statement_id).first()
-    lines = [f"Statement {statement_id}: {status.status if status else 'unknown'}"]
-    for r in found.filter(F.col("statement_id") == statement_id).orderBy("kind", "detail").collect():
-        lines.append(f"  {r.kind}: {r.detail}" + (f" (expected {r.expected}, found {r.parsed})" if r.expected is not None else ""))
-    return "\n".join(lines)
+REPORT = (
+    "status string, year int, month int, month_name string, expected_cargo decimal(18,2), expected_abono decimal(18,2), expected_net decimal(18,2), computed_net decimal(18,2), "
+    "differences array<struct<kind: string, detail: string, expected: decimal(18,2), parsed: decimal(18,2)>>, missing_rows array<struct<detail: string, amount: decimal(18,2)>>, warnings array<string>, "
+    "checkpoints array<struct<ord: int, page: int, kind: string, printed: decimal(18,2), computed: decimal(18,2), difference: decimal(18,2)>>"
+)
+
+
+def reports(covers: DataFrame, ops: DataFrame, checkpoints: DataFrame, found: DataFrame, statuses: DataFrame) -> DataFrame:
+    """statement_id, report: one JSON document of schema REPORT for each statement (read it with read_reports)."""
+    year, month = period_month(F.col("period_start"), F.col("period_end"))
+    gather = lambda cond, *fields: F.array_sort(F.collect_list(F.when(cond, F.struct(*fields))))
+    kind = F.col("kind")
+    notes = found.groupBy("statement_id").agg(
+        gather(~kind.isin("fila_omitida", "advertencia", "fecha_invalida"), "kind", "detail", "expected", "parsed").alias("differences"),
+        gather(kind == "fila_omitida", "detail", F.col("expected").alias("amount")).alias("missing_rows"),
+        F.array_sort(F.collect_list(F.when(kind.isin("advertencia", "fecha_invalida"), F.col("detail")))).alias("warnings"),
+    )
+    point = [F.col("ord"), F.col("page"), kind, F.col("printed_balance").alias("printed"), F.col("computed_balance").alias("computed"), (F.col("computed_balance") - F.col("printed_balance")).cast("decimal(18,2)").alias("difference")]
+    points = checkpoints.groupBy("statement_id").agg(gather(F.lit(True), *point).alias("checkpoints"))
+    out = total_checks(covers, ops).withColumnRenamed("net", "computed_net").join(covers.select("statement_id", year.alias("year"), month.alias("month")), "statement_id")
+    for part in (statuses, notes, points):
+        out = out.join(part, "statement_id", "left")
+    out = out.withColumn("month_name", F.coalesce(F.get(F.array(*[F.lit(m) for m in MONTHS]), F.col("month") - 1), F.lit("")))
+    out = out.withColumns({c: F.coalesce(c, F.array()) for c in ("differences", "missing_rows", "warnings", "checkpoints")})
+    names = [f.name for f in covers.sparkSession.createDataFrame([], REPORT).schema]
+    return out.select("statement_id", F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("report"))
+
+
+def read_reports(rows: DataFrame) -> DataFrame:
+    """reports() with the document as columns again."""
+    return rows.select("statement_id", F.from_json("report", REPORT).alias("r")).select("statement_id", "r.*")
+
+
+def report(statement_id: int, covers: DataFrame, ops: DataFrame, checkpoints: DataFrame, found: DataFrame, statuses: DataFrame, annex: DataFrame | None = None, pos: DataFrame | None = None) -> str:
+    """A text report on one statement: cover, counts, totals, findings, printed balances, status. Its findings and checkpoints are few and come to the driver."""
+    mine = lambda df: df.filter(F.col("statement_id") == statement_id)
+    cover = mine(covers).first()
+    if cover is None:
+        raise KeyError(f"no statement {statement_id}")
+    r = read_reports(reports(*[mine(x) for x in (covers, ops, checkpoints, found, statuses)])).first()
+    total = total_checks(mine(covers), mine(ops)).first()
+    money = lambda x: "-" if x is None else f"{x:,.2f}".translate(str.maketrans(",.", ".,"))
+    c, rule = cover.asDict(), "-" * 60
+    lines = [f"Statement {statement_id}", f"Holder   {c.get('holder') or '-'}", f"Account  {c.get('account_number') or '-'}", f"Period   {c.get('period_start') or '-'} to {c.get('period_end') or '-'}", rule, f"Ledger rows    {total.n}"]
+    lines += [f"{name:<14} {mine(df).count()}" for name, df in (("Annex rows", annex), ("Points of sale", pos)) if df is not None]
+    lines += [rule, f"Debits   {money(total.total_cargo)}", f"Credits  {money(total.total_abono)}", f"Tax      {money(total.total_igtf)}", f"Net      {money(r.computed_net)}"]
+    lines += [f"Official {name} {money(value)}" for name, value in (("debits", r.expected_cargo), ("credits", r.expected_abono), ("net", r.expected_net)) if value is not None]
+    if r.differences:
+        lines += [rule, "Differences"] + [f"  {d.detail}" + ("" if None in (d.expected, d.parsed) else f" (expected {money(d.expected)}, found {money(d.parsed)}, delta {money(d.parsed - d.expected)})") for d in r.differences]
+    lines += [rule, "Rows left out by the bank"] + [f"  {m.detail}" for m in r.missing_rows] if r.missing_rows else []
+    lines += [rule, "Warnings"] + [f"  {w}" for w in r.warnings] if r.warnings else []
+    printed = [p for p in r.checkpoints if p.printed is not None]
+    mark = lambda p: "ok" if p.difference is not None and abs(p.difference) <= TOLERANCE else "??"
+    lines += [rule, "Printed balances"] + [f"  p{p.page} {p.kind} printed {money(p.printed)} computed {money(p.computed)} {mark(p)}" for p in printed] if printed else []
+    return "\n".join([*lines, rule, f"Status   {r.status or 'unknown'}"])
 
 
 def add_adjustment(adjustments: DataFrame, statement_id: int, date: str, description: str, amount: float, direction: str, note: str = "") -> DataFrame:
@@ -74,8 +125,3 @@ def add_adjustment(adjustments: DataFrame, statement_id: int, date: str, descrip
 def remove_adjustment(adjustments: DataFrame, statement_id: int, adjustment_id: int) -> DataFrame:
     """adjustments without the row, if it belongs to the statement."""
     return adjustments.filter(~((F.col("id") == adjustment_id) & (F.col("statement_id") == statement_id)))
-
-
-def check_rule(pattern: str, category: str, priority: int = 100) -> None:
-    if not 1 <= len(pattern) <= 200 or not 1 <= len(category) <= 60 or not 0 <= priority <= 999:
-        raise ValueError("pattern of 1-200, category of 1-60 letters, priority of 0-999")

@@ -19,6 +19,7 @@ from .. import schemas
 from ..functions.dates import period_month, resolve_date
 from ..functions.text import normalize_key
 from ..operators import adapters, categories, reconcile, segment
+from .progress import with_eta
 
 PENDING, FAILED, REPEATED, DELETED = "procesando", "error", "duplicado", "borrado"
 UNSUPPORTED = "no adapter supports this format"
@@ -85,6 +86,30 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}").join(statements(spark, root).select("statement_id", "load"), ["statement_id", "load"]).drop("load")
 
 
+def operations(spark: SparkSession, root: str, rules: DataFrame | None = None) -> DataFrame:
+    """The current operations; with rules, their categories are derived anew, so that a rule made or removed counts for all of them."""
+    rows = table(spark, root, "operations")
+    return rows if rules is None or "search_key" not in rows.columns else categories.categorize(rows, rules)
+
+
+def note(facts: DataFrame, load: int, stage: str, percent: int, root: str) -> None:
+    """One row of progress for each statement of a load."""
+    rows = facts.select("statement_id", F.lit(load).cast("long").alias("load"), F.lit(stage).alias("stage"), F.lit(percent).alias("percent"), F.current_timestamp().cast("timestamp_ntz").alias("noted_at"))
+    rows.write.mode("append").parquet(f"{root}/progress")
+
+
+def progress(spark: SparkSession, root: str) -> DataFrame:
+    """How far the last load of each statement has come: statement_id, load, stage, percent, elapsed (seconds since its first note) and eta."""
+    if not exists(spark, f"{root}/progress"):
+        return with_eta(spark.createDataFrame([], f"{schemas.PROGRESS}, elapsed double, progress_percent int")).drop("noted_at", "progress_percent")
+    rows = spark.read.schema(schemas.PROGRESS).parquet(f"{root}/progress")
+    loads = rows.groupBy("statement_id", "load").agg(F.max_by(F.struct("stage", "percent", "noted_at"), "percent").alias("now"), F.min("noted_at").alias("began"))
+    last = loads.groupBy("statement_id").agg(F.max_by(F.struct("load", "now", "began"), "load").alias("r"))
+    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
+    out = last.select("statement_id", "r.load", "r.now.stage", F.col("r.now.percent").alias("percent"), (seconds("r.now.noted_at") - seconds("r.began")).alias("elapsed"))
+    return with_eta(out.withColumn("progress_percent", F.col("percent"))).drop("progress_percent")
+
+
 def content_hashes(words: DataFrame) -> DataFrame:
     """statement_id, file_hash, pages: SHA-256 over a statement's words in a fixed order. A group is one printed document."""
     word = F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("page", "x0", "y0", "x1", "y1", "text")])
@@ -130,21 +155,25 @@ def write_parsed(spark: SparkSession, adapter: adapters.Adapter, words: DataFram
         return spark.read.schema(df.schema).parquet(f"{root}/{name}/load={load}")
 
     try:
+        note(facts, load, "leyendo", 5, root)
         parsed = adapter.parse(keep("words", words), keep)
         covers = put("covers", parsed.covers)
         operations = put("operations", stored_operations(parsed.operations, covers, rules))
+        note(facts, load, "guardando", 60, root)
         checkpoints, annex, pos = put("checkpoints", parsed.checkpoints), put("annex", parsed.annex), put("pos", parsed.pos)
         put("sections", parsed.sections)
         found = put("findings", reconcile.issues(covers, operations, checkpoints, annex, pos, parsed.fidelity))
     finally:
         path = spark._jvm.org.apache.hadoop.fs.Path(stage)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    note(facts, load, "conciliando", 85, root)
     status = reconcile.statuses(covers, found)
     put("issues", found.unionByName(no_such_day(operations)).unionByName(overlap_issues(covers, statements(spark, root))))
     count = lambda df, name: df.groupBy("statement_id").agg(F.count(F.lit(1)).alias(name))
     rows = covers.join(facts, "statement_id").join(status, "statement_id", "left").join(reconcile.totals(operations).withColumnRenamed("n", "transaction_count"), "statement_id", "left")
     rows = rows.join(count(annex, "annex_count"), "statement_id", "left").join(count(pos, "pos_count"), "statement_id", "left").fillna(0, ["transaction_count", "annex_count", "pos_count"])
     append_log(rows.withColumns({"load": F.lit(load), "bank": F.lit(adapter.display_name), "progress_stage": F.lit("listo"), "progress_percent": F.lit(100)}), root)
+    note(facts, load, "listo", 100, root)
 
 
 def append_log(rows: DataFrame, root: str) -> None:

@@ -4,8 +4,8 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import adapters, search, segment, stats
-from ledgerloom.schemas import WORDS
+from ledgerloom.operators import adapters, categories, search, segment, stats
+from ledgerloom.schemas import RULES, WORDS
 from ledgerloom.sources import fixtures as fx
 from ledgerloom.streaming import ingest
 
@@ -34,6 +34,12 @@ def test_stream_is_idempotent(spark, tmp_path):
         ingest.stream_words(spark, source, WORDS, root, f"{tmp_path}/{checkpoint}")
         sizes.append([count(n) for n in ("operations", "annex", "pos", "issues")] + [ingest.statements(spark, root).count()])
     assert sizes[0] == sizes[1] == sizes[2] and sizes[0][:3] == [8, 4, 2] and sizes[0][-1] == 2
+    done = ingest.progress(spark, root).collect()
+    assert sorted((r.statement_id, r.stage, r.percent, r.eta) for r in done) == [(1, "listo", 100, None), (2, "listo", 100, None)] and all(r.elapsed > 0 for r in done)
+    assert ingest.progress(spark, f"{tmp_path}/nowhere").count() == 0
+    rules = categories.add_rule(spark.createDataFrame([], RULES), "a", "Todo")
+    assert {r.category for r in ingest.operations(spark, root, rules).filter("search_key like '%a%'").collect()} == {"Todo"}
+    assert "Todo" not in {r.category for r in ingest.operations(spark, root).collect()}
     ingest.delete_statement(spark, root, 2)
     assert count("operations") == 4 and ingest.statements(spark, root).count() == 1
     ingest.compact(spark, root, f"{tmp_path}/small")

@@ -1,15 +1,17 @@
 """Operators over ledgers on small tables."""
 
 import random
+import unicodedata
 from datetime import date
 from decimal import Decimal as D
 
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import dates, text
+from ledgerloom.functions import dates, labels, text
 from ledgerloom.functions.enrich import enrich
 from ledgerloom.operators import balance, categories, reconcile, search, stats
+from ledgerloom.schemas import RULES
 from ledgerloom.sources import tables
 
 OPS = "id long, statement_id long, seq int, date_iso date, cargo decimal(18,2), abono decimal(18,2), igtf decimal(18,2), amount decimal(18,2), direction string, method string, category string, counterpart string, concept string, description string, search_key string, balance_computed decimal(18,2), reference string, counterpart_account string"
@@ -130,6 +132,27 @@ def test_reconcile(spark):
     assert [(r.expected, r.parsed) for r in found if r.kind == "neto"] == [(D(55), D(45))]
 
 
+def test_reports(spark):
+    covers = spark.createDataFrame([(1, D(100), D(0), D(200), D(0), D(180), D(0), D(120), "01-01-24", "31-01-24"), (2, D(0), D(0), D(0), D(0), D(0), D(0), D(0), None, None)], f"{COVER}, period_start string, period_end string")
+    rows = spark.createDataFrame([(1, 1, D(0), D(200), D(0), D(200)), (1, 2, D(150), D(0), D(0), D(150))], "statement_id long, seq int, cargo decimal(18,2), abono decimal(18,2), igtf decimal(18,2), amount decimal(18,2)")
+    points = spark.createDataFrame([(1, 1, 1, "inicio", "", D(100), None, D(100)), (1, 3, 2, "final", "", D(120), None, D(150))], POINT)
+    annex = spark.createDataFrame([(1, D(7))], "statement_id long, amount decimal(18,2)")
+    found = reconcile.issues(covers, rows, points, annex)
+    status = reconcile.statuses(covers, found)
+    got = {r.statement_id: r for r in tables.read_reports(tables.reports(covers, rows, points, found, status)).collect()}
+    assert (got[1].status, got[1].year, got[1].month, got[1].month_name, got[1].expected_cargo, got[1].computed_net) == ("DIFERENCIAS", 2024, 1, "Enero", D(180), D(50))
+    assert [d.kind for d in got[1].differences] == ["cargo", "neto"] and [m.amount for m in got[1].missing_rows] == [D(30)] and len(got[1].warnings) == 1
+    assert [c.difference for c in got[1].checkpoints] == [D(0), D(30)]
+    assert (got[2].status, got[2].differences, got[2].checkpoints, got[2].year) == ("CUADRA", [], [], 2000)
+    said = tables.report(1, covers, rows, points, found, status, annex)
+    for part in ("Account  -", "Ledger rows    2", "Annex rows     1", "Debits   150,00", "Official debits 180,00", "delta -30,00", "p2 final printed 120,00 computed 150,00 ??", "p1 inicio printed 100,00 computed 100,00 ok", "Status   DIFERENCIAS"):
+        assert part in said, (part, said)
+    with pytest.raises(KeyError):
+        tables.report(9, covers, rows, points, found, status)
+    matrix = {r.statement_id: r for r in reconcile.validation_rows(covers, rows, found).collect()}
+    assert (matrix[1].rows, matrix[1].deltas, matrix[1].warnings, matrix[2].deltas, matrix[2].rows) == (2, "cargo:-30,00, neto:30,00", 1, "", 0)
+
+
 def test_overlaps(spark):
     rows = [(1, "a", "01-01-24", "31-01-24"), (2, "a", "31-01-24", "28-02-24"), (3, "b", "01-01-24", "31-01-24"), (4, "a", "31-02-24", "31-03-24"), (5, None, "01-01-24", "31-01-24")]
     df = spark.createDataFrame(rows, "id long, account_number string, period_start string, period_end string")
@@ -146,7 +169,54 @@ def test_dates_and_text(spark):
     for t in ("CU ENTA ñandú", "ﬁn ² ½ ß", "", "Ünï-cödé"):
         assert one(text.normalize_key(F.lit(t))) == text.normalize_text(t)
     assert one(text.title_case(F.lit("MARIA-JOSE D'ARCO"))) == "Maria-Jose D'Arco"
-    assert one(dates.money_short(F.lit(2_500_000.0))) == "2,5 MM"
+    assert one(dates.money_short(F.lit(2_500_000.0))) == "2.50 MM"
+    short = {1500: "1.5 M", -2_340_000_000: "-2340.00 MM", 999.5: "999,50", 0: "0,00"}
+    assert {v: one(dates.money_short(F.lit(float(v)))) for v in short} == short and one(dates.money_short(F.lit(None).cast("double"))) == "—"
+
+
+def test_periods_name_months_that_days_do_not_reach(spark):
+    rows = [("01-01-24", "31-02-24", 2024, 2), ("01-03-2023", "", 2023, 3), ("01-03-23", None, 2023, 3), (None, None, 2000, 1), ("x", "1-2", 2000, 1), ("01-00-00", None, 2000, 1)]
+    df = spark.createDataFrame(rows, "a string, b string, y int, m int")
+    assert [tuple(r) for r in df.select(*dates.period_month(F.col("a"), F.col("b"))).collect()] == [r[2:] for r in rows]
+
+
+def test_search_keys_fold_as_nfkd(spark):
+    """Every character that has a decomposition, alone and inside a word, against the standard library."""
+    fold = lambda s: "".join(c for c in unicodedata.normalize("NFKD", s) if c.isascii() and c.isalnum()).lower()
+    chars = [c for c in map(chr, range(0x80, 0x110000)) if unicodedata.decomposition(c) and fold(c)]
+    assert len(chars) > 1500 and {"Ⅳ", "㎏", "𝐀", "¼"} <= set(chars)
+    df = spark.createDataFrame([(c, f"A-{c}1") for c in chars], "a string, b string")
+    for r in df.select("a", text.normalize_key(F.col("a")).alias("x"), text.normalize_key(F.col("b")).alias("y")).collect():
+        assert (r.x, r.y) == (fold(r.a), fold(f"A-{r.a}1")) == (text.normalize_text(r.a), text.normalize_text(f"A-{r.a}1")), r.a
+
+
+def test_labels(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    day = F.lit(date(2024, 3, 9))
+    assert (one(labels.date_label(day)), one(labels.day_month_label(day))) == ("09/03/24", "09/03")
+    assert (one(labels.date_label(F.lit(None).cast("date"))), one(labels.day_month_label(F.lit(None).cast("date")))) == ("—", "")
+    periods = {"31-01-24": "Enero 2024", "31-12-2023": "Diciembre 2023", "31-13-24": "13 2024", "2024": "2024", "": "—"}
+    assert {p: one(labels.period_label(F.lit(p))) for p in periods} == periods and one(labels.period_short(F.lit("01-09-24"))) == "Sep"
+    assert one(labels.method_label(F.lit("pago_movil"))) == "pago móvil" and one(labels.method_label(F.lit("x_y_z"))) == "x y z"
+    assert one(labels.status_label(F.lit("CUADRA"))) == "cuadra al céntimo" and one(labels.status_label(F.lit("z"))) == "z"
+
+
+def test_rules(spark, ops):
+    rules = categories.add_rule(categories.add_rule(spark.createDataFrame([], RULES), "agua", "Agua", 7), "PAGO 1", "Pagos")
+    assert [(r.id, r.category) for r in categories.listed_rules(rules).collect()] == [(1, "Agua"), (2, "Pagos")]
+    found = lambda rules: {r.id: r.category for r in categories.categorize(ops, rules).collect()}
+    assert (found(rules)[1], found(rules)[2]) == ("Pagos", "Agua")
+    assert found(categories.remove_rule(rules, 2))[1] == "Cheques"
+    with pytest.raises(KeyError):
+        categories.remove_rule(rules, 9)
+    for bad in (("", "A", 1), ("a", "", 1), ("a", "A", 1000)):
+        with pytest.raises(ValueError):
+            categories.add_rule(rules, *bad)
+
+
+def test_latest(spark):
+    df = spark.createDataFrame([(1, "01-01-24"), (2, "x"), (3, "01-02-24"), (4, "01-01-24"), (5, None)], "id long, period_start string")
+    assert [r.id for r in stats.latest(df).collect()] == [3, 4, 1, 5, 2] and stats.latest(df, 2).count() == 2
 
 
 def test_enrich(spark):
