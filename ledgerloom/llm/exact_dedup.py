@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .shared import SPACES, Work, documents, packed, text_or_empty
+from .shared import SPACES, Work, documents, joined_by_size, packed, text_or_empty
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -87,7 +87,7 @@ def exact_dedup(docs: DataFrame, digest=None, locator: Column | None = None, sta
     rows.write.option("compression", "zstd").parquet(f"{folder}/rows/run={run}")
     groups = run_state(spark, folder, StructType([*rows.schema.fields, StructField("run", StringType())]))
     rows = spark.read.schema(rows.schema).parquet(f"{folder}/rows/run={run}")
-    out = rows.join(groups, "digest")
+    out = joined_by_size(rows, groups, "digest", "group_size")
     # the hits: members of groups of several rows, with their whole texts
     whole = docs.select("doc_id", "text") if known is None else docs.select("doc_id", "text").unionByName(known.select("doc_id", "text"))
     every = out

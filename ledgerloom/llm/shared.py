@@ -108,6 +108,24 @@ def most_frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.filter(step >= least) if least is not None else counts.limit(0)
 
 
+#: A key is hot from one in so many rows on, so fewer keys than that are.
+HOT = 1000
+
+
+def joined_by_size(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """rows joined to groups, which has one row for each key and, in the column size, its number of rows.
+
+    Hot keys are fewer than HOT at any size of the tables: they are broadcast and their rows stay where
+    they are. The others meet by a shuffle, in which a key holds at most one in HOT of the rows. Rows
+    whose key is null are left out.
+    """
+    total = groups.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    is_hot = F.col(size) * HOT > total
+    hot = groups.filter(is_hot)
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.filter(~is_hot), key)
+    return rows.join(F.broadcast(hot), key).unionByName(others)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
