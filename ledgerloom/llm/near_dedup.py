@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Work, documents, keyed, settings, ship
+from .shared import Work, documents, joined_by_size, keyed, settings, ship
 from .shingles import mixed, portions, shingle_sets
 
 MISS = 1e-7
@@ -197,7 +197,7 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     work = Work(spark, "near-dedup")
     with settings(spark, **TEXT_BATCH):
         rows = work.table(signatures(docs, words, percent), "signatures")
-    classes = rows.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("class"))
+    classes = rows.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("class"), F.count(F.lit(1)).alias("size"))
     firsts = rows.join(classes, (rows["set"] == classes["set"]) & (F.col("doc_id") == F.col("class")), "left_semi")
     members = firsts.select("doc_id", "n", F.explode("bands").alias("band"))
     buckets = members.groupBy("band").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("band", "first")
@@ -223,12 +223,14 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     more = work.table(linked_apart(apart, percent, work), "more")
     if not more.isEmpty():
         found = components(seen.filter(linked).select("a", "b").unionByName(more), work, "second")
-    found = work.table(found, "found")
+    # one row for each set, then by set to the rows: those of one set are never gathered
+    classes = work.table(classes.join(found.withColumnRenamed("id", "class"), "class", "left"), "classes")
     work.drop("sets", "members", "placed", "star", "apart", "ranked", "pairs")
 
-    out = rows.select("doc_id", "n", "set").join(classes, "set", "left").join(found.withColumnRenamed("id", "class"), "class", "left")
-    component = F.coalesce("component", "class", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    rows = rows.select("doc_id", "n", "set")
+    out = joined_by_size(rows.filter("n > 0"), classes, "set", "size").select("doc_id", "n", F.coalesce("component", "class", "doc_id").alias("component_id"))
+    out = out.unionByName(rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, exact_dedup, license_scan, lm_score, mixing, near_dedup, pii, quality, shingles
+from ledgerloom.llm import bpe, exact_dedup, license_scan, lm_score, mixing, near_dedup, pii, quality, shared, shingles
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -169,6 +169,23 @@ def test_near_dedup_edges(docs):
     assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in rows) == [("5", "5", True), ("None", "5", False), ("None", "None", True)]
 
 
+@pytest.mark.parametrize("hot", [1, 4, 1000])
+def test_hot_keys_are_joined_apart(spark, docs, monkeypatch, hot):
+    """No key hot, some, or all: the same rows; a null key has none. Dedup is unchanged by where the line is."""
+    monkeypatch.setattr(shared, "HOT", hot)
+    keys = ["a"] * 40 + ["b"] * 20 + list("cdefgh") * 3 + [None] * 5
+    rows = spark.createDataFrame(list(enumerate(keys)), "doc_id long, k string")
+    groups = rows.filter("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("times"))
+    got = shared.joined_by_size(rows, groups, "k", "times").select("doc_id", "k", "times").collect()
+    assert sorted(map(tuple, got)) == [(i, k, keys.count(k)) for i, k in enumerate(keys) if k]
+    assert shared.joined_by_size(rows.limit(0), groups.limit(0), "k", "times").count() == 0
+    df = docs()
+    exact = exact_dedup.exact_dedup(df).drop("keep_at").collect()
+    assert sorted(map(tuple, exact), key=repr) == dedup_brute([tuple(r)[:2] for r in df.collect()])
+    near = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dedup.near_dedup(df.filter("doc_id is not null"), 3, 85).collect()}
+    assert near == near_brute([tuple(r)[:2] for r in df.filter("doc_id is not null").collect()], 3, 85)
+
+
 def test_near_dedup_stage_ids(spark, docs):
     """Rows without an identifier, or sharing one, are decided each by its own text."""
     text = lambda s, n=60: " ".join(f"{s}{i}" for i in range(n))
