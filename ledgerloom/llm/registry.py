@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, extract, language_id, license_scan, lm_score, mixing, near_dedup, pii, quality
+from . import bpe, classifier, exact_dedup, extract, language_id, license_scan, lm_score, mixing, near_dedup, pii, quality, search, whitening
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_mixing": mixing.query,
     "op9_language_id": language_id.query,
     "op10_bpe": bpe.query,
+    "op11_quality_classifier": classifier.query,
+    "op12_whitening": whitening.query,
+    "op13_ranked_search": search.query,
 }
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
     "op7_quality_rules": quality.ORACLE,
     "op8_mixing": mixing.ORACLE,
+    "op13_ranked_search": search.ORACLE,
 }
