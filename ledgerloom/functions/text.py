@@ -54,8 +54,8 @@ def is_amount(text: Column) -> Column:
 
 
 def parse_amount(text: Column) -> Column:
-    """1.234.567,89 to a decimal; null for what is no amount."""
-    return F.when(is_amount(text), F.translate(F.translate(text, ".", ""), ",", ".").cast(MONEY))
+    """1.234.567,89 to a decimal; null for what is no amount, or one beyond sixteen digits."""
+    return F.when(is_amount(text), F.translate(F.translate(text, ".", ""), ",", ".").try_cast(MONEY))
 
 
 def format_amount(value: Column) -> Column:

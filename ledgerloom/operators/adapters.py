@@ -11,6 +11,14 @@ from pyspark.sql import functions as F
 from . import segment
 
 
+class BadStatement(ValueError):
+    """What an adapter raises for statements that it can't read; with their ids, the others are read without them."""
+
+    def __init__(self, reason: str, statement_ids: tuple[int, ...] = ()):
+        super().__init__(reason)
+        self.statement_ids = tuple(statement_ids)
+
+
 @dataclass(frozen=True)
 class Adapter:
     name: str

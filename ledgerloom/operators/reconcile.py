@@ -46,13 +46,29 @@ def total_checks(covers: DataFrame, ops: DataFrame) -> DataFrame:
     )
 
 
-def overlaps(statements: DataFrame) -> DataFrame:
-    """Pairs of statements of one account whose periods share a day: statement_id, other_id. Accounts are the join key, dates its condition."""
-    rows = statements.select(F.col("id").alias("statement_id"), "account_number", period_date(F.col("period_start")).alias("start"), period_date(F.col("period_end")).alias("end"))
-    rows = rows.filter("account_number is not null and start is not null and end is not null")
-    other = rows.select(F.col("statement_id").alias("other_id"), "account_number", F.col("start").alias("other_start"), F.col("end").alias("other_end"))
+def _periods(statements: DataFrame) -> DataFrame:
+    rows = statements.select("id", "account_number", period_date(F.col("period_start")).alias("start"), period_date(F.col("period_end")).alias("end"))
+    return rows.filter("account_number is not null and start <= end")
+
+
+def overlaps_with(new: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs of a new statement and another of its account, known (which may hold new ones too), whose periods share a day: statement_id, other_id.
+
+    Periods are dealt to the months that they touch and meet by account and month, so work follows the new statements and their months,
+    not an account's whole past. Two periods that share several months meet in the first of them alone.
+    """
+    month = lambda c: F.year(c) * 12 + F.month(c)
+    dealt = lambda df: df.withColumn("bin", F.explode(F.sequence(month(F.col("start")), month(F.col("end")))))
+    mine = dealt(_periods(new)).select(F.col("id").alias("statement_id"), "account_number", "bin", "start", "end")
+    other = dealt(_periods(known)).select(F.col("id").alias("other_id"), "account_number", "bin", F.col("start").alias("other_start"), F.col("end").alias("other_end"))
     hit = (F.col("start") <= F.col("other_end")) & (F.col("other_start") <= F.col("end")) & (F.col("statement_id") != F.col("other_id"))
-    return rows.join(other, "account_number").filter(hit).select("statement_id", "other_id")
+    first = F.col("bin") == month(F.greatest("start", "other_start"))
+    return mine.join(other, ["account_number", "bin"]).filter(hit & first).select("statement_id", "other_id")
+
+
+def overlaps(statements: DataFrame) -> DataFrame:
+    """Pairs of statements of one account whose periods share a day, each in both orders."""
+    return overlaps_with(statements, statements)
 
 
 def issues(covers: DataFrame, ops: DataFrame, checkpoints: DataFrame, annex: DataFrame | None = None, pos: DataFrame | None = None, fidelity: DataFrame | None = None) -> DataFrame:

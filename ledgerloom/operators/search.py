@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import date
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,11 @@ SORTS = {"date": "date_iso", "amount": "amount", "description": "description", "
 EXPORT_COLUMNS = ["Fecha", "Descripción", "Método", "Categoría", "Contraparte", "Cuenta", "Banco", "Referencia", "Concepto", "Cargo", "Abono", "IGTF", "Saldo", "Archivo"]
 
 
+def _bound(value: float | Decimal) -> Column:
+    """A bound as it was written, not rounded to cents."""
+    return F.lit(Decimal(format(Decimal(str(value)), "f")))
+
+
 @dataclass
 class Filters:
     statement_id: int | None = None
@@ -43,9 +49,9 @@ class Filters:
         if self.category:
             out.append(c("category") == self.category)
         if self.amount_min is not None:
-            out.append(c("amount") >= F.lit(self.amount_min).cast("decimal(18,2)"))
+            out.append(c("amount") >= _bound(self.amount_min))
         if self.amount_max is not None:
-            out.append(c("amount") <= F.lit(self.amount_max).cast("decimal(18,2)"))
+            out.append(c("amount") <= _bound(self.amount_max))
         if self.text and (key := normalize_text(self.text)):
             # the text is matched literally: % and _ have no meaning of their own
             out.append(c("search_key").contains(key) | F.lower("description").contains(self.text.lower()))
@@ -56,6 +62,39 @@ def search(ops: DataFrame, filters: Filters) -> DataFrame:
     return reduce(lambda df, cond: df.filter(cond), filters.conditions(), ops)
 
 
+#: Letters in a part of a key, and how many parts of a text are looked up.
+LETTERS, MOST_PARTS = 3, 4
+
+
+def grams(ops: DataFrame) -> DataFrame:
+    """ops (id, search_key, date_iso) to gram, id, month: every LETTERS letters in a row of a search key, each once, and the shorter ones at its end."""
+    key = F.col("search_key")
+    parts = F.when(F.length(key) > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(key), F.lit(1))), lambda i: F.substring(key, i, F.lit(LETTERS)))))
+    month = F.coalesce(F.year("date_iso") * 100 + F.month("date_iso"), F.lit(0)).cast("int")
+    return ops.select(F.explode(parts).alias("gram"), "id", month.alias("month"))
+
+
+def candidates(grams: DataFrame, text: str) -> DataFrame | None:
+    """The rows of grams (gram, id, ...), one for each id, whose operation may hold a text: null if the text has no letter, so that any may.
+
+    A text of LETTERS or more is in a key only where all its parts are; the rarest MOST_PARTS of them are looked up and met.
+    A shorter one is the beginning of a part. What is found must be verified by the filter itself.
+    """
+    key = normalize_text(text)
+    if not key:
+        return None
+    others = [c for c in grams.columns if c not in ("gram", "id")]
+    if len(key) < LETTERS:
+        return grams.filter(F.col("gram").startswith(key)).select("id", *others).distinct()
+    parts = sorted({key[i : i + LETTERS] for i in range(len(key) - LETTERS + 1)})
+    some = grams.filter(F.col("gram").isin(parts))
+    if len(parts) > MOST_PARTS:
+        counts = {r.gram: r.n for r in some.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).collect()}
+        parts = sorted(parts, key=lambda g: (counts.get(g, 0), g))[:MOST_PARTS]
+        some = grams.filter(F.col("gram").isin(parts))
+    return some.groupBy("id", *others).agg(F.countDistinct("gram").alias("k")).filter(F.col("k") == len(parts)).drop("k")
+
+
 def total(ops: DataFrame, filters: Filters) -> int:
     """How many operations pass the filters: the number behind a list's page count."""
     return search(ops, filters).count()

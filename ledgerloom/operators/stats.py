@@ -113,6 +113,11 @@ def monthly(ops: DataFrame, statements: DataFrame | None = None) -> DataFrame:
     if statements is not None:
         rows = rows.join(statements.select(F.col("id").alias("statement_id"), period_date(F.col("period_start")).alias("start")), "statement_id", "left")
         rows = rows.withColumn("first_day", F.coalesce("start", "first_day"))
+    return monthly_of(rows)
+
+
+def monthly_of(rows: DataFrame) -> DataFrame:
+    """monthly() from sums by statement: statement_id, cargo, abono, igtf, n, first_day."""
     rows = positions(rows, "first_day", "statement_id").withColumn("net", F.col("abono") - F.col("cargo") - F.col("igtf"))
     last = rows.select((F.col("position") + 1).alias("position"), *[F.col(x).alias(f"{x}_before") for x in ("cargo", "abono", "net")])
     rows = rows.join(last, "position", "left")

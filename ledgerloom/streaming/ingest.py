@@ -1,32 +1,47 @@
 """Ingest of statements as a file stream: hash, dedupe, adapter, parse, reconcile, store; queue views beside it.
 
-One streaming query with one checkpoint is the only writer. A batch appends its rows to the child tables under
-a load of its own and then, last, a row for each statement to the log: that row makes the load's rows
-visible and hides those of earlier loads. So a repeated batch, a retry or a reprocess leaves each
-statement's rows once, annex and issues too, and a batch that dies halfway shows nothing. Nothing is deleted
-in the write path; `compact` rewrites what is current.
+One streaming query with one checkpoint is the only writer of a store (sources/store.py). A batch first commits its
+statements as being processed, then writes their rows as one load and commits that: the load's rows show at once and
+hide those of earlier loads. So a repeated batch, a retry or a reprocess leaves each statement's rows
+once, annex and issues too, and a batch that dies halfway shows nothing but statements being processed.
+
+Errors are of two kinds. What a statement's own data cause is its own: words that can't be read are found row
+by row before anything is parsed and go to the table `quarantine`, their statement gets status error and the others go on; the
+same holds for a format that no adapter reads, and for what an adapter says of a statement (adapters.BadStatement). An exception that Spark
+or Python types as one of data (SQLSTATE class 22, ValueError, LookupError, ArithmeticError) and that nobody foresaw is
+narrowed down by halves. Every other exception (a full disk, a lost cluster, a fault in code) ends the batch: it
+reaches the caller, the checkpoint stays where it was, nothing is logged as bad, and the next run reads the batch again.
+`retry` reads statements again that failed, or whose processing was begun long ago, from the files that they came from.
 """
 
 from __future__ import annotations
 
+import json
 import time
+from datetime import date, datetime
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.dates import period_month, resolve_date
-from ..functions.text import normalize_key
-from ..operators import adapters, categories, reconcile, segment
+from ..functions.text import is_amount, normalize_key, parse_amount
+from ..operators import adapters, categories, dashboard, reconcile, search, segment, stats
+from ..sources import store
+from ..sources.store import Load, delete, exists
 from .progress import with_eta
 
-PENDING, FAILED, REPEATED, DELETED = "procesando", "error", "duplicado", "borrado"
+PENDING, FAILED, REPEATED = "procesando", "error", "duplicado"
+#: Not a status: such a statement keeps the rows that it has.
+TORN = "torn"
 UNSUPPORTED = "no adapter supports this format"
 #: Statement ids are below 2^43; a row's id is its statement's and its number.
 ROW_BITS = 20
 STALE_MINUTES = 30
-CHILDREN = ("covers", "operations", "checkpoints", "annex", "pos", "issues", "sections")
+#: Files whose failed statements are read again in one batch.
+RETRY_FILES = 1000
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
@@ -41,13 +56,13 @@ def fresh(incoming: DataFrame, known: DataFrame) -> DataFrame:
     return incoming.join(first, ["file_hash", "path"], "left_semi").join(known.select("file_hash"), "file_hash", "left_anti")
 
 
-def is_stale(now: Column) -> Column:
-    return (F.col("status") == PENDING) & (F.coalesce("started_at", "uploaded_at") < now - F.expr(f"INTERVAL {STALE_MINUTES} MINUTES"))
+def is_stale(now: Column, minutes: int = STALE_MINUTES) -> Column:
+    return (F.col("status") == PENDING) & (F.coalesce("started_at", "uploaded_at") < now - F.expr(f"INTERVAL {int(minutes)} MINUTES"))
 
 
-def retryable(statements: DataFrame, now: Column) -> DataFrame:
+def retryable(statements: DataFrame, now: Column, minutes: int = STALE_MINUTES) -> DataFrame:
     """Statements that failed, or have been processing for too long."""
-    return statements.filter((F.col("status") == FAILED) | is_stale(now))
+    return statements.filter((F.col("status") == FAILED) | is_stale(now, minutes))
 
 
 def queue_positions(statements: DataFrame) -> DataFrame:
@@ -62,47 +77,87 @@ def queue_positions(statements: DataFrame) -> DataFrame:
     return statements.join(ranked.select("id", (F.col("before") + F.col("rank")).cast("int").alias("position")), "id", "left")
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def log(spark: SparkSession, root: str) -> DataFrame:
-    """Every row of the statements' log."""
-    return spark.read.schema(schemas.LOG).parquet(f"{root}/log") if exists(spark, f"{root}/log") else spark.createDataFrame([], schemas.LOG)
+    """The statements of every load that counts, hidden ones too."""
+    snapshot = store.current(spark, root)
+    return store._scan(spark, root, "statements", sorted(k for k, e in snapshot.loads.items() if "statements" in e.tables), None)
 
 
 def statements(spark: SparkSession, root: str) -> DataFrame:
     """The current row of each statement that is not deleted."""
-    rows = log(spark, root)
-    last = rows.groupBy("statement_id").agg(F.max_by(F.struct(*rows.columns), "load").alias("r")).select("r.*")
-    return last.filter(F.col("status") != DELETED)
+    return store.scan(spark, root, "statements")
+
 
+def table(spark: SparkSession, root: str, name: str, first: date | None = None, last: date | None = None, statement_id: int | None = None) -> DataFrame:
+    """The current rows of a table, with all its columns also where nothing was stored yet.
+
+    With first or last, operations of those days' months alone are read (rows of other days in them stay: filter them); with a
+    statement, its load alone.
+    """
+    return store.scan(spark, root, name, first, last, statement_id).drop("load", "month")
 
-def table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """The current rows of a child table; an empty frame without columns of its own where nothing was stored yet."""
-    if not exists(spark, f"{root}/{name}"):
-        return spark.createDataFrame([], "statement_id long, load long").drop("load")
-    return spark.read.parquet(f"{root}/{name}").join(statements(spark, root).select("statement_id", "load"), ["statement_id", "load"]).drop("load")
 
+def operations(spark: SparkSession, root: str, rules: DataFrame | None = None, first: date | None = None, last: date | None = None, statement_id: int | None = None) -> DataFrame:
+    """The current operations from first to last, of one statement, or all; with rules, their categories are derived anew, so that a rule made or removed counts for all of them."""
+    rows = table(spark, root, "operations", first, last, statement_id)
+    for bound, keep in ((first, F.col("date_iso") >= F.lit(first)), (last, F.col("date_iso") <= F.lit(last))):
+        rows = rows.filter(keep) if bound else rows
+    return rows if rules is None else categories.categorize(rows, rules)
 
-def operations(spark: SparkSession, root: str, rules: DataFrame | None = None) -> DataFrame:
-    """The current operations; with rules, their categories are derived anew, so that a rule made or removed counts for all of them."""
-    rows = table(spark, root, "operations")
-    return rows if rules is None or "search_key" not in rows.columns else categories.categorize(rows, rules)
 
+def find(spark: SparkSession, root: str, filters: search.Filters, rules: DataFrame | None = None) -> DataFrame:
+    """search.search over the stored operations, reading what may match alone.
 
-def note(facts: DataFrame, load: int, stage: str, percent: int, root: str) -> None:
-    """One row of progress for each statement of a load."""
-    rows = facts.select("statement_id", F.lit(load).cast("long").alias("load"), F.lit(stage).alias("stage"), F.lit(percent).alias("percent"), F.current_timestamp().cast("timestamp_ntz").alias("noted_at"))
-    rows.write.mode("append").parquet(f"{root}/progress")
+    A text is looked up in the letters' index first: only the months and loads of its candidates are read, and of those rows only the
+    candidates are tested. Days and statements narrow the files likewise.
+    """
+    rows = store.scan(spark, root, "operations", filters.date_from, filters.date_to, filters.statement_id)
+    hits = search.candidates(store.scan(spark, root, "grams"), filters.text) if filters.text else None
+    if hits is not None:
+        places = [tuple(r) for r in hits.select("load", "month").distinct().collect()]  # folders, not rows
+        rows = rows.filter(F.col("load").isin(sorted({p[0] for p in places})) & F.col("month").isin(sorted({p[1] for p in places})))
+        rows = rows.join(hits.select("id", "load"), ["id", "load"], "left_semi")
+    rows = rows.drop("load", "month")
+    return search.search(rows if rules is None else categories.categorize(rows, rules), filters)
+
+
+def partials(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """days and labels of all that counts: stored sums of loads without hidden statements; for the others the sums of what still shows."""
+    snapshot = store.current(spark, root)
+    dirty = store.dirty_loads(snapshot, "operations")
+    rows = store.scan(spark, root, "operations", snapshot=snapshot)
+    rows = rows.filter(F.col("load").isin(dirty))
+    out = []
+    for name, make in (("days", dashboard.days), ("labels", dashboard.labels)):
+        stored = store._scan(spark, root, name, store.clean_loads(snapshot, name), None).drop("load")
+        out.append(stored.unionByName(make(rows)) if dirty else stored)
+    return out[0], out[1]
+
+
+def summary(spark: SparkSession, root: str, adjustments: DataFrame | None = None, statement_id: int | None = None) -> dict[str, DataFrame]:
+    """The dashboard of the store: from partial sums, or from the operations of one statement. The monthly series comes from the statements' own sums."""
+    read = statements(spark, root).filter("transaction_count > 0")
+    months = stats.monthly_of(read.select("statement_id", F.col("total_cargo").alias("cargo"), F.col("total_abono").alias("abono"), F.col("total_igtf").alias("igtf"), F.col("transaction_count").alias("n"), "first_day"))
+    if statement_id:
+        out = stats.summary(operations(spark, root, statement_id=statement_id), adjustments, statement_id)
+        return out | {"monthly": months}
+    days, labels = partials(spark, root)
+    return dashboard.summary(days, labels, months, adjustments)
+
+
+def note(spark: SparkSession, load: int, stage: str, percent: int, root: str) -> None:
+    """One line of progress for all statements of a load."""
+    said = {"load": load, "stage": stage, "percent": percent, "noted_at": datetime.now().isoformat(timespec="microseconds")}
+    store.write_text(spark, f"{root}/progress/notes/{load}-{percent}.json", json.dumps(said))
 
 
 def progress(spark: SparkSession, root: str) -> DataFrame:
     """How far the last load of each statement has come: statement_id, load, stage, percent, elapsed (seconds since its first note) and eta."""
-    if not exists(spark, f"{root}/progress"):
-        return with_eta(spark.createDataFrame([], f"{schemas.PROGRESS}, elapsed double, progress_percent int")).drop("noted_at", "progress_percent")
-    rows = spark.read.schema(schemas.PROGRESS).parquet(f"{root}/progress")
+    if not exists(spark, f"{root}/progress/notes"):
+        return with_eta(spark.createDataFrame([], "statement_id long, load long, stage string, percent int, elapsed double, progress_percent int")).drop("progress_percent", "load")
+    notes = spark.read.schema("load long, stage string, percent int, noted_at timestamp_ntz").json(f"{root}/progress/notes")
+    members = spark.read.schema("statement_id long, load long").option("basePath", f"{root}/progress/members").parquet(f"{root}/progress/members")
+    rows = members.join(notes, "load")
     loads = rows.groupBy("statement_id", "load").agg(F.max_by(F.struct("stage", "percent", "noted_at"), "percent").alias("now"), F.min("noted_at").alias("began"))
     last = loads.groupBy("statement_id").agg(F.max_by(F.struct("load", "now", "began"), "load").alias("r"))
     seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
@@ -111,9 +166,10 @@ def progress(spark: SparkSession, root: str) -> DataFrame:
 
 
 def content_hashes(words: DataFrame) -> DataFrame:
-    """statement_id, file_hash, pages: SHA-256 over a statement's words in a fixed order. A group is one printed document."""
+    """statement_id, file_hash, pages, source_path: SHA-256 over a statement's words in a fixed order. A group is one printed document."""
+    source = F.min("source_path") if "source_path" in words.columns else F.lit(None).cast("string")
     word = F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("page", "x0", "y0", "x1", "y1", "text")])
-    return words.groupBy("statement_id").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(word)), "\n"), 256).alias("file_hash"), F.countDistinct("page").alias("pages"))
+    return words.groupBy("statement_id").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(word)), "\n"), 256).alias("file_hash"), F.countDistinct("page").alias("pages"), source.alias("source_path"))
 
 
 def stored_operations(operations: DataFrame, covers: DataFrame, rules: DataFrame | None = None) -> DataFrame:
@@ -127,10 +183,10 @@ def stored_operations(operations: DataFrame, covers: DataFrame, rules: DataFrame
 
 
 def overlap_issues(covers: DataFrame, known: DataFrame) -> DataFrame:
-    """A warning for each statement at hand whose period shares days with another one's of its account."""
-    columns = ["statement_id", "account_number", "period_start", "period_end"]
-    both = covers.select(*columns).unionByName(known.select(*columns).join(covers.select("statement_id"), "statement_id", "left_anti"))
-    found = reconcile.overlaps(both.withColumnRenamed("statement_id", "id")).join(covers.select("statement_id"), "statement_id", "left_semi")
+    """A warning for each statement at hand whose period shares days with another one's of its account: of those at hand, or of those known."""
+    columns = [F.col("statement_id").alias("id"), "account_number", "period_start", "period_end"]
+    others = known.join(covers.select("statement_id"), "statement_id", "left_anti").select(*columns)
+    found = reconcile.overlaps_with(covers.select(*columns), others.unionByName(covers.select(*columns)))
     detail = F.concat(F.lit("Period shares days with statement "), F.col("other_id"))
     return found.select("statement_id", F.lit("advertencia").alias("kind"), detail.alias("detail"), F.lit(None).cast("decimal(18,2)").alias("expected"), F.lit(None).cast("decimal(18,2)").alias("parsed"))
 
@@ -141,46 +197,51 @@ def no_such_day(operations: DataFrame) -> DataFrame:
 
 
 def write_parsed(spark: SparkSession, adapter: adapters.Adapter, words: DataFrame, facts: DataFrame, root: str, rules: DataFrame | None) -> None:
-    """Parses statements and appends their rows under a new load; the log comes last."""
-    load = time.time_ns()
-    stage = f"{root}/stage-{load}"
+    """Parses statements and writes their rows as one load; they count when it is committed, last."""
+    load = Load(spark, root)
+    stage = f"{root}/stage/{load.id}"
 
     def keep(name: str, df: DataFrame) -> DataFrame:
         df.write.parquet(f"{stage}/{name}")
         return spark.read.schema(df.schema).parquet(f"{stage}/{name}")
 
-    def put(name: str, df: DataFrame) -> DataFrame:
-        """Writes a table's rows of this load and reads them back: what follows starts from there."""
-        df.write.parquet(f"{root}/{name}/load={load}")
-        return spark.read.schema(df.schema).parquet(f"{root}/{name}/load={load}")
-
     try:
-        note(facts, load, "leyendo", 5, root)
+        facts.select("statement_id").write.parquet(f"{root}/progress/members/load={load.id}")
+        note(spark, load.id, "leyendo", 5, root)
         parsed = adapter.parse(keep("words", words), keep)
-        covers = put("covers", parsed.covers)
-        operations = put("operations", stored_operations(parsed.operations, covers, rules))
-        note(facts, load, "guardando", 60, root)
-        checkpoints, annex, pos = put("checkpoints", parsed.checkpoints), put("annex", parsed.annex), put("pos", parsed.pos)
-        put("sections", parsed.sections)
-        found = put("findings", reconcile.issues(covers, operations, checkpoints, annex, pos, parsed.fidelity))
+        covers = load.put("covers", parsed.covers)
+        operations = load.put("operations", stored_operations(parsed.operations, covers, rules))
+        note(spark, load.id, "guardando", 60, root)
+        for name, rows in (("days", dashboard.days(operations)), ("labels", dashboard.labels(operations)), ("grams", search.grams(operations))):
+            load.put(name, rows)
+        checkpoints, annex, pos = load.put("checkpoints", parsed.checkpoints), load.put("annex", parsed.annex), load.put("pos", parsed.pos)
+        load.put("sections", parsed.sections)
+        found = keep("findings", reconcile.issues(covers, operations, checkpoints, annex, pos, parsed.fidelity))
+        note(spark, load.id, "conciliando", 85, root)
+        status = reconcile.statuses(covers, found)
+        load.put("issues", found.unionByName(no_such_day(operations)).unionByName(overlap_issues(covers, statements(spark, root))))
+        count = lambda df, name: df.groupBy("statement_id").agg(F.count(F.lit(1)).alias(name))
+        rows = covers.join(facts, "statement_id").join(status, "statement_id", "left").join(reconcile.totals(operations).withColumnRenamed("n", "transaction_count"), "statement_id", "left")
+        rows = rows.join(count(annex, "annex_count"), "statement_id", "left").join(count(pos, "pos_count"), "statement_id", "left").fillna(0, ["transaction_count", "annex_count", "pos_count"])
+        rows = rows.join(operations.groupBy("statement_id").agg(F.min("date_iso").alias("first_day")), "statement_id", "left")
+        load.put("statements", rows.withColumns({"bank": F.lit(adapter.display_name), "progress_stage": F.lit("listo"), "progress_percent": F.lit(100), "finished_at": now()}))
     finally:
-        path = spark._jvm.org.apache.hadoop.fs.Path(stage)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    note(facts, load, "conciliando", 85, root)
-    status = reconcile.statuses(covers, found)
-    put("issues", found.unionByName(no_such_day(operations)).unionByName(overlap_issues(covers, statements(spark, root))))
-    count = lambda df, name: df.groupBy("statement_id").agg(F.count(F.lit(1)).alias(name))
-    rows = covers.join(facts, "statement_id").join(status, "statement_id", "left").join(reconcile.totals(operations).withColumnRenamed("n", "transaction_count"), "statement_id", "left")
-    rows = rows.join(count(annex, "annex_count"), "statement_id", "left").join(count(pos, "pos_count"), "statement_id", "left").fillna(0, ["transaction_count", "annex_count", "pos_count"])
-    append_log(rows.withColumns({"load": F.lit(load), "bank": F.lit(adapter.display_name), "progress_stage": F.lit("listo"), "progress_percent": F.lit(100)}), root)
-    note(facts, load, "listo", 100, root)
+        delete(spark, stage)
+    load.commit()
+    note(spark, load.id, "listo", 100, root)
+
 
+def now() -> Column:
+    return F.current_timestamp().cast("timestamp_ntz")
 
-def append_log(rows: DataFrame, root: str) -> None:
-    from ..sources.tables import with_defaults
 
-    rows = rows.withColumn("finished_at", F.current_timestamp().cast("timestamp_ntz"))
-    with_defaults(rows, schemas.LOG).write.mode("append").parquet(f"{root}/log")
+def log_rows(rows: DataFrame, root: str, quarantine: DataFrame | None = None) -> None:
+    """A load of statements alone, without rows of other tables: those being processed, refused or failed; and why, in quarantine."""
+    load = Load(rows.sparkSession, root)
+    if quarantine is not None:
+        load.put("quarantine", quarantine)
+    load.put("statements", rows)
+    load.commit()
 
 
 def reason_of(problem: Exception) -> str:
@@ -193,76 +254,152 @@ def reason_of(problem: Exception) -> str:
     return "; ".join(dict.fromkeys(x.splitlines()[0][:250] for x in [lines[0], *causes[-1:]] if x))
 
 
+def is_data_error(problem: Exception) -> bool:
+    """Whether an exception is one of a statement's data: by its type in Python, by its SQLSTATE (class 22) in Spark, at any depth."""
+    if isinstance(problem, adapters.BadStatement):
+        return True
+    if not isinstance(problem, PySparkException):
+        return isinstance(problem, (ValueError, LookupError, ArithmeticError))
+    if "BadStatement" in str(problem) or (problem.getSqlState() or "").startswith("22"):
+        return True
+    cause = getattr(problem, "_origin", None)
+    while cause is not None:
+        try:
+            state = cause.getSqlState()
+        except Exception:  # not every throwable has one
+            state = None
+        if state and state.startswith("22"):
+            return True
+        cause = cause.getCause()
+    return False
+
+
+def failed(facts: DataFrame, bank: str, error: Column) -> DataFrame:
+    return facts.withColumns({"bank": F.lit(bank), "status": F.lit(FAILED), "error": error, "finished_at": now()})
+
+
 def attempt(spark: SparkSession, adapter: adapters.Adapter, words: DataFrame, facts: DataFrame, root: str, rules: DataFrame | None, depth: int = 0) -> None:
-    """write_parsed; if it fails, the statements are halved until those that fail stand alone: they get status error, the others are stored."""
+    """write_parsed. Statements that their adapter names as bad fail, and the others are read without them; an unforeseen error of data is narrowed down by halves; any other exception is the caller's."""
     try:
         write_parsed(spark, adapter, words, facts, root, rules)
+        return
     except Exception as problem:
-        some = words.select("statement_id").distinct().limit(2).collect()
-        if len(some) < 2:
-            said = reason_of(problem)
-            append_log(facts.filter(F.col("statement_id") == some[0].statement_id).withColumns({"load": F.lit(time.time_ns()), "bank": F.lit(adapter.display_name), "status": F.lit(FAILED), "error": F.lit(said)}), root)
-            return
-        for half in (0, 1):
-            mine = F.pmod(F.shiftright(F.xxhash64("statement_id"), depth), F.lit(2)) == half
-            part = words.filter(mine)
-            if not part.isEmpty():
-                attempt(spark, adapter, part, facts, root, rules, depth + 1)
+        if not is_data_error(problem):
+            raise
+        named, said = getattr(problem, "statement_ids", None), reason_of(problem)
+    if named:
+        mine = F.col("statement_id").isin(list(named))
+        log_rows(failed(facts.filter(mine), adapter.display_name, F.lit(said)), root)
+        words, facts = words.filter(~mine), facts.filter(~mine)
+        if not facts.isEmpty():
+            attempt(spark, adapter, words, facts, root, rules, depth)
+        return
+    if len(facts.select("statement_id").limit(2).collect()) < 2:
+        log_rows(failed(facts, adapter.display_name, F.lit(said)), root)
+        return
+    for half in (0, 1):
+        mine = F.pmod(F.shiftright(F.xxhash64("statement_id"), depth), F.lit(2)) == half
+        part = facts.filter(mine)
+        if not part.isEmpty():
+            attempt(spark, adapter, words.filter(mine), part, root, rules, depth + 1)
+
+
+def screened(words: DataFrame) -> DataFrame:
+    """Words that can't be read: statement_id, page, text, reason, source_path."""
+    numbers = ["page_width", "x0", "y0", "x1", "y1"]
+    missing = F.concat_ws(", ", *[F.when(F.col(c).isNull(), F.lit(c)) for c in ("page", *numbers, "text")])
+    wild = F.concat_ws(", ", *[F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(c)) for c in numbers])
+    reason = F.when(missing != "", F.concat(F.lit("no "), missing)).when(wild != "", F.concat(F.lit("no number: "), wild)).when(is_amount(F.col("text")) & parse_amount(F.col("text")).isNull(), F.lit("amount out of range"))
+    return words.select("statement_id", "page", "text", reason.alias("reason"), "source_path").filter("reason is not null")
 
 
 def ingest_batch(words: DataFrame, root: str, registry: list[adapters.Adapter] | None = None, rules: DataFrame | None = None) -> None:
-    """A batch of whole statements: content that another statement has is refused, formats that nothing reads too, the rest is parsed and stored."""
+    """A batch of whole statements: content that another statement has is refused, formats that nothing reads and words that can't be read too, the rest is parsed and stored."""
     spark = words.sparkSession
     registry = adapters.REGISTRY if registry is None else registry
-    words = words.persist()
-    facts = content_hashes(words).join(adapters.assigned(words, registry), "statement_id").persist()
+    words = (words if "source_path" in words.columns else words.withColumn("source_path", F.lit(None).cast("string"))).persist()
+    held = [words]
     try:
-        known = statements(spark, root).filter(~F.col("status").isin(FAILED, REPEATED))
+        bad = screened(words).filter("statement_id is not null").persist()
+        held.append(bad)
+        spoiled = bad.groupBy("statement_id").agg(F.count(F.lit(1)).alias("bad_words"), F.min("reason").alias("bad_reason"))
+        facts = content_hashes(words).filter("statement_id is not null").join(adapters.assigned(words, registry), "statement_id").join(spoiled, "statement_id", "left").persist()
+        held.append(facts)
+        before = statements(spark, root)
+        known = before.filter(~F.col("status").isin(FAILED, REPEATED) & ~is_stale(now()))
         taken = known.select("file_hash", F.col("statement_id").alias("holder_id"))
+        stored = known.filter(F.col("status") != PENDING).select("statement_id", F.col("file_hash").alias("old_hash"), F.col("source_path").alias("old_path"))
         first = facts.groupBy("file_hash").agg(F.min("statement_id").alias("first_id"))
-        judged = facts.join(first, "file_hash").join(taken.groupBy("file_hash").agg(F.min("holder_id").alias("holder_id")), "file_hash", "left")
+        judged = facts.join(first, "file_hash").join(taken.groupBy("file_hash").agg(F.min("holder_id").alias("holder_id")), "file_hash", "left").join(stored, "statement_id", "left")
+        # the same statement with other words in another file: one of the two is a part of it
+        torn = F.coalesce((F.col("old_hash") != F.col("file_hash")) & (F.col("old_path") != F.col("source_path")), F.lit(False))
         repeated = F.coalesce(F.col("holder_id") != F.col("statement_id"), F.lit(False)) | (F.col("first_id") != F.col("statement_id"))
-        reason = F.when(repeated, REPEATED).when(F.col("adapter").isNull(), FAILED)
-        judged = judged.select("statement_id", "file_hash", "pages", "adapter", reason.alias("status"), F.coalesce("holder_id", "first_id").alias("same_as")).persist()
-        refused = judged.filter("status is not null")
-        error = F.when(F.col("status") == REPEATED, F.concat(F.lit("same content as statement "), F.col("same_as"))).otherwise(F.lit(UNSUPPORTED))
-        if not refused.isEmpty():
-            append_log(refused.withColumns({"load": F.lit(time.time_ns()), "error": error}), root)
+        status = F.when(torn, TORN).when(F.col("bad_words") > 0, FAILED).when(repeated, REPEATED).when(F.col("adapter").isNull(), FAILED)
+        error = F.when(F.col("bad_words") > 0, F.concat("bad_words", F.lit(" words can't be read: "), "bad_reason"))
+        error = error.when(repeated, F.concat(F.lit("same content as statement "), F.coalesce("holder_id", "first_id"))).otherwise(F.lit(UNSUPPORTED))
+        judged = judged.select("statement_id", "file_hash", "pages", "source_path", "adapter", status.alias("status"), F.when(status.isNotNull(), error).alias("error")).persist()
+        held.append(judged)
+        rows = judged.filter(F.coalesce("status", F.lit("")) != TORN).select("statement_id", "file_hash", "pages", "source_path", F.coalesce("status", F.lit(PENDING)).alias("status"), "error")
+        rows = rows.withColumns({"uploaded_at": now(), "started_at": F.when(F.col("status") == PENDING, now()), "finished_at": F.when(F.col("status") != PENDING, now())})
+        parts = judged.filter(F.col("status") == TORN).select("statement_id", F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("text"), F.lit("words of the statement lie in several files").alias("reason"), "source_path")
+        log_rows(rows, root, bad.unionByName(parts))
         for adapter in registry:
-            mine = judged.filter(F.col("status").isNull() & (F.col("adapter") == adapter.name)).select("statement_id", "file_hash", "pages")
+            mine = judged.filter(F.col("status").isNull() & (F.col("adapter") == adapter.name)).select("statement_id", "file_hash", "pages", "source_path").withColumns({"uploaded_at": now(), "started_at": now()})
             if not mine.isEmpty():
-                attempt(spark, adapter, words.join(mine.select("statement_id"), "statement_id", "left_semi"), mine, root, rules)
-        judged.unpersist()
+                attempt(spark, adapter, words.drop("source_path").join(mine.select("statement_id"), "statement_id", "left_semi"), mine, root, rules)
     finally:
-        facts.unpersist()
-        words.unpersist()
+        for df in reversed(held):
+            df.unpersist()
 
 
 def stream_words(spark: SparkSession, source: str, schema: str, root: str, checkpoint: str, registry: list[adapters.Adapter] | None = None, rules: DataFrame | None = None):
-    """Runs all word files that have arrived since the last run; returns the ended query.
+    """Runs all word files that have arrived since the last run; returns the ended query. An exception that isn't one of data is raised, and the checkpoint stays.
 
-    A batch holds whole files; a statement's words must lie in one file. With a new checkpoint all files are read again.
+    A batch holds whole files; a statement's words must lie in one file: a part that comes in another file later is refused and noted in quarantine. With a new checkpoint all files are read again.
     """
-    words = spark.readStream.schema(schema).parquet(source)
+    words = spark.readStream.schema(schema).parquet(source).withColumn("source_path", F.col("_metadata.file_path"))
+    return run_stream(words, root, checkpoint, registry, rules)
+
+
+def run_stream(words: DataFrame, root: str, checkpoint: str, registry: list[adapters.Adapter] | None = None, rules: DataFrame | None = None):
+    """The same for any streaming frame of words, such as one of a page source (sources/pages.py)."""
     query = words.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda batch, _: ingest_batch(batch, root, registry, rules)).start()
     query.awaitTermination()
     return query
 
 
+def retry(spark: SparkSession, root: str, schema: str = schemas.WORDS, registry: list[adapters.Adapter] | None = None, rules: DataFrame | None = None, minutes: int = STALE_MINUTES, read=None) -> DataFrame:
+    """Reads statements again that failed, or whose processing began more than `minutes` ago, from the files that they came from.
+
+    read makes words of a list of paths (Parquet by default). Returns what is left: statements that failed again or name no file.
+    """
+    read = read or (lambda paths: spark.read.schema(schema).parquet(*paths).withColumn("source_path", F.col("_metadata.file_path")))
+    due = retryable(statements(spark, root), now(), minutes).select("statement_id", "source_path")
+    paths, batch = [r.source_path for r in due.filter("source_path is not null").select("source_path").distinct().orderBy("source_path").toLocalIterator()], []
+    for i, path in enumerate(paths):
+        batch.append(path)
+        if len(batch) == RETRY_FILES or i == len(paths) - 1:
+            ids = retryable(statements(spark, root), now(), minutes).filter(F.col("source_path").isin(batch)).select("statement_id")
+            ingest_batch(read(batch).join(ids, "statement_id", "left_semi"), root, registry, rules)
+            batch = []
+    return retryable(statements(spark, root), now(), minutes)
+
+
+def recover(spark: SparkSession, root: str, **more) -> DataFrame:
+    """After a crash, with no other writer at work: every statement that was being processed is read again, however short ago it was begun."""
+    return retry(spark, root, minutes=0, **more)
+
+
 def reprocess(words: DataFrame, root: str, statement_id: int | None = None, registry: list[adapters.Adapter] | None = None, rules: DataFrame | None = None) -> None:
     """Reads one statement again, or all; each one's rows are there once afterwards."""
     ingest_batch(words if statement_id is None else words.filter(F.col("statement_id") == statement_id), root, registry, rules)
 
 
 def delete_statement(spark: SparkSession, root: str, statement_id: int) -> None:
-    """Hides a statement and all its rows; compact() removes them."""
-    append_log(spark.createDataFrame([(statement_id, time.time_ns(), DELETED)], "statement_id long, load long, status string"), root)
+    """Hides a statement and all its rows; compact() leaves them out and vacuum() removes them."""
+    Load(spark, root).commit(spark.createDataFrame([(statement_id,)], "statement_id long"))
 
 
-def compact(spark: SparkSession, root: str, target: str) -> None:
-    """Writes what is current to another folder, which then replaces this one."""
-    load = statements(spark, root).select("statement_id", "load")
-    for name in CHILDREN:
-        if exists(spark, f"{root}/{name}"):
-            table(spark, root, name).join(load, "statement_id").write.partitionBy("load").parquet(f"{target}/{name}")
-    statements(spark, root).write.parquet(f"{target}/log")
+def compact(spark: SparkSession, root: str, target: str | None = None) -> None:
+    """Writes what is current as one load, here or in another folder."""
+    store.compact(spark, root, target)
