@@ -13,8 +13,10 @@ alphabet and case.
 Everything happens row by row: no shuffle, and nothing is gathered. Who has the key can undo every
 pseudonym, so it comes from the session (`spark.ledgerloom.pii.key`) or the caller, and there is none by default.
 
+Groups of three, two and four digits count as SSN without a check of their ranges, so that images are again of the kind.
+
 Defined cases: null text stays null with no finds; empty text stays empty; texts of any length are
-read whole; of kinds that match at the same place the first of KINDS counts; repeated rows give
+read whole, in time that grows with them, whatever the length of their words; of kinds that match at the same place the first of KINDS counts; repeated rows give
 repeated rows; a null doc_id stays null; empty tables give empty results; further columns, whatever
 their names, are ignored by the query and kept by pseudonymise().
 """
@@ -31,7 +33,8 @@ DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKL
 PLAIN, HEX = (DIGITS, LOWER, UPPER), ("0123456789abcdef",)
 #: Kinds in the order in which the pattern tries them.
 KINDS = [
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
+    # of a longer word before the @ the last 64 letters count, as many as an address may have; domains are as long as names of hosts may be
+    ("email", r"[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}"),
     ("ip", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"),
     ("secret", r"(?<![0-9A-Za-z])(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{32,64}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?=[A-F]*[0-9])(?=[0-9]*[A-F])[0-9A-F]{32,64}(?![0-9A-Za-z])"),
     ("card", r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{1,7}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{1,7}|3[0-9]{3} [0-9]{6} [0-9]{5})(?![0-9])"),
