@@ -10,6 +10,11 @@ filter). Only blocks around prefix words are looked at, stretch by stretch, and
 verified on full sets. Qualifying blocks that start at neighbouring words are one match, from the
 first word of the first to the last word of the last; every qualifying block lies in a match.
 
+Notices of different licenses may share nearly all their words. Sisters are notices of other labels whose whole text
+would meet the threshold. A block that qualifies is a notice's own, and names its license, if it holds all
+words that set the notice apart from each sister; where none do (its words are part of the sister's),
+it must lack one of those that set the sister apart. Matches tell which are their notice's own; only those give labels.
+
 Beside the join, fixed phrases are counted word for word (base places).
 
 Defined cases: null and wordless texts have no words, no labels and score 0; repeated rows give
@@ -43,12 +48,18 @@ NOTICES = [
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("cc-by-nc-sa", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("cc-by-nc-nd", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
     ("gpl-3", "This work is licensed under the GNU General Public License, version 3"),
     ("gpl-3", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
     ("gpl-2", "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
     ("lgpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("lgpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"),
+    ("lgpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"),
     ("agpl-3", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("agpl-3", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
@@ -112,6 +123,38 @@ class Notice:
         self.need = math.ceil(threshold * len(self.order) - 1e-9)
         self.prefix = self.order[: len(self.order) - self.need + 1]
         self.length = math.ceil(1.25 * len(words))
+        self.required: set[bytes] = set()
+        self.forbidden: list[set[bytes]] = []
+
+    def set_apart(self, others: list[Notice]) -> None:
+        """Learns which words tell the notice from its sisters among others."""
+        own = set(self.order)
+        for other in others:
+            if other.label != self.label and len(own.intersection(other.order)) >= self.need:
+                self.required |= own.difference(other.order)
+                if own.issubset(other.order) and len(other.order) > len(own):
+                    self.forbidden.append(set(other.order) - own)
+
+    def is_own(self, places: dict[bytes, list[int]], first: int, last: int) -> bool:
+        """Whether one of the qualifying blocks from word first to word last is the notice's own."""
+        if not self.required and not self.forbidden:
+            return True
+        length, apart = min(self.length, last - first + 1), set().union(*self.forbidden)
+        here = sorted((p, w) for w in [*self.order, *apart] for at in [places.get(w, ())] for p in at[bisect_left(at, first) : bisect_left(at, last + 1)])
+        left, right, inside = 0, 0, Counter()
+        for s in range(first, last - length + 2):
+            while right < len(here) and here[right][0] < s + length:
+                inside[here[right][1]] += 1
+                right += 1
+            while left < right and here[left][0] < s:
+                inside[here[left][1]] -= 1
+                if not inside[here[left][1]]:
+                    del inside[here[left][1]]
+                left += 1
+            met = inside.keys()
+            if self.required <= met and not any(f <= met for f in self.forbidden) and sum(w in inside for w in self.order) >= self.need:
+                return True
+        return False
 
     def _may_hold(self, places: dict[bytes, list[int]], first: int, last: int) -> bool:
         """Whether words first to last hold enough of the set; gives up at the first miss too many, rarest words first."""
@@ -196,25 +239,29 @@ def license_scan(docs: DataFrame, notices: list[tuple[str, str]] = NOTICES, thre
     vocabulary = {w for _, text in notices for w in words_of(text)}
     frequency = frequencies(docs, vocabulary)
     templates = [Notice(label, text, frequency, threshold) for label, text in notices]
-    prefixes = frozenset(w for t in templates for w in t.prefix)
-    match = pa.struct([("label", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("share", pa.float64())])
+    by_prefix: dict[bytes, list[int]] = {}  # from a prefix word to the notices that it may open
+    for i, t in enumerate(templates):
+        t.set_apart(templates)
+        for w in t.prefix:
+            by_prefix.setdefault(w, []).append(i)
+    match = pa.struct([("label", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("share", pa.float64()), ("own", pa.bool_())])
 
     def scan(text: str | None) -> tuple:
         words = words_of(text)
         base = base_places(words)
         found = []
-        if not prefixes.isdisjoint(words):
+        if not by_prefix.keys().isdisjoint(words):
             places: dict[bytes, list[int]] = {}
             for i, w in enumerate(words):
                 if w in vocabulary:
                     places.setdefault(w, []).append(i)
-            for t in templates:
+            for t in (templates[i] for i in sorted({i for w in places for i in by_prefix.get(w, ())})):
                 for met, first, last in t.matches(places, len(words)):
-                    found.append({"label": t.label, "first": first, "last": last, "share": met / len(t.order)})
+                    found.append({"label": t.label, "first": first, "last": last, "share": met / len(t.order), "own": t.is_own(places, first, last)})
         at = [p for _, p in base]
         labels = {x for x, _ in base}
         score = max([1.0 if base else 0.0, *(m["share"] for m in found)])
-        return len(words), len(base), min(at, default=None), max(at, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | {m["label"] for m in found})), score, found
+        return len(words), len(base), min(at, default=None), max(at, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | {m["label"] for m in found if m["own"]})), score, found
 
     kinds = [("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("matches", pa.list_(match))]
 
@@ -225,7 +272,7 @@ def license_scan(docs: DataFrame, notices: list[tuple[str, str]] = NOTICES, thre
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0)} | columns)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, matches array<struct<label: string, first: long, last: long, share: double>>")
+    return texts.mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, matches array<struct<label: string, first: long, last: long, share: double, own: boolean>>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
