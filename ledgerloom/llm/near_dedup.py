@@ -18,8 +18,8 @@ Equality of sets and of shingles is that of 128-bit digests and 64-bit hashes.
 
 Defined cases: null and blank texts have no shingles and are linked with nothing; texts shorter
 than a shingle are linked if equal word for word; rows that repeat a doc_id are one node, linked
-if any of them is; rows with a null doc_id join the class of an equal set and otherwise have no
-component; an empty table gives an empty result; further columns are ignored.
+if any of them is; rows with a null doc_id are nodes of their own, linked as any other, with a null
+doc_id in the result and a null component where no member has one, of which one row is kept; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -190,11 +190,25 @@ def linked_apart(apart: DataFrame, percent: int, work: Work) -> DataFrame:
     return found.select(F.col("a1").alias("a"), F.col("a2").alias("b")).distinct()
 
 
+def named(docs: DataFrame, work: Work) -> tuple[DataFrame, int | None]:
+    """docs (doc_id, text) where rows without a doc_id have numbers beyond all others, and the last doc_id of the rest (null if no row lacks one).
+
+    The numbers are in order of the texts' digests and written once, so that they are the same whenever they are read.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if rows.filter("doc_id is null").isEmpty():
+        return rows, None
+    last = rows.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
+    others = rows.filter("doc_id is null").orderBy(F.sha2(F.coalesce("text", F.lit("")), 256)).select((F.monotonically_increasing_id() + last + 1).alias("doc_id"), "text")
+    return rows.filter("doc_id is not null").unionByName(work.table(others, "named")), last
+
+
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs (doc_id, text) to doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
     ship(spark)
     work = Work(spark, "near-dedup")
+    docs, last = named(docs, work)
     with settings(spark, **TEXT_BATCH):
         rows = work.table(signatures(docs, words, percent), "signatures")
     classes = rows.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("class"), F.count(F.lit(1)).alias("size"))
@@ -230,7 +244,8 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     rows = rows.select("doc_id", "n", "set")
     out = joined_by_size(rows.filter("n > 0"), classes, "set", "size").select("doc_id", "n", F.coalesce("component", "class", "doc_id").alias("component_id"))
     out = out.unionByName(rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    given = lambda c: F.col(c) if last is None else F.when(F.col(c) <= last, F.col(c))
+    return out.select(given("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), given("component_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
