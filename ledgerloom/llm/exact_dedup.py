@@ -7,7 +7,10 @@ joined to the rows. Where a digest was hit more than once, the whole normalised
 are compared; should they differ (a digest collision), that digest is regrouped by full text.
 
 With a folder for the state, a later call adds its documents to what earlier ones left there and
-finds their copies too; `known` are the earlier documents, for the comparison of whole texts.
+finds their copies too; `known` are the earlier documents, for the comparison of whole texts, and a call
+that finds earlier rows in the folder must be given them. A call's name (`run`) makes it repeatable: one that died is called again by
+its name and counts its documents once. A verdict holds for what had come by then: a row that an earlier call kept
+loses to a longer one of a later call, whose result says so only for the later call's own rows.
 
 Defined cases: null text is the empty text; all empty texts form one group; a null doc_id loses
 every tie; rows that repeat a doc_id count as rows of their own and share its verdict; texts of any
@@ -23,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .shared import SPACES, Work, documents, joined_by_size, packed, text_or_empty
+from .shared import SPACES, Work, documents, joined_by_size, listed, packed, text_or_empty
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -71,20 +74,23 @@ def run_state(spark: SparkSession, folder: str, schema) -> DataFrame:
     return groups.select("digest", "group_size", F.bitwise_not("best.order").alias("keep_id"), F.col("best.locator").alias("keep_at"))
 
 
-def exact_dedup(docs: DataFrame, digest=None, locator: Column | None = None, state: str | None = None, known: DataFrame | None = None) -> DataFrame:
+def exact_dedup(docs: DataFrame, digest=None, locator: Column | None = None, state: str | None = None, known: DataFrame | None = None, run: str | None = None) -> DataFrame:
     """docs (doc_id, text) to one row each: doc_id, keep_id, group_size, kept, text_sha256, keep_at.
 
     digest maps a normalised text to the key of the state (SHA-256, as bytes). locator says where
     a row's content lies (its doc_id). state is a folder that outlives the call; known (doc_id, text)
-    are the documents of earlier calls with that folder.
+    are the documents of earlier calls with that folder. run is the call's name there (a new one by default).
     """
     spark, own = docs.sparkSession, digest is None
     digest = digest or (lambda text: F.unhex(F.sha2(text, 256)))
     work = Work(spark, "exact-dedup")
     folder = state.rstrip("/") if state else work.root
-    run = uuid.uuid4().hex
+    run = run or uuid.uuid4().hex
+    if state and known is None and any(name != f"run={run}" for name in listed(spark, f"{folder}/rows")):
+        raise ValueError("the state holds rows of earlier calls: known must be their documents, or their texts can't be compared")
     rows = keyed_rows(docs, digest, locator)
-    rows.write.option("compression", "zstd").parquet(f"{folder}/rows/run={run}")
+    if "_SUCCESS" not in listed(spark, f"{folder}/rows/run={run}"):
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/rows/run={run}")
     groups = run_state(spark, folder, StructType([*rows.schema.fields, StructField("run", StringType())]))
     rows = spark.read.schema(rows.schema).parquet(f"{folder}/rows/run={run}")
     out = joined_by_size(rows, groups, "digest", "group_size")

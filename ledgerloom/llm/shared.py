@@ -60,6 +60,13 @@ def delete(spark: SparkSession, name: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def listed(spark: SparkSession, name: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in system.listStatus(path)] if system.exists(path) else []
+
+
 def sweep(spark: SparkSession, since: int = 0) -> None:
     """Deletes the work folders made after the first `since` ones: what read them must have been written."""
     for root in Work.made[since:]:
