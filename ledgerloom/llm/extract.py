@@ -37,7 +37,7 @@ from .shared import ship
 
 # Element names of the HTML standard: fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object head title textarea select option button".split())
+RAW = frozenset("script style noscript template svg annotation annotation-xml iframe object head title textarea select option button".split())
 #: Elements of RAW whose content is text alone in any place.
 TEXT_ALONE = frozenset("script style textarea title".split())
 BLOCK = frozenset(
