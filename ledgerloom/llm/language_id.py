@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from .shared import Work, documents, ship
 
 TRAIN_ROWS = 4_000
+#: Trigrams are numbers below this one.
+EMPTY = 1 << 16
 POWER = 0.25
 #: Pseudo-counts of a table's cell, a domain against all pages, a host against its domain.
 CELL, TO_ALL, TO_DOMAIN = 1.0, 5.0, 5.0
@@ -49,14 +51,26 @@ def trigrams(text: str) -> np.ndarray:
 
 
 class Letters:
-    """Naive Bayes tables: languages, ln P(trigram | language)."""
+    """Naive Bayes tables: languages, ln P(trigram | language), from texts (language, text)."""
 
     def __init__(self, rows: list[tuple[str, str]]):
-        self.languages = sorted({lang for lang, _ in rows})
-        counts = np.full((len(self.languages), 1 << 16), 0.5)
-        for lang, text in rows:
-            counts[self.languages.index(lang)] += np.bincount(trigrams(text), minlength=1 << 16)
-        self.table = np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32).T.copy() if self.languages else np.zeros((1 << 16, 0), np.float32)
+        self._fill([(lang, int(t), 1) for lang, text in rows for t in [EMPTY, *trigrams(text)]])
+
+    @classmethod
+    def of_counts(cls, found: list[tuple[str, int, int]]) -> Letters:
+        """From counts (language, trigram, n); the trigram EMPTY stands for a text, which may have none."""
+        out = cls([])
+        out._fill(found)
+        return out
+
+    def _fill(self, found: list[tuple[str, int, int]]) -> None:
+        self.languages = sorted({lang for lang, *_ in found})
+        number = {lang: i for i, lang in enumerate(self.languages)}
+        counts = np.full((len(self.languages), EMPTY + 1), 0.5)
+        for lang, trigram, n in found:
+            counts[number[lang], trigram] += n
+        counts = counts[:, :EMPTY]
+        self.table = np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32).T.copy() if self.languages else np.zeros((EMPTY, 0), np.float32)
 
     def score(self, text: str) -> np.ndarray:
         return self.table[trigrams(text)].sum(axis=0, dtype=np.float64)
@@ -71,16 +85,30 @@ def sample(labelled: DataFrame, rows: int, total: int) -> DataFrame:
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Letters:
     """labelled (doc_id, text, lang): fits on about `rows` labelled texts, and no more, chosen by hash.
 
-    The share is set by a count of labels (which reads no text), so each task sends its part of the sample and nothing else.
+    The share is set by a count of labels (which reads no text). Tasks count the sample's trigrams, so the driver sees 65,536 numbers a language
+    at the most, however long the texts.
     """
     some = labelled.filter("lang is not null")
     n = some.count()
     if n > rows:
         some = sample(some, rows, n)
-    found = some.filter("text is not null").select(F.lower("lang").alias("lang"), "text").collect()
+    ship(labelled.sparkSession)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                counts = np.bincount(trigrams(text), minlength=EMPTY)
+                sums[lang] = sums[lang] + counts if lang in sums else counts
+        for lang, counts in sums.items():
+            met = np.append(np.flatnonzero(counts), EMPTY)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(met)), pa.array(met.astype(np.int32)), pa.array(np.append(counts, 1)[met])], names=["lang", "trigram", "n"])
+
+    found = some.filter("text is not null").select(F.lower("lang").alias("lang"), F.col("text").cast("string")).mapInArrow(counted, "lang string, trigram int, n long")
+    found = found.groupBy("lang", "trigram").agg(F.sum("n").alias("n")).collect()
     if n > rows and not found:
         raise ValueError(f"none of {n} labelled rows was drawn with a text: train on rows that have one")
-    return Letters([(r.lang, r.text) for r in found])
+    return Letters.of_counts([tuple(r) for r in found])
 
 
 def suffix_of(url: Column) -> Column:
