@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -74,6 +75,19 @@ def test_exact_dedup_state(spark, docs, tmp_path):
         assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in two) == [(4, 4, 2, True), (5, 2, 3, False), (6, 6, 1, True)]
 
 
+def test_exact_dedup_state_of_earlier_calls(spark, docs, tmp_path):
+    """Earlier texts must be given; a call that is repeated by its name counts once."""
+    first, second, state = docs([(1, "a b", "en", "a")]), docs([(2, "a  b", "en", "a")]), f"{tmp_path}/state"
+    for _ in range(2):
+        got = exact_dedup.exact_dedup(first, state=state, run="monday").collect()
+        assert [(r.doc_id, r.group_size) for r in got] == [(1, 1)]
+    with pytest.raises(ValueError, match="known"):
+        exact_dedup.exact_dedup(second, state=state)
+    for _ in range(2):
+        got = exact_dedup.exact_dedup(second, state=state, known=first, run="tuesday").collect()
+        assert [(r.doc_id, r.keep_id, r.group_size, r.kept) for r in got] == [(2, 2, 2, True)]
+
+
 CLASHES = ("_id", "_sum", "_own", "_times", "_row", "_key", "_copies", "_copy", "_p", "_kinds", "_m", "_d", "_s", "_step", "row", "key", "copies", "sum", "times", "doc id.x")
 
 
@@ -186,6 +200,19 @@ def test_hot_keys_are_joined_apart(spark, docs, monkeypatch, hot):
     assert near == near_brute([tuple(r)[:2] for r in df.filter("doc_id is not null").collect()], 3, 85)
 
 
+def test_near_dedup_bridge_without_id(docs):
+    """A row without a doc_id links those on its two sides, and groups of such rows alone keep one."""
+    w = [f"w{i}" for i in range(60)]
+    middle, one, two = w, ["x"] + w[1:], w[:-1] + ["y"]
+    other = [f"v{i}" for i in range(50)]
+    rows = [(1, " ".join(one), "", ""), (None, " ".join(middle), "", ""), (2, " ".join(two), "", ""), (None, " ".join(other), "", ""), (None, " ".join(other[:-1]), "", ""), (None, " ".join(other), "", "")]
+    got = near_dedup.near_dedup(docs(rows), 3, 96).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got if r.doc_id) == [(1, 1, True), (2, 1, False)]
+    assert sorted(((r.component_id, r.kept) for r in got if r.doc_id is None), key=repr) == [(1, False), (None, False), (None, False), (None, True)]
+    far = near_dedup.near_dedup(docs([rows[0], rows[2]]), 3, 96).collect()
+    assert {r.component_id for r in far} == {1, 2}
+
+
 def test_near_dedup_stage_ids(spark, docs):
     """Rows without an identifier, or sharing one, are decided each by its own text."""
     text = lambda s, n=60: " ".join(f"{s}{i}" for i in range(n))
@@ -475,7 +502,10 @@ def test_license_scan(spark, docs):
         for label, text in license_scan.NOTICES:
             n = license_scan.Notice(label, text, {}, license_scan.THRESHOLD)
             length, own = min(n.length, len(w)), {x.decode() for x in n.order}
-            if len(w) >= n.need and any(len(own.intersection(w[i : i + length])) >= n.need for i in range(len(w) - length + 1)):
+            sets = {(x, frozenset(y.decode() for y in license_scan.words_of(t))) for x, t in license_scan.NOTICES}
+            sisters = [o for x, o in sets if x != label and len(own & o) >= n.need]
+            names = lambda b: all(own - o <= b if own - o else not o - own <= b for o in sisters if o != own)  # noqa: E731, B023
+            if len(w) >= n.need and any(len(own & b) >= n.need and names(b) for i in range(len(w) - length + 1) for b in [set(w[i : i + length])]):
                 want.add(label)
         assert (g.n_words, g.n_base, g.base_labels, g.labels) == (len(w), len(base), ",".join(sorted({x for x, _ in base})), ",".join(sorted(want)))
         assert (g.first_word, g.last_word) == ((min(i for _, i in base), max(i for _, i in base)) if base else (None, None)) and 0 <= g.score <= 1
@@ -501,6 +531,25 @@ def test_license_matches_are_all_found():
         assert all(k == max(size[a : b - notice.length + 2]) for k, a, b in found)
 
 
+@pytest.mark.parametrize(("text", "labels"), [
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License", "cc-by"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "cc-by-nc"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "cc-by-sa"),
+    ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License", "cc-by-nd"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "cc-by-nc-sa"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License", "cc-by-nc-nd"),
+    ("under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or later", "gpl-2"),
+    ("under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or later", "gpl-3"),
+    ("under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License", "lgpl"),
+    ("under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License", "lgpl"),
+    ("under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License", "agpl-3"),
+])
+def test_sister_licenses_have_one_label_each(spark, text, labels):
+    rows = [(1, text, None, None), (2, f"Notes before. {text}. Notes after it, and many more words of no license at all.", None, None)]
+    got = license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert [r.labels for r in got] == [labels, labels]
+
+
 def test_license_long_notices_and_places():
     """A whole license among other words is one match of each of its notices; base places are counted along the text."""
     label, text = max(license_scan.NOTICES, key=lambda x: len(x[1]))
@@ -519,6 +568,19 @@ def test_license_long_notices_and_places():
 # PII
 
 
+@pytest.mark.parametrize("text", ["f3" * 500_000, "a@" * 500_000, "a.b-c_" * 170_000 + "@", "x@" + "a." * 500_000, "1.2." * 250_000, "+1-555-" * 150_000, "A" * 300_000 + "@b.cd" + "e" * 700_000])
+def test_pii_is_linear_in_any_word(spark, text):
+    began = time.monotonic()
+    got = pii.pseudonymise(spark.createDataFrame([(1, text + " 7 a.b@c.de")], "doc_id long, text string"), "k").first()
+    assert got._kinds[-1] == "email" and len(got.text) == len(text) + 11 and time.monotonic() - began < 60
+
+
+def test_pii_mail_addresses(docs):
+    texts = {1: "a@b.co1x@y.org", 2: "x@y", 3: "a@b.c1", 4: "m@n.com.", 5: "a@b.com%c@d.net,e@f.info"}
+    got = {r.doc_id: len(r._kinds) for r in pii.pseudonymise(docs([(i, t, "", "") for i, t in texts.items()]), "k").collect()}
+    assert got == {1: 2, 2: 0, 3: 0, 4: 1, 5: 3}
+
+
 def test_pii(docs):
     text = "Call +1 (443) 555-5793 or a.b-c9@mail2.example.com on 2024-02-29, 31/12/1999, 30.02.2020; 4111 1111 1111 1111, 4929348385146306, 4111111111111112; 10.0.0.255 999.1.1.1; 2abc3ff2ca8fb1e4c565a0eb63815530a948bdde 078-05-1120"
     rows = [(1, text, "", ""), (2, "4111111111111111 +1 (443) 555-5793", "", ""), (3, None, "", ""), (4, "", "", ""), (5, "plain", "", "")]

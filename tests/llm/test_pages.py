@@ -29,6 +29,11 @@ def test_unclosed_elements_end_with_their_parents(broken):
         assert len(want) == 2 and model.extract(page.format(broken)) == want
 
 
+def test_formulas_are_text():
+    page = f"<body>{BAR}<article><h1>Energy</h1><p>{FIRST}</p><p>Energy is <math><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi></mrow><annotation encoding='application/x-tex'>E=m</annotation></semantics></math> where it holds.</p><p>{SECOND}</p></article>{END}"
+    assert extract.default_model().extract(page) == ["Energy", FIRST, "Energy is E=m where it holds.", SECOND]
+
+
 def test_held_out_pages():
     model, wrong, total = extract.default_model(), 0, 0
     for source in labelled_pages(80, 31):
@@ -133,6 +138,14 @@ def test_language_sample_at_any_size(spark):
     assert "3.6E-8" in plan or "3.5999" in plan
 
 
+def test_language_tables_from_tasks(spark):
+    """Trigrams counted in tasks give the tables of the texts themselves; a language whose texts have no letter counts."""
+    rows = [("EN", "the cat and the dog"), ("de", "der Hund und die Katze"), ("en", "a dog"), ("xx", "123"), (None, "none"), ("fr", None)]
+    df = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string").repartition(3)
+    one, two = language_id.train(df), language_id.Letters([(lang.lower(), t) for lang, t in rows if lang and t])
+    assert one.languages == two.languages == ["de", "en", "xx"] and (one.table == two.table).all()
+
+
 def test_language_posterior_by_brute_force(spark):
     """Every page's posterior against plain Python over the same evidence."""
     import math
