@@ -123,13 +123,13 @@ def months_between(first: date | None, last: date | None, there: Iterable[int])
     return sorted(m for m in set(there) if low <= m <= high)
 
 
-def _scan(spark: SparkSession, root: str, name: str, loads: list[int], months: list[int] | None) -> DataFrame:
-    by_month = name == "operations"
-    schema = f"{TABLES[name]}, load long" + (", month int" if by_month else "")
-    if not loads:
+def _scan(spark: SparkSession, root: str, name: str, loads: list[int], months: dict[int, list[int]] | None = None) -> DataFrame:
+    """A table's rows in some loads, hidden ones too; months: for each load those whose folders are read."""
+    schema = f"{TABLES[name]}, load long" + (", month int" if name == "operations" else "")
+    folders = [f"load={x}" for x in loads] if months is None else [f"load={x}/month={m}" for x in loads for m in months[x]]
+    if not folders:
         return spark.createDataFrame([], schema)
-    rows = spark.read.schema(schema).option("basePath", f"{root}/{name}").parquet(*[f"{root}/{name}/load={x}" for x in loads])
-    return rows.filter(F.col("month").isin(months)) if by_month and months is not None else rows
+    return spark.read.schema(schema).option("basePath", f"{root}/{name}").parquet(*[f"{root}/{name}/{f}" for f in folders])
 
 
 def hidden(spark: SparkSession, root: str, snapshot: Snapshot, loads: list[int]) -> DataFrame:
@@ -147,8 +147,8 @@ def scan(spark: SparkSession, root: str, name: str, first: date | None = None, l
     loads = sorted(k for k, e in snapshot.loads.items() if name in e.tables)
     months = None
     if name == "operations" and (first or last):
-        months = months_between(first, last, (m for k in loads for m in snapshot.loads[k].months))
-        loads = [k for k in loads if set(months) & set(snapshot.loads[k].months)]
+        months = {k: months_between(first, last, snapshot.loads[k].months) for k in loads}
+        loads = [k for k in loads if months[k]]
     if statement_id is not None and name != "statements":
         found = scan(spark, root, "statements", statement_id=statement_id, snapshot=snapshot).select("load").first()
         loads = [found.load] if found is not None and found.load in loads else []
@@ -196,7 +196,7 @@ class Load:
         return self.read(name)
 
     def read(self, name: str) -> DataFrame:
-        return _scan(self.spark, self.root, name, [self.id], None).select(*[c for c in self.spark.createDataFrame([], TABLES[name]).columns])
+        return _scan(self.spark, self.root, name, [self.id]).select(*[c for c in self.spark.createDataFrame([], TABLES[name]).columns])
 
     def commit(self, removed: DataFrame | None = None) -> Snapshot:
         """Makes the load count. Earlier rows of its statements, and of those removed (statement_id), are hidden."""

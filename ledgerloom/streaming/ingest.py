@@ -80,7 +80,7 @@ def queue_positions(statements: DataFrame) -> DataFrame:
 def log(spark: SparkSession, root: str) -> DataFrame:
     """The statements of every load that counts, hidden ones too."""
     snapshot = store.current(spark, root)
-    return store._scan(spark, root, "statements", sorted(k for k, e in snapshot.loads.items() if "statements" in e.tables), None)
+    return store._scan(spark, root, "statements", sorted(k for k, e in snapshot.loads.items() if "statements" in e.tables))
 
 
 def statements(spark: SparkSession, root: str) -> DataFrame:
@@ -94,7 +94,7 @@ def table(spark: SparkSession, root: str, name: str, first: date | None = None,
     With first or last, operations of those days' months alone are read (rows of other days in them stay: filter them); with a
     statement, its load alone.
     """
-    return store.scan(spark, root, name, first, last, statement_id).drop("load", "month")
+    return store.scan(spark, root, name, first, last, statement_id).drop("load", *(["month"] if name == "operations" else []))
 
 
 def operations(spark: SparkSession, root: str, rules: DataFrame | None = None, first: date | None = None, last: date | None = None, statement_id: int | None = None) -> DataFrame:
@@ -129,7 +129,7 @@ def partials(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     rows = rows.filter(F.col("load").isin(dirty))
     out = []
     for name, make in (("days", dashboard.days), ("labels", dashboard.labels)):
-        stored = store._scan(spark, root, name, store.clean_loads(snapshot, name), None).drop("load")
+        stored = store._scan(spark, root, name, store.clean_loads(snapshot, name)).drop("load")
         out.append(stored.unionByName(make(rows)) if dirty else stored)
     return out[0], out[1]
 
