@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_key
@@ -29,8 +29,6 @@ DEFAULT_CATEGORIES = {
     "otro": "Otros",
 }
 OTHER = "Otros"
-#: Rules that may be folded into one expression; more are joined.
-MOST_INLINE = 200
 
 
 def default_category(method):
@@ -38,25 +36,45 @@ def default_category(method):
     return F.coalesce(F.try_element_at(pairs, method), F.lit(OTHER))
 
 
+#: Letters in a part of a pattern.
+LETTERS = 3
+
+
+def _parts(key: Column, size: int) -> Column:
+    """Every `size` letters in a row of a key, each once; none of a shorter key."""
+    n = F.length(key)
+    return F.when(n >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - (size - 1), F.lit(1))), lambda i: F.substring(key, i, F.lit(size)))))
+
+
+def rule_hits(ops: DataFrame, rules: DataFrame, id_col: str = "id") -> DataFrame:
+    """For each operation (by id and search_key) that a rule matches, the first rule by priority, then id: column _rule.
+
+    An index of many patterns: each pattern is filed under the one of its parts of LETTERS letters (the whole
+    pattern, if it is shorter) that fewest search keys hold; a key's parts are looked up there, and the few patterns found
+    are tested. So work follows the keys and their true candidates, for five rules as for fifty thousand.
+    """
+    rules = rules.select("id", "category", F.coalesce("priority", F.lit(100)).alias("priority"), normalize_key(F.col("pattern")).alias("_key")).filter("_key <> ''")
+    sizes = sorted(r[0] for r in rules.select(F.least(F.length("_key"), F.lit(LETTERS))).distinct().collect())  # three at the most
+    parts = F.flatten(F.array_compact(F.array(*[_parts(F.col("search_key"), k) for k in sizes])) if sizes else F.array(F.array().cast("array<string>")))
+    keys = ops.select(id_col, "search_key", F.explode(parts).alias("_part"))
+    own = F.when(F.length("_key") < LETTERS, F.array("_key")).otherwise(_parts(F.col("_key"), LETTERS))
+    filed = rules.select(F.struct("priority", F.col("id").alias("rule"), "category").alias("_rule"), "_key", F.explode(own).alias("_part"))
+    counts = keys.join(filed.select("_part").distinct(), "_part", "left_semi").groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
+    filed = filed.join(counts, "_part").groupBy("_rule", "_key").agg(F.count(F.lit(1)).alias("known"), F.min(F.struct("n", "_part")).alias("least"))
+    # a pattern with a part that no key holds matches nothing
+    filed = filed.filter(F.col("known") == F.when(F.length("_key") < LETTERS, 1).otherwise(F.size(_parts(F.col("_key"), LETTERS)))).select("_rule", "_key", F.col("least._part").alias("_part"))
+    return keys.join(filed, "_part").filter(F.col("search_key").contains(F.col("_key"))).groupBy(id_col, "search_key").agg(F.min("_rule").alias("_rule"))
+
+
 def categorize(ops: DataFrame, rules: DataFrame, id_col: str = "id") -> DataFrame:
     """ops (id, method, search_key) with column category.
 
     rules (id, pattern, category, priority): the first by priority, then id, whose normalised pattern
-    is part of the search key wins. Few rules become one expression in their order, without any
-    shuffle; beyond MOST_INLINE they are joined and the least (priority, id) is taken.
+    is part of the search key wins; without one the payment method's default counts.
     """
-    rules = rules.select("id", "category", F.coalesce("priority", F.lit(100)).alias("priority"), normalize_key(F.col("pattern")).alias("key")).filter("key <> ''")
-    first = rules.orderBy("priority", "id").limit(MOST_INLINE + 1).collect()
-    if len(first) <= MOST_INLINE:
-        out = None
-        for r in first:
-            hit = F.col("search_key").contains(r.key)
-            out = F.when(hit, F.lit(r.category)) if out is None else out.when(hit, F.lit(r.category))
-        by_method = default_category(F.col("method"))
-        return ops.withColumn("category", by_method if out is None else F.coalesce(out, by_method))
-    r = rules.select(F.struct("priority", F.col("id").alias("rule"), "category").alias("_rule"), F.col("key").alias("_key"))
-    hits = ops.select(id_col, "search_key").join(r, F.col("search_key").contains(F.col("_key"))).groupBy(id_col).agg(F.min("_rule").alias("_rule"))
-    return ops.join(hits, id_col, "left").withColumn("category", F.coalesce("_rule.category", default_category(F.col("method")))).drop("_rule")
+    hits = rule_hits(ops, rules, id_col).withColumnsRenamed({id_col: "_id", "search_key": "_search"})
+    out = ops.join(hits, (F.col(id_col) == F.col("_id")) & (F.col("search_key") == F.col("_search")), "left")
+    return out.withColumn("category", F.coalesce("_rule.category", default_category(F.col("method")))).drop("_rule", "_id", "_search")
 
 
 def listed_rules(rules: DataFrame) -> DataFrame:

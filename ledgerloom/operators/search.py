@@ -123,6 +123,86 @@ def page(ops: DataFrame, number: int = 1, size: int = 50, sort: str = "date", de
     return ordered(ops, sort, descending).offset((number - 1) * size).limit(size)
 
 
+#: Rows among which a page's first row is looked up by order; steps of a histogram.
+FEW, STEPS = 10_000, 1024
+
+
+def after(ops: DataFrame, value, key: int, sort: str = "date", descending: bool = True, itself: bool = False) -> DataFrame:
+    """The rows that follow a row (its sorted value and id) in the order of a list; with itself, that row too. A list's next page is after(...).limit(size) in order."""
+    column, i = F.col(SORTS.get(sort, "date_iso")), F.col("id")
+    beyond = (i < key) if descending else (i > key)
+    beyond = beyond | (i == key) if itself else beyond
+    if value is None:
+        return ops.filter(column.isNull() & beyond)
+    v = F.lit(value)
+    return ops.filter(column.isNull() | ((column < v) if descending else (column > v)) | ((column == v) & beyond))
+
+
+def _narrowed(rows: DataFrame, column: Column, offset: int, descending: bool) -> tuple[DataFrame, int, bool]:
+    """The part of rows (by steps of a numeric column) that holds the one at an offset in its order, the offset there, and whether the part is more than FEW rows of one value."""
+    while True:
+        low, high, n = rows.agg(F.min(column), F.max(column), F.count(F.lit(1))).first()
+        if n <= FEW or low == high:
+            return rows, offset, n > FEW
+        step = F.least(F.floor((column - low) / (high - low) * STEPS), F.lit(STEPS - 1))
+        counts = sorted((tuple(r) for r in rows.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=descending)
+        for s, k in counts:
+            if offset < k:
+                break
+            offset -= k
+        rows = rows.filter(step == s)
+        if len(counts) == 1:
+            return rows, offset, True
+
+
+def _narrowed_text(rows: DataFrame, column: Column, offset: int, descending: bool) -> tuple[DataFrame, int, bool]:
+    """The same by the beginnings of texts, two letters more at each step."""
+    known = 0
+    while True:
+        if rows.limit(FEW + 1).count() <= FEW:
+            return rows, offset, False
+        counts = sorted((tuple(r) for r in rows.groupBy(F.substring(column, F.lit(1), F.lit(known + 2)).alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()), key=lambda x: x[0].encode(), reverse=descending)
+        for s, k in counts:
+            if offset < k:
+                break
+            offset -= k
+        rows, known = rows.filter(F.substring(column, F.lit(1), F.lit(known + 2)) == s), known + 2
+        if len(s) < known:
+            return rows, offset, True
+
+
+def seek(ops: DataFrame, offset: int, sort: str = "date", descending: bool = True) -> tuple | None:
+    """Sorted value and id of the row at an offset of a list; none beyond its end. Histograms narrow the rows down, so nothing is sorted but FEW of them."""
+    name = SORTS.get(sort, "date_iso")
+    rows, column = ops.select(name, "id"), F.col(name)
+    kind = dict(rows.dtypes)[name]
+    there, whole = rows.agg(F.count(column), F.count(F.lit(1))).first()
+    if offset >= whole:
+        return None
+    if offset < there:
+        rows = rows.filter(column.isNotNull())
+        if kind == "string":
+            rows, offset, same = _narrowed_text(rows, column, offset, descending)
+        else:
+            rows, offset, same = _narrowed(rows, F.unix_date(column).cast("double") if kind == "date" else column.cast("double"), offset, descending)
+    else:
+        rows, offset, same = rows.filter(column.isNull()), offset - there, True
+    if same:
+        rows, offset, _ = _narrowed(rows, F.col("id"), offset, descending)
+    found = ordered(rows, sort, descending).offset(offset).limit(1).collect()
+    return tuple(found[0]) if found else None
+
+
+def page_at(ops: DataFrame, number: int = 1, size: int = 50, sort: str = "date", descending: bool = True) -> DataFrame:
+    """page() at any depth: the page's first row is found by histograms, and the page is the first rows from there on. Rows must not change meanwhile."""
+    if number < 1 or not 1 <= size <= 500:
+        raise ValueError("pages count from 1 and hold 1 to 500 rows")
+    if number == 1:
+        return page(ops, 1, size, sort, descending)
+    first = seek(ops, (number - 1) * size, sort, descending)
+    return ops.limit(0) if first is None else ordered(after(ops, *first, sort, descending, True), sort, descending).limit(size)
+
+
 def page_count(total: int, size: int = 50) -> int:
     return max(1, -(-total // size))
 

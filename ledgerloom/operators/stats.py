@@ -152,19 +152,50 @@ def biggest(ops: DataFrame, limit: int = 10) -> DataFrame:
     return ops.orderBy(F.desc("amount"), "id").limit(limit).select("id", "statement_id", "date_iso", "method", *money("amount"), "direction")
 
 
-def duplicate_groups(ops: DataFrame, limit: int | None = 50) -> DataFrame:
-    """Operations that several statements print, with their members as an array ordered by statement and row.
+GROUP = ["amount", "date_iso", "direction", "reference", "counterpart_account"]
+#: Members that a group's array shows; duplicate_members has all.
+SHOWN = 500
 
-    Groups of several statements are found first, by sums alone; only their members are gathered.
+
+def _with_group(ops: DataFrame) -> DataFrame:
+    return ops.withColumns({c: F.coalesce(c, F.lit("")) for c in ("reference", "counterpart_account")})
+
+
+def ranked_duplicates(ops: DataFrame, limit: int | None = 50) -> DataFrame:
+    """Groups of operations that several statements print, ranked by statements, then members: the group's columns, n, statements. No members are gathered.
+
+    Statements are counted by group and statement first, so a group of any size is summed by many tasks.
+    """
+    pairs = _with_group(ops).groupBy(*GROUP, "statement_id").agg(F.count(F.lit(1)).alias("k"))
+    groups = pairs.groupBy(*GROUP).agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("statements")).filter("statements > 1")
+    return groups if limit is None else groups.orderBy(F.desc("statements"), F.desc("n"), *GROUP).limit(limit)
+
+
+def duplicate_members(ops: DataFrame, limit: int | None = 50) -> DataFrame:
+    """One row for each member of the ranked groups: the group's columns, n, statements, position (from 1, by statement and row), statement_id, seq, id.
+
+    Positions come from counts by group and statement and ranks within a statement, dealt by group and block of statements, so that no
+    task orders a large group's members and no array holds them.
     """
-    texts = ["reference", "counterpart_account"]
-    ops = ops.withColumns({c: F.coalesce(c, F.lit("")) for c in texts})
-    key = ["amount", "date_iso", "direction", *texts]
-    groups = ops.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("statement_id").alias("least"), F.max("statement_id").alias("most")).filter("least < most").select(*key)
-    named = groups.withColumnsRenamed({c: f"_{c}" for c in key})
-    members = ops.join(named, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key], "left_semi")
-    out = members.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("statement_id").alias("statements"), F.sort_array(F.collect_list(F.struct("statement_id", "seq", "id"))).alias("members"))
-    return out if limit is None else out.orderBy(F.desc("statements"), F.desc("n"), *key).limit(limit)
+    groups = ranked_duplicates(ops, limit).withColumnsRenamed({c: f"_{c}" for c in GROUP})
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in GROUP]
+    members = _with_group(ops).join(groups, same).select(*GROUP, "n", "statements", "statement_id", "seq", "id")
+    own = members.groupBy(*GROUP, "statement_id").agg(F.count(F.lit(1)).alias("k")).withColumn("block", F.floor(F.col("statement_id") / 1024))
+    blocks = own.groupBy(*GROUP, "block").agg(F.sum("k").alias("in_block"))
+    before = F.coalesce(F.sum("in_block").over(W.partitionBy(*GROUP).orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.withColumn("before", before).drop("in_block").withColumnsRenamed({c: f"_{c}" for c in GROUP} | {"block": "_block"})
+    within = F.coalesce(F.sum("k").over(W.partitionBy(*GROUP, "block").orderBy("statement_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = own.withColumn("within", within).join(blocks, [*same, F.col("block") == F.col("_block")]).select(*[F.col(c).alias(f"_{c}") for c in GROUP], F.col("statement_id").alias("_statement"), (F.col("before") + F.col("within")).alias("start"))
+    rank = F.row_number().over(W.partitionBy(*GROUP, "statement_id").orderBy("seq", "id"))
+    out = members.withColumn("rank", rank).join(starts, [*same, F.col("statement_id").eqNullSafe(F.col("_statement"))])
+    return out.select(*GROUP, "n", "statements", (F.col("start") + F.col("rank")).alias("position"), "statement_id", "seq", "id")
+
+
+def duplicate_groups(ops: DataFrame, limit: int | None = 50, shown: int = SHOWN) -> DataFrame:
+    """The ranked groups with their first `shown` members as an array ordered by statement and row."""
+    rows = duplicate_members(ops, limit).filter(F.col("position") <= shown)
+    out = rows.groupBy(*GROUP, "n", "statements").agg(F.sort_array(F.collect_list(F.struct("statement_id", "seq", "id"))).alias("members"))
+    return out if limit is None else out.orderBy(F.desc("statements"), F.desc("n"), *GROUP)
 
 
 def series_scale(daily: DataFrame) -> DataFrame:

@@ -33,6 +33,31 @@ def write_csv(rows: DataFrame, path: str, separator: str = ";", single: bool = T
     (rows.coalesce(1) if single else rows).write.mode("overwrite").option("header", True).option("sep", separator).option("emptyValue", "").csv(path)
 
 
+def write_joined_csv(rows: DataFrame, path: str, separator: str = ";") -> int:
+    """Rows in their order as one file with one header, equal to write_csv's single one; returns its number of parts.
+
+    Tasks write numbered parts of a total order (rows.orderBy deals ranges), and the file system's streams put them one after
+    another: no task sees all rows.
+    """
+    from . import store
+
+    spark, parts = rows.sparkSession, f"{path}.parts"
+    rows.write.mode("overwrite").option("header", False).option("sep", separator).option("emptyValue", "").csv(parts)
+    target, system = store._path(spark, path)
+    out = system.create(target, True)
+    try:
+        out.write(bytearray((separator.join(rows.columns) + "\n").encode()))
+        found = [n for n in store.names(spark, parts) if n.startswith("part-")]
+        for name in found:
+            source = system.open(store._path(spark, f"{parts}/{name}")[0])
+            spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 16, False)
+            source.close()
+    finally:
+        out.close()
+    store.delete(spark, parts)
+    return len(found)
+
+
 RAW_FIELDS = ["page", "seq", "date", "number", "description", "cargo", "abono", "igtf", "method", "counterpart", "counterpart_account", "counterpart_bank", "reference", "concept", "balance_computed"]
 
 
