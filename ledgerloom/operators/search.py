@@ -100,6 +100,11 @@ def total(ops: DataFrame, filters: Filters) -> int:
     return search(ops, filters).count()
 
 
+def counted(ops: DataFrame, filters: Filters) -> DataFrame:
+    """total() as a frame of one row."""
+    return search(ops, filters).agg(F.count(F.lit(1)).alias("total"))
+
+
 LISTED = [
     "id", "statement_id", "seq", "date", "date_iso", "number", "description", "cargo", "abono", "igtf", "amount", "direction", "method", "category", "counterpart", "counterpart_account", "counterpart_bank",
     "reference", "concept", "occurred_at", "phone", "balance_computed",

@@ -7,6 +7,7 @@ operation, a month is a statement; the same expressions stand in SQL. Money leav
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from ..functions import labels
 from ..functions.dates import MONTHS, resolve_date
 from ..functions.text import format_amount, normalize_key, parse_amount
-from ..operators import balance, categories, layout, reconcile, search, stats
+from ..operators import balance, categories, dashboard, layout, reconcile, search, stats
+from . import printed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -125,7 +127,7 @@ def _doubled(ops: DataFrame) -> DataFrame:
 
 DUP = "dup AS (SELECT * FROM led UNION ALL BY NAME SELECT * REPLACE (statement_id + 1 AS statement_id) FROM led WHERE id % 97 = 0), g AS (SELECT amount, date_iso, direction, account, count(*) AS n, count(DISTINCT statement_id) AS statements FROM dup GROUP BY ALL HAVING count(DISTINCT statement_id) > 1)"
 _group = lambda df: df.select(F.col("amount").cast("double").alias("amount"), "date_iso", "direction", F.col("counterpart_account").alias("account"), "n", "statements")
-over_ledger("duplicates", lambda o: _group(stats.duplicate_groups(_doubled(o), None)), f", {DUP} SELECT CAST(amount AS DOUBLE) AS amount, date_iso, direction, CAST(account AS VARCHAR) AS account, n, statements FROM g")
+over_ledger("duplicates", lambda o: _group(stats.ranked_duplicates(_doubled(o), None)), f", {DUP} SELECT CAST(amount AS DOUBLE) AS amount, date_iso, direction, CAST(account AS VARCHAR) AS account, n, statements FROM g")
 over_ledger("duplicate_members", lambda o: stats.duplicate_groups(_doubled(o), None).select(F.col("counterpart_account").alias("account"), F.posexplode("members").alias("position", "m")).select("account", "position", "m.statement_id", "m.seq", "m.id"), f", {DUP} SELECT CAST(account AS VARCHAR) AS account, CAST(row_number() OVER (PARTITION BY amount, date_iso, direction, account ORDER BY statement_id, seq, id) - 1 AS INTEGER) AS position, statement_id, seq, id FROM dup SEMI JOIN g USING (amount, date_iso, direction, account)")
 
 
@@ -362,3 +364,71 @@ def job_eta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     jobs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 500).cast("double").alias("elapsed"), F.col("p_size").alias("progress_percent"))
     return with_eta(jobs).select("id", "eta")
+
+
+# the printed statements, segmented whole
+QUERIES |= printed.QUERIES
+ORACLES |= printed.ORACLES
+
+# the dashboard from partial sums of months, merged
+_days = lambda o: _merged(o, dashboard.days)
+
+
+def _merged(ops: DataFrame, partial: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Partial sums of two loads, older and newer statements, beside one another as a store holds them."""
+    return partial(ops.filter("statement_id < 199800")).unionByName(partial(ops.filter("statement_id >= 199800")))
+
+
+for _name, _part in {
+    "daily_flow": lambda o: dashboard.daily_flow(_days(balanced(o))), "averages": lambda o: dashboard.averages(_days(_unbalanced(o))), "bank_costs": lambda o: dashboard.bank_costs(_days(_unbalanced(o))),
+    "by_method": lambda o: dashboard.grouped(_days(_unbalanced(o)), "method"), "by_weekday": lambda o: dashboard.by_weekday(_days(_unbalanced(o))), "top_counterparts_abono": lambda o: dashboard.top_labels(_merged(o, dashboard.labels), "counterpart", "abono"),
+}.items():
+    QUERIES[f"partial_{_name}"] = lambda spark, sf_dir, f=_part: f(ledger(spark, sf_dir))
+    ORACLES[f"partial_{_name}"] = ORACLES[_name]
+
+
+def _unbalanced(ops: DataFrame) -> DataFrame:
+    return ops.withColumn("balance_computed", F.lit(None).cast(MONEY))
+
+
+def _indexed(ops: DataFrame, text: str) -> DataFrame:
+    """search_text through the letters' index."""
+    hits = search.candidates(search.grams(ops), text)
+    return search.search(ops.join(hits.select("id"), "id", "left_semi"), search.Filters(text=text))
+
+
+over_ledger("search_indexed", lambda o: _listed(_indexed(o, "Clíente 12")), f"SELECT {_fields} FROM led WHERE contains(search_key, 'cliente12') OR contains(lower(description), 'clíente 12')")
+over_ledger("search_short", lambda o: _listed(_indexed(o, "r9")), f"SELECT {_fields} FROM led WHERE contains(search_key, 'r9') OR contains(lower(description), 'r9')")
+over_ledger("search_dates", lambda o: _listed(search.search(o, search.Filters(date_from=date(1996, 2, 28), date_to=date(1996, 3, 1), amount_min=1000.004, amount_max=200_000.5))), f"SELECT {_fields} FROM led WHERE date_iso BETWEEN DATE '1996-02-28' AND DATE '1996-03-01' AND led.amount >= 1000.004 AND led.amount <= 200000.5")
+over_ledger("search_total", lambda o: search.counted(o, search.Filters(direction="abono", text="high")), "SELECT count(*) AS total FROM led WHERE direction = 'abono' AND contains(search_key, 'high')")
+for _sort, _sql in {"amount": "led.amount", "description": "description"}.items():
+    over_ledger(f"page_deep_{_sort}", lambda o, s=_sort: _listed(search.page_at(o, 61, 20, s, False)), f"SELECT {_fields} FROM led ORDER BY {_sql} NULLS LAST, id LIMIT 20 OFFSET 1200")
+
+
+def _all_columns(ops: DataFrame) -> DataFrame:
+    there = ops.withColumn("number", F.col("id").cast("string")).withColumn("date", F.date_format("date_iso", "dd/MM"))
+    out = search.listed(there.withColumns({c: F.lit(None).cast("string") for c in search.LISTED if c not in there.columns and c != "balance_computed"}).withColumn("balance_computed", F.lit(None).cast(MONEY)))
+    return out.select(*[F.col(c).cast("double").alias(c) if t.startswith("decimal") else F.col(c) for c, t in out.dtypes])
+
+
+_nulls = ", ".join(f"CAST(NULL AS VARCHAR) AS {c}" for c in ("counterpart_account", "counterpart_bank", "reference", "occurred_at", "phone"))
+over_ledger("listed_columns", _all_columns, f"SELECT id, statement_id, seq, strftime(date_iso, '%d/%m') AS date, strftime(date_iso, '%Y-%m-%d') AS date_iso, CAST(id AS VARCHAR) AS number, description, {doubles('cargo', 'abono', 'igtf', 'amount')}, direction, method, category, counterpart, {_nulls}, concept, CAST(NULL AS DOUBLE) AS balance_computed FROM led")
+over_ledger("series_scale", lambda o: stats.series_scale(stats.daily_flow(_unbalanced(o))), ", d AS (SELECT CAST(sum(cargo) AS DOUBLE) AS c, CAST(sum(abono) AS DOUBLE) AS a FROM led GROUP BY date_iso) SELECT least(min(c), min(a)) AS low, greatest(max(c), max(a)) AS high, greatest(greatest(max(c), max(a)), 1.0) / 4 AS step FROM d")
+
+
+@register("rules_many", f"WITH {LED}, r AS (SELECT s_suppkey AS id, 'cliente' || CAST(s_suppkey * 7 AS VARCHAR) AS key, 'K' || CAST(s_suppkey % 5 AS VARCHAR) AS cat, CAST(s_suppkey % 3 AS INTEGER) AS pr FROM supplier), h AS (SELECT led.id, arg_min(r.cat, (r.pr, r.id)) AS cat FROM led JOIN r ON contains(led.search_key, r.key) GROUP BY led.id) SELECT led.id, coalesce(h.cat, led.category) AS category FROM led LEFT JOIN h ON led.id = h.id")
+def rules_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule for each supplier."""
+    key = F.col("s_suppkey")
+    rules = table(spark, sf_dir, "supplier").select(key.alias("id"), F.concat(F.lit("Cliénte "), (key * 7).cast("string")).alias("pattern"), F.concat(F.lit("K"), (key % 5).cast("string")).alias("category"), (key % 3).cast("int").alias("priority"))
+    return categories.categorize(ledger(spark, sf_dir).drop("category"), rules).select("id", "category")
+
+
+def _new_periods(ops: DataFrame) -> DataFrame:
+    """The last year's statements against all."""
+    periods = _periods(ops)
+    return reconcile.overlaps_with(periods.filter(F.col("period_start").endswith("-11")), periods)
+
+
+over_ledger("overlap_new", _new_periods, ORACLES["period_overlap"].removeprefix(f"WITH {LED} ") + " AND year(x.a) = 2011")
+over_ledger("duplicate_rows", lambda o: stats.duplicate_members(_doubled(o), None).select(F.col("counterpart_account").alias("account"), "position", "statement_id", "seq", "id", "n", "statements"), f", {DUP} SELECT CAST(account AS VARCHAR) AS account, row_number() OVER (PARTITION BY d.amount, d.date_iso, d.direction, account ORDER BY statement_id, seq, id) AS position, statement_id, seq, id, g.n, g.statements FROM dup d JOIN g USING (amount, date_iso, direction, account)")
