@@ -46,14 +46,15 @@ def line_starts(ys: Column) -> Column:
 def cluster_lines(words: DataFrame) -> DataFrame:
     """words (with side) to lines: statement_id, page, side, line_no, y, side_x0, tokens by x0, words, text.
 
-    Heights of a column are folded into line starts once; each word then finds its line by height.
+    A column's words are gathered once: their heights are folded into line starts, each word finds its line by height, and
+    lines are gathered where the column lies. The words are shuffled once.
     """
     column = [*PAGE, "side"]
-    starts = words.groupBy(*column).agg(line_starts(F.sort_array(F.collect_set("y0"))).alias("starts"))
-    placed = words.join(starts, column)
-    placed = placed.withColumn("line_no", F.size(F.filter("starts", lambda s: s <= F.col("y0"))))
-    token = F.struct("x0", "y0", "x1", "y1", "text")
-    lines = placed.groupBy(*column, "line_no").agg(F.min("y0").alias("y"), F.first("side_x0").alias("side_x0"), F.sort_array(F.collect_list(token)).alias("tokens"))
+    columns = words.groupBy(*column).agg(F.first("side_x0").alias("side_x0"), F.collect_list(F.struct("x0", "y0", "x1", "y1", "text")).alias("tokens"))
+    columns = columns.withColumn("starts", line_starts(F.array_sort(F.array_distinct("tokens.y0"))))
+    placed = F.transform("tokens", lambda t: F.struct(F.size(F.filter("starts", lambda s: s <= t["y0"])).alias("line_no"), t.alias("token")))
+    each = columns.select(*column, "side_x0", F.inline(placed))
+    lines = each.groupBy(*column, "line_no").agg(F.min("token.y0").alias("y"), F.first("side_x0").alias("side_x0"), F.sort_array(F.collect_list("token")).alias("tokens"))
     return lines.withColumn("words", F.col("tokens.text")).withColumn("text", F.array_join("words", " "))
 
 
