@@ -15,8 +15,9 @@ It never lies in one place:
    DEPTH + 1 bytes that stand in it, with their counts in training; texts travel beside them as
    compressed Arrow batches. Counts are summed by run.
 2. Runs are dealt by the last `SHARD` bytes of their context, so a task holds whole subtrees. It sends the
-   sums of their nodes' weighted probabilities one level up; those of contexts of SHARD - 1 bytes,
-   at most 256^(SHARD - 1) of them, make the top of the tree on the driver.
+   sums of their nodes' weighted probabilities one level up; those of contexts of SHARD - 1 bytes
+   make the top of the tree on the driver: a row for each context and beginning of a byte, at most 65,536 x 255 = 16.7
+   million rows whatever the size of the corpus (600 MB; a corpus of 16,384 contexts over 128 byte values sends 2 million).
 3. With the top at hand each subtree gives the cost of each of its runs.
 4. Runs and costs meet in a join, come back to the parts that asked, and each part's texts add up.
    The runs that most parts ask for, a bounded list, are broadcast with their costs instead.
@@ -362,7 +363,7 @@ def run_costs(runs: DataFrame, depth: int, work: Work) -> DataFrame:
 
     with settings(spark, **NUMBER_BATCH):
         sums = dealt(runs, low).mapInArrow(up, "bit int, node long, zeros long, ones long, below double").groupBy("bit", "node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")])
-        got = sums.toArrow()  # at most 8 bits of 256^(low - 1) contexts
+        got = sums.toArrow()  # a row for each context of low - 1 bytes and beginning of a byte: 256^(low - 1) x 255 at the most
     columns = [got.column(c).to_numpy() for c in ("bit", "node", "zeros", "ones", "below")]
     top = spark.sparkContext.broadcast(top_of({bit: tuple(c[columns[0] == bit] for c in columns[1:]) for bit in range(8)}, low - 1))
 
