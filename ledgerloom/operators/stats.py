@@ -84,18 +84,23 @@ def top_days(ops: DataFrame, limit: int = 5) -> DataFrame:
     return rows.orderBy(F.desc("cargo"), "date_iso").limit(limit).select("date_iso", *money("cargo"), "n")
 
 
+#: Keys in a block whose rows are ranked by one task.
+BLOCK = 1 << 16
+
+
 def positions(rows: DataFrame, day: str, key: str = "id", newest: bool = False) -> DataFrame:
-    """rows with position from 1 in order of a day (null last), then key: oldest first, or newest with the largest key first.
+    """rows with position from 1 in order of a day (null last), then a whole-numbered key: oldest first, or newest with the largest key first.
 
-    Counts by day and ranks within a day, so that no task orders all rows.
+    Counts by day and block of keys, and ranks within a block: no task orders all rows, nor all of a day, such as the first of
+    a month on which every statement begins.
     """
-    by_day = F.col(day).desc_nulls_last() if newest else F.col(day).asc_nulls_last()
-    by_key = F.desc(key) if newest else F.asc(key)
-    days = rows.groupBy(F.col(day).alias("day_")).agg(F.count(F.lit(1)).alias("n_"))
-    order = W.orderBy(F.col("day_").desc_nulls_last() if newest else F.col("day_").asc_nulls_last())
-    before = days.select("day_", F.coalesce(F.sum("n_").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before_"))
-    ranked = rows.withColumn("rank_", F.row_number().over(W.partitionBy(day).orderBy(by_day, by_key)))
-    return ranked.join(before, F.col(day).eqNullSafe(F.col("day_"))).withColumn("position", (F.col("before_") + F.col("rank_")).cast("int")).drop("day_", "before_", "rank_")
+    way = (lambda c: F.col(c).desc_nulls_last()) if newest else (lambda c: F.col(c).asc_nulls_last())
+    dealt = rows.withColumn("block_", F.floor(F.col(key) / BLOCK))
+    blocks = dealt.groupBy(F.col(day).alias("day_"), F.col("block_").alias("in_")).agg(F.count(F.lit(1)).alias("n_"))
+    before = blocks.select("day_", "in_", F.coalesce(F.sum("n_").over(W.orderBy(way("day_"), way("in_")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before_"))
+    ranked = dealt.withColumn("rank_", F.row_number().over(W.partitionBy(day, "block_").orderBy(way(key))))
+    out = ranked.join(before, F.col(day).eqNullSafe(F.col("day_")) & F.col("block_").eqNullSafe(F.col("in_")))
+    return out.withColumn("position", (F.col("before_") + F.col("rank_")).cast("int")).drop("day_", "in_", "block_", "before_", "rank_")
 
 
 def latest(statements: DataFrame, limit: int | None = 8) -> DataFrame:

@@ -23,6 +23,17 @@ def with_defaults(table: DataFrame, schema: str) -> DataFrame:
     return table.select(*[(F.col(f.name) if f.name in table.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in target])
 
 
+def migrated(statements: DataFrame, schema: str = schemas.STATEMENTS) -> DataFrame:
+    """Statements of an older table with the columns that came later, filled as if they had been there: progress begins at 0 in the queue, and those that are done are at 100."""
+    out = with_defaults(statements, schema)
+    unset = F.coalesce("progress_percent", F.lit(0)) == 0
+    done = (F.col("status") != "procesando") & unset
+    return out.withColumns({
+        "progress_stage": F.when(done, F.lit("listo")).otherwise(F.coalesce("progress_stage", F.lit("en cola"))),
+        "progress_percent": F.when(done, F.lit(100)).otherwise(F.coalesce("progress_percent", F.lit(0))),
+    })
+
+
 def overwrite_statements(table: DataFrame, path: str) -> None:
     """Replaces the rows of the statements that table holds, and leaves the others."""
     table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("statement_id").parquet(path)

@@ -7,7 +7,6 @@ import pytest
 import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
-SOME = ["ledger_totals", "daily_flow", "duplicates", "duplicate_members", "rule_category", "missing_rows", "line_cluster", "monthly_delta", "category_top6_rest", "statement_order", "queue_position", "period_overlap", "extract_fields", "classify_method"]
 
 
 def test_contract():
@@ -16,7 +15,7 @@ def test_contract():
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables")
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_twin(spark, name):
     import duckdb
 

@@ -270,3 +270,54 @@ def test_periods_hold_all_operations(spark):
     found = [(min(i for _, i in x), min(x)[0], max(x)[0]) for x in periods.values()]
     want = [(x[0], y[0]) for x in found for y in found if x[0] != y[0] and x[1] <= y[2] and y[1] <= x[2]]
     assert want and sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_migrated(spark):
+    """An older table gets the columns that came later, with defaults, and statements that are done are at 100."""
+    old = spark.createDataFrame([(1, "CUADRA"), (2, "procesando"), (3, None)], "id long, status string")
+    assert [(r.id, r.progress_stage, r.progress_percent, r.started_at) for r in tables.migrated(old).orderBy("id").collect()] == [(1, "listo", 100, None), (2, "en cola", 0, None), (3, "en cola", 0, None)]
+    newer = spark.createDataFrame([(1, "procesando", "leyendo", 40), (2, "error", "leyendo", 0)], "id long, status string, progress_stage string, progress_percent int")
+    assert [(r.progress_stage, r.progress_percent) for r in tables.migrated(newer).orderBy("id").collect()] == [("leyendo", 40), ("listo", 100)]
+
+
+def test_positions_of_many_on_one_day(spark, monkeypatch):
+    monkeypatch.setattr(stats, "BLOCK", 7)
+    r = random.Random(2)
+    rows = [(i, r.choice([None, date(2024, 1, 1), date(2024, 2, 1)])) for i in r.sample(range(1000), 90)]
+    df = spark.createDataFrame(rows, "id long, day date").repartition(4)
+    last = date(9999, 1, 1)
+    want = [i for i, _ in sorted(rows, key=lambda x: (x[1] or last, x[0]))]
+    assert [x.id for x in sorted(stats.positions(df, "day").collect(), key=lambda x: x.position)] == want
+    newest = [i for i, _ in sorted(rows, key=lambda x: (x[1] is not None, x[1] or last, x[0]), reverse=True)]
+    got = sorted(stats.positions(df, "day", newest=True).collect(), key=lambda x: x.position)
+    assert [x.id for x in got] == newest and [x.position for x in got] == list(range(1, 91))
+
+
+def test_sides_and_second_opening_balance(spark):
+    """Without the cover's opening balance the first printed one counts."""
+    covers = spark.createDataFrame([(1, None), (2, D(5)), (3, None)], "statement_id long, saldo_inicio decimal(18,2)")
+    points = spark.createDataFrame([(1, 2, "inicio", D(9)), (1, 1, "inicio", D(7)), (1, 0, "final", D(1)), (2, 1, "inicio", D(8))], "statement_id long, ord int, kind string, printed_balance decimal(18,2)")
+    assert {x.statement_id: x.start for x in balance.start_balances(covers, points).collect()} == {1: D(7), 2: D(5), 3: None}
+
+
+def test_documents_and_raw_rows(spark, tmp_path):
+    """The command line's CSV and JSON document of a statement."""
+    import json
+
+    from ledgerloom.operators import segment
+    from ledgerloom.sources import fixtures as fx
+
+    p = segment.parse(fx.words(spark, [fx.statement(1)]))
+    raw = tables.raw_rows(p.operations)
+    assert raw.columns == tables.RAW_FIELDS and [x.seq for x in raw.collect()] == [1, 2, 3, 4]
+    tables.write_csv(raw, f"{tmp_path}/raw", ",")
+    lines = next((tmp_path / "raw").glob("part-*")).read_text().splitlines()
+    assert lines[0] == ",".join(tables.RAW_FIELDS) and len(lines) == 5
+    found = reconcile.issues(p.covers, p.operations, p.checkpoints, p.annex, p.pos, p.fidelity)
+    row = tables.documents(p, found, reconcile.statuses(p.covers, found)).first()
+    document = json.loads(row.document)
+    assert document["status"] == "CUADRA" and document["cover"]["holder"] == "ROMERO CARLA" and [x["seq"] for x in document["operations"]] == [1, 2, 3, 4]
+    assert len(document["annex"]) == 2 and len(document["pos"]) == 1 and "issues" not in document
+    warned = p.fidelity.unionByName(spark.createDataFrame([(1, "p1: odd")], p.fidelity.schema))
+    found = reconcile.issues(p.covers, p.operations, p.checkpoints, p.annex, p.pos, warned)
+    assert [(x.kind, x.detail) for x in found.collect()] == [("advertencia", "p1: odd")] and reconcile.statuses(p.covers, found).first().status == "REVISAR"
