@@ -34,13 +34,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Work, documents, joined_by_size, keyed, settings, ship
+from .shared import HOT, Work, documents, joined_by_size, keyed, settings, ship
 from .shingles import mixed, portions, shingle_sets
 
 MISS = 1e-7
 MOST_BANDS = 32
 #: Members that share a shingle and meet in one group at the most; more are dealt over blocks.
 BLOCK = 1000
+#: Pairs around one text in a block at the least.
+PAIRS = 200
 #: Rows in a batch sent to Python where a row carries sets.
 BATCH = {"spark__sql__execution__arrow__maxRecordsPerBatch": "200"}
 TEXT_BATCH = {"spark__sql__execution__arrow__maxRecordsPerBatch": "2000"}
@@ -112,6 +114,21 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return texts.join(ids, "doc_id").mapInArrow(run, "doc_id long, hashes binary")
 
 
+def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b, ...) with the sets of b (y) and a (x).
+
+    A text b with more than one in HOT of the pairs, so one of fewer than HOT texts, is copied to as many blocks as keep each
+    within that share, or to PAIRS pairs, and its pairs are dealt over them by a: no task gets all pairs around one text.
+    """
+    sizes = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("size"))
+    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    hot = F.broadcast(sizes.filter(F.col("size") * HOT > total).select("b", F.ceil(F.col("size") / max(total / HOT, PAIRS)).cast("int").alias("blocks")))
+    blocks = F.coalesce("blocks", F.lit(1))
+    dealt = pairs.join(hot, "b", "left").withColumn("block", F.pmod(F.xxhash64("a"), blocks).cast("int")).drop("blocks")
+    copied = sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")).join(hot, "b", "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("blocks")
+    return dealt.join(copied, ["b", "block"]).drop("block").join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a")
+
+
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (a, b) with the sizes of intersection and union of their sets: a, b, shared, total."""
 
@@ -125,9 +142,7 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 total.append(len(x) + len(y) - k)
             yield pa.RecordBatch.from_pydict({"a": batch.column(0), "b": batch.column(1), "shared": pa.array(shared, pa.int64()), "total": pa.array(total, pa.int64())})
 
-    one = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b")
-    both = one.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, shared long, total long")
+    return with_sets(pairs, sets).select("a", "b", "x", "y").mapInArrow(run, "a long, b long, shared long, total long")
 
 
 def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -144,9 +159,7 @@ def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(size, pa.int64()), pa.array(lacks, longs), pa.array(adds, longs)], ["a", "b", "part", "size", "lacks", "adds"])
 
-    one = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b")
-    both = one.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a")
-    return both.select("a", "b", "part_a", "x", "y").mapInArrow(run, "a long, b long, part long, size long, lacks array<long>, adds array<long>")
+    return with_sets(pairs, sets).select("a", "b", "part_a", "x", "y").mapInArrow(run, "a long, b long, part long, size long, lacks array<long>, adds array<long>")
 
 
 def linked_apart(apart: DataFrame, percent: int, work: Work) -> DataFrame:
