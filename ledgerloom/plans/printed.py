@@ -1,8 +1,7 @@
 """Queries that run the segmentation of printed statements whole, and their SQL twins over the orders themselves.
 
-Every customer is a statement. Its orders are printed on ledger pages of two columns, forty rows a page, as positioned words: twenty rows
-on the left, below a header on the first page alone, and twenty on the right, which has no header, so that anchors are carried from page to
-page and mirrored from side to side. A row has a second line; in some it holds an amount, which is not summed but warned of. A last
+Every customer is a statement. Its orders are printed on ledger pages, twenty rows a page, as positioned words, below a header on the
+first page alone, so that anchors are carried from page to page. A row has a second line; in some it holds an amount, which is not summed but warned of. A last
 page lists some orders as annex, each followed by the line of its time. The twins never see a word: they say what the pages must give.
 """
 
@@ -15,9 +14,9 @@ from pyspark.sql import functions as F
 from ..operators import segment
 from ..schemas import WORDS
 
-WIDTH, RIGHT = 2000.0, 1000.0
-ROWS, SIDE = 40, 20
-#: Right edges of the amount columns, from a side's left edge.
+#: Pages are so wide that no word stands in their middle: they have one column.
+WIDTH, ROWS = 2000.0, 20
+#: Right edges of the amount columns.
 EDGES = {"CARGOS": 196.0, "ABONOS": 236.0, "IMPUESTO": 274.0, "SALDO": 312.0}
 MONTO = 288.0
 
@@ -53,14 +52,13 @@ def printed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of all statements."""
     rows = printed_orders(spark, sf_dir)
     page, slot = F.floor(F.col("i") / ROWS) + 1, F.col("i") % ROWS
-    left = F.when(slot >= SIDE, F.lit(RIGHT)).otherwise(F.lit(0.0))
-    y = 80.0 + slot % SIDE * 24.0
-    edge = left + F.when(F.col("debit"), EDGES["CARGOS"]).otherwise(EDGES["ABONOS"])
+    y = 80.0 + slot * 24.0
+    edge = F.when(F.col("debit"), EDGES["CARGOS"]).otherwise(EDGES["ABONOS"])
     day = F.date_format("day", "dd/MM")
-    stray = F.when(F.col("o_orderkey") % 7 == 0, _until(page, left + EDGES["CARGOS"], y + 10, "1,00"))
+    stray = F.when(F.col("o_orderkey") % 7 == 0, _until(page, EDGES["CARGOS"], y + 10, "1,00"))
     ledger = F.array(
-        _word(page, left + 10, y, day), _word(page, left + 40, y, (F.col("o_orderkey") + 10_000).cast("string"), left + 58), _word(page, left + 65, y, "PAGO"), _word(page, left + 80, y, F.concat(F.lit("CLIENTE-"), "statement_id"), left + 150),
-        _until(page, edge, y, _money(F.col("price"))), _word(page, left + 65, y + 10, "ORDEN"), _word(page, left + 90, y + 10, F.concat(F.lit("N"), "o_orderkey"), left + 130), stray,
+        _word(page, 10, y, day), _word(page, 40, y, (F.col("o_orderkey") + 10_000).cast("string"), 58), _word(page, 65, y, "PAGO"), _word(page, 80, y, F.concat(F.lit("CLIENTE-"), "statement_id"), 150),
+        _until(page, edge, y, _money(F.col("price"))), _word(page, 65, y + 10, "ORDEN"), _word(page, 90, y + 10, F.concat(F.lit("N"), "o_orderkey"), 130), stray,
     )
     last = F.floor((F.max("i").over(W.partitionBy("statement_id"))) / ROWS) + 2
     # the annex, a line for the row and one for its time; a page of any height
@@ -73,7 +71,7 @@ def printed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     # titles of every page, which set how far descriptions reach; the ledger's header on the first; the annex's on the last
     pages = rows.groupBy("statement_id").agg(F.max("last").alias("last"))
     each = pages.select("statement_id", "last", F.explode(F.sequence(F.lit(1), F.col("last") - 1)).alias("page"))
-    titles = [_word(F.col("page"), side + 50, 40, "MOVIMIENTOS") for side in (0.0,)] + [_word(F.col("page"), 100, 40, "DE"), _word(F.col("page"), 110, 40, "CUENTA", 188)]
+    titles = [_word(F.col("page"), 50, 40, "MOVIMIENTOS"), _word(F.col("page"), 100, 40, "DE"), _word(F.col("page"), 110, 40, "CUENTA", 188)]
     header = [_word(F.lit(1), 10, 60, "FECHA"), _word(F.lit(1), 65, 60, "DESCRIPCION")] + [_until(F.lit(1), x, 60, n) for n, x in EDGES.items()]
     heads = each.select("statement_id", F.explode(F.concat(F.array(*titles), F.when(F.col("page") == 1, F.array(*header)).otherwise(F.slice(F.array(*header), 1, 0)))).alias("w"))
     end = [_word(F.col("last"), 10, 60, "FECHA"), _word(F.col("last"), 30, 60, "TR."), _word(F.col("last"), 45, 60, "OPERACION"), _until(F.col("last"), MONTO - 2, 60, "MONTO")]
