@@ -173,11 +173,11 @@ def linked_apart(apart: DataFrame, percent: int, work: Work) -> DataFrame:
     limit, one = (100 - percent) * F.col("size"), 100 + percent
     needed = lambda sum_: F.greatest(F.ceil((sum_ - F.col("limit")) / one), F.lit(1)).cast("int")
     members = apart.select("b", "a", "part", limit.alias("limit"), (100 * F.size("lacks") + percent * F.size("adds")).alias("w"), F.concat("lacks", "adds").alias("unlike"))
-    bounds = members.groupBy("b").agg(F.min("w").alias("least"), F.min(F.when(F.col("w") > F.col("limit"), F.col("w"))).alias("far")).filter("far is not null")
+    bounds = members.groupBy("b").agg(F.count(F.lit(1)).alias("size"), F.min("w").alias("least"), F.min(F.when(F.col("w") > F.col("limit"), F.col("w"))).alias("far"))
     shingles = members.select("b", "a", F.explode("unlike").alias("shingle"))
     shared = shingles.groupBy("b", "shingle").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
     ranked = shingles.join(shared, ["b", "shingle"]).groupBy("b", "a").agg(F.array_sort(F.collect_list(F.struct("times", "shingle"))).alias("ranked"))
-    rows = members.drop("unlike").join(bounds, "b").join(ranked, ["b", "a"])
+    rows = joined_by_size(members.drop("unlike"), bounds, "b", "size").filter("far is not null").join(ranked, ["b", "a"])
     rows = rows.withColumns({"n": F.size("ranked"), "as_less": needed(F.col("w") + F.greatest("w", "far")), "as_more": needed(F.col("w") + F.col("least"))})
     rows = work.table(rows, "ranked")
 
@@ -227,8 +227,9 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     classes = rows.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("class"), F.count(F.lit(1)).alias("size"))
     firsts = rows.join(classes, (rows["set"] == classes["set"]) & (F.col("doc_id") == F.col("class")), "left_semi")
     members = firsts.select("doc_id", "n", F.explode("bands").alias("band"))
-    buckets = members.groupBy("band").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("band", "first")
-    members = work.table(members.join(buckets, "band"), "members")
+    buckets = members.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
+    buckets = work.table(buckets, "buckets")
+    members = work.table(joined_by_size(members, buckets, "band", "size").select("doc_id", "first"), "members")
     star = members.filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
     star = work.table(star, "star")
 
@@ -242,17 +243,19 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     # what the first comparison left open
     part = found.withColumnRenamed("id", "a").withColumnRenamed("component", "part_a")
     root = found.withColumnRenamed("id", "b").withColumnRenamed("component", "part_b")
-    placed = seen.select("a", "b").distinct().join(part, "a", "left").join(root, "b", "left")
+    roots = seen.groupBy("b").agg(F.count(F.lit(1)).alias("size")).join(root, "b", "left")
+    placed = joined_by_size(seen.select("a", "b").join(part, "a", "left"), roots, "b", "size")
     placed = work.table(placed.select("a", "b", F.coalesce("part_a", "a").alias("part_a"), F.coalesce("part_b", "b").alias("part_b")), "placed")
-    still = placed.groupBy("b").agg((F.least(F.min("part_a"), F.min("part_b")) < F.greatest(F.max("part_a"), F.max("part_b"))).alias("open")).filter("open").select("b")
+    low, high = F.least(F.min("part_a"), F.min("part_b")), F.greatest(F.max("part_a"), F.max("part_b"))
+    still = placed.groupBy("b").agg(F.count(F.lit(1)).alias("size"), (low < high).alias("open"))
     with settings(spark, **BATCH):
-        apart = work.table(differences(placed.join(still, "b"), sets), "apart")
+        apart = work.table(differences(joined_by_size(placed, still, "b", "size").filter("open"), sets), "apart")
     more = work.table(linked_apart(apart, percent, work), "more")
     if not more.isEmpty():
         found = components(seen.filter(linked).select("a", "b").unionByName(more), work, "second")
     # one row for each set, then by set to the rows: those of one set are never gathered
     classes = work.table(classes.join(found.withColumnRenamed("id", "class"), "class", "left"), "classes")
-    work.drop("sets", "members", "placed", "star", "apart", "ranked", "pairs")
+    work.drop("sets", "buckets", "members", "placed", "star", "apart", "ranked", "pairs")
 
     rows = rows.select("doc_id", "n", "set")
     out = joined_by_size(rows.filter("n > 0"), classes, "set", "size").select("doc_id", "n", F.coalesce("component", "class", "doc_id").alias("component_id"))

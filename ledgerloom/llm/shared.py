@@ -119,14 +119,16 @@ def most_frequent(counts: DataFrame, most: int) -> DataFrame:
 HOT = 1000
 
 
-def joined_by_size(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+def joined_by_size(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int | None = None) -> DataFrame:
     """rows joined to groups, which has one row for each key and, in the column size, its number of rows.
 
     Hot keys are fewer than HOT at any size of the tables: they are broadcast and their rows stay where
     they are. The others meet by a shuffle, in which a key holds at most one in HOT of the rows. Rows
-    whose key is null are left out.
+    whose key is null are left out, as are those without a group. total is the sum of the sizes, or
+    a number above it, where the caller knows one.
     """
-    total = groups.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    if total is None:
+        total = groups.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     is_hot = F.col(size) * HOT > total
     hot = groups.filter(is_hot)
     others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.filter(~is_hot), key)
