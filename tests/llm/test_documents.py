@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, exact_dedup, license_scan, lm_score, mixing, near_dedup, pii, quality, shared, shingles
+from ledgerloom.llm import bpe, components, exact_dedup, license_scan, lm_score, mixing, near_dedup, pii, quality, shared, shingles
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -213,6 +213,23 @@ def test_near_dedup_bridge_without_id(docs):
     assert {r.component_id for r in far} == {1, 2}
 
 
+def test_components_of_a_hot_id(spark):
+    """A star of many links, a chain and a pair, against a plain search; repeated and turned links change nothing."""
+    links = [(7, 100 + i) for i in range(1500)] + [(5001 + i, 5000 + i) for i in range(6)] + [(9001, 9000), (9000, 9001), (3, 100)]
+    found = components.components(spark.createDataFrame(links, "a long, b long"), near_dedup.Work(spark, "components-test")).collect()
+    want = {i: 3 for i in (3, 7, *range(100, 1600))} | {5000 + i: 5000 for i in range(7)} | {9000: 9000, 9001: 9000}
+    assert len(found) == len(want) and {x.id: x.component for x in found} == want
+
+
+def test_joined_by_size(spark):
+    """Hot keys and others get their group's values; null keys and keys without a group go."""
+    rows = spark.createDataFrame([(1, i) for i in range(5)] + [(k, 0) for k in range(2, 1200)] + [(None, 1), (5000, 1)], "k long, v long")
+    groups = spark.createDataFrame([(k, 5 if k == 1 else 1, -k) for k in range(1, 1200)], "k long, size long, w long")
+    want = sorted([(1, i, -1) for i in range(5)] + [(k, 0, -k) for k in range(2, 1200)])
+    for total in (None, 2000):
+        assert sorted((x.k, x.v, x.w) for x in shared.joined_by_size(rows, groups, "k", "size", total).collect()) == want
+
+
 def test_near_dedup_stage_ids(spark, docs):
     """Rows without an identifier, or sharing one, are decided each by its own text."""
     text = lambda s, n=60: " ".join(f"{s}{i}" for i in range(n))
