@@ -132,6 +132,19 @@ def test_reconcile(spark):
     assert [(r.expected, r.parsed) for r in found if r.kind == "neto"] == [(D(55), D(45))]
 
 
+def test_fidelity_warnings_join_the_findings(spark):
+    covers = spark.createDataFrame([(i, D(100), D(0), D(0), D(0), D(0), D(0), D(100)) for i in (1, 2, 3)], COVER)
+    rows = spark.createDataFrame([(1, 1, D(0), D(9), D(0), D(9))], "statement_id long, seq int, cargo decimal(18,2), abono decimal(18,2), igtf decimal(18,2), amount decimal(18,2)")
+    points = spark.createDataFrame([], POINT)
+    warned = spark.createDataFrame([(1, "a row has no day"), (2, "two words were not read"), (2, "a page has no header")], "statement_id long, detail string")
+    found = reconcile.issues(covers, rows, points, fidelity=warned)
+    told = sorted((r.statement_id, r.detail) for r in found.collect() if r.kind == "advertencia")
+    assert told == [(1, "a row has no day"), (2, "a page has no header"), (2, "two words were not read")]
+    # a difference weighs more than a warning, a warning more than nothing
+    assert {r.statement_id: r.status for r in reconcile.statuses(covers, found).collect()} == {1: "DIFERENCIAS", 2: "REVISAR", 3: "CUADRA"}
+    assert reconcile.issues(covers, rows, points, fidelity=warned.limit(0)).filter("kind = 'advertencia'").isEmpty()
+
+
 def test_reports(spark):
     covers = spark.createDataFrame([(1, D(100), D(0), D(200), D(0), D(180), D(0), D(120), "01-01-24", "31-01-24"), (2, D(0), D(0), D(0), D(0), D(0), D(0), D(0), None, None)], f"{COVER}, period_start string, period_end string")
     rows = spark.createDataFrame([(1, 1, D(0), D(200), D(0), D(200)), (1, 2, D(150), D(0), D(0), D(150))], "statement_id long, seq int, cargo decimal(18,2), abono decimal(18,2), igtf decimal(18,2), amount decimal(18,2)")
