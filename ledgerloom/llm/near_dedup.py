@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import HOT, Work, documents, joined_by_size, keyed, settings, ship
+from .shared import HOT, Work, documents, joined_by_size, keyed, maybe_among, settings, ship
 from .shingles import mixed, portions, shingle_sets
 
 MISS = 1e-7
@@ -101,21 +101,24 @@ def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """The sorted shingle hashes, as bytes, of the documents whose id is in ids."""
+    """The sorted shingle hashes, as bytes, of the documents whose id is in ids, with the further columns (first, other) of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ids_ = batch.column(1).to_pylist(), batch.column(0)
+            texts = batch.column(1).to_pylist()
             for part in portions(texts):
                 found = [h.tobytes() for h in shingle_sets(texts[part], words)]
-                yield pa.RecordBatch.from_pydict({"doc_id": ids_.slice(part.start, part.stop - part.start), "hashes": pa.array(found, pa.large_binary()).cast(pa.binary())})
+                doc_id, first, other = (batch.column(c).slice(part.start, part.stop - part.start) for c in (0, 2, 3))
+                yield pa.RecordBatch.from_pydict({"doc_id": doc_id, "first": first, "other": other, "hashes": pa.array(found, pa.large_binary()).cast(pa.binary())})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(ids, "doc_id").mapInArrow(run, "doc_id long, hashes binary")
+    # texts of no bucket are most of the corpus and stay where they are
+    texts = maybe_among(texts, ids, "doc_id").join(ids, "doc_id").select("doc_id", "text", "first", "other")
+    return texts.mapInArrow(run, "doc_id long, first boolean, other boolean, hashes binary")
 
 
 def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b, ...) with the sets of b (y) and a (x).
+    """pairs (a, b) with the sets of b (y) and a (x): those that are first in a bucket, and those that are not.
 
     A text b with more than one in HOT of the pairs, so one of fewer than HOT texts, is copied to as many blocks as keep each
     within that share, or to PAIRS pairs, and its pairs are dealt over them by a: no task gets all pairs around one text.
@@ -125,41 +128,38 @@ def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     hot = F.broadcast(sizes.filter(F.col("size") * HOT > total).select("b", F.ceil(F.col("size") / max(total / HOT, PAIRS)).cast("int").alias("blocks")))
     blocks = F.coalesce("blocks", F.lit(1))
     dealt = pairs.join(hot, "b", "left").withColumn("block", F.pmod(F.xxhash64("a"), blocks).cast("int")).drop("blocks")
-    copied = sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")).join(hot, "b", "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("blocks")
-    return dealt.join(copied, ["b", "block"]).drop("block").join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a")
+    copied = sets.filter("first").select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")).join(hot, "b", "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("blocks")
+    return dealt.join(copied, ["b", "block"]).drop("block").join(sets.filter("other").select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a")
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b) with the sizes of intersection and union of their sets: a, b, shared, total."""
+    """pairs (a, b) with the sizes of intersection and union of their sets, that of b's set, what a lacks of it and what it adds.
+
+    Both uses of the sets are served at once, so that they are shuffled once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shared, total = [], []
+            shared, total, size, lacks, adds = [], [], [], [], []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                k = len(np.intersect1d(x, y, assume_unique=True))
+                at = np.searchsorted(y, x)
+                at[at == len(y)] = 0
+                both = y[at] == x
+                rest = np.ones(len(y), bool)
+                rest[at[both]] = False
+                k = int(both.sum())
                 shared.append(k)
                 total.append(len(x) + len(y) - k)
-            yield pa.RecordBatch.from_pydict({"a": batch.column(0), "b": batch.column(1), "shared": pa.array(shared, pa.int64()), "total": pa.array(total, pa.int64())})
-
-    return with_sets(pairs, sets).select("a", "b", "x", "y").mapInArrow(run, "a long, b long, shared long, total long")
-
-
-def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b, part_a) with the difference of a's set from b's: size of b's set, what a lacks of it and what it adds."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size, lacks, adds = [], [], []
-            for x, y in zip(batch.column(3), batch.column(4), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 size.append(len(y))
-                lacks.append(np.setdiff1d(y, x, assume_unique=True).view(np.int64))
-                adds.append(np.setdiff1d(x, y, assume_unique=True).view(np.int64))
+                lacks.append(y[rest].view(np.int64))
+                adds.append(x[~both].view(np.int64))
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(size, pa.int64()), pa.array(lacks, longs), pa.array(adds, longs)], ["a", "b", "part", "size", "lacks", "adds"])
+            columns = [batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in (shared, total, size)), pa.array(lacks, longs), pa.array(adds, longs)]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "shared", "total", "size", "lacks", "adds"])
 
-    return with_sets(pairs, sets).select("a", "b", "part_a", "x", "y").mapInArrow(run, "a long, b long, part long, size long, lacks array<long>, adds array<long>")
+    schema = "a long, b long, shared long, total long, size long, lacks array<long>, adds array<long>"
+    return with_sets(pairs, sets).select("a", "b", "x", "y").mapInArrow(run, schema)
 
 
 def linked_apart(apart: DataFrame, percent: int, work: Work) -> DataFrame:
@@ -226,17 +226,20 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         rows = work.table(signatures(docs, words, percent), "signatures")
     classes = rows.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("class"), F.count(F.lit(1)).alias("size"))
     firsts = rows.join(classes, (rows["set"] == classes["set"]) & (F.col("doc_id") == F.col("class")), "left_semi")
-    members = firsts.select("doc_id", "n", F.explode("bands").alias("band"))
+    members = work.table(firsts.select("doc_id", "bands"), "firsts").select("doc_id", F.explode("bands").alias("band"))
     buckets = members.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
     buckets = work.table(buckets, "buckets")
     members = work.table(joined_by_size(members, buckets, "band", "size").select("doc_id", "first"), "members")
     star = members.filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
     star = work.table(star, "star")
 
-    ids = members.select("doc_id").distinct()
+    is_first = F.col("doc_id") == F.col("first")
+    ids = work.table(members.groupBy("doc_id").agg(F.bool_or(is_first).alias("first"), F.bool_or(~is_first).alias("other")), "ids")
+    work.drop("firsts", "buckets", "members")
     with settings(spark, **BATCH):
         sets = work.table(sets_of(docs, ids, words), "sets")
         seen = work.table(compared(star, sets), "seen")
+    work.drop("sets", "star")
     linked = f"100 * shared >= {percent} * total"
     found = components(seen.filter(linked).select("a", "b"), work, "first")
 
@@ -248,14 +251,14 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     placed = work.table(placed.select("a", "b", F.coalesce("part_a", "a").alias("part_a"), F.coalesce("part_b", "b").alias("part_b")), "placed")
     low, high = F.least(F.min("part_a"), F.min("part_b")), F.greatest(F.max("part_a"), F.max("part_b"))
     still = placed.groupBy("b").agg(F.count(F.lit(1)).alias("size"), (low < high).alias("open"))
-    with settings(spark, **BATCH):
-        apart = work.table(differences(joined_by_size(placed, still, "b", "size").filter("open"), sets), "apart")
+    apart = joined_by_size(placed, still, "b", "size").filter("open").select("a", "b", F.col("part_a").alias("part")).distinct()
+    apart = work.table(apart.join(seen.select("a", "b", "size", "lacks", "adds"), ["a", "b"]), "apart")
     more = work.table(linked_apart(apart, percent, work), "more")
     if not more.isEmpty():
         found = components(seen.filter(linked).select("a", "b").unionByName(more), work, "second")
     # one row for each set, then by set to the rows: those of one set are never gathered
     classes = work.table(classes.join(found.withColumnRenamed("id", "class"), "class", "left"), "classes")
-    work.drop("sets", "buckets", "members", "placed", "star", "apart", "ranked", "pairs")
+    work.drop("ids", "seen", "placed", "apart", "ranked", "pairs")
 
     rows = rows.select("doc_id", "n", "set")
     out = joined_by_size(rows.filter("n > 0"), classes, "set", "size").select("doc_id", "n", F.coalesce("component", "class", "doc_id").alias("component_id"))

@@ -135,6 +135,25 @@ def joined_by_size(rows: DataFrame, groups: DataFrame, key: str, size: str, tota
     return rows.join(F.broadcast(hot), key).unionByName(others)
 
 
+#: Bits of the filter of maybe_among, a multiple of the 32,768 of one bitmap.
+FILTER = 1 << 25
+
+
+def maybe_among(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """rows whose key is among keys, and few others: before a join that would otherwise shuffle all rows to keep some.
+
+    The filter is one bit for each hash, 4 MB at any size of keys; beyond some ten million keys it lets
+    most rows pass, and the join does the rest.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(FILTER)) + 1
+    numbered = lambda df, *more: df.select(*more, F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).cast("int").alias("position"))
+    bitmaps = numbered(keys).repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("position").alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("position") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    set_ = byte.bitwiseAND(F.expr("shiftleft(1, position % 8)")) != 0
+    named = numbered(rows, F.struct("*").alias("row"))
+    return named.join(F.broadcast(bitmaps), "bucket").filter(set_).select("row.*")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -230,6 +230,40 @@ def test_joined_by_size(spark):
         assert sorted((x.k, x.v, x.w) for x in shared.joined_by_size(rows, groups, "k", "size", total).collect()) == want
 
 
+def test_maybe_among(spark):
+    rows = spark.range(200_000).select((F.col("id") * 7).alias("k"), F.col("id").alias("row"))
+    keys = spark.range(5_000).select((F.col("id") * 70).alias("k"))
+    got = shared.maybe_among(rows, keys, "k")
+    assert got.columns == ["k", "row"] and got.join(keys, "k").count() == 5_000 and got.count() < 5_400
+    assert shared.maybe_among(rows, keys.limit(0), "k").count() == 0
+
+
+def test_near_dedup_leaves_texts_of_no_bucket_in_place(spark, docs):
+    """Texts like no other are most of a corpus: they are not shuffled to find the few that are."""
+    draw = random.Random(5)
+    rows = [(i, " ".join(str(draw.getrandbits(40)) for _ in range(3000)), "en", "a") for i in range(300)]
+    rows += [(300 + i, rows[i][1] + " more", "en", "a") for i in range(3)]
+    df = docs(rows, extra=False).repartition(4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    store, bus = spark._jsc.sc().statusStore(), spark._jsc.sc().listenerBus()
+
+    def written():
+        bus.waitUntilEmpty(30_000)
+        time.sleep(0.3)
+        return sum(store.executorList(False).apply(i).totalShuffleWrite() for i in range(store.executorList(False).size()))
+
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        df = near_dedup.Work(spark, "texts-test").table(df, "docs")
+        start = written()
+        got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(df, 3, 85).collect()}
+        moved = written() - start
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {i: i % 300 if i >= 300 else i for i in range(303)}
+    assert 0 < moved < 0.25 * sum(len(r[1]) for r in rows)
+
+
 def test_near_dedup_stage_ids(spark, docs):
     """Rows without an identifier, or sharing one, are decided each by its own text."""
     text = lambda s, n=60: " ".join(f"{s}{i}" for i in range(n))
