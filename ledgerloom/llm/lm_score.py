@@ -38,6 +38,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -389,6 +390,27 @@ def looked_up(keys: np.ndarray, sought: np.ndarray) -> tuple[np.ndarray, np.ndar
     return at, keys[at] == sought if len(keys) else np.zeros(len(sought), bool)
 
 
+def word_sums(split: list[list[bytes]], common: dict[bytes, float]) -> tuple[list[int], list[float], pa.Array]:
+    """For each text the number of its tokens that are common, the sum of their values, and its other words with their counts.
+
+    Each distinct word of a text is looked up once, and the others go into flat arrays: this is a large part of the operator's time.
+    """
+    value, end = common.get, int(END in common)
+    n_known, base, words, times, ends = [], [], [], [], [0]
+    for w in split:
+        counts = Counter(w)
+        each, here = list(map(value, counts)), counts.values()
+        if None in each:
+            words += [x for x, v in zip(counts, each, strict=True) if v is None]
+            times += [k for k, v in zip(here, each, strict=True) if v is None]
+            here, each = [k for k, v in zip(here, each, strict=True) if v is not None], [v for v in each if v is not None]
+        n_known.append(sum(here) + end)
+        base.append(math.fsum(map(mul, each, here)) + (common[END] if end else 0.0))
+        ends.append(len(words))
+    others = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int32())], ["word", "k"])
+    return n_known, base, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), others)
+
+
 def scored(parts: DataFrame, costs: DataFrame, top: dict[bytes, float], often: tuple[np.ndarray, np.ndarray], depth: int) -> DataFrame:
     """One row for each text: key, doc_id, held_out, n_tokens, n_bytes, score, frequent words' part of the base, and the other words.
 
@@ -443,17 +465,10 @@ def scored(parts: DataFrame, costs: DataFrame, top: dict[bytes, float], often: t
             times = np.diff(np.append(first, len(runs)))
             score[part] = np.bincount((order & np.uint64(255)).astype(np.int64), weights=np.repeat(each, times), minlength=len(n)) / math.log(10)
             n_bytes[part] = n
-        n_known, base, rare = [], [], []
-        for w in split:
-            counts = Counter(w)
-            frequent_ = [(x, k) for x, k in counts.items() if x in common]
-            end = int(END in common)
-            n_known.append(sum(k for _, k in frequent_) + end)
-            base.append(math.fsum(k * common[x] for x, k in frequent_) + (common[END] if end else 0.0))
-            rare.append([{"word": x, "k": k} for x, k in counts.items() if x not in common])
+        n_known, base, rare = word_sums(split, common)
         columns = [
             pa.array(random.integers(0, 2**63 - 1, len(ids))), pa.array(ids, pa.int64()), pa.array([held_out(i) for i in ids], pa.bool_()), pa.array([len(w) + 1 for w in split], pa.int64()),
-            pa.array(n_bytes), pa.array(score, pa.float64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int32())]))),
+            pa.array(n_bytes), pa.array(score, pa.float64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), rare,
         ]
         return pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "held_out", "n_tokens", "n_bytes", "score", "known", "base", "others"])
 
@@ -474,7 +489,9 @@ def lm_score(docs: DataFrame, depth: int = DEPTH, top: int = TOP_WORDS, part_siz
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     frequent = most_frequent(words, top).toArrow().to_pydict()
     frequent = {w: math.log10(c + 1) for w, c in zip(frequent["word"], frequent["n"], strict=True)}
-    runs = work.table(parts.filter("run is not null").groupBy("run").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("asked")), "runs")
+    # a task's parts have few runs in common: rows are dealt as they are and summed where they meet
+    dealt_runs = parts.filter("run is not null").select("run", "n").repartition("run")
+    runs = work.table(dealt_runs.groupBy("run").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("asked")), "runs")
     costs = run_costs(runs, depth, work)
     often = most_frequent(runs.select("run", F.col("asked").alias("n")).filter("n > 1"), top_runs).select("run")
     got = costs.join(often, "run").toArrow()

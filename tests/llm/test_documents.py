@@ -522,6 +522,32 @@ def test_tree_is_a_distribution(low):
         assert abs(costs[code] - cost) < 1e-4
 
 
+def test_words_are_looked_up_once():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key, default=None):
+            Counted.asked += 1
+            return super().get(key, default)
+
+        def __contains__(self, key):
+            Counted.asked += 1
+            return super().__contains__(key)
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+    split = [lm_score.tokens(t) for t in ["a b a c", "", "x y x", "b b", "q"]]
+    known = {b"a": 0.1, b"b": 0.7, b"x": 1.3, lm_score.END: 2.0}
+    n_known, base, rare = lm_score.word_sums(split, Counted(known))
+    assert Counted.asked <= sum(len(set(w)) for w in split) + len(split) + 1
+    assert n_known == [sum(x in known for x in w) + 1 for w in split]
+    assert base == [math.fsum(k * known[x] for x, k in Counter(w).items() if x in known) + 2.0 for w in split]
+    assert rare.to_pylist() == [[{"word": x, "k": k} for x, k in Counter(w).items() if x not in known] for w in split]
+    assert lm_score.word_sums(split, {})[0] == [0] * len(split)
+
+
 def test_parts_do_not_change_scores(docs):
     """Scores are the same however texts are dealt into parts, and however few labelled texts there are."""
     df = docs()
