@@ -36,12 +36,12 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from operator import mul
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,8 +53,8 @@ DEPTH = 6
 SHARD, TOP_WORDS, TOP_RUNS = 3, 1 << 17, 1 << 21
 #: Characters in a part, and handled at once; runs sorted at once.
 PART, PORTION, SORTED = 48 << 20, 2 << 20, 6 << 20
-#: Words a task holds before it passes partial counts on; runs that a task turns into nodes at once.
-HELD, CHUNK = 400_000, 200_000
+#: Words a task holds before it passes partial counts on; bytes of words counted at once; runs that a task turns into nodes at once.
+HELD, COUNTED, CHUNK = 400_000, 32 << 20, 200_000
 TEXT_BATCH = {"spark__sql__execution__arrow__maxRecordsPerBatch": "1000"}
 NUMBER_BATCH = {"spark__sql__execution__arrow__maxRecordsPerBatch": "50000"}
 END = b""
@@ -72,13 +72,11 @@ def tokens(text: str | None) -> list[bytes]:
 def runs_of(texts: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """For each byte of each text (and its end) the run that ends there, as a number with the byte lowest; the bytes of each text."""
     spelled = [b" ".join(w) + b" \n" if w else b"\n" for w in texts]
-    pad = bytes(depth)
-    raw = np.frombuffer(pad.join([b"", *spelled]), np.uint8)
-    codes = np.zeros(len(raw), np.int64)
-    for k in range(depth + 1):
-        codes[k:] |= raw[: len(raw) - k].astype(np.int64) << (8 * k)
+    raw = bytes(7) + bytes(depth).join([b"", *spelled])
+    codes = np.ndarray(len(raw) - 7, ">i8", raw, strides=(1,)).astype(np.int64)  # the eight bytes that end at each place
+    codes &= (1 << 8 * (depth + 1)) - 1
     n = np.fromiter(map(len, spelled), np.int64, len(spelled))
-    inside = np.ones(len(raw), bool)
+    inside = np.ones(len(codes), bool)
     starts = np.cumsum(n + depth) - n - depth
     inside[(starts[:, None] + np.arange(depth)).ravel()] = False
     return codes[inside], n
@@ -109,6 +107,15 @@ def rows_of(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in PARTS], schema=PARTS)
 
 
+def tallied(words: list[pa.Array], before: pa.Table | None) -> pa.Table:
+    """The distinct words of some arrays with their counts, added to a table of such counts."""
+    found = pa.chunked_array(words, pa.binary()).value_counts()
+    table = pa.table({"word": found.field(0), "n": found.field(1)})
+    if before is None:
+        return table
+    return pa.concat_tables([before, table]).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
+
 def packed(ids: pa.Array, texts: pa.Array) -> bytes:
     """Identifiers and texts as one compressed Arrow batch."""
     sink = pa.BufferOutputStream()
@@ -130,7 +137,8 @@ def parted(docs: DataFrame, depth: int, part_size: int = PART) -> DataFrame:
         from pyspark import TaskContext
 
         part, size = TaskContext.get().partitionId() << 32, 0
-        words: Counter = Counter()
+        words: list[pa.Array] = []  # training words not yet counted
+        tally: pa.Table | None = None
         none = np.empty(0, np.int64)
         codes, counts = [none], [none]
         raw: dict[bool, list[np.ndarray]] = {False: [], True: []}  # runs not yet counted, of training texts and of the others
@@ -150,11 +158,9 @@ def parted(docs: DataFrame, depth: int, part_size: int = PART) -> DataFrame:
                 x = c[at : at + 50_000]
                 yield rows_of(part=np.full(len(x), part), run=x, n=n[at : at + 50_000])
 
-        def counted() -> Iterator[pa.RecordBatch]:
-            some = list(words.items())
-            for at in range(0, len(some), 50_000):
-                w, n = zip(*some[at : at + 50_000], strict=True)
-                yield rows_of(word=list(w), n=list(n))
+        def counted(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            for some in table.to_batches(50_000):
+                yield rows_of(word=some.column(0), n=some.column(1))
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -163,9 +169,7 @@ def parted(docs: DataFrame, depth: int, part_size: int = PART) -> DataFrame:
                 yield rows_of(part=[part], texts=[packed(batch.column(0).slice(p.start, len(here)), batch.column(1).slice(p.start, len(here)))])
                 out = [held_out(i) for i in here]
                 learned = [w for w, o in zip(split, out, strict=True) if not o]
-                for w in learned:
-                    words.update(w)
-                words[END] += len(learned)
+                words.append(pa.array([*chain.from_iterable(learned), *[END] * len(learned)], pa.binary()))
                 for held, some in ((False, learned), (True, [w for w, o in zip(split, out, strict=True) if o])):
                     if some:
                         raw[held].append(runs_of(some, depth)[0])
@@ -179,12 +183,13 @@ def parted(docs: DataFrame, depth: int, part_size: int = PART) -> DataFrame:
                     yield from asked()
                     part, size = part + 1, 0
                     codes[:], counts[:] = [none], [none]
-                if len(words) > HELD:
-                    yield from counted()
-                    words = Counter()
+                if sum(w.nbytes for w in words) > COUNTED:
+                    tally, words = tallied(words, tally), []
+                    if tally.num_rows > HELD or tally.nbytes > 4 * COUNTED:
+                        yield from counted(tally)
+                        tally = None
         yield from asked()
-        if words[END]:
-            yield from counted()
+        yield from counted(tallied(words, tally))
 
     rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return rows_in.mapInArrow(run, PARTS_SQL)
@@ -390,28 +395,36 @@ def looked_up(keys: np.ndarray, sought: np.ndarray) -> tuple[np.ndarray, np.ndar
     return at, keys[at] == sought if len(keys) else np.zeros(len(sought), bool)
 
 
-def word_sums(split: list[list[bytes]], common: dict[bytes, float]) -> tuple[list[int], list[float], pa.Array]:
+Values = tuple[pa.Array, np.ndarray]
+
+
+def valued(common: dict[bytes, float]) -> Values:
+    """Words, and their values in the same order."""
+    return pa.array(list(common), pa.binary()), np.fromiter(common.values(), float, len(common))
+
+
+def word_sums(split: list[list[bytes]], common: dict[bytes, float] | Values) -> tuple[list[int], list[float], pa.Array]:
     """For each text the number of its tokens that are common, the sum of their values, and its other words with their counts.
 
-    Each distinct word of a text is looked up once, and the others go into flat arrays: this is a large part of the operator's time.
+    Each distinct word of the texts is looked up once, all of them together: this is a large part of the operator's time.
     """
-    value, end = common.get, int(END in common)
-    n_known, base, words, times, ends = [], [], [], [], [0]
-    for w in split:
-        counts = Counter(w)
-        each, here = list(map(value, counts)), counts.values()
-        if None in each:
-            words += [x for x, v in zip(counts, each, strict=True) if v is None]
-            times += [k for k, v in zip(here, each, strict=True) if v is None]
-            here, each = [k for k, v in zip(here, each, strict=True) if v is not None], [v for v in each if v is not None]
-        n_known.append(sum(here) + end)
-        base.append(math.fsum(map(mul, each, here)) + (common[END] if end else 0.0))
-        ends.append(len(words))
-    others = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int32())], ["word", "k"])
-    return n_known, base, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), others)
-
-
-def scored(parts: DataFrame, costs: DataFrame, top: dict[bytes, float], often: tuple[np.ndarray, np.ndarray], depth: int) -> DataFrame:
+    words, values = common if isinstance(common, tuple) else valued(common)
+    coded = pa.array(list(chain.from_iterable(split)), pa.binary()).dictionary_encode()
+    sought = pa.concat_arrays([coded.dictionary, pa.array([END], pa.binary())])
+    found = np.append(values, np.nan)[pc.index_in(sought, value_set=words).fill_null(-1).to_numpy()]
+    ids, end = coded.indices.to_numpy(), found[-1]
+    text, each = np.repeat(np.arange(len(split)), np.fromiter(map(len, split), np.int64, len(split))), found[ids]
+    rare = np.isnan(each)
+    n_known = np.bincount(text[~rare], minlength=len(split)) + (0 if np.isnan(end) else 1)
+    base = np.bincount(text, np.where(rare, 0.0, each), len(split)) + (0.0 if np.isnan(end) else end)
+    pairs, times = np.unique(text[rare] * len(found) + ids[rare], return_counts=True)
+    at_text, at_word = np.divmod(pairs, len(found))
+    others = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(at_word)), pa.array(times, pa.int32())], ["word", "k"])
+    ends = np.searchsorted(at_text, np.arange(len(split) + 1))
+    return n_known.tolist(), base.tolist(), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), others)
+
+
+def scored(parts: DataFrame, costs: DataFrame, top: Values, often: tuple[np.ndarray, np.ndarray], depth: int) -> DataFrame:
     """One row for each text: key, doc_id, held_out, n_tokens, n_bytes, score, frequent words' part of the base, and the other words.
 
     often: the runs that are broadcast, in order, and their costs.
@@ -447,7 +460,7 @@ def scored(parts: DataFrame, costs: DataFrame, top: dict[bytes, float], often: t
                         runs, values = [np.concatenate([np.empty(0, np.int64), *runs])], [np.concatenate([np.empty(0, np.float32), *values])]
                     yield scores(*unpacked(blobs[i].as_buffer()), runs[0], values[0], common, random)
 
-    def scores(ids: list, texts_: list, known_runs: np.ndarray, values: np.ndarray, common: dict[bytes, float], random: np.random.Generator) -> pa.RecordBatch:
+    def scores(ids: list, texts_: list, known_runs: np.ndarray, values: np.ndarray, common: Values, random: np.random.Generator) -> pa.RecordBatch:
         split = [tokens(t) for t in texts_]
         score, n_bytes = np.empty(len(split)), np.empty(len(split), np.int64)
         for at_text in range(0, len(split), 256):
@@ -488,7 +501,7 @@ def lm_score(docs: DataFrame, depth: int = DEPTH, top: int = TOP_WORDS, part_siz
     words = work.table(words, "words")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     frequent = most_frequent(words, top).toArrow().to_pydict()
-    frequent = {w: math.log10(c + 1) for w, c in zip(frequent["word"], frequent["n"], strict=True)}
+    frequent = valued({w: math.log10(c + 1) for w, c in zip(frequent["word"], frequent["n"], strict=True)})
     # a task's parts have few runs in common: rows are dealt as they are and summed where they meet
     dealt_runs = parts.filter("run is not null").select("run", "n").repartition("run")
     runs = work.table(dealt_runs.groupBy("run").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("asked")), "runs")
@@ -501,7 +514,8 @@ def lm_score(docs: DataFrame, depth: int = DEPTH, top: int = TOP_WORDS, part_siz
     work.drop("runs")
     work.drop("parts", "costs")
     others = rows.select("key", F.explode("others").alias("o")).select("key", "o.word", "o.k")
-    found = others.join(words, "word").groupBy("key").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("more_base"))
+    # words are distinct, a task's share of them is a small table: the others needn't be sorted
+    found = others.join(words.hint("shuffle_hash"), "word").groupBy("key").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("more_base"))
     out = rows.drop("others").join(found, "key", "left")
     n = F.col("n_tokens")
     return out.select(

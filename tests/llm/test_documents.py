@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -548,6 +549,57 @@ def test_words_are_looked_up_once():
     assert lm_score.word_sums(split, {})[0] == [0] * len(split)
 
 
+def test_words_of_all_texts_are_looked_up_together():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key, default=None):
+            Counted.asked += 1
+            return super().get(key, default)
+
+    r = random.Random(4)
+    split = [[r.choice([b"a", b"b", b"c", b"d", b"\x00", "ж".encode()]) for _ in range(r.randrange(9))] for _ in range(60)]
+    known = {b"a": 0.25, b"b": 0.5, b"\x00": 1.25}
+    for common in (Counted(known), Counted(known | {lm_score.END: 2.0}), {}):
+        Counted.asked, end = 0, lm_score.END in common
+        n_known, base, rare = lm_score.word_sums(split, common)
+        assert Counted.asked <= len({x for w in split for x in w}) + 1
+        assert n_known == [sum(x in common for x in w) + end for w in split]
+        assert base == [sum(common[x] for x in w if x in common) + 2.0 * end for w in split]
+        assert [{x["word"]: x["k"] for x in row} for row in rare.to_pylist()] == [dict(Counter(x for x in w if x not in common)) for w in split]
+    n_known, base, rare = lm_score.word_sums([[]], {})
+    assert (n_known, base, rare.to_pylist()) == ([0], [0.0], [[]])
+
+
+def test_words_are_tallied_in_arrays():
+    r = random.Random(5)
+    words_ = [[r.choice([b"a", b"bb", b"", b"\x00", "ж".encode()]) for _ in range(k)] for k in (7, 0, 30, 1)]
+    arrays = [pa.array(w, pa.binary()) for w in words_]
+    tally = None
+    for some in (arrays[:2], [], arrays[2:]):
+        tally = lm_score.tallied(some, tally)
+    assert dict(zip(*tally.to_pydict().values(), strict=True)) == Counter(x for w in words_ for x in w) and tally.num_rows == 5
+    assert lm_score.tallied([], None).num_rows == 0
+
+
+@pytest.mark.parametrize("depth", [1, 3, 6])
+def test_runs_end_at_each_byte(depth):
+    texts = ["", "a", "Ab  c", "ж中 x" * 5, "\x00\xff", "internationalisation"]
+    split = [lm_score.tokens(t) for t in texts]
+    codes, n = lm_score.runs_of(split, depth)
+    want = []
+    for w in split:
+        raw = bytes(depth) + b"".join(x + b" " for x in w) + b"\n"
+        want += [int.from_bytes(raw[i - depth : i + 1], "big") for i in range(depth, len(raw))]
+    assert codes.tolist() == want and n.tolist() == [sum(len(x) + 1 for x in w) + 1 for w in split]
+
+
+def test_rare_words_are_not_sorted(docs):
+    """Rare words of texts meet their counts in hash tables of the distinct words, so that only the texts' keys are sorted."""
+    plan = lm_score.lm_score(docs(), depth=2, top=2)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin [word" in plan and "Sort [word" not in plan
+
+
 def test_parts_do_not_change_scores(docs):
     """Scores are the same however texts are dealt into parts, and however few labelled texts there are."""
     df = docs()
