@@ -90,7 +90,8 @@ def first_of(x: np.ndarray) -> np.ndarray:
 def merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     c, n = np.concatenate(codes), np.concatenate(counts)
     order = np.argsort(c, kind="stable")
-    c, n = c[order], n[order]
+    c = c[order]  # one after the other: a part's arrays are large
+    n = n[order]
     first = first_of(c)
     return c[first], np.add.reduceat(n, first) if len(first) else n
 
@@ -146,10 +147,12 @@ def parted(docs: DataFrame, depth: int, part_size: int = PART) -> DataFrame:
         def count_raw() -> None:
             for out, held in raw.items():
                 if held:
-                    c, n = np.unique(np.concatenate(held), return_counts=True)
-                    codes.append(c)
-                    counts.append(np.zeros(len(c), np.int64) if out else n)
+                    c = np.concatenate(held)
                     held.clear()
+                    c.sort()
+                    first = first_of(c)
+                    codes.append(c[first])
+                    counts.append(np.zeros(len(first), np.int64) if out else np.diff(first, append=len(c)))
 
         def asked() -> Iterator[pa.RecordBatch]:
             count_raw()
@@ -175,7 +178,7 @@ def parted(docs: DataFrame, depth: int, part_size: int = PART) -> DataFrame:
                         raw[held].append(runs_of(some, depth)[0])
                 if sum(map(len, raw[False])) + sum(map(len, raw[True])) > SORTED:
                     count_raw()
-                if len(codes) > 12:
+                if len(codes) > 6:
                     c, n = merged(codes, counts)
                     codes[:], counts[:] = [c], [n]
                 size += sum(len(t or "") for t in texts[p])
@@ -467,7 +470,10 @@ def scored(parts: DataFrame, costs: DataFrame, top: Values, often: tuple[np.ndar
             part = slice(at_text, at_text + 256)
             codes, n = runs_of(split[part], depth)
             # a run has 56 bits: the text's number within these few goes below it, and one sort brings equal runs together
-            order = np.sort(codes.view(np.uint64) << np.uint64(8) | np.repeat(np.arange(len(n), dtype=np.uint64), n))
+            order = codes.view(np.uint64)
+            order <<= np.uint64(8)
+            order |= np.repeat(np.arange(len(n), dtype=np.uint64), n)
+            order.sort()
             runs = (order >> np.uint64(8)).view(np.int64)
             first = first_of(runs)
             found = runs[first]
