@@ -41,6 +41,23 @@ def test_rules_of_any_number(spark, ops, n):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+@pytest.mark.parametrize("most", [categories.BROADCAST])
+def test_rules_broadcast_no_operations(spark, ops, tmp_path, monkeypatch, most):
+    """However small Spark takes the operations to be, none of their letters is gathered on the driver; patterns end, begin and nest anywhere."""
+    monkeypatch.setattr(categories, "BROADCAST", most)
+    ops.select("id", "search_key", "method").write.parquet(f"{tmp_path}/ops")
+    rows = spark.read.parquet(f"{tmp_path}/ops")
+    rules = [(1, "luz", "light", 9), (2, "Luz ag", "both", 8), (3, "z", "last", 10), (4, "ab", "ab", 3), (5, "pago pago", "twice", 2), (6, "q" * 200, "long", 1), (7, "luz", "again", 9)]
+    out = categories.categorize(rows, spark.createDataFrame(rules, "id long, pattern string, category string, priority int"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan and plan.count("BroadcastHashJoin") == (2 if most else 1) and "NestedLoop" not in plan
+    order = sorted((p, i, c, search.normalize_text(t)) for i, t, c, p in rules)
+    got = {r.id: r.category for r in out.collect()}
+    for r in rows.collect():
+        assert got[r.id] == (next((c for _, _, c, k in order if k in r.search_key), None) or categories.DEFAULT_CATEGORIES.get(r.method, "Otros"))
+    assert set(got.values()) >= {"light", "both", "last", "ab", "twice"} and len(got) == 3600
+
+
 def test_duplicates_without_large_arrays(ops):
     groups = {}
     for x in ops.collect():
