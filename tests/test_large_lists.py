@@ -41,7 +41,7 @@ def test_rules_of_any_number(spark, ops, n):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
-@pytest.mark.parametrize("most", [categories.BROADCAST])
+@pytest.mark.parametrize("most", [0, categories.BROADCAST])
 def test_rules_broadcast_no_operations(spark, ops, tmp_path, monkeypatch, most):
     """However small Spark takes the operations to be, none of their letters is gathered on the driver; patterns end, begin and nest anywhere."""
     monkeypatch.setattr(categories, "BROADCAST", most)
