@@ -1,10 +1,14 @@
 """From words to reconciled statements."""
 
+import math
+import random
+from datetime import datetime
 from decimal import Decimal as D
 
 import pytest
 
 from ledgerloom.operators import layout, reconcile, segment
+from ledgerloom.plans import printed
 from ledgerloom.sources import fixtures as fx
 
 
@@ -72,3 +76,52 @@ def segment_schema():
     from ledgerloom.schemas import WORDS
 
     return WORDS
+
+
+def test_lines_are_a_fold(spark):
+    """Lines against the plain fold, with heights that are missing, no number, equal or chained, and words beyond the page."""
+    r, rows = random.Random(4), []
+    for statement in range(6):
+        for page in range(3):
+            for i in range(r.randrange(1, 40)):
+                y = r.choice([None, float("nan"), float("inf"), 0.0]) if statement == 5 and r.random() < 0.2 else r.randrange(120) / (2 if statement % 2 else 1)
+                rows.append((statement, page, 600.0, float(r.randrange(-10, 640)), y, float(r.randrange(700)), 0.0, f"t{i % 7}"))
+    words = spark.createDataFrame(rows, segment_schema()).repartition(3)
+    splits = {(x.statement_id, x.page): x.split for x in layout.column_split(words).collect()}
+    want, key = {}, lambda x: (x is not None, x)
+    for (s, p), split in splits.items():
+        for side, low, high in (("L", 0, split), ("R", split, 601)):
+            mine = [w for w in rows if w[:2] == (s, p) and low <= w[3] < high]
+            number, base = 0, None
+            for y in sorted({w[4] for w in mine if w[4] is not None and w[4] == w[4]}) + [w[4] for w in mine if w[4] is not None and w[4] != w[4]][:1]:
+                if base is None or not y - base <= 3.5:
+                    number, base = number + 1, y
+                for w in mine:
+                    if repr(w[4]) == repr(y):
+                        want.setdefault((s, p, side, number), []).append(w)
+            if none := [w for w in mine if w[4] is None]:
+                want[s, p, side, 0] = none
+    order = lambda w: (w[3], key(w[4]) if w[4] == w[4] else (True, math.inf, 1), w[5], w[7])
+    got = {(x.statement_id, x.page, x.side, x.line_no): x for x in layout.page_lines(words).collect()}
+    assert set(got) == set(want) and any(k[2] == "R" for k in want)
+    for k, x in got.items():
+        assert x.words == [w[7] for w in sorted(want[k], key=order)] and len(x.tokens) == len(want[k])
+    one = {(x.statement_id, x.page, x.line_no, repr(x.y), len(x.tokens)) for x in layout.cluster_lines(layout.sided(words, None)).collect()}
+    assert sum(x[-1] for x in one) == len(rows)
+
+
+def test_pages_are_read_once(spark, tmp_path):
+    """Printed statements: one scan, one shuffle, no join, however much of a page's lines a result needs."""
+    spark.createDataFrame([(k, k % 3, "F", 2.5, datetime(2024, 1, 2), "5-LOW") for k in range(90)], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    for query in (printed.ledger_rows, printed.ledger_warnings):
+        plan = query(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") == 1 and plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_sides_without_anchors_are_warned_of_once(spark):
+    """A page before any header: one warning a side, no rows; later pages carry the header on."""
+    words = [(1, 1, 2000.0, 10.0, 50.0, 20.0, 55.0, "01/02"), (1, 1, 2000.0, 10.0, 80.0, 20.0, 85.0, "02/02")]
+    words += [(1, 2, 2000.0, x, 50.0, x + 20, 55.0, t) for x, t in ((10.0, "DESCRIPCION"), (200.0, "CARGOS"), (240.0, "ABONOS"))] + [(1, 3, 2000.0, x, 90.0, x + 20, 95.0, t) for x, t in ((10.0, "03/02"), (60.0, "PAGO"), (202.0, "7,00"))]
+    rows, _, warnings = segment.ledger(segment.marked(spark.createDataFrame(words, segment_schema())))
+    assert [(r.date, r.cargo, r.page, r.seq) for r in rows.collect()] == [("03/02", D(7), 3, 1)]
+    assert [r.detail for r in warnings.collect()] == ["p1: no column anchors on side L"]
