@@ -6,9 +6,10 @@ from datetime import datetime
 from decimal import Decimal as D
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.operators import layout, reconcile, segment
-from ledgerloom.plans import printed
+from ledgerloom.plans import catalog, printed
 from ledgerloom.sources import fixtures as fx
 
 
@@ -125,3 +126,16 @@ def test_sides_without_anchors_are_warned_of_once(spark):
     rows, _, warnings = segment.ledger(segment.marked(spark.createDataFrame(words, segment_schema())))
     assert [(r.date, r.cargo, r.page, r.seq) for r in rows.collect()] == [("03/02", D(7), 3, 1)]
     assert [r.detail for r in warnings.collect()] == ["p1: no column anchors on side L"]
+
+
+def test_pages_of_documents_are_shuffled_as_text(spark, tmp_path):
+    """Lines of documents, with texts that are missing, empty, long or of one doc_id, as from their words one by one; what is shuffled has no word's place."""
+    texts = [(1, "a b  c"), (2, None), (3, ""), (4, " ".join(f"w{i}" for i in range(450)) + " "), (5, "x " * 30), (5, "y z"), (5, "x " * 30)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.QUERIES["line_cluster"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "y0" not in plan.split("Exchange")[1]
+    words = layout.cluster_lines(layout.sided(catalog.page_words(spark, str(tmp_path)), None))
+    assert layout.column_lines(catalog.page_columns(spark, str(tmp_path))).select(*words.columns).exceptAll(words).isEmpty()
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == sorted(map(tuple, words.select("statement_id", "page", "line_no", "y", F.size("tokens").alias("n")).collect())) and sum(r[-1] for r in rows) == 4 + 1 + 1 + 451 + 31 + 2 + 31
