@@ -113,3 +113,12 @@ def test_overlaps_follow_the_new_statements(spark):
     got = reconcile.overlaps_with(spark.createDataFrame(new, schema), spark.createDataFrame(rows, schema)).collect()
     want = [(x[0], y[0]) for x in new for y in rows if x[0] != y[0] and x[1] and x[1] == y[1] and x[4] <= y[5] and y[4] <= x[5]]
     assert sorted(map(tuple, got)) == sorted(want) and want and len(known) == 180
+
+
+def test_overlaps_are_dealt_by_year(spark):
+    """A period of a year is shuffled as a row or two, not as one a month; periods over many years still meet once."""
+    rows = [(1, "a", "01-01-20", "31-12-20"), (2, "a", "31-12-20", "01-01-24"), (3, "a", "01-06-19", "30-06-25"), (4, "a", "02-01-24", "03-01-24"), (5, "b", "01-01-20", "31-12-20")]
+    df = spark.createDataFrame(rows, "id long, account_number string, period_start string, period_end string")
+    out = reconcile.overlaps(df)
+    assert "month(" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == sorted((a, b) for x, y in [(1, 2), (1, 3), (2, 3), (3, 4)] for a, b in [(x, y), (y, x)])
